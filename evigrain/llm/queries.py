@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import simhash
-from evigrain.runtime import table, tuned
+from evigrain.llm import decontam, mixing, oracles, simhash
+from evigrain.runtime import stored, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = stored(mixing.sizes(docs).drop("text"), "mix-sizes").df
+    mixed = mixing.mix(sized, sized=sized.select("doc_id", "source", F.col("_size").alias("size"), F.col("_key").alias("key")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "found")
+    return found.select("doc_id", "found.n_words", decontam.hit_words().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.size("found.spans") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
+    "op4_decontamination": op4_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": oracles.MIXING,
+    "op4_decontamination": oracles.DECONTAMINATION,
+}
