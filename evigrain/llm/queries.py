@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import decontam, mixing, oracles, simhash
+from evigrain.llm import decontam, mixing, oracles, samples, simhash, toxicity, warc
 from evigrain.runtime import stored, table
 
 
@@ -21,19 +21,37 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    records = warc.round_trip(pages).filter("kind = 'record'")
+    return records.select(warc.own_id("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.own_id("refers_to").cast(kind).alias("refers_to"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "found")
     return found.select("doc_id", "found.n_words", decontam.hit_words().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.size("found.spans") > 0).alias("contaminated"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = samples.fold("doc_id", 4) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
+    "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": oracles.MIXING,
+    "op3_warc": oracles.WARC,
     "op4_decontamination": oracles.DECONTAMINATION,
 }
