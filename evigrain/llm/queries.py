@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import decontam, mixing, oracles, samples, simhash, toxicity, warc
+from evigrain.llm import decontam, fertility, mixing, oracles, quality, samples, simhash, tokencount, toxicity, warc
 from evigrain.runtime import stored, table
 
 
@@ -34,6 +34,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.n_words", decontam.hit_words().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.size("found.spans") > 0).alias("contaminated"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = samples.fold("doc_id", 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = fertility.measures(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "measures")
+    return measured.select("doc_id", *(F.col(f"measures.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = samples.fold("doc_id", 4) == 2
@@ -42,12 +55,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokencount.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "counts")
+    return counted.select("doc_id", "counts.*")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
+    "op7_quality": op7_quality,
+    "op8_fertility": op8_fertility,
     "op9_toxicity": op9_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
