@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import decontam, fertility, mixing, oracles, quality, samples, simhash, tokencount, toxicity, warc
+from evigrain.llm import decontam, fertility, mixing, oracles, pii, quality, samples, simhash, tokencount, toxicity, warc
 from evigrain.runtime import stored, table
 
 
@@ -34,6 +34,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.n_words", decontam.hit_words().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.size("found.spans") > 0).alias("contaminated"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.fit(docs)).select("doc_id", "spans")
+    return found.select("doc_id", *(pii.counted(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.listed(base_only=True), 256).alias("base_sha256"), pii.listed().alias("spans"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = samples.fold("doc_id", 5) == 0
@@ -65,6 +71,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
+    "op5_pii": op5_pii,
     "op7_quality": op7_quality,
     "op8_fertility": op8_fertility,
     "op9_toxicity": op9_toxicity,
