@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import decontam, fertility, mixing, oracles, pii, quality, samples, simhash, tokencount, toxicity, warc
+from evigrain.llm import decontam, fertility, mixing, oracles, pii, quality, samples, secrets, simhash, tokencount, toxicity, warc
 from evigrain.runtime import stored, table
 
 
@@ -40,6 +40,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(pii.counted(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.listed(base_only=True), 256).alias("base_sha256"), pii.listed().alias("spans"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(spark))
+    return found.select("doc_id", "word_no", F.sha2("candidate", 256).alias("candidate_sha256"), F.char_length("candidate").cast("long").alias("length"), "score", "secret")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = samples.fold("doc_id", 5) == 0
@@ -72,6 +77,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_pii": op5_pii,
+    "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
     "op8_fertility": op8_fertility,
     "op9_toxicity": op9_toxicity,
