@@ -1,23 +1,10 @@
-"""Named queries of the library and their DuckDB twins."""
+"""Named queries of the library and their DuckDB twins: (spark, sf_dir) -> DataFrame, and SQL where SQL can express it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from evigrain.plans import audit_queries, compare_queries, evidence_queries, source_queries, state_queries, text_queries, visual_queries
 
-from evigrain.runtime import table
+_MODULES = (evidence_queries, text_queries, source_queries, audit_queries, compare_queries, visual_queries, state_queries)
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, and its SQL where SQL can express it."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return keep
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
