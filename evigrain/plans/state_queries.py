@@ -1,3 +1,89 @@
+"""Queries over histories, retention, manifests, admission, and extensions on driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evigrain.operators import state
 from evigrain.plans.registered import registry
+from evigrain.plans.standins import frame, run, twin
+from evigrain.streaming import windows
 
 QUERIES, ORACLE_SQL, query = registry()
+
+
+@query("history_last30", """WITH c AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events),
+k AS (SELECT user_id, event_id, event_type FROM c WHERE turn = 1 OR event_type IS DISTINCT FROM before) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 30""")
+def history_last30(spark, sf):
+    return state.bounded_history(frame(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+_JOBS = """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN concat('tmp', CAST(event_id AS VARCHAR(20))) ELSE concat('job-', substr(md5(CAST(event_id AS VARCHAR(20))), 1, 8)) END AS name,
+concat('job-', substr(md5(CAST(event_id + CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END AS VARCHAR(20))), 1, 8)) AS job_id, CASE event_id % 5 WHEN 0 THEN 'analyzing' WHEN 1 THEN 'failed' ELSE 'ready' END AS status,
+event_id * 1000 AS created, event_id * 1000 + CASE WHEN event_id % 29 = 0 THEN -5 ELSE 700 END AS updated FROM events"""
+
+
+@query("retention", twin("""SELECT event_id, CASE WHEN NOT regexp_full_match(name, 'job-[0-9a-f]{8}') THEN 'not a regular job directory' WHEN job_id <> name THEN 'manifest job ID does not match directory' WHEN status = 'analyzing' THEN 'active job'
+WHEN created > updated OR created > 600000 OR updated > 600000 THEN 'job is inside retention window or has inconsistent timestamps' END AS skipped FROM jobs""", jobs=_JOBS))
+def retention(spark, sf):
+    return state.retention(run(spark, sf, _JOBS), F.lit(600000)).select("event_id", "skipped")
+
+
+@query("export_merge", "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def export_merge(spark, sf):
+    return state.last_write(frame(spark, sf, "events").select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+_MANIFESTS = "SELECT c_custkey AS job, concat('plan/', CAST(c_custkey AS VARCHAR(20)), '.json') AS plan, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('audit/', CAST(c_custkey AS VARCHAR(20)), '.json') END AS audit, CASE WHEN c_custkey % 4 = 0 THEN 'export/a.pptx' END AS export FROM customer"
+
+
+@query("manifest_paths", twin("SELECT job, kind, path FROM (SELECT job, 'plan' AS kind, plan AS path FROM manifests UNION ALL SELECT job, 'audit', audit FROM manifests UNION ALL SELECT job, 'export', export FROM manifests) WHERE path IS NOT NULL", manifests=_MANIFESTS))
+def manifest_paths(spark, sf):
+    return state.flattened_paths(run(spark, sf, _MANIFESTS), ["plan", "audit", "export"])
+
+
+_REFS = "SELECT o_orderkey AS artifact_id, o_orderstatus AS kind, o_custkey AS size FROM orders"
+_SAVED = "SELECT o_orderkey AS artifact_id, CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END AS kind, o_custkey + CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 0 END AS size FROM orders"
+
+
+@query("jury_binding", twin("SELECT r.artifact_id, r.kind, r.size FROM refs r WHERE NOT EXISTS (SELECT 1 FROM saved s WHERE s.artifact_id = r.artifact_id AND s.kind = r.kind AND s.size = r.size)", refs=_REFS, saved=_SAVED))
+def jury_binding(spark, sf):
+    return state.unbound_refs(run(spark, sf, _REFS), run(spark, sf, _SAVED), ["artifact_id", "kind", "size"])
+
+
+@query("artifact_refs", """WITH m AS (SELECT page_id::VARCHAR AS path, strlen(html) + CASE WHEN page_id % 8 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN page_id % 9 = 0 THEN 'x' ELSE sha256(html) END AS sha FROM pages UNION ALL SELECT 'gone', 1, 'y')
+SELECT m.path, CASE WHEN p.html IS NULL THEN 'missing' WHEN strlen(p.html) <> m.size THEN 'size_mismatch' WHEN sha256(p.html) <> m.sha THEN 'digest_mismatch' END AS error FROM m LEFT JOIN pages p ON p.page_id::VARCHAR = m.path""")
+def artifact_refs(spark, sf):
+    pages = frame(spark, sf, "pages")
+    k = F.col("page_id")
+    listed = pages.select(k.cast("string").alias("path"), (F.octet_length("html") + (k % 8 == 0).cast("int")).alias("size"), F.when(k % 9 == 0, "x").otherwise(F.sha2("html", 256)).alias("sha"))
+    listed = listed.unionByName(spark.range(1).select(F.lit("gone").alias("path"), F.lit(1).alias("size"), F.lit("y").alias("sha")))
+    return state.reference_errors(listed, pages.select(k.cast("string").alias("path"), F.col("html").cast("binary").alias("content")))
+
+
+@query("rate_guard")
+def rate_guard(spark, sf):
+    events = frame(spark, sf, "events")
+    requests = events.select("user_id", F.when(F.col("event_type") == "click", "export").otherwise("generation").alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("value") > 20).alias("busy"))
+    return state.admitted(requests, "user_id", "kind", "at", "event_id", "busy", {"generation": 5, "export": 30}, 6 * 3_600_000)
+
+
+@query("extension_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+def extension_windowed_counts(spark, sf):
+    return windows.windowed_counts(frame(spark, sf, "events"))
+
+
+@query("extension_pricing_summary", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, avg(l_discount) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def extension_pricing_summary(spark, sf):
+    rows = frame(spark, sf, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.avg("l_discount").alias("avg_disc"), F.count("*").alias("n"))
+
+
+@query("extension_top_customers", """SELECT c_mktsegment, c_custkey, total, place FROM (SELECT c_mktsegment, c_custkey, round(sum(o_totalprice), 2) AS total, row_number() OVER (PARTITION BY c_mktsegment ORDER BY round(sum(o_totalprice), 2) DESC, c_custkey) AS place FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_mktsegment, c_custkey) WHERE place <= 5""")
+def extension_top_customers(spark, sf):
+    from pyspark.sql import Window
+
+    totals = frame(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    joined = frame(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(totals, "c_custkey")
+    place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("total"), "c_custkey"))
+    return joined.withColumn("place", place).filter("place <= 5").select("c_mktsegment", "c_custkey", "total", "place")
