@@ -1,3 +1,190 @@
+"""Queries over source formats: CSV, spreadsheet cells, office packages, images, JSON, and ordered passes."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from evigrain.functions import cells, geometry, jsontext
+from evigrain.operators import folds
 from evigrain.plans.registered import registry
+from evigrain.plans.standins import frame, run, twin
+from evigrain.sources import csvtext, images, office
 
 QUERIES, ORACLE_SQL, query = registry()
+
+_CSV = """SELECT conv_id, turn, concat('id,note', chr(10), CAST(conv_id AS VARCHAR(20)), ',"', replace(text, '"', '""'), '"', chr(10), 'x', ';y,', role) AS body FROM conversations"""
+
+
+@query("csv_cells", twin("""WITH c AS (SELECT concat(conv_id, '/', turn) AS name, conv_id, role, text, len(string_split(text, chr(10))) AS lines FROM conversations)
+SELECT name, 1 AS row_no, 1 AS col_no, 'id' AS text FROM c UNION ALL SELECT name, 1, 2, 'note' FROM c UNION ALL SELECT name, 2, 1, conv_id::VARCHAR FROM c UNION ALL SELECT name, 2, 2, text FROM c UNION ALL SELECT name, 2 + lines, 1, 'x;y' FROM c UNION ALL SELECT name, 2 + lines, 2, role FROM c"""))
+def csv_cells(spark, sf):
+    files = run(spark, sf, _CSV).select(F.concat_ws("/", "conv_id", "turn").alias("name"), F.col("body").alias("text"))
+    return csvtext.cells(files).filter("error IS NULL").drop("error")
+
+
+@query("csv_delimiter", """SELECT conv_id, turn, CASE WHEN len(regexp_replace(l, '[^;]', '', 'g')) > len(regexp_replace(l, '[^,]', '', 'g')) THEN ';' ELSE ',' END AS delimiter FROM (SELECT conv_id, turn, string_split(concat(regexp_replace(replace(text, '"', ''), ' ', ';', 'g')), chr(10))[1] AS l FROM conversations)""")
+def csv_delimiter(spark, sf):
+    first = F.get(F.split(F.regexp_replace(F.replace("text", F.lit('"'), F.lit("")), " ", ";"), "\n"), 0)
+    return frame(spark, sf, "conversations").select("conv_id", "turn", cells.delimiter(first).alias("delimiter"))
+
+
+@query("cell_references", "SELECT p_partkey, p_partkey % 900 + 1 AS col_no, p_size AS row_no FROM part")
+def cell_references(spark, sf):
+    named = frame(spark, sf, "part").select("p_partkey", cells.reference(F.col("p_size"), F.col("p_partkey") % 900 + 1).alias("ref"))
+    return named.select("p_partkey", cells.column_number(F.col("ref")).alias("col_no"), cells.row_number_of(F.col("ref")).alias("row_no"))
+
+
+@query("serial_dates", """WITH s AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 13) % 60000 + l_linenumber / 8.0::DOUBLE AS serial FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN serial >= 60 AND serial < 61 THEN NULL ELSE strftime(epoch_ms(CAST(-2209075200000 + (floor(serial) - CASE WHEN floor(serial) >= 61 THEN 1 ELSE 0 END) * 86400000 + floor((serial - floor(serial)) * 86400000 + 0.5) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ') END AS iso FROM s""")
+def serial_dates(spark, sf):
+    serial = F.col("l_orderkey") * 13 % 60000 + F.col("l_linenumber") / 8
+    return frame(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", cells.serial_to_iso(serial, F.lit(False)).alias("iso"))
+
+
+_FORMATS = """SELECT p_partkey, p_size AS id, CASE p_partkey % 5 WHEN 0 THEN '0.00' WHEN 1 THEN 'yyyy-mm' WHEN 2 THEN '"day" 0' WHEN 3 THEN '[Red]0\\d' ELSE 'h:mm d' END AS code FROM part"""
+
+
+@query("date_formats", "SELECT p_partkey, p_size IN (14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 50, 51, 52, 53, 54, 55, 56, 57, 58) OR p_partkey % 5 IN (1, 4) AS is_date FROM part")
+def date_formats(spark, sf):
+    code = F.element_at(F.array(*[F.lit(x) for x in ("0.00", "yyyy-mm", '"day" 0', "[Red]0\\d", "h:mm d")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return frame(spark, sf, "part").select("p_partkey", cells.is_date_format(F.col("p_size"), code).alias("is_date"))
+
+
+@query("cell_typing", """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN CASE WHEN l_orderkey % 3 = 2 THEN NULL ELSE 'boolean' END WHEN 1 THEN 'number' WHEN 2 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'string' END WHEN 3 THEN 'string' ELSE NULL END AS value_type,
+CASE l_linenumber % 5 WHEN 0 THEN CASE l_orderkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'true' END WHEN 1 THEN l_orderkey::VARCHAR WHEN 2 THEN CASE WHEN l_orderkey % 2 = 0 THEN l_returnflag END WHEN 3 THEN l_linestatus ELSE NULL END AS text FROM lineitem""")
+def cell_typing(spark, sf):
+    n, k = F.col("l_linenumber") % 5, F.col("l_orderkey")
+    kind = F.when(n == 0, "b").when(n == 1, F.lit(None)).when(n == 2, "s").when(n == 3, "inlineStr").otherwise("e")
+    raw = F.when(n == 0, (k % 3).cast("string")).otherwise(k.cast("string"))
+    shared = F.when(k % 2 == 0, F.col("l_returnflag"))
+    typed = cells.typed_cell(kind, raw, shared, F.col("l_linestatus"), F.lit(False), F.lit(False))
+    return frame(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.inline(F.array(typed)))
+
+
+_RANGES = "SELECT p_partkey % 40 AS sheet, p_size AS r1, p_partkey % 13 AS c1, p_size + p_partkey % 3 AS r2, p_partkey % 13 + p_partkey % 4 - 1 AS c2 FROM part"
+_MERGED = "SELECT sheet, r1, c1, min(r2) AS r2, min(c2) AS c2 FROM (SELECT DISTINCT * FROM ranges WHERE r1 <= r2 AND c1 <= c2 AND NOT (r1 = r2 AND c1 = c2)) GROUP BY sheet, r1, c1 HAVING count(*) = 1"
+
+
+def _merged_ranges(spark, sf):
+    valid = run(spark, sf, _RANGES).filter("r1 <= r2 AND c1 <= c2 AND NOT (r1 = r2 AND c1 = c2)").distinct()
+    return valid.groupBy("sheet", "r1", "c1").agg(F.count("*").alias("n"), F.min("r2").alias("r2"), F.min("c2").alias("c2")).filter("n = 1").drop("n")
+
+
+@query("merged_ranges", twin(_MERGED, ranges=_RANGES))
+def merged_ranges(spark, sf):
+    return _merged_ranges(spark, sf)
+
+
+_PLACES = "SELECT p_partkey, p_partkey % 40 AS sheet, (p_partkey * 7) % 52 AS r, (p_partkey * 3) % 15 AS c FROM part"
+
+
+@query("merged_cells", twin(f"""SELECT p.p_partkey, m.r1, m.c1, p.r <> m.r1 OR p.c <> m.c1 AS covered FROM places p JOIN ({_MERGED}) m ON m.sheet = p.sheet AND p.r BETWEEN m.r1 AND m.r2 AND p.c BETWEEN m.c1 AND m.c2 QUALIFY row_number() OVER (PARTITION BY p.p_partkey ORDER BY m.r1, m.c1, m.r2, m.c2) = 1""", ranges=_RANGES, places=_PLACES))
+def merged_cells(spark, sf):
+    inside = run(spark, sf, _PLACES).join(_merged_ranges(spark, sf), "sheet").filter("r BETWEEN r1 AND r2 AND c BETWEEN c1 AND c2")
+    first = inside.groupBy("p_partkey", "r", "c").agg(F.min(F.struct("r1", "c1", "r2", "c2")).alias("m"))
+    return first.select("p_partkey", "m.r1", "m.c1", ((F.col("r") != F.col("m.r1")) | (F.col("c") != F.col("m.c1"))).alias("covered"))
+
+
+def _image_bytes():
+    k = F.col("page_id")
+    side = lambda n, size: F.unhex(F.lpad(F.hex(n), size, "0"))
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), side(k % 300, 8), side(k + 1, 8), F.col("html").cast("binary"))
+    gif = F.concat(F.lit("GIF89a").cast("binary"), F.unhex(F.lpad(F.hex(k % 200 + 1), 2, "0")), F.unhex(F.lit("000200")), F.col("html").cast("binary"))
+    return F.when(k % 3 == 0, png).when(k % 3 == 1, gif).otherwise(F.col("html").cast("binary"))
+
+
+@query("magic_bytes", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' END AS mime FROM pages")
+def magic_bytes(spark, sf):
+    return frame(spark, sf, "pages").select("page_id", cells.image_type(_image_bytes()).alias("mime"))
+
+
+@query("image_sizes", "SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 300 > 0 THEN page_id % 300 WHEN page_id % 3 = 1 THEN page_id % 200 + 1 END AS width, CASE WHEN page_id % 3 = 0 AND page_id % 300 > 0 THEN page_id + 1 WHEN page_id % 3 = 1 THEN 2 END AS height FROM pages")
+def image_sizes(spark, sf):
+    return frame(spark, sf, "pages").select("page_id", images.size_of(_image_bytes()).alias("s")).select("page_id", "s.width", "s.height")
+
+
+_DOCX = '<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'
+
+
+@F.arrow_udf(T.BinaryType())
+def _as_docx(texts: pa.Array) -> pa.Array:
+    out = []
+    for text in texts.to_pylist():
+        box = io.BytesIO()
+        with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as package:
+            package.writestr("word/document.xml", _DOCX.format("".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in (text or "").split("\n"))))
+        out.append(box.getvalue())
+    return pa.array(out, pa.binary())
+
+
+@query("docx_paragraphs", """WITH l AS (SELECT concat(conv_id, '/', turn) AS name, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM conversations) SELECT name, text, concat('paragraph:', n) AS locator, 'exact' AS precision FROM l WHERE trim(text) <> ''""")
+def docx_paragraphs(spark, sf):
+    files = frame(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), _as_docx(F.col("text")).alias("content"))
+    return office.chunks(files, kind="docx").filter("error IS NULL").select("name", "text", "locator", "precision")
+
+
+@query("page_titles", r"""SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title FROM pages""")
+def page_titles(spark, sf):
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    for entity, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        title = F.replace(title, F.lit(entity), F.lit(value))
+    return frame(spark, sf, "pages").select("page_id", title.alias("title"))
+
+
+@query("canonical_json", """SELECT event_id, concat('{"a":{"y":', event_id, ',"z":1},"k":', json_extract(props, '$.k'), '}') AS canonical FROM events""")
+def canonical_json(spark, sf):
+    text = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "a": {"z": 1.0, "y": '), F.col("event_id").cast("string"), F.lit("}}"))
+    return frame(spark, sf, "events").select("event_id", jsontext.canonical_json(text).alias("canonical"))
+
+
+@query("json_in_answer", """SELECT event_id, concat('{"k":', json_extract(props, '$.k'), '}') AS found FROM events""")
+def json_in_answer(spark, sf):
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, F.concat(F.lit("<think>{</think> so ```json\n"), F.col("props"), F.lit("\n``` done"))).when(k == 1, F.concat(F.lit("Result: "), F.col("props"), F.lit(" as asked"))).otherwise(F.col("props"))
+    return frame(spark, sf, "events").select("event_id", jsontext.json_object(text).alias("found"))
+
+
+@query("nfkc_text", r"SELECT doc_id, lower(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS normalized FROM documents")
+def nfkc_text(spark, sf):
+    from evigrain.functions.text import normalized
+
+    return frame(spark, sf, "documents").select("doc_id", normalized(jsontext.nfkc(F.col("text"))).alias("normalized"))
+
+
+@query("fitting_font")
+def fitting_font(spark, sf):
+    """The largest size from the wanted one down to 14 at which a text fits its box."""
+    sizes = F.sequence(F.lit(14), F.greatest(F.lit(14), F.col("font_size").cast("int")))
+    tried = frame(spark, sf, "elements").filter("type = 'text'").select("slide_id", "ord", "text", "w", "h", F.explode(sizes).alias("size"))
+    fits = geometry.text_height(F.col("text"), F.col("size").cast("double"), F.col("w")) <= F.col("h")
+    return tried.groupBy("slide_id", "ord").agg(F.coalesce(F.max(F.when(fits, F.col("size"))), F.lit(14)).alias("size"))
+
+
+@query("panel_groups")
+def panel_groups(spark, sf):
+    panels = frame(spark, sf, "elements").select(F.col("slide_id").alias("layout_id"), F.col("ord").cast("long").alias("ord"), "x", "y", "w", "h")
+    return folds.like_panel_groups(panels, 960, 540)
+
+
+@query("placeholder_inheritance")
+def placeholder_inheritance(spark, sf):
+    slots = frame(spark, sf, "elements").select(F.col("slide_id").alias("layout_id"), F.col("ord").cast("long").alias("ord"), F.when(F.col("ord") % 3 != 0, (F.col("ord") % 7).cast("string")).alias("idx"), F.when(F.col("ord") % 2 == 0, "body").alias("kind"))
+    return folds.inherit_placeholders(slots, slots.filter("ord % 2 = 0"))
+
+
+@query("layout_choice")
+def layout_choice(spark, sf):
+    scores = frame(spark, sf, "lineitem").select(F.col("l_suppkey").alias("deck"), F.col("l_orderkey").alias("slide_no"), F.col("l_linenumber").alias("layout_id"), F.floor(F.col("l_quantity") / 10).cast("double").alias("score"))
+    return folds.choose_layouts(scores)
+
+
+@query("history_travel")
+def history_travel(spark, sf):
+    kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "click", "redo").otherwise("edit")
+    return folds.travel_history(frame(spark, sf, "events").select(F.col("user_id").alias("variant"), F.col("event_id").alias("ord"), kind.alias("action"), F.col("event_id").cast("string").alias("state")))
