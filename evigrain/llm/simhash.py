@@ -224,6 +224,7 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     reached = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     component = classes.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    component = stored(component, "simhash-classes").df  # so that the join below can split the documents of a hot fingerprint
     return marked.df.join(component, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -55,11 +55,13 @@ def words(text: bytes) -> list[bytes]:
     return [w for w, _ in groupby(x.strip(_EDGES) for x in text.lower().split()) if w]
 
 
-def subwords(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all words, one after the other, and where each word's begin (with the end of all)."""
-    sizes = np.fromiter((len(w) + 2 for w in vocabulary), np.int64, len(vocabulary))
+_CHUNK_WORDS = 20_000
+
+
+def _subwords(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter((len(w) + 2 for w in vocabulary), np.int32, len(vocabulary))
     text = np.frombuffer(b"<" + b"><".join(vocabulary) + b">", np.uint8).astype(np.uint32)
-    word = np.repeat(np.arange(len(vocabulary)), sizes)
+    word = np.repeat(np.arange(len(vocabulary), dtype=np.int32), sizes)
     left = np.cumsum(sizes)[word] - np.arange(len(text))
     grams, owners = [], []
     for n in GRAMS:
@@ -71,14 +73,18 @@ def subwords(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         grams.append((h * np.uint32(0x85EBCA6B) >> np.uint32(32 - 17)).astype(np.int32))
         owners.append(word[at])
     owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(grams)[order], np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
+    return np.concatenate(grams)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(vocabulary))
+
+
+def subwords(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of all words, one after the other, and where each word's begin (with the end of all)."""
+    parts = [_subwords(vocabulary[i : i + _CHUNK_WORDS]) for i in range(0, len(vocabulary), _CHUNK_WORDS)]
+    return np.concatenate([g for g, _ in parts]), np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in parts]))))
 
 
 def _means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Mean of values between starts; 0 for empty ranges."""
-    total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    return (total[starts[1:]] - total[starts[:-1]]) / np.maximum(np.diff(starts), 1)
+    """Mean of values between starts; every word has an n-gram, so no range is empty."""
+    return np.add.reduceat(values, starts[:-1]) / np.diff(starts)
 
 
 def _stretches(scores: np.ndarray) -> np.ndarray:
