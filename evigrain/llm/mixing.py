@@ -11,7 +11,8 @@ longer fit are passed over, in four rounds, and shorter ones fill the rest.
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; documents with one source, key and id are taken together or not
 at all; an empty table gives an empty result. A source whose documents have no
-words has target 0. Extra columns are carried along by mix().
+words has target 0. Extra columns are carried along by mix(); ones named like its
+results are replaced.
 """
 
 from __future__ import annotations
@@ -65,8 +66,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return aimed.withColumn("epochs", epochs).withColumn("rest", rest).withColumn("buckets", buckets).select("source", "source_size", "sid", "target", "epochs", "rest", "buckets")
 
 
-def _bucket(key_col: str = "key") -> Column:
-    return F.least(F.floor((1.0 - F.exp(-F.col(key_col))) * F.col("buckets")), F.col("buckets") - 1).cast("long")
+def _bucket(key_col: str = "key", buckets: str = "buckets") -> Column:
+    return F.least(F.floor((1.0 - F.exp(-F.col(key_col))) * F.col(buckets)), F.col(buckets) - 1).cast("long")
 
 
 def _of_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -102,16 +103,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs = sizes(docs, id_col, text_col, source_col)
         sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("_size").alias("size"), F.col("_key").alias("key")), "mix-sizes").df
     bounded, last = decide(sized, **options)
-    bounded = bounded.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("sid").alias("_sid"), F.col("target").alias("_target"), "epochs", "buckets", "end")
+    named = {"source": "_mix_source", "source_size": "_mix_source_size", "sid": "_mix_sid", "target": "_mix_target", "epochs": "_mix_epochs", "buckets": "_mix_buckets", "end": "_mix_end"}
+    bounded = bounded.select(*[F.col(c).alias(to) for c, to in named.items()])
     last = last.select(F.col("sid").alias("_last_sid"), F.col("key").alias("_last_key"), F.col("doc_id").alias("_last_id"), F.lit(1).alias("_last"))
     if last.count() <= BROADCAST_ROWS:
         last = F.broadcast(last)
-    joined = docs.join(bounded, docs[source_col].eqNullSafe(bounded["_source"])).withColumn("_bucket", _bucket("_key"))
-    joined = joined.join(last, (F.col("_sid") == F.col("_last_sid")) & (F.col("_key") == F.col("_last_key")) & F.col(id_col).eqNullSafe(F.col("_last_id")), "left")
-    part = F.when(F.col("end").isNull() | (F.col("_bucket") < F.col("end")), 1).when(F.col("_bucket") == F.col("end"), F.coalesce("_last", F.lit(0))).otherwise(0)
-    part = F.when(F.col("_source_size") > 0, part).otherwise(0)
-    named = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "_size", "_key")]
-    return joined.select(*named, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * (F.col("epochs") + part)).cast("long").alias("taken"))
+    joined = docs.join(bounded, docs[source_col].eqNullSafe(bounded["_mix_source"])).withColumn("_mix_bucket", _bucket("_key", "_mix_buckets"))
+    joined = joined.join(last, (F.col("_mix_sid") == F.col("_last_sid")) & (F.col("_key") == F.col("_last_key")) & F.col(id_col).eqNullSafe(F.col("_last_id")), "left")
+    end = F.col("_mix_end")
+    part = F.when(end.isNull() | (F.col("_mix_bucket") < end), 1).when(F.col("_mix_bucket") == end, F.coalesce("_last", F.lit(0))).otherwise(0)
+    part = F.when(F.col("_mix_source_size") > 0, part).otherwise(0)
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "_size", "_key")]
+    return joined.select(*kept, F.col("_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_size") * (F.col("_mix_epochs") + part)).cast("long").alias("taken"))
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -8,7 +8,7 @@ curve turns its margins into scores.
 
 Defined cases: a null or empty text has no indicators and scores by the offset
 alone; without labels of both classes every text scores the share of good
-labels. Extra columns are carried along.
+labels, without any labels 0.5. Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
     texts, labels = [texts[i] for i in own], labels[own]
     share = float(labels.mean()) if len(labels) else 0.5
     size = 1 << BITS
-    if not 0 < share < 1:
+    if len(set(labels.tolist())) < 2:
         share = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(size, np.float32), np.zeros(size + 1, np.float32), 0.0, float(np.log(share / (1 - share))))
     last = np.zeros(size, np.int64)
