@@ -1,0 +1,429 @@
+"""The training-data operators against brute force, exact round trips, SQL and held-out labels, and on odd tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from evigrain.llm import components, decontam, fertility, mixing, oracles, pii, quality, queries, samples, secrets, simhash, tokencount, toxicity, warc
+from evigrain.runtime import table
+from tests.oracle import connect, differences
+
+SMALL, MIDDLE, LARGE = (f"/root/testdata/sf{x}" for x in ("0.001", "0.01", "0.1"))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows(spark, sf, query):
+    return queries.QUERIES[query](spark, sf).collect()
+
+
+def texts(spark, sf):
+    return {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("sf", [SMALL, MIDDLE])
+def test_queries_equal_their_sql(spark, name, sf):
+    assert differences(queries.QUERIES[name](spark, sf), queries.ORACLE_SQL[name], connect(sf)) is None
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(marks, distance):
+    """Smallest id of each id's component, by comparing all pairs."""
+    ids = sorted(marks)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (marks[a] ^ marks[b]).bit_count() <= distance and find(a) != find(b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_query_equals_brute_force(spark):
+    found = {r["doc_id"]: r for r in rows(spark, SMALL, "op1_simhash")}
+    marks = {i: brute_fingerprint(t) for i, t in texts(spark, SMALL).items()}
+    assert {i: r["fingerprint"] for i, r in found.items()} == {i: f"{m:016x}" for i, m in marks.items()}
+    assert {i: r["component_id"] for i, r in found.items()} == brute_components(marks, 4)
+
+
+@pytest.mark.parametrize(("distance", "segments", "limit"), [(4, 3, 32768), (4, 3, 20), (3, 4, 32768), (6, 4, 50), (0, 2, 32768)])
+def test_links_connect_what_all_pairs_connect(spark, distance, segments, limit):
+    rng = random.Random(distance * 10 + segments)
+    marks = {}
+    for _ in range(12):
+        center = rng.getrandbits(64)
+        for _ in range(25):
+            near = center
+            for bit in rng.sample(range(64), rng.randrange(0, 9)):
+                near ^= 1 << bit
+            marks[len(marks)] = near
+    values = np.array(sorted(set(marks.values())), np.uint64).view(np.int64)
+    fps = spark.createDataFrame([(int(v),) for v in values], "fp long")
+    near = simhash.links(fps, distance, segments, limit)
+    roots = {r["node"]: r["root"] for r in components.connected_components(near.df, "a", "b").collect()}
+    groups = brute_components({i: int(v) & (2**64 - 1) for i, v in enumerate(values)}, distance)
+    ours = {}
+    for i, v in enumerate(values):
+        ours.setdefault(roots.get(int(v), int(v)), set()).add(i)
+    theirs = {}
+    for i, g in groups.items():
+        theirs.setdefault(g, set()).add(i)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_segments_cover_every_split_of_the_distance():
+    for distance in range(7):
+        for segments in range(1, 6):
+            plan = simhash.plan_segments(distance, segments)
+            assert sum(max(m.bit_count() for m in masks) + 1 for _, _, masks in plan) == distance + 1
+
+
+def test_near_dedup_keeps_one_of_each_group(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    data = [(3, base, "en", "a", 1), (1, base.upper(), "en", "b", 1), (7, "all other words here in this text", None, None, None), (None, base, "en", "a", 1), (7, "all other words here in this text", None, None, None), (9, None, None, None, None), (8, "", None, None, None)]
+    docs = spark.createDataFrame(data, DOCS).withColumn("fp", F.lit("mine")).withColumn("component_id", F.lit(0))
+    found = simhash.deduplicate(docs)
+    assert set(found.columns) == set(docs.columns)
+    assert Counter(r["doc_id"] for r in found.collect()) == Counter([1, 7, None, 8])
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
+    assert {r["doc_id"]: r["component_id"] for r in simhash.components(docs.filter("doc_id IS NOT NULL")).collect()} == {3: 1, 1: 1, 7: 7, 9: 8, 8: 8}
+
+
+def test_mix_meets_its_targets(spark):
+    found = rows(spark, MIDDLE, "op2_mixing")
+    sources = {r["doc_id"]: r["source"] for r in table(spark, MIDDLE, "documents").collect()}
+    by = {}
+    for r in found:
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] in (0, r["size"], 2 * r["size"])
+        own = by.setdefault(sources[r["doc_id"]], [0, r["target"], r["source_size"]])
+        own[0] += r["taken"]
+    assert abs(sum(t for _, t, _ in by.values()) - 1.5 * sum(s for _, _, s in by.values())) < 1
+    for taken, target, size in by.values():
+        assert target <= 2 * size + 1e-6 and abs(taken - target) <= max(20, 0.01 * target)
+    assert sorted(map(tuple, found)) == sorted(map(tuple, rows(spark, MIDDLE, "op2_mixing")))
+
+
+def brute_levels(sizes, weights, total, most):
+    """Targets by sharing the excess again and again."""
+    target, open_to = {}, dict(weights)
+    left = total
+    while open_to:
+        level = left / sum(open_to.values())
+        full = [s for s, w in open_to.items() if level * w > most * sizes[s]]
+        if not full:
+            return target | {s: level * w for s, w in open_to.items()}
+        for s in full:
+            target[s] = most * sizes[s]
+            left -= target[s]
+            del open_to[s]
+    return target
+
+
+def test_excess_is_shared_again(spark):
+    sizes = {"a": 10, "b": 1000, "c": 30, "d": 5, "e": 700}
+    df = spark.createDataFrame([(s, 3, n) for s, n in sizes.items()], "source string, source_docs long, source_size long")
+    found = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    expected = brute_levels(sizes, dict(zip("abcde", (5, 2, 1, 5, 2), strict=True)), 1.5 * sum(sizes.values()), 2)
+    assert found == pytest.approx(expected)
+
+
+def test_mix_on_odd_tables(spark):
+    data = [(1, "a b c", "en", None, 1), (1, "a b c", "en", None, 1), (2, None, None, "x", None), (None, "w " * 5000, None, "x", 2), (4, "", "de", "y", 0)]
+    docs = spark.createDataFrame(data, DOCS).withColumns({c: F.lit("mine") for c in ("target", "epochs", "bucket", "buckets", "end", "sid", "weight", "key", "room")})
+    found = mixing.mix(docs).collect()
+    assert len(found) == 5 and all(r["taken"] <= 2 * r["size"] for r in found) and found[0]["key"] == "mine"
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_warc_round_trip_with_revisits(spark):
+    long = "<p>é same</p>" * 20
+    data = [(5, "http://a/é x\r\ny", long), (2, None, long), (9, "http://b", long), (None, "http://c", long), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 9), (2, "u", long)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("_digest", F.lit(1))
+    found = warc.round_trip(pages, payloads=True)
+    records = found.filter("kind = 'record'").collect()
+    assert len(records) == len(data) and found.filter("kind = 'gap'").count() == 0
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    expected = Counter(("" if i is None else str(i), digest(t), len((t or "").encode()), "revisit" if t == long and i != 2 else "response") for i, _, t in data)
+    assert Counter((re.search("record:(.*)>", r["record_id"])[1], r["payload_digest"], r["payload_bytes"], r["record_type"]) for r in records) == expected
+    assert {r["refers_to"] for r in records if r["record_type"] == "revisit"} == {"<urn:record:2>"}
+    assert {bytes(r["payload"]).decode() for r in records if r["payload"] is not None} == {t or "" for i, _, t in data if t != long} | {long}
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("member", [False, True])
+def test_salvage_loses_only_what_is_broken(member):
+    rng = random.Random(member)
+    parts = [warc.encode({"WARC-Type": "resource", "WARC-Record-ID": f"<urn:record:{i}>"}, rng.randbytes(rng.randrange(400)), member) for i in range(30)]
+    for _ in range(60):
+        broken = rng.sample(range(30), 3)
+        data, starts = b"", []
+        for i, part in enumerate(parts):
+            starts.append(len(data))
+            if i in broken:
+                kind = rng.randrange(3)
+                at = rng.randrange(len(part))
+                part = part[:at] if kind == 0 else part[:at] + bytes([part[at] ^ 0xFF]) + part[at + 1 :] if kind == 1 else part[:at] + b"junk" + part[at:]
+            data += part
+        found = list(warc.salvage(data))
+        kept = {x["record_id"] for x in found if x["kind"] == "record"}
+        assert {f"<urn:record:{i}>" for i in range(30) if i not in broken} <= kept | {f"<urn:record:{b + 1}>" for b in broken}
+        covered = sorted((x["offset"], x["offset"] + x["length"]) for x in found)
+        assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(a[1] == b[0] or a == b for a, b in zip(covered, covered[1:]))
+    assert list(warc.salvage(b"")) == [] and [x["kind"] for x in warc.salvage(b"nothing")] == ["gap"]
+
+
+def brute_overlap(items, text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hit, named = set(), set()
+    for item, body in items:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), body))
+        size = min(10, len(own))
+        for w in {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if size else ():
+            for at in range(len(words) - size + 1):
+                if tuple(words[at : at + size]) == w:
+                    hit |= set(range(at, at + size))
+                    named.add(item)
+    return len(words), len(hit), sorted(named)
+
+
+def test_wu_manber_equals_brute_force():
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "b", "ab", "É", "x9"])
+    for _ in range(300):
+        items = [(str(i), " ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 9, 10, 11, 14])))) for i in range(4)]
+        text = ". ".join(word() for _ in range(rng.randrange(40))) + " " + rng.choice(items)[1].upper() + "! " + word()
+        n, spans, named = decontam.search(decontam.compiled([(i, t.encode()) for i, t in items]), text.encode())
+        assert (n, sum(b - a for a, b in spans), named) == brute_overlap(items, text)
+
+
+def test_decontamination_in_chunks_and_on_odd_tables(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "lone"), (3, None), (None, "x y"), (4, "--"), (2, "lone")], "item_id long, text string")
+    data = [(1, "So: ONE two three four, five six seven eight nine TEN!", "en", "a", 1), (2, None, None, None, None), (3, "a lone word", "en", "a", 1), (3, "a lone word", "en", "a", 1), (None, "", None, None, 0)]
+    docs = spark.createDataFrame(data, DOCS).withColumn("items", F.lit("mine"))
+    for chunk in (1 << 20, 10):
+        found = decontam.overlaps(docs, bench, chunk_bytes=chunk).collect()
+        assert sorted((r["found"]["n_words"], tuple(map(tuple, r["found"]["spans"])), tuple(r["found"]["items"])) for r in found) == sorted([(11, ((1, 11),), ("1",)), (0, (), ()), (3, ((1, 2),), ("2",)), (3, ((1, 2),), ("2",)), (0, (), ())])
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()} == {2, None}
+    assert decontam.decontaminate(docs, bench.limit(0)).count() == 5 and decontam.decontaminate(docs.limit(0), bench).count() == 0
+
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            checks = (True, all(int(x) <= 255 for x in m[0].split(".")) if kind == 1 else True, 12 <= len(digits) <= 19 and pii.luhn(digits), 9 <= len(digits) <= 15)
+            if checks[kind]:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_equals_brute_force(spark):
+    rng = random.Random(1)
+    for _ in range(5000):
+        s = "".join(rng.choice(["1", "23", "@", "a", ".", "-", " ", "+", "(", ")", "x.y", "255", "300", "4111111111111111", "@b.c", "%", "é", "000000000001"]) for _ in range(rng.randint(1, 25)))
+        assert pii.base_spans(s) == brute_spans(s), s
+    found = {r["doc_id"]: r for r in rows(spark, MIDDLE, "op5_pii")}
+    for doc, text in texts(spark, MIDDLE).items():
+        base = brute_spans(text)
+        listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert found[doc]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert [found[doc][f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == i for x in base) for i in range(4)]
+        assert set(filter(None, listed.split(","))) <= set(found[doc]["spans"].split(","))
+
+
+def exact_marginals(unary, links, pair):
+    n, k = unary.shape
+    total = np.zeros((n, k))
+    for code in range(k**n):
+        labels = [code // k**i % k for i in range(n)]
+        p = np.exp(sum(unary[i, y] for i, y in enumerate(labels)) + sum(pair[t, labels[a], labels[b]] for a, b, t in links))
+        for i, y in enumerate(labels):
+            total[i, y] += p
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_message_passing():
+    rng = np.random.default_rng(0)
+    unary, pair = rng.normal(size=(5, 3)), rng.normal(size=(2, 3, 3)) * 0.5
+    tree = np.array([(0, 1, 0), (1, 2, 0), (1, 3, 1), (3, 4, 1)])
+    assert np.allclose(pii.marginals(unary, tree, pair, 60), exact_marginals(unary, tree, pair), atol=1e-6)
+    loop = np.concatenate([tree, [(0, 4, 1)]])
+    assert np.allclose(pii.marginals(unary, loop, pair, 200), exact_marginals(unary, loop, pair), atol=0.08)
+    skip = np.zeros((2, 2, 2))
+    skip[1] = np.eye(2) * 3
+    unsure = np.array([[0.0, 4.0], [0.4, 0.0]])
+    assert pii.marginals(unsure, np.array([(0, 1, 1)]), skip)[1, 1] > 0.8 > pii.marginals(unsure, np.zeros((0, 3), int), skip)[1, 1]
+
+
+def test_pii_adds_and_redacts(spark):
+    model = pii.fit(table(spark, LARGE, "documents"))
+    text = "Call +1 (269) 555-3296 4524132264652876 or write é.a.b@mail.example.com from 10.0.0.1, version 2.0."
+    row = pii.find([text, "", "no data here"], model)
+    added = [text[a:b] for (a, k, b), base in row[0] if not base]
+    assert "+1 (269) 555-3296" in added and row[1:] == [[], []]
+    assert "version 2.0." in pii.redacted(text, row[0]) and "@" not in pii.redacted(text, row[0]) and "555" not in pii.redacted(text, row[0])
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (2, None, None, None, None), (3, "x" * 200_000, "en", "a", 1), (4, "7" * 100_000, "en", "a", 1)], DOCS).withColumn("spans", F.lit("mine"))
+    found = {r["doc_id"]: r for r in pii.redact(docs, model).collect()}
+    assert found[2]["text"] is None and len(found[3]["text"]) == 200_000 and "[IP]" in found[1]["text"] and found[1]["spans"] == "mine"
+    empty = pii.fit(docs.limit(0))
+    assert pii.redact(docs.limit(0), empty).count() == 0 and len(pii.find(["a 1"], empty)) == 1
+
+
+def test_secrets_forest(spark):
+    forest = secrets.fit(spark)
+    held = secrets.labelled_findings(1000, seed=77)
+    import json
+
+    known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(held)), "array<struct<candidate:string,word:string,before:string,path:string,y:int>>")))
+    scored = secrets.measured(known).withColumn("score", secrets.vote(forest)).select(*secrets.FEATURES, "y", "score").collect()
+    data = np.array([list(r) for r in scored], float)
+
+    def by_hand(x, tree):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.left[node] if x[tree.feature[node]] <= tree.bound[node] else tree.right[node]
+        return round(tree.value[node], 6)
+
+    assert np.allclose(data[:, -1], [np.mean([by_hand(x, t) for t in forest]) for x in data[:, :-2]])
+    assert ((data[:, -1] >= secrets.THRESHOLD) == (data[:, -2] == 1)).mean() > 0.97
+    plan = secrets.scan(table(spark, SMALL, "documents"), forest)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_secrets_on_odd_tables(spark):
+    forest = secrets.fit(spark)
+    key = "AKIA" + "Q1W2E3R4T5Y6U7I8"
+    data = [(1, f"the key {key} and {key}", "en", "a", 1), (2, None, None, None, None), (3, "a" * 100_000 + " b", "en", None, 1), (None, f"x={key}", None, None, 1), (5, "", "en", "a", 0)]
+    docs = spark.createDataFrame(data, DOCS).withColumn("words", F.lit(1)).withColumn("path", F.lit("x"))
+    found = secrets.scan(docs, forest).collect()
+    assert Counter((r["doc_id"], r["candidate"]) for r in found) == Counter({(1, key): 2, (None, key): 1}) and all(r["secret"] for r in found)
+    assert secrets.scan(docs.limit(0), forest).count() == 0
+
+
+@pytest.mark.parametrize(("query", "label", "folds", "held", "least"), [("op7_quality", "quality", 5, 0, 0.98), ("op9_toxicity", "toxic", 4, 2, 0.95)])
+def test_held_out_accuracy(spark, query, label, folds, held, least):
+    found = {r["doc_id"]: r for r in rows(spark, LARGE, query)}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % folds == held) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for i, r in found.items())
+    known = [(r["doc_id"], r[label]) for r in table(spark, LARGE, "labels").collect()]
+    right = [found[i]["predicted"] == y for i, y in known if found[i]["held_out"]]
+    assert len(right) > 500 and np.mean(right) >= least
+
+
+def test_toxicity_knows_misspellings(spark):
+    docs, labels = table(spark, LARGE, "documents"), table(spark, LARGE, "labels")
+    model = toxicity.fit(docs, labels, samples.fold("doc_id", 4) != 2)
+    score = toxicity.Scorer(model)
+    bad, good = score([b"The of and stuupid in it", b"a worthlesss the thing, and"]), score([b"", None, b"the of and in it was that"])
+    assert bad.min() >= 0.3 > good.max()
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifiers_on_odd_tables(spark, module):
+    docs = spark.createDataFrame([(1, "good words in a row", "en", "a", 1), (2, None, None, None, None), (3, "", None, None, 0), (None, "w " * 60_000, None, None, 9), (4, "bad bad stuff", "en", "a", 1)], DOCS).withColumn("_y", F.lit(7))
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (4, 0, 1), (3, None, None), (None, 1, 1), (2, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    for chosen in (labels, labels.limit(0), labels.filter("doc_id = 1")):
+        model = module.fit(docs, chosen, F.lit(True))
+        found = module.score(docs, model).collect()
+        assert len(found) == 5 and all(0 <= r["score"] <= 1 for r in found) and found[0]["_y"] == 7
+    assert module.score(docs.limit(0), model).count() == 0
+
+
+def test_dual_coordinate_descent_reaches_the_margin():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 6))
+    y = np.where(x @ rng.normal(size=6) > 0, 1, -1)
+    fitted = quality.descend([(np.arange(6), r) for r in x], y, np.full(80, 10.0), 400)
+    loss = lambda w: 0.5 * w @ w + 10 * np.maximum(0, 1 - y * (x @ w)).sum()
+    best = loss(fitted[:6])
+    assert all(best <= loss(fitted[:6] + rng.normal(size=6) * s) + 1e-2 for s in (0.001, 0.01, 0.1, 1) for _ in range(50))
+
+
+def test_plain_counts_equal_brute_force(spark):
+    def brute(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n")]
+        dup = sum(1 for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x) and x in lines[:i])
+        seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        hit = {j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+        return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
+
+    found = {r["doc_id"]: r for r in rows(spark, SMALL, "op8_fertility")}
+    for doc, text in texts(spark, SMALL).items():
+        r = found[doc]
+        n = brute(text)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == n
+        assert r["base_failed"] == (n[0] < 10 or 100 * n[4] > 20 * n[0]) and not (r["kept"] and r["base_failed"])
+    rng = random.Random(2)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "b ", "\n", " é", "|", "\x0b"]) for _ in range(rng.randrange(80)))
+        base, _ = fertility.counts(text.encode())
+        assert tuple(base.values()) == brute(text)
+
+
+def test_fertility_bands(spark):
+    prose = "Here is a plain text of some length, which a reader would take for prose without a second thought about it. " * 2
+    data = [(1, prose, "en"), (2, None, None), (3, "", "en"), (4, "Ⲁⲃⲅⲇ " * 80, "en"), (5, "x" * 100_000, "xx"), (6, "Это обычный русский текст, в котором нет ничего особенного, и читать его легко и приятно каждому.", "ru")]
+    found = {r["doc_id"]: r["measures"] for r in fertility.measures(spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("kept", F.lit(0))).collect()}
+    assert found[6]["kept"] and found[6]["script"] == "cyrillic" and found[2]["n_words"] == 0 and not found[3]["kept"]
+    assert found[4]["fallback_share"] > 0.3
+    odd = fertility.Band((2.2, 8.0), (2.2, 8.0), 0.05, 0.46)
+    assert not fertility.within({"n_tokens": 300, "chars_per_piece": 1.1, "chars_per_byte_token": 3.0, "fallback_share": 0.0, "entropy": 0.7}, odd)
+    assert not fertility.within({"n_tokens": 60, "chars_per_piece": 3.0, "chars_per_byte_token": 3.0, "fallback_share": 0.0, "entropy": 0.2}, odd)
+
+
+def greedy(word, starting, continuing):
+    at, pieces = 0, 0
+    while at < len(word):
+        known = continuing if at else starting
+        size = next((n for n in range(len(word) - at, 0, -1) if word[at : at + n] in known), 0)
+        if not size:
+            return -1
+        at, pieces = at + size, pieces + 1
+    return pieces
+
+
+def test_longest_match_equals_greedy(spark):
+    rng = random.Random(8)
+    for _ in range(300):
+        make = lambda n: {"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(n)}
+        starting, continuing = make(6), make(6)
+        machine = tokencount.Automaton(starting, continuing)
+        for _ in range(60):
+            word = "".join(rng.choice("abcd" if rng.random() < 0.1 else "abc") for _ in range(rng.randint(1, 14)))
+            assert machine.count(word) == greedy(word, starting, continuing)
+    starting, continuing = map(set, tokencount.vocabulary(f"{tokencount.TOKENIZERS}/piece_bpe_32k.model"))
+    found = {r["doc_id"]: r for r in rows(spark, SMALL, "op10_token_counts")}
+    for doc, text in list(texts(spark, SMALL).items())[:60]:
+        counts = [greedy(w, starting, continuing) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        assert found[doc]["n_tokens"] == sum(max(c, 1) for c in counts) and found[doc]["n_unknown"] == counts.count(-1)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "q" * 200_000)], "doc_id long, text string").withColumn("counts", F.lit(0))
+    assert [r["counts"]["n_words"] for r in tokencount.token_counts(odd).orderBy("doc_id").collect()] == [0, 0, 1]
+
+
+def test_oracles_are_whole():
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and "LIMIT 1)" in oracles.MIXING
