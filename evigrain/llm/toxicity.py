@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from evigrain.llm.samples import calibrated, families, labelled
 from evigrain.runtime import tuned
 
-STRETCH = 4
+STRETCH = 2
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
@@ -38,6 +38,8 @@ THRESHOLD = 0.3
 TRUSTED, DOUBTED = 0.95, 0.05
 #: Step, decay, and the floor of the squared gradients that divide the step: it keeps n-grams of few documents small.
 STEP, DECAY, FLOOR = 0.5, 1e-3, 1e-8
+#: Share of n-grams that a training step sees, so that those which a misspelling leaves must do.
+GRAMS_KEPT = 0.3
 
 _EDGES = b".,;:!?|#%&$*<>()[]{}\"'-_~"
 
@@ -124,7 +126,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
             size = counts[word]
             at = np.repeat(starts[word] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
             gram, of_bag = grams[at], np.repeat(bag, size)
-            part_of = np.repeat(1 / (np.maximum(size, 1) * STRETCH), size)
+            part_of = np.repeat(1 / (size * STRETCH), size) * (rng.random(len(gram)) < GRAMS_KEPT)
             hidden = np.stack([np.bincount(of_bag, embedding[gram, k] * part_of, len(bags)) for k in range(DIMENSIONS)], axis=1)
             logits = hidden @ softmax + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
