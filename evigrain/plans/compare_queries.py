@@ -118,7 +118,7 @@ def _quantized(c: str, step: int = 8) -> str:
 _FP = "concat_ws(';', type, " + ", ".join(_quantized(c) for c in "xywh") + ", z, CASE type WHEN 'text' THEN concat_ws('|', " + _quantized("font_size") + ", font_weight) WHEN 'shape' THEN concat_ws('|', shape, fill, stroke, " + _quantized("radius") + ") ELSE '' END)"
 _VARIED = """SELECT 'compact' AS variant, slide_no, ord, type, x, y, w, h, z, font_size, font_weight, shape, fill, stroke, radius FROM elements
 UNION ALL SELECT 'balanced', slide_no, ord, type, x + CASE WHEN slide_no % 3 = 1 AND ord % 4 = 0 THEN 40 ELSE 0 END, y, w, h, z, font_size, font_weight, shape, fill, stroke, radius FROM elements
-UNION ALL SELECT 'visual', slide_no, ord, type, x, y, w + CASE WHEN ord % 9 = 0 THEN 80 ELSE 0 END, h, z, font_size, font_weight, shape, fill, stroke, radius FROM elements WHERE slide_no % 11 <> 3"""
+UNION ALL SELECT 'visual', CASE WHEN slide_no % 11 = 3 THEN slide_no + 1000000 ELSE slide_no END, ord, type, x, y, w + CASE WHEN ord % 9 = 0 THEN 80 ELSE 0 END, h, z, font_size, font_weight, shape, fill, stroke, radius FROM elements"""
 
 
 @query("fingerprints", twin(f"SELECT variant, slide_no, sha256(string_agg(fp, chr(10) ORDER BY fp)) AS digest, count(*) AS elements FROM (SELECT variant, slide_no, {_FP} AS fp FROM varied) GROUP BY variant, slide_no", varied=_VARIED))
@@ -163,7 +163,7 @@ def vector_diff(spark, sf):
 
 
 _EXPECTED = "SELECT c_nationkey AS fixture, c_custkey AS page, 1000 + c_custkey AS bytes, md5(c_name) AS sha, 1280 AS w, 720 AS h FROM customer"
-_CURRENT = "SELECT c_nationkey AS fixture, c_custkey AS page, 1000 + c_custkey + CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END AS bytes, md5(CASE WHEN c_custkey % 15 = 0 THEN 'x' ELSE c_name END) AS sha, 1280 AS w, CASE WHEN c_custkey % 21 = 0 THEN 721 ELSE 720 END AS h FROM customer WHERE c_custkey % 33 <> 1"
+_CURRENT = "SELECT c_nationkey AS fixture, CASE WHEN c_custkey % 33 = 1 THEN -c_custkey ELSE c_custkey END AS page, 1000 + c_custkey + CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END AS bytes, md5(CASE WHEN c_custkey % 15 = 0 THEN 'x' ELSE c_name END) AS sha, 1280 AS w, CASE WHEN c_custkey % 21 = 0 THEN 721 ELSE 720 END AS h FROM customer"
 
 
 @query("page_set_compare", twin("SELECT e.fixture, e.page, CASE WHEN c.sha IS NULL THEN 'missing' ELSE nullif(concat_ws(',', CASE WHEN e.bytes <> c.bytes THEN 'byte-size' END, CASE WHEN e.sha <> c.sha THEN 'sha256' END, CASE WHEN e.w <> c.w THEN 'width' END, CASE WHEN e.h <> c.h THEN 'height' END), '') END AS mismatch FROM expected e LEFT JOIN now c ON c.fixture = e.fixture AND c.page = e.page", expected=_EXPECTED, now=_CURRENT))
@@ -177,7 +177,7 @@ def page_set_digest(spark, sf):
 
 
 _BOXES = "SELECT p_partkey AS text_id, CAST(p_size * 3 AS DOUBLE) AS x, CAST(p_size * 2 AS DOUBLE) AS y, CAST(100 + p_size AS DOUBLE) AS w, CAST(20 + p_size AS DOUBLE) AS h FROM part"
-_EXPORTED = "SELECT p_partkey AS text_id, CAST(p_size * 3 + p_partkey % 3 AS DOUBLE) AS x, CAST(p_size * 2 AS DOUBLE) AS y, CAST(100 + p_size - p_partkey % 5 AS DOUBLE) AS w, CAST(20 + p_size AS DOUBLE) AS h FROM part WHERE p_partkey % 19 <> 0"
+_EXPORTED = "SELECT CASE WHEN p_partkey % 19 = 0 THEN -p_partkey ELSE p_partkey END AS text_id, CAST(p_size * 3 + p_partkey % 3 AS DOUBLE) AS x, CAST(p_size * 2 AS DOUBLE) AS y, CAST(100 + p_size - p_partkey % 5 AS DOUBLE) AS w, CAST(20 + p_size AS DOUBLE) AS h FROM part"
 
 
 @query("text_parity", twin("SELECT b.text_id, CASE WHEN e.text_id IS NULL THEN 'missing' ELSE nullif(concat_ws(',', CASE WHEN abs(b.x - e.x) > 1 THEN 'x' END, CASE WHEN abs(b.y - e.y) > 1 THEN 'y' END, CASE WHEN abs(b.w - e.w) > 3 THEN 'w' END, CASE WHEN abs(b.h - e.h) > 1 THEN 'h' END), '') END AS finding FROM boxes b LEFT JOIN exported e ON e.text_id = b.text_id", boxes=_BOXES, exported=_EXPORTED))

@@ -66,7 +66,7 @@ _REQUESTS = "SELECT concat('r', CAST(item_id AS VARCHAR(20))) AS request_id, con
 UNION ALL SELECT request_id, f.chunk_id, fact_ref, 2, 0, f.fact_id IS NULL FROM requests LEFT JOIN facts f ON f.fact_id = fact_ref
 UNION ALL SELECT request_id, c.chunk_id, NULL, 3, c.ord, false FROM requests JOIN chunks c ON contains({_NORMAL.format("c.text")}, {_NORMAL.format("query")})),
 e AS (SELECT w.*, CASE WHEN lost THEN 'unknown_fact_id' WHEN c.chunk_id IS NULL THEN CASE WHEN way = 1 THEN 'unknown_source_chunk_id' ELSE 'unconfirmed_evidence' END END AS error FROM ways w LEFT JOIN chunks c ON c.chunk_id = w.chunk_id)
-SELECT request_id, chunk_id, error, min(way) AS way, CAST(arg_min(place, way * 1000000000 + place) AS BIGINT) AS place, coalesce(string_agg(DISTINCT fact_id, ',' ORDER BY fact_id), '') AS fact_ids FROM e GROUP BY request_id, chunk_id, error""", requests=_REQUESTS))
+SELECT request_id, chunk_id, error, min(way) AS way, CAST(arg_min(place, CAST(way AS BIGINT) * 1000000000 + place) AS BIGINT) AS place, coalesce(string_agg(DISTINCT fact_id, ',' ORDER BY fact_id), '') AS fact_ids FROM e GROUP BY request_id, chunk_id, error""", requests=_REQUESTS))
 def evidence_search(spark, sf):
     requests = run(spark, sf, _REQUESTS).select("request_id", F.array("chunk_ref").alias("chunk_ids"), F.array("fact_ref").alias("fact_ids"), "query")
     return evidence.search(requests, frame(spark, sf, "chunks"), frame(spark, sf, "facts")).withColumn("fact_ids", F.array_join("fact_ids", ",")).withColumnRenamed("at", "place")

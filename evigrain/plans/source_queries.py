@@ -22,7 +22,7 @@ _CSV = """SELECT conv_id, turn, concat('id,note', chr(10), CAST(conv_id AS VARCH
 
 
 @query("csv_cells", twin("""WITH c AS (SELECT concat(conv_id, '/', turn) AS name, conv_id, role, text, len(string_split(text, chr(10))) AS lines FROM conversations)
-SELECT name, 1 AS row_no, 1 AS col_no, 'id' AS text FROM c UNION ALL SELECT name, 1, 2, 'note' FROM c UNION ALL SELECT name, 2, 1, conv_id::VARCHAR FROM c UNION ALL SELECT name, 2, 2, text FROM c UNION ALL SELECT name, 2 + lines, 1, 'x;y' FROM c UNION ALL SELECT name, 2 + lines, 2, role FROM c"""))
+SELECT name, 1::BIGINT AS row_no, 1::BIGINT AS col_no, 'id' AS text FROM c UNION ALL SELECT name, 1, 2, 'note' FROM c UNION ALL SELECT name, 2, 1, conv_id::VARCHAR FROM c UNION ALL SELECT name, 2, 2, text FROM c UNION ALL SELECT name, 2 + lines, 1, 'x;y' FROM c UNION ALL SELECT name, 2 + lines, 2, role FROM c"""))
 def csv_cells(spark, sf):
     files = run(spark, sf, _CSV).select(F.concat_ws("/", "conv_id", "turn").alias("name"), F.col("body").alias("text"))
     return csvtext.cells(files).filter("error IS NULL").drop("error")
@@ -34,7 +34,7 @@ def csv_delimiter(spark, sf):
     return frame(spark, sf, "conversations").select("conv_id", "turn", cells.delimiter(first).alias("delimiter"))
 
 
-@query("cell_references", "SELECT p_partkey, p_partkey % 900 + 1 AS col_no, p_size AS row_no FROM part")
+@query("cell_references", "SELECT p_partkey, p_partkey % 900 + 1 AS col_no, p_size::BIGINT AS row_no FROM part")
 def cell_references(spark, sf):
     named = frame(spark, sf, "part").select("p_partkey", cells.reference(F.col("p_size"), F.col("p_partkey") % 900 + 1).alias("ref"))
     return named.select("p_partkey", cells.column_number(F.col("ref")).alias("col_no"), cells.row_number_of(F.col("ref")).alias("row_no"))

@@ -86,4 +86,4 @@ def extension_top_customers(spark, sf):
     totals = frame(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
     joined = frame(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(totals, "c_custkey")
     place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("total"), "c_custkey"))
-    return joined.withColumn("place", place).filter("place <= 5").select("c_mktsegment", "c_custkey", "total", "place")
+    return joined.withColumn("place", place).filter("place <= 5").select("c_mktsegment", "c_custkey", "total", F.col("place").cast("long").alias("place"))

@@ -42,7 +42,7 @@ def edge_list(spark, sf):
 o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY first) AS node_no, ceil(sqrt(count(*) OVER (PARTITION BY source_id))) AS side FROM n)
 SELECT source_id, label, node_no, (node_no - 1) % side AS grid_col, floor((node_no - 1) / side) AS grid_row, ((node_no - 1) % side) * 120 AS x, floor((node_no - 1) / side) * 80 AS y FROM o""", relations=_RELATIONS))
 def diagram_nodes(spark, sf):
-    return visuals.grid_places(visuals.nodes_of(visuals.relation_edges(run(spark, sf, _RELATIONS))), 120.0, 80.0).select("source_id", "label", "node_no", F.col("grid_col").cast("double").alias("grid_col"), F.col("grid_row").cast("double").alias("grid_row"), "x", F.col("y").cast("double").alias("y"))
+    return visuals.grid_places(visuals.nodes_of(visuals.relation_edges(run(spark, sf, _RELATIONS))), 120.0, 80.0).select("source_id", "label", F.col("node_no").cast("long").alias("node_no"), F.col("grid_col").cast("double").alias("grid_col"), F.col("grid_row").cast("double").alias("grid_row"), "x", F.col("y").cast("double").alias("y"))
 
 
 _NODES = "SELECT s_nationkey AS diagram, s_suppkey % 40 AS node_id FROM supplier"
@@ -118,7 +118,7 @@ UNION ALL SELECT c_custkey, 'balanced', c_custkey % 7, c_custkey % 5, c_custkey
 b AS (SELECT *, least(100, greatest(0, floor(CASE variant WHEN 'compact' THEN 84 WHEN 'balanced' THEN 92 ELSE 88 END + (audit_score - 100) * 0.6::DOUBLE + (structure_score - 100) * 0.15::DOUBLE + 0.5))) AS score FROM a)
 SELECT job, variant, audit_score, structure_score, score, row_number() OVER (PARTITION BY job ORDER BY score DESC, variant) AS rank FROM b""", variants=_VARIANTS))
 def ranking(spark, sf):
-    return rank.published_ranking(run(spark, sf, _VARIANTS)).select("job", "variant", "audit_score", "structure_score", "score", "rank")
+    return rank.published_ranking(run(spark, sf, _VARIANTS)).select("job", "variant", "audit_score", "structure_score", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _JURY = """SELECT c_custkey AS job, 'compact' AS variant, c_custkey % 5 AS audit_issues, c_custkey % 6 AS infos, c_custkey % 4 AS warnings, c_custkey % 3 AS errors, c_custkey % 2 AS repairs, c_custkey % 7 AS grounded, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE 7 END AS claims FROM customer
@@ -129,7 +129,7 @@ UNION ALL SELECT c_custkey, 'balanced', c_custkey % 4, c_custkey % 3, c_custkey
 b AS (SELECT *, floor(audit_score * 0.6::DOUBLE + advisory_score * 0.3::DOUBLE + coverage * 0.1::DOUBLE + 0.5) AS score FROM a)
 SELECT job, variant, audit_score, advisory_score, score, row_number() OVER (PARTITION BY job ORDER BY score DESC, CASE variant WHEN 'balanced' THEN 0 WHEN 'compact' THEN 1 ELSE 2 END) AS rank FROM b""", panel=_JURY))
 def jury(spark, sf):
-    return rank.jury(run(spark, sf, _JURY)).select("job", "variant", "audit_score", "advisory_score", "score", "rank")
+    return rank.jury(run(spark, sf, _JURY)).select("job", "variant", "audit_score", "advisory_score", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("minmax_features", twin("SELECT slide_id, ord, CASE WHEN max(w) OVER p = min(w) OVER p THEN 0.5 ELSE (w - min(w) OVER p) / (max(w) OVER p - min(w) OVER p) END AS feature FROM elements WINDOW p AS (PARTITION BY slide_id)"))
@@ -142,14 +142,14 @@ def image_placement(spark, sf):
     from pyspark.sql import Window
 
     images = frame(spark, sf, "elements").filter("type = 'image'")
-    return images.select("slide_id", "ord", F.row_number().over(Window.partitionBy("slide_id").orderBy(F.desc(F.col("w") * F.col("h")), "z", "ord")).alias("place"))
+    return images.select("slide_id", "ord", F.row_number().over(Window.partitionBy("slide_id").orderBy(F.desc(F.col("w") * F.col("h")), "z", "ord")).cast("long").alias("place"))
 
 
 @query("paint_order", twin("SELECT slide_id, ord, row_number() OVER (PARTITION BY slide_id ORDER BY x, ord) AS place FROM elements"))
 def paint_order(spark, sf):
     from pyspark.sql import Window
 
-    return frame(spark, sf, "elements").select("slide_id", "ord", F.row_number().over(Window.partitionBy("slide_id").orderBy("x", "ord")).alias("place"))
+    return frame(spark, sf, "elements").select("slide_id", "ord", F.row_number().over(Window.partitionBy("slide_id").orderBy("x", "ord")).cast("long").alias("place"))
 
 
 @query("placement_order", twin("SELECT slide_id, ord, row_number() OVER (PARTITION BY slide_id ORDER BY CASE WHEN ord = 0 THEN 0 ELSE 1 END, ceil(length(text) / (w * h)) DESC, length(text) DESC, ord) AS place FROM elements"))
@@ -158,7 +158,7 @@ def placement_order(spark, sf):
 
     size = F.char_length("text")
     order = Window.partitionBy("slide_id").orderBy(F.when(F.col("ord") == 0, 0).otherwise(1), F.desc(F.ceil(size / (F.col("w") * F.col("h")))), F.desc(size), "ord")
-    return frame(spark, sf, "elements").select("slide_id", "ord", F.row_number().over(order).alias("place"))
+    return frame(spark, sf, "elements").select("slide_id", "ord", F.row_number().over(order).cast("long").alias("place"))
 
 
 _FILES = "SELECT page_id, concat('ppt/slides/slide', CAST((page_id * 7) % 120 AS VARCHAR(20)), '.xml') AS name FROM pages"
@@ -169,7 +169,7 @@ def numeric_order(spark, sf):
     from pyspark.sql import Window
 
     by_number = Window.partitionBy(F.col("page_id") % 16).orderBy(*rank.numeric_order(F.col("name")), "page_id")
-    return run(spark, sf, _FILES).select("page_id", "name", F.row_number().over(by_number).alias("place"))
+    return run(spark, sf, _FILES).select("page_id", "name", F.row_number().over(by_number).cast("long").alias("place"))
 
 
 @query("timeline_gaps", twin("SELECT slide_id, count(*) FILTER (WHERE kept) AS distinct_centers FROM (SELECT slide_id, coalesce(c - lag(c) OVER (PARTITION BY slide_id ORDER BY c) >= 0.12::DOUBLE, true) AS kept FROM (SELECT slide_id, (x + w / 2) / 960 AS c FROM elements)) GROUP BY slide_id"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+import re
 import struct
 import zlib
 
@@ -158,3 +161,55 @@ def size_of(content: Column) -> Column:
         return pa.array([None if s is None else {"width": s[0], "height": s[1]} for s in found], pa.struct([("width", pa.int64()), ("height", pa.int64())]))
 
     return measured(content)
+
+
+_DATA_URL = re.compile(r"data:image/(png|jpeg|gif|webp|svg\+xml);base64,([A-Za-z0-9+/]+={0,2})", re.IGNORECASE)
+MOST_EMBEDDED = 32 << 20
+
+
+def embedded(url: str | None) -> dict:
+    """Whether a data URL holds a whole image of its type in canonical base64, and its size where the type tells."""
+    match = _DATA_URL.fullmatch(url or "")
+    try:
+        data = base64.b64decode(match[2], validate=True) if match else b""
+    except binascii.Error:
+        data = b""
+    if not match or not 0 < len(data) <= MOST_EMBEDDED or base64.b64encode(data).decode() != match[2]:
+        return {"valid": False, "width": None, "height": None}
+    kind, found = match[1].lower(), size(data)
+    whole = {
+        "png": png_chunks(data) is not None,
+        "gif": data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 14 and data[-1:] == b"\x3b",
+        "jpeg": data[:2] == b"\xff\xd8" and data[-2:] == b"\xff\xd9" and found is not None,
+        "webp": data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 20 and int.from_bytes(data[4:8], "little") + 8 == len(data),
+        "svg+xml": re.match(rb"\s*(?:<\?xml[^>]*>\s*)?<svg[\s>]", data, re.IGNORECASE) is not None and re.search(rb"</svg>\s*$", data, re.IGNORECASE) is not None,
+    }[kind]
+    ok = whole and (found is not None or kind in ("webp", "svg+xml"))
+    return {"valid": ok, "width": found[0] if ok and found else None, "height": found[1] if ok and found else None}
+
+
+def embedded_images(url: Column) -> Column:
+    @F.arrow_udf(T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("width", T.LongType()), T.StructField("height", T.LongType())]))
+    def inspected(urls: pa.Array) -> pa.Array:
+        return pa.array([embedded(u) for u in urls.to_pylist()], pa.struct([("valid", pa.bool_()), ("width", pa.int64()), ("height", pa.int64())]))
+
+    return inspected(url)
+
+
+def gray_png(values: np.ndarray, width: int) -> bytes:
+    """An 8-bit grey PNG of values in rows of `width`."""
+    rows = np.ascontiguousarray(values, np.uint8).reshape(-1, width)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    body = b"".join(b"\0" + r.tobytes() for r in rows)
+    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def pixel_differences(a: Column, b: Column) -> Column:
+    names = ("differing_pixels", "differing_channels", "largest", "total")
+    kind = T.StructType([T.StructField("reason", T.StringType()), *[T.StructField(n, T.LongType()) for n in names], T.StructField("mean_abs", T.DoubleType())])
+
+    @F.arrow_udf(kind)
+    def compared(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([compare_pixels(p or b"", q or b"") for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.struct([("reason", pa.string()), *[(n, pa.int64()) for n in names], ("mean_abs", pa.float64())]))
+
+    return compared(a, b)

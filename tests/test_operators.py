@@ -272,9 +272,9 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
 def test_folds(spark):
     panels = spark.createDataFrame([("a", i, float(x), 0.0, 100.0, 50.0) for i, x in enumerate((0, 200, 400))] + [("a", 3, 0.0, 300.0, 400.0, 200.0)], "layout_id string, ord long, x double, y double, w double, h double")
     assert folds.like_panel_groups(panels, 960, 540).first()["largest"] == 3
-    own = spark.createDataFrame([("l", 0, None, "title"), ("l", 1, "2", None), ("l", 2, "2", None)], "layout_id string, ord long, idx string, kind string")
-    parents = spark.createDataFrame([("l", 7, "2", "body"), ("l", 8, None, "title")], "layout_id string, ord long, idx string, kind string")
-    assert {r["ord"]: r["parent_ord"] for r in folds.inherit_placeholders(own, parents).collect()} == {0: 8, 1: 7, 2: None}
+    own = spark.createDataFrame([("l", 0, None, "title"), ("l", 1, "2", None), ("l", 2, "2", None), ("alone", 0, None, None)], "layout_id string, ord long, idx string, kind string")
+    parents = spark.createDataFrame([("l", 7, "2", "body"), ("l", 8, None, "title"), ("other", 1, None, None)], "layout_id string, ord long, idx string, kind string")
+    assert {(r["layout_id"], r["ord"]): r["parent_ord"] for r in folds.inherit_placeholders(own, parents).collect()} == {("l", 0): 8, ("l", 1): 7, ("l", 2): None, ("alone", 0): None}
     scores = spark.createDataFrame([("d", s, name, 1.0) for s in range(4) for name in ("x", "y")], "deck string, slide_no int, layout_id string, score double")
     assert [r["layout_id"] for r in folds.choose_layouts(scores).orderBy("slide_no").collect()] == ["x", "y", "x", "y"]
     steps = [("v", i, a, s) for i, (a, s) in enumerate([("edit", "a"), ("edit", "b"), ("edit", "c"), ("undo", ""), ("undo", ""), ("redo", ""), ("edit", "d"), ("redo", "")])]
@@ -293,3 +293,33 @@ def test_results_do_not_depend_on_partitions(spark):
     elements = frame(spark, "/root/testdata/sf0.001", "elements")
     few = sorted(map(str, tokens.recurring(elements.coalesce(1), most=None).collect()))
     assert few == sorted(map(str, tokens.recurring(elements.repartition(7), most=None).collect()))
+
+
+def test_plan_slides(spark):
+    from evigrain.operators import decks
+
+    briefs = spark.createDataFrame([(1, "\n  Topic \n", ["One. Two; three. Four", "Рекомендации: начать завтра"], 13), (2, "", [], 5)], "plan_id long, brief string, signals array<string>, slide_count int")
+    found = {(r["plan_id"], r["slide_no"]): r for r in decks.plan_slides(briefs).collect()}
+    assert len(found) == 18 and found[1, 1]["title"] == "Topic" and found[2, 1]["title"] == text.UNTITLED
+    assert found[1, 10]["content"] == ["начать завтра"] and found[1, 5]["content"] == ["Рекомендации", "начать завтра", text.SUPPLEMENTS[1]]
+    assert found[1, 13]["title"] == "Деталь 3" and len(found[2, 3]["content"]) == 3
+
+
+def test_skills(spark):
+    from evigrain.plans import skills
+
+    skills.register(spark)
+    assert spark.sql("SELECT canonical_json('{\"b\": 1, \"a\": 2}') AS j").first()["j"] == '{"a":2,"b":1}'
+    assert [tuple(r) for r in spark.sql("SELECT * FROM csv_cells('a,b')").collect()] == [(1, 1, "a"), (1, 2, "b")]
+    with pytest.raises(KeyError):
+        skills.skill("none")
+
+
+def test_safe_fixes_are_idempotent(spark):
+    from evigrain.operators import audit
+    from evigrain.plans.standins import frame
+
+    elements = frame(spark, "/root/testdata/sf0.001", "elements")
+    once = audit.safe_fixes(elements, ["Georgia"], ["#000000", "#FFFFFF"])
+    assert sorted(map(str, once.collect())) == sorted(map(str, audit.safe_fixes(once, ["Georgia"], ["#000000", "#FFFFFF"]).collect()))
+    assert audit.outside(once).count() == 0 and audit.low_contrast(once).count() <= audit.low_contrast(elements).count()
