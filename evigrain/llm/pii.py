@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evigrain.llm.samples import bounded
 from evigrain.runtime import tuned
 
 KINDS = ("email", "ip", "card", "phone")
@@ -286,8 +287,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     """A model from at most `rows` documents with candidate tokens, those with the smallest hash of their id."""
     telling = docs.filter(F.col(text_col).rlike("[0-9@+]") & F.col(id_col).isNotNull())
     chosen = telling.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    found = docs.join(F.broadcast(chosen), id_col).select(id_col, text_col).orderBy(F.xxhash64(id_col), id_col, text_col).limit(rows).collect()
-    return train([r[text_col] or "" for r in found])
+    return train([r[text_col] or "" for r in bounded(docs, chosen, rows, id_col, text_col)])
 
 
 def spans(docs: DataFrame, model: Model, text_col: str = "text", to: str = "spans") -> DataFrame:

@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.llm.simhash import fingerprint
 
+#: Text that a sample holds on the driver at most.
+SAMPLE_BYTES = 64 << 20
+
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null ids are in fold 0's hash of an empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % folds
 
 
+def bounded(docs: DataFrame, chosen: DataFrame, rows: int, id_col: str, text_col: str, most_bytes: int = SAMPLE_BYTES) -> list:
+    """Rows of docs with chosen ids (with the columns of chosen), in order of the ids' hash: at most `rows`, and about most_bytes of text.
+
+    Texts over a hundredth of the bytes are left out, so that a few long ones don't take the sample's place.
+    """
+    order = Window.orderBy(F.xxhash64(id_col), id_col, text_col)
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    found = docs.select(id_col, text_col).filter(size <= most_bytes // 100).join(F.broadcast(chosen), id_col)
+    counted = found.withColumn("_n", F.row_number().over(order)).withColumn("_bytes", F.sum(size).over(order))
+    return counted.filter((F.col("_n") <= rows) & (F.col("_bytes") <= most_bytes)).collect()
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
     """Texts and 0/1 labels of at most `rows` labelled documents, those with the smallest hash of their id; ids with contradictory labels are left out.
 
@@ -21,7 +36,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, row
     """
     agreed = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & usable).groupBy(id_col).agg(F.min(label).alias("_y"), F.max(label).alias("_most")).filter("_y = _most")
     chosen = agreed.orderBy(F.xxhash64(id_col), id_col).limit(rows).select(id_col, "_y")
-    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).orderBy(F.xxhash64(id_col), id_col, text_col).limit(rows).collect()
+    found = bounded(docs, chosen, rows, id_col, text_col)
     return [(x[text_col] or "").encode() for x in found], np.array([x["_y"] for x in found], np.int64)
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evigrain.llm.batches import groups
 from evigrain.llm.samples import calibrated, families, labelled
 from evigrain.runtime import tuned
 
@@ -156,17 +157,20 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def __call__(self, texts: list[bytes | None]) -> np.ndarray:
-        tokens = [words(t or b"") for t in texts]
-        if len(self.known) > self.KEPT:
-            self.known.clear()
+    def _most(self, tokens: list[list[bytes]]) -> list[float]:
+        """The logit difference of each text's most toxic stretch."""
         known = self.known
-        for at in range(0, len(tokens), 64):  # so that no more than some texts' new words are held at once
-            new = list({w for t in tokens[at : at + 64] for w in t if w not in known})
-            if new:
-                grams, starts = subwords(new)
-                known.update(zip(new, _means(self.model.gram[grams], starts).tolist(), strict=True))
-        raw = np.array([_stretches(np.fromiter(map(known.__getitem__, t), np.float64, len(t))).max() if t else 0.0 for t in tokens])
+        if len(known) > self.KEPT:
+            known.clear()
+        new = list({w for t in tokens for w in t if w not in known})
+        if new:
+            grams, starts = subwords(new)
+            known.update(zip(new, _means(self.model.gram[grams], starts).tolist(), strict=True))
+        return [float(_stretches(np.fromiter(map(known.__getitem__, t), np.float64, len(t))).max()) if t else 0.0 for t in tokens]
+
+    def __call__(self, texts: list[bytes | None]) -> np.ndarray:
+        read = [t or b"" for t in texts]
+        raw = np.array([x for part in groups(read, 1 << 20) for x in self._most([words(t) for t in read[part]])])
         return 1 / (1 + np.exp(-np.clip(self.model.slope * raw + self.model.offset, -30, 30)))
 
 
