@@ -1,8 +1,8 @@
 """Evidence: containment, citations, reference integrity, summaries.
 
 Inputs are tables of chunks, facts and claims as in the schemas of this package.
-Matching by containment joins on words first, so that only pairs which share a
-word inside the claim are compared.
+Matching by containment joins on a word inside the claim first, or on its first
+characters, so that only pairs which share it are compared.
 """
 
 from __future__ import annotations
@@ -27,22 +27,34 @@ REASONS = {
 }
 
 
+def _grams(x: Column, size: int) -> Column:
+    """All runs of `size` characters, in one pass over the text."""
+    return F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _with_anchor(chunks: DataFrame, claims: DataFrame, anchors: Column) -> DataFrame:
+    """Chunks and claims that share an anchor, checked for containment; anchors are the chunk's, claims have theirs."""
+    wanted = claims.select("anchor").distinct()
+    met = chunks.select("chunk_id", "ord", "chunk_text", F.explode(F.array_distinct(anchors)).alias("anchor")).join(wanted, "anchor", "left_semi")
+    return met.join(claims, "anchor").filter(F.contains("chunk_text", "claim_text")).select("claim_id", "chunk_id", "ord")
+
+
 def containing(chunks: DataFrame, claims: DataFrame) -> DataFrame:
     """(claim_id, chunk_id, ord): all chunks whose normalised text has the claim's normalised text in it.
 
-    A claim of three words or more meets the chunks that have its longest inner word; shorter ones, and they
-    alone, are compared with each chunk.
+    A claim of three words or more meets the chunks that have its longest inner word, a shorter one those that
+    have its first three characters (or fewer, if it is no longer).
     """
     normal = chunks.select("chunk_id", "ord", text.normalized(F.col("text")).alias("chunk_text"))
     wanted = claims.select("claim_id", text.normalized(F.col("text")).alias("claim_text")).filter("claim_text <> ''").withColumn("words", F.split("claim_text", " "))
     inner = F.slice("words", 2, F.size("words") - 2)
     long = wanted.filter(F.size("words") >= 3).withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]).drop("words")
-    short = wanted.filter(F.size("words") < 3).select("claim_id", "claim_text")
-    anchors = long.select("anchor").distinct()
-    met = normal.withColumn("anchor", F.explode(F.array_distinct(F.split("chunk_text", " ")))).join(anchors, "anchor", "left_semi")
-    found = met.join(long, "anchor").filter(F.contains("chunk_text", "claim_text")).select("claim_id", "chunk_id", "ord")
-    rest = normal.join(short, F.contains("chunk_text", "claim_text")).select("claim_id", "chunk_id", "ord")
-    return found.unionByName(rest).distinct()
+    found = _with_anchor(normal, long, F.split("chunk_text", " "))
+    short = wanted.filter(F.size("words") < 3).withColumn("anchor", F.substring("claim_text", 1, 3)).drop("words")
+    if not short.isEmpty():
+        grams = F.concat(*[_grams(F.col("chunk_text"), n) for n in (1, 2, 3)])
+        found = found.unionByName(_with_anchor(normal, short, grams))
+    return found.distinct()
 
 
 def first_grounding(chunks: DataFrame, claims: DataFrame) -> DataFrame:

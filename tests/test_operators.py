@@ -217,9 +217,9 @@ def test_every_claim_reason(spark):
 
 def test_short_claims_and_first_chunk(spark):
     chunks = spark.createDataFrame([("late", 5, "say hello world again"), ("early", 1, "Hello  World")], "chunk_id string, ord int, text string")
-    claims = spark.createDataFrame([("a", "hello world"), ("b", "lo wor"), ("c", "say hello world again"), ("d", " "), ("e", "absent here now")], "claim_id string, text string")
+    claims = spark.createDataFrame([("a", "hello world"), ("b", "lo wor"), ("c", "say hello world again"), ("d", " "), ("e", "absent here now"), ("f", "O"), ("g", "gai"), ("h", "zz")], "claim_id string, text string")
     found = {r["claim_id"]: r["chunk_id"] for r in evidence.first_grounding(chunks, claims).collect()}
-    assert found == {"a": "early", "b": "early", "c": "late", "d": None, "e": None}
+    assert found == {"a": "early", "b": "early", "c": "late", "d": None, "e": None, "f": "early", "g": "late", "h": None}
 
 
 def brute_admission(rows, caps, window):
@@ -323,3 +323,13 @@ def test_safe_fixes_are_idempotent(spark):
     once = audit.safe_fixes(elements, ["Georgia"], ["#000000", "#FFFFFF"])
     assert sorted(map(str, once.collect())) == sorted(map(str, audit.safe_fixes(once, ["Georgia"], ["#000000", "#FFFFFF"]).collect()))
     assert audit.outside(once).count() == 0 and audit.low_contrast(once).count() <= audit.low_contrast(elements).count()
+
+
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    chunks = [(str(i), i, " ".join(word() for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    claims = [(str(i), " ".join(word() for _ in range(rng.randint(1, 5)))) for i in range(60)]
+    found = evidence.containing(spark.createDataFrame(chunks, "chunk_id string, ord int, text string"), spark.createDataFrame(claims, "claim_id string, text string"))
+    assert sorted((r["claim_id"], r["chunk_id"]) for r in found.collect()) == sorted((c, k) for c, t in claims for k, _, body in chunks if t in body)
+    assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
