@@ -196,3 +196,46 @@ def stage_trace(jobs: DataFrame) -> DataFrame:
     stages = F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(s).alias("stage")) for i, s in enumerate(("narrative-selection", "variant-design", "render-audit", "final-jury"), 1)])
     status = F.when((F.col("stage") == "render-audit") & (F.col("audit_errors") > 0), "failed").otherwise("completed")
     return jobs.select("job", "audit_errors", F.inline(stages)).filter((F.col("stage_no") < 4) | (F.col("audit_errors") == 0)).select("job", "stage_no", "stage", status.alias("status"))
+
+
+def variant_reference_errors(assignments: DataFrame, claims: DataFrame, layouts: DataFrame) -> DataFrame:
+    """For (variant, slide_id, layout_id, slot_id, claim_id): the first reference that doesn't hold.
+
+    claims has (slide_id, claim_id) of the plan, layouts has layout_id.
+    """
+    slides = claims.select("slide_id", F.lit(True).alias("_slide")).distinct()
+    known = layouts.select("layout_id", F.lit(True).alias("_layout")).distinct()
+    own = claims.select("slide_id", "claim_id", F.lit(True).alias("_claim")).distinct()
+    joined = assignments.join(slides, "slide_id", "left").join(known, "layout_id", "left").join(own, ["slide_id", "claim_id"], "left")
+    error = (
+        F.when(F.col("_slide").isNull(), "missing_variant_slide_ref")
+        .when(F.col("_layout").isNull(), "missing_layout_ref")
+        .when(~F.startswith("slot_id", F.concat(F.col("slide_id").cast("string"), F.lit("-"))), "invalid_layout_ref")
+        .when(F.col("_claim").isNull(), "missing_claim_ref")
+    )
+    return joined.select("variant", "slide_id", "slot_id", "claim_id", error.alias("error"))
+
+
+def layout_terms(elements: DataFrame, width: float = 960, height: float = 540) -> DataFrame:
+    """Terms of a layout's score that its elements decide: the featured image, a full-bleed picture, and lines that cross text."""
+    area, r = width * height, Rect()
+    on_canvas = (r.x >= 0) & (r.y >= 0) & (r.right <= width) & (r.bottom <= height)
+    image = (F.col("type") == "image") & on_canvas
+    featured = F.least(F.lit(0.7), F.coalesce(F.max(F.when(image, r.area)), F.lit(0.0)) / area) * 500
+    texts = elements.filter("type IN ('text', 'placeholder')").select("slide_id", *[F.col(c).alias(f"t_{c}") for c in "xywh"])
+    lines = elements.filter(F.col("type").isin("line", "shape", "image") & (F.col("w") >= width * 0.55) & (F.col("h") <= height * 0.025)).select("slide_id", *[F.col(c).alias(f"l_{c}") for c in "xywh"])
+    t, cross = Rect("t_"), Rect("l_")
+    crossed = texts.join(lines, "slide_id").filter((t.y < cross.y) & (t.bottom > cross.y) & (t.x < cross.right) & (t.right > cross.x)).select("slide_id").distinct().withColumn("_crossed", F.lit(True))
+    terms = elements.groupBy("slide_id").agg(featured.alias("featured_image"), F.bool_or(image & (r.area / area >= 0.5)).alias("full_bleed"))
+    return terms.join(crossed, "slide_id", "left").select("slide_id", "featured_image", "full_bleed", F.when(F.col("_crossed"), -40_000).otherwise(0).cast("long").alias("line_interference"))
+
+
+def first_fit(slides: DataFrame, obstacles: DataFrame, widths: tuple[float, ...], starts: tuple[float, ...], tops: tuple[float, ...], height: float, canvas: float = 960) -> DataFrame:
+    """For each slide the first of width, start and top, tried in this order, whose box keeps clear of all obstacles; no row where none does."""
+    numbered = lambda values, name: F.posexplode(F.array(*[F.lit(float(v)) for v in values])).alias(f"{name}_no", name)
+    boxes = obstacles.groupBy("slide_id").agg(F.collect_list(F.struct(*"xywh")).alias("taken"))
+    tried = slides.select("slide_id").distinct().join(boxes, "slide_id", "left").select("*", numbered(widths, "width")).select("*", numbered(starts, "start")).select("*", numbered(tops, "top"))
+    clear = ~F.exists("taken", lambda e: (e["x"] < F.col("start") + F.col("width")) & (e["x"] + e["w"] > F.col("start")) & (e["y"] < F.col("top") + height) & (e["y"] + e["h"] > F.col("top")))
+    fits = (F.col("start") + F.col("width") <= canvas) & F.coalesce(clear, F.lit(True))
+    first = F.min(F.struct("width_no", "start_no", "top_no", "width", "start", "top"))
+    return tried.filter(fits).groupBy("slide_id").agg(first.alias("f")).select("slide_id", "f.width", "f.start", "f.top")

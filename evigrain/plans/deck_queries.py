@@ -188,3 +188,48 @@ def template_elements(spark, sf):
 @query("skill_registry")
 def skill_registry(spark, sf):
     return skills.listed(spark)
+
+
+_ASSIGNED = "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'compact' WHEN 1 THEN 'balanced' ELSE 'visual' END AS variant, CASE WHEN o_orderkey % 19 = 0 THEN -o_custkey ELSE o_custkey END AS slide_id, CASE WHEN o_orderkey % 17 = 0 THEN 99 ELSE o_orderkey % 25 END AS layout_id, concat(CAST(CASE WHEN o_orderkey % 23 = 0 THEN 7 ELSE o_custkey END AS VARCHAR(20)), '-slot') AS slot_id, o_custkey * 10 + o_orderkey % 3 AS claim_id FROM orders"
+_PLAN_CLAIMS = "SELECT c_custkey AS slide_id, c_custkey * 10 AS claim_id FROM customer UNION ALL SELECT c_custkey, c_custkey * 10 + 1 FROM customer"
+_KNOWN_LAYOUTS = "SELECT CAST(n_nationkey AS BIGINT) AS layout_id FROM nation"
+
+
+@query("variant_references", twin("""SELECT a.variant, a.slide_id, a.slot_id, a.claim_id, CASE WHEN a.slide_id NOT IN (SELECT slide_id FROM plan_claims) THEN 'missing_variant_slide_ref' WHEN a.layout_id NOT IN (SELECT layout_id FROM known_layouts) THEN 'missing_layout_ref'
+WHEN NOT starts_with(a.slot_id, concat(a.slide_id, '-')) THEN 'invalid_layout_ref' WHEN NOT EXISTS (SELECT 1 FROM plan_claims p WHERE p.slide_id = a.slide_id AND p.claim_id = a.claim_id) THEN 'missing_claim_ref' END AS error FROM assigned a""", assigned=_ASSIGNED, plan_claims=_PLAN_CLAIMS, known_layouts=_KNOWN_LAYOUTS))
+def variant_references(spark, sf):
+    return decks.variant_reference_errors(run(spark, sf, _ASSIGNED), run(spark, sf, _PLAN_CLAIMS), run(spark, sf, _KNOWN_LAYOUTS))
+
+
+_WIDE = "SELECT slide_id, ord, CASE WHEN ord % 10 = 5 THEN 'line' ELSE type END AS type, x, y, CASE WHEN ord % 10 = 5 THEN w + 500 ELSE w END AS w, CASE WHEN ord % 10 = 5 THEN CAST(5 AS DOUBLE) ELSE h END AS h FROM elements"
+
+
+@query("layout_terms", twin("""SELECT slide_id, least(0.7::DOUBLE, coalesce(max(CASE WHEN type = 'image' AND x >= 0 AND y >= 0 AND x + w <= 960 AND y + h <= 540 THEN w * h END), 0) / 518400) * 500 AS featured_image, bool_or(type = 'image' AND x >= 0 AND y >= 0 AND x + w <= 960 AND y + h <= 540 AND w * h / 518400 >= 0.5) AS full_bleed,
+CASE WHEN slide_id IN (SELECT t.slide_id FROM wide t JOIN wide l ON l.slide_id = t.slide_id AND t.type IN ('text', 'placeholder') AND l.type IN ('line', 'shape', 'image') AND l.w >= 528 AND l.h <= 13.5 AND t.y < l.y AND t.y + t.h > l.y AND t.x < l.x + l.w AND t.x + t.w > l.x) THEN -40000::BIGINT ELSE 0::BIGINT END AS line_interference FROM wide GROUP BY slide_id""", wide=_WIDE))
+def layout_terms(spark, sf):
+    return decks.layout_terms(run(spark, sf, _WIDE))
+
+
+@query("first_fit_timeline", twin("""SELECT slide_id, w AS width, s AS start, t AS top FROM (SELECT DISTINCT slide_id FROM elements), (VALUES (0, 600.0::DOUBLE), (1, 300.0::DOUBLE), (2, 120.0::DOUBLE)) AS a(wi, w), (VALUES (0, 115.0::DOUBLE), (1, 0.0::DOUBLE), (2, 700.0::DOUBLE)) AS b(si, s), (VALUES (0, 300.0::DOUBLE), (1, 120.0::DOUBLE), (2, 450.0::DOUBLE)) AS c(ti, t)
+WHERE s + w <= 960 AND slide_id || '|' || wi || '|' || si || '|' || ti NOT IN (SELECT e.slide_id || '|' || wi2 || '|' || si2 || '|' || ti2 FROM elements e, (VALUES (0, 600.0), (1, 300.0), (2, 120.0)) AS a2(wi2, w2), (VALUES (0, 115.0), (1, 0.0), (2, 700.0)) AS b2(si2, s2), (VALUES (0, 300.0), (1, 120.0), (2, 450.0)) AS c2(ti2, t2) WHERE e.type = 'image' AND e.x < s2 + w2 AND e.x + e.w > s2 AND e.y < t2 + 40 AND e.y + e.h > t2)
+QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY wi, si, ti) = 1"""))
+def first_fit_timeline(spark, sf):
+    elements = frame(spark, sf, "elements")
+    return decks.first_fit(elements, elements.filter("type = 'image'"), (600, 300, 120), (115, 0, 700), (300, 120, 450), 40)
+
+
+@query("marker_runs")
+def marker_runs(spark, sf):
+    from evigrain.operators import folds
+
+    icons = frame(spark, sf, "elements").select(F.col("slide_id").alias("layout_id"), "ord", "x", "y", (F.col("w") / 4).alias("w"), (F.col("h") / 4).alias("h"))
+    return folds.marker_runs(icons)
+
+
+@query("contract_violations", twin("""SELECT slide_id || '/' || ord AS place, unnest(list_filter([CASE WHEN type = 'frame' THEN 'type_unknown' END, CASE WHEN w <= 0 THEN 'size_not_positive' END, CASE WHEN NOT regexp_full_match(color, '#[0-9A-Fa-f]{6}') THEN 'color_malformed' END], lambda r: r IS NOT NULL)) AS rule FROM loose""",
+       loose="SELECT slide_id, ord, element_id, CASE WHEN ord % 9 = 0 THEN 'frame' ELSE type END AS type, x, y, CASE WHEN ord % 8 = 0 THEN CAST(0 AS DOUBLE) ELSE w END AS w, h, CASE WHEN ord % 7 = 0 THEN 'red' ELSE color END AS color FROM elements"))
+def contract_violations(spark, sf):
+    from evigrain import schemas
+
+    loose = run(spark, sf, "SELECT slide_id, ord, element_id, CASE WHEN ord % 9 = 0 THEN 'frame' ELSE type END AS type, x, y, CASE WHEN ord % 8 = 0 THEN CAST(0 AS DOUBLE) ELSE w END AS w, h, CASE WHEN ord % 7 = 0 THEN 'red' ELSE color END AS color FROM elements")
+    return schemas.violations(loose.withColumn("place", F.concat_ws("/", "slide_id", "ord")), "elements", "place")
