@@ -178,21 +178,26 @@ def overlap_pairs(spark, sf):
     return audit.overlap_pairs(frame(spark, sf, "elements")).drop("type")
 
 
-@query("text_background", twin("""WITH met AS (SELECT t.slide_id, t.ord, t.z AS tz, l.z AS lz, l.ord AS lord, l.fill, l.type = 'shape' AND l.z < t.z AND CASE l.shape WHEN 'line' THEN false
+_BACKGROUNDS = """WITH met AS (SELECT t.slide_id, t.ord, t.z AS tz, l.z AS lz, l.ord AS lord, l.fill, l.type = 'shape' AND l.z < t.z AND CASE l.shape WHEN 'line' THEN false
 WHEN 'ellipse' THEN pow((t.x - l.x - l.w / 2) / (l.w / 2), 2) + pow((t.y - l.y - l.h / 2) / (l.h / 2), 2) <= 1 AND pow((t.x + t.w - l.x - l.w / 2) / (l.w / 2), 2) + pow((t.y - l.y - l.h / 2) / (l.h / 2), 2) <= 1 AND pow((t.x - l.x - l.w / 2) / (l.w / 2), 2) + pow((t.y + t.h - l.y - l.h / 2) / (l.h / 2), 2) <= 1 AND pow((t.x + t.w - l.x - l.w / 2) / (l.w / 2), 2) + pow((t.y + t.h - l.y - l.h / 2) / (l.h / 2), 2) <= 1
 ELSE t.x >= l.x AND t.y >= l.y AND t.x + t.w <= l.x + l.w AND t.y + t.h <= l.y + l.h END AS around
 FROM elements t JOIN (SELECT *, least(radius, w / 2, h / 2) AS r FROM elements) l ON l.slide_id = t.slide_id AND t.type = 'text' AND l.type <> 'text' AND t.x < l.x + l.w AND t.x + t.w > l.x AND t.y < l.y + l.h AND t.y + t.h > l.y),
 best AS (SELECT slide_id, ord, arg_max(fill, lz) FILTER (WHERE around) AS fill, max(lz) FILTER (WHERE around) AS z FROM met GROUP BY slide_id, ord),
 amb AS (SELECT m.slide_id, m.ord, count(*) AS n FROM met m JOIN best b USING (slide_id, ord) WHERE m.lz >= b.z GROUP BY m.slide_id, m.ord)
-SELECT t.slide_id, t.ord, CASE WHEN b.slide_id IS NULL THEN '#FFFFFF' WHEN b.z IS NOT NULL AND a.n = 1 THEN b.fill END AS background FROM elements t LEFT JOIN best b ON b.slide_id = t.slide_id AND b.ord = t.ord LEFT JOIN amb a ON a.slide_id = t.slide_id AND a.ord = t.ord WHERE t.type = 'text'"""))
+"""
+_BACKGROUND = "SELECT t.slide_id, t.ord, CASE WHEN b.slide_id IS NULL THEN '#FFFFFF' WHEN b.z IS NOT NULL AND a.n = 1 THEN b.fill END AS background FROM elements t LEFT JOIN best b ON b.slide_id = t.slide_id AND b.ord = t.ord LEFT JOIN amb a ON a.slide_id = t.slide_id AND a.ord = t.ord WHERE t.type = 'text'"
+
+
+@query("text_background", twin(_BACKGROUNDS + _BACKGROUND))
 def text_background(spark, sf):
     square = frame(spark, sf, "elements").withColumn("radius", F.lit(0.0))
     return audit.text_backgrounds(square).select("slide_id", "ord", "background")
 
 
-@query("low_contrast")
+@query("low_contrast", twin(_BACKGROUNDS.rstrip() + f", behind AS ({_BACKGROUND}) SELECT e.slide_id, e.ord, 'warning' AS severity FROM elements e JOIN behind b ON b.slide_id = e.slide_id AND b.ord = e.ord WHERE trim(e.text) <> '' AND background IS NOT NULL AND {_contrast('color', "coalesce(background, '#000000')")} < {_NEEDED}"))
 def low_contrast(spark, sf):
-    return audit.low_contrast(frame(spark, sf, "elements")).select("slide_id", "ord", "severity")
+    square = frame(spark, sf, "elements").withColumn("radius", F.lit(0.0))
+    return audit.low_contrast(square).select("slide_id", "ord", "severity")
 
 
 @query("text_overflow")
