@@ -20,7 +20,9 @@ def luminance(color: Column) -> Column:
 
 
 def contrast(a: Column, b: Column) -> Column:
-    return (F.greatest(luminance(a), luminance(b)) + 0.05) / (F.least(luminance(a), luminance(b)) + 0.05)
+    """The WCAG contrast of two colours; null if either is none."""
+    x, y = luminance(a), luminance(b)
+    return F.when(x.isNotNull() & y.isNotNull(), (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05))
 
 
 def required_contrast(font_size: Column, font_weight: Column) -> Column:

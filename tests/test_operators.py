@@ -190,6 +190,7 @@ def test_text_wrapping(spark):
 def test_contrast(spark):
     assert one(spark, F.round(color.contrast(F.col("a"), F.col("b")), 2), a="#000000", b="#FFFFFF") == 21.0
     assert one(spark, color.luminance(F.col("a")), a="red") is None
+    assert one(spark, color.contrast(F.col("a"), F.col("b")), a="#000000", b="none") is None
 
 
 def test_json():
