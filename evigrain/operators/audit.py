@@ -169,11 +169,9 @@ def safe_fixes(elements: DataFrame, fonts: list[str], palette: list[str], width:
     wide, tall = F.least(r.w, F.lit(width)), F.least(r.h, F.lit(height))
     known = [f.lower() for f in (*fonts, *ALWAYS_FONTS)]
     behind = text_backgrounds(elements).select("slide_id", "ord", "background")
-    joined = elements.join(behind, ["slide_id", "ord"], "left")
-    is_text, ratio = F.col("type") == "text", color.contrast(F.col("color"), F.col("background"))
-    better = color.best_contrast(F.col("background"), palette)
-    clears = color.contrast(better, F.col("background")) >= color.required_contrast(F.col("font_size"), F.col("font_weight"))
-    low = is_text & (ratio < color.required_contrast(F.col("font_size"), F.col("font_weight"))) & clears
+    joined = elements.join(behind, ["slide_id", "ord"], "left").withColumn("_behind", color.luminance(F.col("background"))).withColumn("_own", color.luminance(F.col("color"))).withColumn("_best", color.best_for(F.col("_behind"), palette))
+    is_text, needed = F.col("type") == "text", color.required_contrast(F.col("font_size"), F.col("font_weight"))
+    low = is_text & (color.ratio(F.col("_own"), F.col("_behind")) < needed) & (F.col("_best.ratio") >= needed)
     fixed = {"x": geometry.clamped(r.x, F.lit(0.0), F.lit(width) - wide), "y": geometry.clamped(r.y, F.lit(0.0), F.lit(height) - tall), "w": wide, "h": tall}
-    fixed |= {"font": F.when(is_text & ~F.lower("font").isin(*known), F.lit((*fonts, *ALWAYS_FONTS)[0])).otherwise(F.col("font")), "color": F.when(F.coalesce(low, F.lit(False)), better).otherwise(F.col("color"))}
+    fixed |= {"font": F.when(is_text & ~F.lower("font").isin(*known), F.lit((*fonts, *ALWAYS_FONTS)[0])).otherwise(F.col("font")), "color": F.when(F.coalesce(low, F.lit(False)), F.col("_best.color")).otherwise(F.col("color"))}
     return joined.withColumns(fixed).select(*elements.columns)
