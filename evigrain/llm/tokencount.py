@@ -4,8 +4,9 @@ Greedy longest-match word pieces of a word are counted in one pass over its
 characters. A trie holds the pieces that start words and, under a second root,
 those that continue them. Where no edge goes on, the failure link leads to the
 place from which matching continues, and the link carries how many pieces it
-closes, so pieces are never built. A word that can't be covered is one unknown
-token.
+closes, so pieces are never built. The word mark alone is a piece too: a word
+that no longer piece starts is the mark and continuing pieces. A word that can't
+be covered is one unknown token.
 
 Defined cases: a null text counts as empty and has no words; repeated rows stay;
 an empty table gives an empty result. Extra columns are carried along.
@@ -30,7 +31,7 @@ _COUNTS = T.StructType([T.StructField(k, T.LongType()) for k in ("n_words", "n_t
 
 
 class Automaton:
-    """Longest-match counts for pieces that start words and pieces that continue them."""
+    """Longest-match counts for pieces that start words (the empty one is the word mark alone) and pieces that continue them."""
 
     def __init__(self, starting: Iterable[str], continuing: Iterable[str]):
         self.next: list[dict[str, int]] = [{}, {}]
@@ -44,8 +45,10 @@ class Automaton:
                         self.next.append({})
                         whole.append(False)
                     node = self.next[node][c]
-                whole[node] = whole[node] or bool(piece)
+                whole[node] = whole[node] or node != 1
         self.link, self.closes = [-1] * len(self.next), [0] * len(self.next)
+        if whole[0]:
+            self.link[0], self.closes[0] = 1, 1
         level = [0, 1]
         while level:
             below = []

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -431,5 +432,20 @@ def test_longest_match_equals_greedy(spark):
     assert [r["counts"]["n_words"] for r in tokencount.token_counts(odd).orderBy("doc_id").collect()] == [0, 0, 1]
 
 
+def test_token_counts_equal_greedy_over_the_model():
+    """Pieces come straight from the model and are matched against the word mark and the word."""
+    import sentencepiece
+
+    file = f"{tokencount.TOKENIZERS}/piece_bpe_32k.model"
+    model = sentencepiece.SentencePieceProcessor(model_file=file)
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    machine = tokencount.Automaton(*tokencount.vocabulary(file))
+    assert [machine.count(w) for w in ("2024", "ñandú", "中文文本")] == [5, 4, 5]
+    words = {w for t in (MIDDLE, SMALL) for d in pq.read_table(f"{t}/documents.parquet", columns=["text"])["text"].to_pylist() for w in re.findall(r"[^\x20\x09-\x0D]+", d or "") if "▁" not in w}
+    assert sum(w[0].isdigit() for w in words) > 50
+    for word in words:
+        assert machine.count(word) == greedy("▁" + word, pieces, pieces)
+
+
 def test_oracles_are_whole():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and "LIMIT 1)" in oracles.MIXING
