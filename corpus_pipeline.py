@@ -5,7 +5,7 @@ returns what it keeps of docs. A runner writes each result as Parquet and reads
 it again for the next stage; run() does the same in the shared folder.
 
 1. toxicity: rejects documents that the toxicity model scores at its threshold or above.
-2. near_dedup: of documents whose SimHash fingerprints are linked, the one with the smallest id stays.
+2. near_dedup: of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest id stays.
 3. decontaminate: rejects documents with a passage of the benchmark.
 4. pii: replaces personal data by its kind, and sets n_chars anew.
 5. mix: how many words the mix takes of each document. No document is dropped; taken may be 0.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import decontam, mixing, pii, samples, simhash, toxicity
+from evigrain.llm import decontam, mixing, pii, samples, shingles, toxicity
 from evigrain.runtime import stored, table
 
 
@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs).select(*docs.columns)
+    return shingles.deduplicate(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

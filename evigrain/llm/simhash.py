@@ -42,11 +42,10 @@ BROADCAST_IDS = 1_000_000
 _SLICE = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """Unsigned SimHash of one text: ASCII-lowered words, word shingles, XXH64 with seed 42; bit set if set in over half."""
-    words = (text or b"").lower().split()
+def hashes(words: list[bytes], shingle_words: int) -> np.ndarray:
+    """XXH64 with seed 42 of each run of so many words; of all words if they are fewer, and none of no words."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle_words + 1)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -54,10 +53,18 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
     starts = (ends - lengths)[:n].tolist()
     stops = ends[min(shingle_words, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """Unsigned SimHash of one text: ASCII-lowered words, word shingles, XXH64 with seed 42; bit set if set in over half."""
+    each = hashes((text or b"").lower().split(), shingle_words)
+    if not len(each):
+        return 0
+    n = len(each)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, _SLICE):
-        part = hashes[at : at + _SLICE].view(np.uint8).reshape(-1, 8)
+        part = each[at : at + _SLICE].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int((counts * 2 > n) @ (np.uint64(1) << np.arange(BITS, dtype=np.uint64)))
 
@@ -237,8 +244,12 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Of several rows with that doc_id one stays. Rows with a null doc_id stay, as nothing names them.
     """
-    spark = docs.sparkSession
-    assigned = stored(components(docs, text_col, id_col, **options), "simhash-components")
+    return keep_least(docs, components(docs, text_col, id_col, **options), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """deduplicate() for components that are found already: doc_id and component_id."""
+    assigned = stored(found, "simhash-components")
     removed = assigned.df.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
     few = assigned.df.filter(F.col("doc_id") != F.col("component_id")).count() <= BROADCAST_IDS
     rest = docs.join(F.broadcast(removed) if few else removed, id_col, "left_anti")

@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from evigrain.llm import components, decontam, fertility, mixing, oracles, pii, quality, queries, samples, secrets, simhash, tokencount, toxicity, warc
+from evigrain.llm import components, decontam, fertility, mixing, oracles, pii, quality, queries, samples, secrets, shingles, simhash, tokencount, toxicity, warc
 from evigrain.runtime import table
 from tests.oracle import connect, differences
 
@@ -111,6 +112,51 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.components(docs.filter("doc_id IS NOT NULL")).collect()} == {3: 1, 1: 1, 7: 7, 9: 8, 8: 8}
 
 
+@pytest.mark.parametrize("sf", [SMALL, MIDDLE])
+def test_near_copies_equal_brute_force(spark, sf):
+    sets = {}
+    for i, text in texts(spark, sf).items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets[i] = {" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) * 5 >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    found = {r["doc_id"]: r["component_id"] for r in shingles.components(table(spark, sf, "documents")).collect()}
+    assert found == root
+    stayed = corpus_pipeline.near_dedup(spark, table(spark, sf, "documents"), sf)
+    assert {r["doc_id"] for r in stayed.select("doc_id").collect()} == set(root.values())
+
+
+def test_near_copies_in_one_large_group(spark):
+    """Copies that differ from the first by few words, though not always from each other; other texts share a line."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, line = [word() for _ in range(200)], [word() for _ in range(12)]
+    data = [(0, " ".join(base), "en", "a", 1)]
+    for i in range(1, 150):
+        own = list(base)
+        for at in rng.sample(range(200), rng.choice((1, 2, 4))):
+            own[at] = word()
+        data.append((i, " ".join(own), "en", "a", 1))
+    data += [(i, " ".join([word() for _ in range(30)] + line), "en", "a", 1) for i in range(1000, 1200)]
+    found = {r["doc_id"]: r["component_id"] for r in shingles.components(spark.createDataFrame(data, DOCS)).collect()}
+    assert found == {r[0]: 0 if r[0] < 1000 else r[0] for r in data}
+
+
+def test_near_copies_on_odd_tables(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    data = [(3, base, "en", "a", 1), (1, base.upper(), "en", "b", 1), (7, "few words", None, None, None), (None, base, "en", "a", 1), (7, "few words", None, None, None), (9, None, None, None, None), (8, "", None, None, None)]
+    docs = spark.createDataFrame(data, DOCS).withColumn("key", F.lit("mine")).withColumn("n", F.lit(0))
+    found = shingles.deduplicate(docs)
+    assert set(found.columns) == set(docs.columns) and Counter(r["doc_id"] for r in found.collect()) == Counter([1, 7, None, 8])
+    assert shingles.deduplicate(docs.limit(0)).count() == 0
+
+
 def test_mix_meets_its_targets(spark):
     found = rows(spark, MIDDLE, "op2_mixing")
     sources = {r["doc_id"]: r["source"] for r in table(spark, MIDDLE, "documents").collect()}
