@@ -5,8 +5,9 @@ characters. A trie holds the pieces that start words and, under a second root,
 those that continue them. Where no edge goes on, the failure link leads to the
 place from which matching continues, and the link carries how many pieces it
 closes, so pieces are never built. The word mark alone is a piece too: a word
-that no longer piece starts is the mark and continuing pieces. A word that can't
-be covered is one unknown token.
+that no longer piece starts is the mark and continuing pieces. Where the
+vocabulary has byte pieces, a character that no piece starts with is as many of
+them as its UTF-8 has bytes; without them such a word is one unknown token.
 
 Defined cases: a null text counts as empty and has no words; repeated rows stay;
 an empty table gives an empty result. Extra columns are carried along.
@@ -15,6 +16,7 @@ an empty table gives an empty result. Extra columns are carried along.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +32,23 @@ KEPT_WORDS, KEPT_BYTES = 300_000, 64
 _COUNTS = T.StructType([T.StructField(k, T.LongType()) for k in ("n_words", "n_tokens", "n_unknown")])
 
 
+class Vocabulary(NamedTuple):
+    """Pieces that start words, without their mark (the empty one is the mark alone), those that go on anywhere, and whether bytes are pieces."""
+
+    starting: list[str]
+    continuing: list[str]
+    by_bytes: bool
+
+
+MARK = "▁"
+
+
 class Automaton:
-    """Longest-match counts for pieces that start words (the empty one is the word mark alone) and pieces that continue them."""
+    """Longest-match counts; root 0 is where words start (after the mark), root 1 where pieces go on."""
 
-    def __init__(self, starting: Iterable[str], continuing: Iterable[str]):
+    def __init__(self, starting: Iterable[str], continuing: Iterable[str], by_bytes: bool = False):
         self.next: list[dict[str, int]] = [{}, {}]
+        self.by_bytes = by_bytes
         whole = [False, False]
         for root, pieces in ((0, starting), (1, continuing)):
             for piece in pieces:
@@ -49,6 +63,8 @@ class Automaton:
         self.link, self.closes = [-1] * len(self.next), [0] * len(self.next)
         if whole[0]:
             self.link[0], self.closes[0] = 1, 1
+        elif by_bytes:
+            self.link[0], self.closes[0] = 1, len(MARK.encode())
         level = [0, 1]
         while level:
             below = []
@@ -57,39 +73,51 @@ class Automaton:
                     below.append(child)
                     if whole[child]:
                         self.link[child], self.closes[child] = 1, 1
-                        continue
-                    at, closed = self.link[node], self.closes[node]
-                    while at >= 0 and c not in self.next[at]:
-                        closed += self.closes[at]
-                        at = self.link[at]
-                    if at >= 0:
-                        self.link[child], self.closes[child] = self.next[at][c], closed
+                    elif node == 1 and by_bytes:
+                        self.link[child], self.closes[child] = 1, len(c.encode())
+                    else:
+                        self.link[child], self.closes[child] = self._after(self.link[node], self.closes[node], c)
             level = below
 
+    def _after(self, at: int, closed: int, c: str) -> tuple[int, int]:
+        """Where a character leads from a failure link, and how many pieces are closed on the way; -1 where nothing covers it."""
+        while at >= 0 and c not in self.next[at]:
+            if at == 1 and self.by_bytes:
+                return 1, closed + len(c.encode())
+            closed += self.closes[at]
+            at = self.link[at]
+        return (self.next[at][c], closed) if at >= 0 else (-1, 0)
+
     def count(self, word: str) -> int:
         """Number of pieces of a word; -1 if the vocabulary can't cover it."""
         edges, link, closes = self.next, self.link, self.closes
         node = total = 0
         for c in word:
-            while (after := edges[node].get(c)) is None:
-                total += closes[node]
-                node = link[node]
+            after = edges[node].get(c)
+            if after is None:
+                if node != 1:
+                    total += closes[node]
+                    node = link[node]
+                node, closed = self._after(node, 0, c)
                 if node < 0:
                     return -1
-            node = after
+                total += closed
+            else:
+                node = after
         while node > 1:
             total += closes[node]
             node = link[node]
         return total if node == 1 else -1
 
 
-def vocabulary(model_file: str) -> tuple[list[str], list[str]]:
-    """Pieces of a public sentence-piece vocabulary that start words (their word mark taken off), and those that continue them."""
+def vocabulary(model_file: str) -> Vocabulary:
+    """The pieces of a public sentence-piece vocabulary."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return [p[1:] for p in pieces if p[0] == "▁" and "▁" not in p[1:]], [p for p in pieces if "▁" not in p]
+    ids = range(model.get_piece_size())
+    pieces = [model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    return Vocabulary([p[1:] for p in pieces if p[0] == MARK], pieces, sum(map(model.is_byte, ids)) == 256)
 
 
 class Counter:

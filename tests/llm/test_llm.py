@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow.parquet as pq
 import pytest
 import xxhash
 import corpus_pipeline
@@ -460,37 +459,60 @@ def greedy(word, starting, continuing):
     return pieces
 
 
-def test_longest_match_equals_greedy(spark):
+def greedy_over_bytes(word, pieces, longest=16):
+    """Longest match over the word mark and the word, straight from the model's pieces; bytes where none matches."""
+    text, at, n = "▁" + word, 0, 0
+    while at < len(text):
+        size = next((k for k in range(min(longest, len(text) - at), 0, -1) if text[at : at + k] in pieces), 0)
+        n += 1 if size else len(text[at].encode())
+        at += size or 1
+    return n
+
+
+def model_pieces():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=f"{tokencount.TOKENIZERS}/piece_bpe_32k.model")
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    assert max(map(len, pieces)) <= 16
+    return pieces
+
+
+def test_longest_match_equals_greedy():
     rng = random.Random(8)
     for _ in range(300):
         make = lambda n: {"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(n)}
         starting, continuing = make(6), make(6)
         machine = tokencount.Automaton(starting, continuing)
+        by_bytes = tokencount.Automaton([*starting, ""], continuing, True)
+        pieces = {"▁" + p for p in starting} | {"▁"} | continuing
         for _ in range(60):
-            word = "".join(rng.choice("abcd" if rng.random() < 0.1 else "abc") for _ in range(rng.randint(1, 14)))
+            word = "".join(rng.choice("abcdé中" if rng.random() < 0.1 else "abc") for _ in range(rng.randint(1, 14)))
             assert machine.count(word) == greedy(word, starting, continuing)
-    starting, continuing = map(set, tokencount.vocabulary(f"{tokencount.TOKENIZERS}/piece_bpe_32k.model"))
-    found = {r["doc_id"]: r for r in rows(spark, SMALL, "op10_token_counts")}
-    for doc, text in list(texts(spark, SMALL).items())[:60]:
-        counts = [greedy(w, starting, continuing) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
-        assert found[doc]["n_tokens"] == sum(max(c, 1) for c in counts) and found[doc]["n_unknown"] == counts.count(-1)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "q" * 200_000)], "doc_id long, text string").withColumn("counts", F.lit(0))
-    assert [r["counts"]["n_words"] for r in tokencount.token_counts(odd).orderBy("doc_id").collect()] == [0, 0, 1]
-
+            assert by_bytes.count(word) == greedy_over_bytes(word, pieces)
 
-def test_token_counts_equal_greedy_over_the_model():
-    """Pieces come straight from the model and are matched against the word mark and the word."""
-    import sentencepiece
 
-    file = f"{tokencount.TOKENIZERS}/piece_bpe_32k.model"
-    model = sentencepiece.SentencePieceProcessor(model_file=file)
-    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    machine = tokencount.Automaton(*tokencount.vocabulary(file))
-    assert [machine.count(w) for w in ("2024", "ñandú", "中文文本")] == [5, 4, 5]
-    words = {w for t in (MIDDLE, SMALL) for d in pq.read_table(f"{t}/documents.parquet", columns=["text"])["text"].to_pylist() for w in re.findall(r"[^\x20\x09-\x0D]+", d or "") if "▁" not in w}
-    assert sum(w[0].isdigit() for w in words) > 50
-    for word in words:
-        assert machine.count(word) == greedy("▁" + word, pieces, pieces)
+@pytest.mark.parametrize("sf", [SMALL, MIDDLE])
+def test_token_counts_equal_greedy_over_the_model(spark, sf):
+    pieces, known = model_pieces(), {}
+    found = {r["doc_id"]: r for r in rows(spark, sf, "op10_token_counts")}
+    for doc, text in texts(spark, sf).items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        for w in words:
+            if w not in known:
+                known[w] = greedy_over_bytes(w, pieces)
+        assert (found[doc]["n_words"], found[doc]["n_tokens"], found[doc]["n_unknown"]) == (len(words), sum(map(known.get, words)), 0)
+
+
+def test_token_counts_of_all_scripts_and_odd_tables(spark):
+    pieces = model_pieces()
+    machine = tokencount.Automaton(*tokencount.vocabulary(f"{tokencount.TOKENIZERS}/piece_bpe_32k.model"))
+    words = ["2024", "100%", "ñandú", "中文文本", "这是一个中文句子用来测试", "한국어", "문장", "щит", "Ⲁⲃⲅⲇ", "🦙🦙x", "▁▁▁a", "a▁the", "ไทย", "\u0b95\u0bcd"]
+    assert [machine.count(w) for w in words] == [greedy_over_bytes(w, pieces) for w in words] and [machine.count(w) for w in words[:5]] == [5, 5, 4, 5, 12]
+    data = [(1, None), (2, ""), (3, "q" * 200_000), (4, " ".join(words)), (4, " ".join(words)), (None, "a b")]
+    odd = spark.createDataFrame(data, "doc_id long, text string").withColumn("counts", F.lit(0))
+    found = sorted((r["doc_id"] or 0, r["counts"]["n_words"]) for r in tokencount.token_counts(odd).collect())
+    assert found == [(0, 2), (1, 0), (2, 0), (3, 1), (4, 14), (4, 14)] and tokencount.token_counts(odd.limit(0)).count() == 0
 
 
 def test_oracles_are_whole():
