@@ -6,14 +6,14 @@ _WORDS = rf"coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'),
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, length(text) AS chars,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS bits
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 13))::BIGINT AS bits
   FROM documents),
 keyed AS (
   SELECT doc_id, source, size, -ln((bits + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) /
          CASE WHEN size > 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + abs(chars::DOUBLE / size::DOUBLE - 6.0::DOUBLE)) ELSE 1.0::DOUBLE END AS key
   FROM sized),
 totals AS (
-  SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM keyed GROUP BY source),
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM keyed GROUP BY source),
 weighted AS (SELECT *, (CASE (sid - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM totals),
 turns AS (SELECT *, row_number() OVER (ORDER BY cap / weight, sid) AS turn FROM weighted),
 levels AS (
@@ -23,28 +23,16 @@ aimed AS (
   SELECT l.*, CASE WHEN o.level IS NULL THEN cap ELSE least(cap, o.level * weight) END AS target
   FROM levels l LEFT JOIN (SELECT level FROM levels WHERE level < cap / weight ORDER BY turn LIMIT 1) o ON true),
 planned AS (
-  SELECT *, (docs + 999) // 1000 AS buckets, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM aimed),
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM aimed),
 budgets AS (SELECT *, floor(target - epochs * source_size)::BIGINT AS rest FROM planned),
 filed AS (
-  SELECT k.*, b.sid, b.source_size, b.target, b.epochs, b.rest, least(floor((1.0::DOUBLE - exp(-key)) * buckets)::BIGINT, buckets - 1) AS bucket
+  SELECT k.doc_id, k.size, k.key, b.sid, b.source_size, b.target, b.epochs, b.rest
   FROM keyed k JOIN budgets b ON k.source IS NOT DISTINCT FROM b.source),
-upto AS (
-  SELECT sid, bucket, rest, words, sum(words) OVER (PARTITION BY sid ORDER BY bucket) AS upto
-  FROM (SELECT sid, bucket, any_value(rest) AS rest, sum(size) AS words FROM filed GROUP BY sid, bucket)),
-ends AS (
-  SELECT sid, bucket AS last_bucket, rest - upto + words AS room FROM upto WHERE upto > rest QUALIFY row_number() OVER (PARTITION BY sid ORDER BY bucket) = 1),
-r0 AS (
-  SELECT sid, key, doc_id, room, sum(size) AS words, false AS taken, room AS remaining
-  FROM filed JOIN ends USING (sid) WHERE bucket = last_bucket GROUP BY sid, key, doc_id, room),
-""" + ",\n".join(
-    f"""s{i} AS (SELECT *, sum(CASE WHEN NOT taken AND words <= remaining THEN words ELSE 0 END) OVER (PARTITION BY sid ORDER BY key, doc_id NULLS FIRST) AS run FROM r{i - 1}),
-t{i} AS (SELECT sid, key, doc_id, room, words, taken OR (words <= remaining AND run <= remaining) AS taken FROM s{i}),
-r{i} AS (SELECT *, room - sum(CASE WHEN taken THEN words ELSE 0 END) OVER (PARTITION BY sid) AS remaining FROM t{i})"""
-    for i in range(1, 5)
-) + r"""
+tied AS (SELECT sid, key, doc_id, sum(size)::BIGINT AS words FROM filed GROUP BY sid, key, doc_id),
+running AS (SELECT *, sum(words) OVER (PARTITION BY sid ORDER BY key, doc_id NULLS FIRST)::BIGINT AS upto FROM tied)
 SELECT f.doc_id, f.size, f.source_size, f.target,
-       (f.size * (f.epochs + CASE WHEN e.last_bucket IS NULL OR f.bucket < e.last_bucket THEN 1 WHEN f.bucket = e.last_bucket AND r.taken THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM filed f LEFT JOIN ends e USING (sid) LEFT JOIN r4 r ON r.sid = f.sid AND r.key = f.key AND r.doc_id IS NOT DISTINCT FROM f.doc_id
+       (f.size * f.epochs + CASE WHEN r.upto <= f.rest THEN f.size WHEN r.upto - r.words < f.rest THEN f.size * (f.rest - r.upto + r.words) // r.words ELSE 0 END)::BIGINT AS taken
+FROM filed f JOIN running r ON r.sid = f.sid AND r.key = f.key AND r.doc_id IS NOT DISTINCT FROM f.doc_id
 """
 
 DECONTAMINATION = f"""
