@@ -1,16 +1,18 @@
 """Personal data: patterns, and a skip-chain conditional random field that adds to them.
 
 Patterns give base spans of four kinds. The field's nodes are the tokens of a
-text that have a digit, '@' or '+'. Neighbouring tokens share chain potentials;
-repeated or similar tokens, however distant, share skip potentials, each with
-its next like token, so that edges grow with the tokens. Loopy message passing
-over all texts of a batch makes labels consistent within each document. Spans
-of confident tokens that no base span covers are added; base spans stay.
+text that have a digit, '@' or '+'. Neighbouring tokens share chain potentials.
+Tokens that are repeated, and tokens of one form, share skip potentials however
+distant they are: all of one key are joined to a hub that stands for the label of
+the entity, so that edges grow with the tokens and a mention is two steps from any
+other. Loopy message passing over all texts of a batch, until messages settle,
+makes labels consistent within each document. Spans of confident tokens that no
+base span covers are added; base spans stay.
 
 The field is trained piecewise on a bounded sample of documents: token weights
-by a softmax over their shapes, chain and skip weights by how often labels meet.
-Labels come from the base spans; tokens under long matches that fail their check
-have none.
+by a softmax over their shapes, chain and skip potentials (whole tables) by how
+much more often labels meet than by chance. Labels come from the base spans;
+tokens under long matches that fail their check have none.
 
 Defined cases: a null text counts as empty; repeated rows stay; without any
 candidate token in the sample nothing is added; an empty table gives an empty
@@ -28,21 +30,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigrain.llm.samples import bounded
+from evigrain.llm.samples import bounded, fitted
 from evigrain.runtime import tuned
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that training uses at most.
 TRAINING_ROWS = 2000
-ROUNDS, DAMPING = 10, 0.5
+#: Message passing ends when no message moves by more than SETTLED, or after so many rounds.
+ROUNDS, DAMPING, SETTLED = 60, 0.5, 1e-8
 SURE = 0.9
+#: Bounds of learned log potentials: chain edges, hubs of repeated tokens, hubs of tokens of one form.
+CHAIN, SAME, ALIKE = 0, 1, 2
+BOUNDS = (1.0, 3.0, 1.0)
+#: Meetings that are counted before any that are seen, and which share of them is of one label: repeated tokens are taken to agree until texts show otherwise.
+PRIOR, AGREE = 20.0, (0.0, 0.9, 0.0)
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S+")
+_TOKEN = re.compile(r"[^\s,;\"'<>{}\[\]|\x80-\U0010ffff]+|[^\s\x00-\x7f]+")
+_LETTERS = re.compile(r"[A-Za-z]+")
+_DIGIT = re.compile(r"[0-9]")
 _TELLING = re.compile(r"[0-9@+]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _EDGES = ".,;:!?%&*$#\"'<>[]{}|="
@@ -122,11 +132,11 @@ def failed_spans(text: str) -> list[tuple[int, int]]:
 
 
 class Nodes(NamedTuple):
-    """Candidate tokens of one text: core start and end, number in the token sequence, likeness key, shape features."""
+    """Candidate tokens of one text: core start and end, number in the token sequence, keys of repetition and of form, shape features."""
 
     spans: list[tuple[int, int]]
     places: list[int]
-    keys: list[str]
+    keys: list[tuple[str, str]]
     shapes: list[list[float]]
 
 
@@ -152,7 +162,7 @@ def nodes(text: str) -> Nodes:
         return out
     tokens = [(m.start(), m.group()) for m in _TOKEN.finditer(text)]
     for place, (start, token) in enumerate(tokens):
-        if len(token) > 200 or not _TELLING.search(token):  # no kind is that long
+        if not _TELLING.search(token):
             continue
         core = token.rstrip(_EDGES)
         start += len(core)
@@ -161,25 +171,38 @@ def nodes(text: str) -> Nodes:
         digits = _NOT_DIGIT.sub("", core)
         out.spans.append((start, start + len(core)))
         out.places.append(place)
-        out.keys.append(digits if len(digits) >= 6 and "@" not in core else core.lower())
+        out.keys.append((digits if len(digits) >= 6 and "@" not in core else core.lower(), _DIGIT.sub("9", _LETTERS.sub("a", core))))
         out.shapes.append(_shape(core, digits, tokens[place - 1][1] if place else "", tokens[place + 1][1] if place + 1 < len(tokens) else ""))
     return out
 
 
-def edges(found: Nodes, first: int) -> list[tuple[int, int, int]]:
-    """(node, node, type): chain edges (0) between neighbouring tokens, skip edges (1) from each token to its next like one."""
-    out, last = [], {}
-    for i, (place, key) in enumerate(zip(found.places, found.keys, strict=True)):
-        if i and found.places[i - 1] == place - 1:
-            out.append((first + i - 1, first + i, 0))
-        if key and key in last and last[key] != i - 1:
-            out.append((first + last[key], first + i, 1))
-        last[key] = i
-    return out
+class Graph(NamedTuple):
+    """Edges (node, node, type) of tokens, numbered in order, and of hubs, numbered from -1 downwards."""
+
+    edges: list[tuple[int, int, int]]
+    hubs: int
+
+
+def graph(found: list[Nodes]) -> Graph:
+    """Chain edges between neighbouring tokens; an edge from each token to the hub of its key, for keys of two and more tokens."""
+    out, first, hubs = [], 0, 0
+    for each in found:
+        out += [(first + i - 1, first + i, CHAIN) for i in range(1, len(each.places)) if each.places[i - 1] == each.places[i] - 1]
+        for kind in (SAME, ALIKE):
+            members: dict[str, list[int]] = {}
+            for i, keys in enumerate(each.keys):
+                if keys[kind - 1]:
+                    members.setdefault(keys[kind - 1], []).append(first + i)
+            for own in members.values():
+                if len(own) > 1:
+                    hubs += 1
+                    out += [(i, -hubs, kind) for i in own]
+        first += len(each.places)
+    return Graph(out, hubs)
 
 
 class Model(NamedTuple):
-    """weight: features by labels (none, then KINDS); pair: log potentials of chain and skip edges."""
+    """weight: features by labels (none, then KINDS); pair: log potentials of chain edges and of the two kinds of skip edges (token by hub)."""
 
     weight: np.ndarray
     pair: np.ndarray
@@ -191,10 +214,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def marginals(unary: np.ndarray, links: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Label probabilities by damped loopy message passing in logarithms; links has rows (node, node, type)."""
+    """Label probabilities by damped loopy message passing in logarithms; links has rows (node, node, type), negative numbers count from the end."""
     if not len(links):
         return _softmax(unary)
-    source, target = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
+    one, other = links[:, 0] % len(unary), links[:, 1] % len(unary)
+    source, target = np.concatenate([one, other]), np.concatenate([other, one])
     table = np.concatenate([pair[links[:, 2]], pair[links[:, 2]].transpose(0, 2, 1)])
     back = np.roll(np.arange(len(source)), len(links))
     n, k = unary.shape
@@ -204,43 +228,70 @@ def marginals(unary: np.ndarray, links: np.ndarray, pair: np.ndarray, rounds: in
         cavity = (belief[source] - message[back])[:, :, None] + table
         top = cavity.max(axis=1)
         new = top + np.log(np.exp(cavity - top[:, None]).sum(axis=1))
-        message = DAMPING * message + (1 - DAMPING) * (new - new.mean(axis=1, keepdims=True))
+        step = (1 - DAMPING) * (new - new.mean(axis=1, keepdims=True) - message)
+        message += step
+        if np.abs(step).max() < SETTLED:
+            break
     return _softmax(unary + np.stack([np.bincount(target, message[:, c], n) for c in range(k)], axis=1))
 
 
+def _surplus(met: np.ndarray, share: np.ndarray, bound: float, agree: float) -> np.ndarray:
+    """Log of how much more often labels meet than by chance; where few met, by chance and, in part, only with their like."""
+    before = (1 - agree) * np.outer(share, share) + agree * np.diag(share)
+    seen = (met + PRIOR * before) / (met.sum() + PRIOR)
+    return np.clip(np.log(seen) - np.log(np.outer(seen.sum(axis=1), seen.sum(axis=0))), -bound, bound)
+
+
+def potentials(labels: np.ndarray, found: Graph) -> np.ndarray:
+    """Tables of the three kinds of edges from known labels (-1: unknown). A hub stands for what most others of its tokens are; each hub weighs as one."""
+    k = len(KINDS) + 1
+    met = np.zeros((3, k, k))
+    members: dict[int, list[int]] = {}
+    kind_of: dict[int, int] = {}
+    for a, b, kind in found.edges:
+        if kind != CHAIN:
+            kind_of[b] = kind
+            if labels[a] >= 0:
+                members.setdefault(b, []).append(int(labels[a]))
+        elif labels[a] >= 0 and labels[b] >= 0:
+            met[CHAIN, labels[a], labels[b]] += 1
+    for hub, own in members.items():
+        count = np.bincount(own, minlength=k)
+        for y in np.flatnonzero(count) if len(own) > 1 else ():
+            others = count - np.eye(k, dtype=np.int64)[y]
+            most = others == others.max()
+            met[kind_of[hub], y] += count[y] / len(own) * most / most.sum()
+    share = (np.bincount(labels[labels >= 0], minlength=k) + 1) / ((labels >= 0).sum() + k)
+    return np.stack([_surplus(m, share, bound, agree) for m, bound, agree in zip(met, BOUNDS, AGREE, strict=True)])
+
+
 def train(texts: list[str], passes: int = 300) -> Model:
     """Piecewise: a softmax on shapes for the tokens, label meetings for the edges."""
-    labels, shapes, links = [], [], []
-    for text in texts:
-        found = nodes(text)
-        links += edges(found, len(labels))
+    found, labels = [nodes(t) for t in texts], []
+    for text, each in zip(texts, found, strict=True):
         spans, open_to = base_spans(text), failed_spans(text)
-        for start, end in found.spans:
+        for start, end in each.spans:
             unknown = any(a < end and start < b for a, b in open_to)
             labels.append(next((kind + 1 for a, kind, b in spans if a < end and start < b), -1 if unknown else 0))
-        shapes += found.shapes
     k = len(KINDS) + 1
-    known = np.array(labels, np.int64) >= 0
+    every = np.array(labels, np.int64)
+    known = every >= 0
     if not known.any():
-        return Model(np.zeros((0, k)), np.zeros((2, k, k)))
-    every = np.array(labels)
-    x, y = np.array(shapes)[known], every[known]
+        return Model(np.zeros((0, k)), np.zeros((3, k, k)))
+    x, y = np.array([x for each in found for x in each.shapes])[known], every[known]
     goal = np.eye(k)[y]
     weight, speed = np.zeros((x.shape[1], k)), np.zeros((x.shape[1], k))
     for _ in range(passes):
         speed = 0.9 * speed + x.T @ (goal - _softmax(x @ weight)) / len(x) - 1e-4 * weight
         weight += 1.0 * speed
-    share = (np.bincount(y, minlength=k) + 1) / (len(y) + k)
-    pair = np.zeros((2, k, k))
-    for kind in (0, 1):
-        met = np.ones((k, k))
-        for a, b, t in links:
-            if t == kind and known[a] and known[b]:
-                met[every[a], every[b]] += 1
-        pair[kind] = np.clip(np.log(met / met.sum()) - np.log(np.outer(share, share)), -1, 1)
-    agree = max(0.5, float(np.diag(pair[1])[1:].mean()))
-    pair[1] = agree * np.eye(k)
-    return Model(weight, pair)
+    return Model(weight, potentials(every, graph(found)))
+
+
+def beliefs(found: list[Nodes], model: Model) -> np.ndarray:
+    """Label probabilities of all tokens of some texts."""
+    own = np.array([x for each in found for x in each.shapes]) @ model.weight
+    linked = graph(found)
+    return marginals(np.concatenate([own, np.zeros((linked.hubs, own.shape[1]))]), np.array(linked.edges, np.int64).reshape(-1, 3), model.pair)[: len(own)]
 
 
 def _valid(kind: int, value: str) -> bool:
@@ -254,15 +305,11 @@ def _valid(kind: int, value: str) -> bool:
 
 def find(texts: list[str], model: Model) -> list[list[tuple[Span, bool]]]:
     """Per text: spans in order, each with whether it is a base one."""
-    base, found, links, shapes = [base_spans(t) for t in texts], [nodes(t) for t in texts], [], []
-    for each in found:
-        links += edges(each, len(shapes))
-        shapes += each.shapes
-    if shapes and len(model.weight):
-        sure = marginals(np.array(shapes) @ model.weight, np.array(links, np.int64).reshape(-1, 3), model.pair)
+    base, found = [base_spans(t) for t in texts], [nodes(t) for t in texts]
+    labels = [0] * sum(len(each.spans) for each in found)
+    if labels and len(model.weight):
+        sure = beliefs(found, model)
         labels = np.where(sure.max(axis=1) >= SURE, sure.argmax(axis=1), 0).tolist()
-    else:
-        labels = [0] * len(shapes)
     out, first = [], 0
     for text, spans, each in zip(texts, base, found, strict=True):
         own, first = labels[first : first + len(each.spans)], first + len(each.spans)
@@ -287,7 +334,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     """A model from at most `rows` documents with candidate tokens, those with the smallest hash of their id."""
     telling = docs.filter(F.col(text_col).rlike("[0-9@+]") & F.col(id_col).isNotNull())
     chosen = telling.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    return train([r[text_col] or "" for r in bounded(docs, chosen, rows, id_col, text_col)])
+    sample = bounded(telling, chosen.withColumn("_y", F.lit(0)), id_col, text_col)
+    return Model(*fitted(sample, lambda texts, _: train([t.decode() for t in texts])))
 
 
 def spans(docs: DataFrame, model: Model, text_col: str = "text", to: str = "spans") -> DataFrame:

@@ -8,7 +8,8 @@ curve turns its margins into scores.
 
 Defined cases: a null or empty text has no indicators and scores by the offset
 alone; without labels of both classes every text scores the share of good
-labels, without any labels 0.5. Extra columns are carried along.
+labels, without any labels 0.5. Of documents that share an id one is learned from.
+Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigrain.llm.samples import calibrated, families, labelled
+from evigrain.llm.samples import calibrated, families, fitted, labelled
 from evigrain.runtime import tuned
 
 BITS = 18
@@ -133,7 +134,7 @@ def scores(texts: list[bytes | None], model: Model, last: np.ndarray) -> np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAINING_ROWS, label: str = "quality", **columns) -> Model:
     """A model from the labelled documents for which usable (over the labels) is true."""
-    return train(*labelled(docs, labels, label, usable, rows, **columns))
+    return Model(*fitted(labelled(docs, labels, label, usable, rows, **columns), train))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "score") -> DataFrame:

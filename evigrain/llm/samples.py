@@ -1,15 +1,24 @@
-"""Bounded, repeatable samples of labelled documents for fitting classifiers, and score calibration."""
+"""Bounded, repeatable samples of labelled documents for fitting classifiers, and score calibration.
+
+A sample is bounded by rows. Models are made from it by one task, so that
+neither texts nor training take the driver's memory.
+"""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.llm.simhash import fingerprint
+from evigrain.runtime import tuned
 
-#: Text that a sample holds on the driver at most.
-SAMPLE_BYTES = 64 << 20
+#: Fitting reads a longer text in so many pieces of so many characters, spread evenly over the whole of it; scoring reads all texts whole.
+PIECES, PIECE_CHARS = 16, 2048
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -17,27 +26,40 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % folds
 
 
-def bounded(docs: DataFrame, chosen: DataFrame, rows: int, id_col: str, text_col: str, most_bytes: int = SAMPLE_BYTES) -> list:
-    """Rows of docs with chosen ids (with the columns of chosen), in order of the ids' hash: at most `rows`, and about most_bytes of text.
+def pieces(text_col: str) -> Column:
+    """The text, or pieces from its start to its end if it is longer than these are together."""
+    text, size = F.col(text_col), F.char_length(F.col(text_col))
+    place = lambda i: F.floor(i * (size - PIECE_CHARS) / (PIECES - 1)).cast("int") + 1
+    spread = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, place(i), F.lit(PIECE_CHARS))))
+    return F.when(size > PIECES * PIECE_CHARS, spread).otherwise(F.coalesce(text, F.lit("")))
 
-    Texts over a hundredth of the bytes are left out, so that a few long ones don't take the sample's place.
-    """
-    order = Window.orderBy(F.xxhash64(id_col), id_col, text_col)
-    size = F.coalesce(F.octet_length(text_col), F.lit(0))
-    found = docs.select(id_col, text_col).filter(size <= most_bytes // 100).join(F.broadcast(chosen), id_col)
-    counted = found.withColumn("_n", F.row_number().over(order)).withColumn("_bytes", F.sum(size).over(order))
-    return counted.filter((F.col("_n") <= rows) & (F.col("_bytes") <= most_bytes)).collect()
+
+def bounded(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(place, text, y) for the chosen ids, which are few: of rows that share an id, one text, that with the smallest hash."""
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    return found.groupBy(id_col, "_y").agg(F.min_by(pieces(text_col), F.xxhash64(text_col)).alias("text")).select(F.struct(F.xxhash64(id_col).alias("hash"), F.col(id_col).cast("string").alias("id")).alias("place"), "text", F.col("_y").alias("y"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """Texts and 0/1 labels of at most `rows` labelled documents, those with the smallest hash of their id; ids with contradictory labels are left out.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(place, text, y) of at most `rows` labelled documents, those with the smallest hash of their id; ids with contradictory labels are left out.
 
     Ids are chosen from the labels alone, so that texts move only for the sample.
     """
     agreed = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & usable).groupBy(id_col).agg(F.min(label).alias("_y"), F.max(label).alias("_most")).filter("_y = _most")
-    chosen = agreed.orderBy(F.xxhash64(id_col), id_col).limit(rows).select(id_col, "_y")
-    found = bounded(docs, chosen, rows, id_col, text_col)
-    return [(x[text_col] or "").encode() for x in found], np.array([x["_y"] for x in found], np.int64)
+    return bounded(docs, agreed.orderBy(F.xxhash64(id_col), id_col).limit(rows).select(id_col, "_y"), id_col, text_col)
+
+
+def fitted(sample: DataFrame, train: Callable[[list[bytes], np.ndarray], tuple]) -> tuple:
+    """train(texts, labels) on a sample, in the order of its places, in one task."""
+    tuned(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(((p["hash"], p["id"]), t, y) for b in batches for p, t, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        model = train([t for _, t, _ in found], np.array([y for _, _, y in found], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(model))], pa.binary())], names=["model"])
+
+    made = sample.select("place", F.encode("text", "UTF-8").alias("text"), F.col("y").cast("long")).coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else tuple(train([], np.zeros(0, np.int64)))
 
 
 def families(texts: list[bytes], distance: int = 8) -> np.ndarray:

@@ -1,17 +1,19 @@
-"""Near copies by word shingles: an exact similarity join, without a fingerprint in between.
+"""Near copies by SimHash lookups, and an index of rare shingles that completes them.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard
-similarity of 0.8 or more. Such sets share one of the first n - ceil(0.8 n) + 1
-shingles of each, in any order that all texts agree on, so each text is filed
-under these alone. Shingles that a sample of texts shows to be common come last
-in the order, which keeps buckets small; the order changes no result. Whoever
-meets in a bucket is compared by whole sets of 64-bit shingle hashes, unless a
-bound on their difference rules the pair out.
-
-Copies with one set are one node from the start. A first round compares all
-members of a bucket with one of them, some more compare each member with one that
-it is not connected to yet, and the last one compares all pairs of a bucket that
-are still not connected.
+similarity of 0.8 or more. Fingerprints of these shingles find close pairs by
+multi-index hashing, as in simhash. Pairs at 0.8 are up to 22 of 64 bits apart,
+which no affordable ball reaches, so an index completes them: similar sets share
+one of the first n - ceil(0.8 n) + 1 shingles of each, in any order that all texts
+agree on, and each text is filed under these. Shingles that a sample of texts
+shows to be common come last in the order, which keeps buckets small; the order
+changes no result. All candidate pairs are verified on whole sets of 64-bit
+shingle hashes, unless a bound on their difference rules a pair out.
+
+Copies with one set are one node from the start. In a small bucket all pairs are
+candidates. In a large one all members meet one of them, then, while some are
+still not connected, each meets one that it is not connected to, and at last all
+pairs that are not connected meet.
 
 Defined cases: a text of fewer words is one shingle; null and wordless texts have
 the empty set and are copies of each other; rows with a null doc_id link others
@@ -36,19 +38,25 @@ from evigrain.runtime import discard, stored, tuned
 
 SHINGLE_WORDS = 5
 #: Texts and shingles from which the order is made.
-SAMPLE_DOCS, COMMON_SHINGLES = 20_000, 100_000
+SAMPLE_DOCS, COMMON_SHINGLES = 6_000, 50_000
+#: Members of a bucket up to which all its pairs are candidates at once.
+SMALL = 32
 #: Rounds of one comparison a member before the one of all pairs; more of them make that one smaller and change no result.
-TURNS = 3
+TURNS = 2
 ODD_BITS = 1024
 
-_MARK = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("first", T.ArrayType(T.LongType()))])
+_MARK = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("first", T.ArrayType(T.LongType()))])
 _SET = T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.ArrayType(T.LongType()))])
 _CHUNK = 1 << 17
 
 
+def hashes(text: bytes | None) -> np.ndarray:
+    return simhash.hashes((text or b"").lower().split(), SHINGLE_WORDS)
+
+
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    return np.unique(simhash.hashes((text or b"").lower().split(), SHINGLE_WORDS)).view(np.int64)
+    return np.unique(hashes(text)).view(np.int64)
 
 
 def key(own: np.ndarray) -> int:
@@ -90,9 +98,11 @@ def _sets(texts: pa.Array) -> pa.Array:
 def _marks(common: np.ndarray, counts: np.ndarray):
     @F.arrow_udf(_MARK)
     def marks(texts: pa.Array) -> pa.Array:
-        own = _each(texts)
+        every = [hashes(x) for x in texts.cast(pa.large_binary()).to_pylist()]
+        fps = pa.array(np.array([simhash.majority(x) for x in every], np.uint64).view(np.int64))
+        own = [np.unique(x).view(np.int64) for x in every]
         firsts = [first(x, common, counts) for x in own]
-        return pa.StructArray.from_arrays([pa.array([key(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int32()), _lists([odd(x) for x in own]), _lists(firsts)], names=["key", "n", "odd", "first"])
+        return pa.StructArray.from_arrays([pa.array([key(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int32()), fps, _lists([odd(x) for x in own]), _lists(firsts)], names=["key", "n", "fp", "odd", "first"])
 
     return marks
 
@@ -108,8 +118,10 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
     """Shingles of several texts in a sample, sorted, and in how many they are; at most COMMON_SHINGLES."""
     some = docs.select(text_col).sample(fraction=min(1.0, SAMPLE_DOCS / max(docs.count(), 1)), seed=simhash.SEED)
     shared = some.mapInArrow(_counted, "s long, texts long").groupBy("s").agg(F.sum("texts").alias("texts")).filter("texts > 2")
-    found = shared.orderBy(F.desc("texts"), "s").limit(COMMON_SHINGLES).toPandas().sort_values("s")
-    return found["s"].to_numpy(np.int64), found["texts"].to_numpy(np.int64)
+    found = shared.orderBy(F.desc("texts"), "s").limit(COMMON_SHINGLES).toArrow()
+    own, texts = (found.column(c).to_numpy() for c in ("s", "texts"))
+    order = np.argsort(own)
+    return own[order], texts[order]
 
 
 def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -143,7 +155,7 @@ _MET = "kind int, s long, a long, b long, n int, at int"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (s, key, n, at) sorted by s: pairs (a, b) of one member with each other as kind 0, members of buckets of three and more as kind 1."""
+    """Of (s, key, n, at) sorted by s: pairs (a, b) as kind 0, all of small buckets and those of one member of large ones; members of large buckets as kind 1."""
     for s, keys, n, at in _buckets(batches):
         size = _bounds(s)[1]
         shared = np.repeat(size, size) > 1
@@ -154,14 +166,21 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), s))
         s, keys, n, at = (x[order] for x in (s, keys, n, at))
         start, size = _bounds(s)
-        hub, many = np.repeat(start, size), np.repeat(size, size) > 2
-        pair = np.flatnonzero((hub != np.arange(len(s))) & _possible(n, at, n[hub], at[hub]))
-        a, b = keys[pair], keys[hub[pair]]
+        large, last = np.repeat(size, size) > SMALL, np.repeat(start + size, size)
+        i = np.flatnonzero(large)
+        pairs = [np.stack([i, np.repeat(start, size)[i]])]
+        i, step = np.flatnonzero(~large), 1
+        while len(i := i[i + step < last[i]]):
+            pairs.append(np.stack([i, i + step]))
+            step += 1
+        i, j = np.concatenate(pairs, axis=1)
+        fits = (i != j) & _possible(n[i], at[i], n[j], at[j])
+        a, b = keys[i[fits]], keys[j[fits]]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         zeros = np.zeros(len(both), np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zeros, both[:, 0] * 0, both[:, 0].copy(), both[:, 1].copy(), zeros, zeros)], names=["kind", "s", "a", "b", "n", "at"])
-        ones = np.ones(int(many.sum()), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ones, s[many], keys[many], keys[many], n[many], at[many])], names=["kind", "s", "a", "b", "n", "at"])
+        ones = np.ones(int(large.sum()), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ones, s[large], keys[large], keys[large], n[large], at[large])], names=["kind", "s", "a", "b", "n", "at"])
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +227,21 @@ def _one_each(turn: int):
     return run
 
 
+def _close_fingerprints(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are within SimHash's distance, in so far as a chain of such pairs connects them."""
+    named = stored(classes.groupBy("fp").agg(F.min("key").alias("key")), "shingle-fps").df
+    near = simhash.links(named.select("fp")).df
+    same = classes.select("fp", F.col("key").alias("a")).join(named.withColumnRenamed("key", "b"), "fp").filter("a != b").select("a", "b")
+    far = near.withColumnsRenamed({"a": "fp", "b": "other"}).join(named.withColumnRenamed("key", "a"), "fp").select("a", F.col("other").alias("fp")).join(named.withColumnRenamed("key", "b"), "fp").select("a", "b")
+    return same.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id and component_id: the smallest doc_id that links of similarity 0.8 or more reach, the document's own included."""
     spark = tuned(docs.sparkSession)
     marks = _marks(*common_shingles(docs, text_col))
     marked = stored(docs.select(F.col(id_col).alias("doc_id"), marks(F.col(text_col)).alias("m")).select("doc_id", "m.*"), "shingle-marks")
-    classes = stored(marked.df.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.any_value("n").alias("n"), F.any_value("odd").alias("odd"), F.any_value("first").alias("first")), "shingle-classes")
+    classes = stored(marked.df.groupBy("key").agg(F.min("doc_id").alias("least_id"), *(F.any_value(c).alias(c) for c in ("n", "fp", "odd", "first"))), "shingle-classes")
     filed = classes.df.select("key", "n", F.posexplode("first").alias("at", "s")).select("s", "key", "n", "at")
     met = stored(filed.repartition("s").sortWithinPartitions("s").mapInArrow(_met, _MET), "shingle-buckets")
 
@@ -221,32 +249,32 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         """Of pairs (a, b), those with similar sets, which are made again from the texts."""
         side = lambda x: classes.df.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
         differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        pairs = stored(stored(pairs, "shingle-pairs").df.join(side("a"), "a").join(side("b"), "b").filter(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b"), "shingle-likely").df
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.df, "key").select(F.col("least_id").alias(id_col)).distinct()
+        likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b"), "shingle-likely").df
+        ends = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.df, "key").select(F.col("least_id").alias(id_col)).distinct()
         rows = docs.select(id_col, text_col)
         texts = rows.join(ends, id_col, "left_semi").unionByName(rows.filter(F.col(id_col).isNull()))
-        sets = stored(texts.select(_sets(F.col(text_col)).alias("m")).select("m.*").groupBy("key").agg(F.any_value("own").alias("own")), "shingle-sets").df
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
-        return both.filter(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b")
-
+        sets = stored(texts.select(_sets(F.col(text_col)).alias("m")).select("m.*").groupBy("key").agg(F.any_value("own").alias("own")), "shingle-sets")
+        both = likely.join(sets.df.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.df.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
+        similar = stored(both.filter(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b"), "shingle-links").df
+        discard(spark, sets.path)
+        return similar
+
+    near = verified(met.df.filter("kind = 0").select("a", "b").unionByName(_close_fingerprints(classes.df)).distinct())
+    roots = connected_components(near, "a", "b")
     members = met.df.filter("kind = 1").select("s", F.col("a").alias("key"), "n", "at")
-    near = stored(verified(met.df.filter("kind = 0").select("a", "b").distinct()), "shingle-links")
-    for turn in range(TURNS + 1):
-        last = turn == TURNS
-        roots = connected_components(near.df, "a", "b")
+    for turn in range(0 if members.isEmpty() else TURNS + 1):
         rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("s", "key", "n", "at", F.coalesce("root", "key").alias("root"))
-        apart = rooted.repartition("s").sortWithinPartitions("s", "n").mapInArrow(_apart if last else _one_each(turn), "a long, b long").distinct()
-        after = stored(near.df.unionByName(verified(apart)), "shingle-links")
-        discard(spark, near.path)
-        near = after
-    roots = connected_components(near.df, "a", "b")
+        apart = stored(rooted.repartition("s").sortWithinPartitions("s", "n").mapInArrow(_apart if turn == TURNS else _one_each(turn), "a long, b long").distinct(), "shingle-apart").df
+        if not apart.isEmpty():
+            near = near.unionByName(verified(apart))
+            roots = connected_components(near, "a", "b")
 
     linked = roots.join(classes.df.select(F.col("key").alias("node"), "least_id"), "node")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     reached = roots.join(least, "root").select(F.col("node").alias("key"), "component_id")
     component = classes.df.join(reached, "key", "left").select("key", F.coalesce("component_id", "least_id").alias("component_id"))
     component = stored(component, "shingle-components").df  # so that the join below can split the documents of a hot set
-    for used in (met, near, classes):
+    for used in (met, classes):
         discard(spark, used.path)
     return marked.df.select("doc_id", "key").join(component, "key").select("doc_id", "component_id")
 

@@ -56,11 +56,8 @@ def hashes(words: list[bytes], shingle_words: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
 
 
-def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """Unsigned SimHash of one text: ASCII-lowered words, word shingles, XXH64 with seed 42; bit set if set in over half."""
-    each = hashes((text or b"").lower().split(), shingle_words)
-    if not len(each):
-        return 0
+def majority(each: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
     n = len(each)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, _SLICE):
@@ -69,6 +66,11 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int((counts * 2 > n) @ (np.uint64(1) << np.arange(BITS, dtype=np.uint64)))
 
 
+def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """Unsigned SimHash of one text: ASCII-lowered words, word shingles, XXH64 with seed 42; bit set if set in over half."""
+    return majority(hashes((text or b"").lower().split(), shingle_words))
+
+
 @F.arrow_udf(T.LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
     values = [fingerprint(x) for x in texts.cast(pa.large_binary()).to_pylist()]

@@ -2,14 +2,18 @@
 
 A word is the mean of the embeddings of its character n-grams, a stretch of
 words is the mean of its words, and a softmax over two classes reads it. A
-document is as toxic as its most toxic stretch, so that length does not dilute
-a few bad words; in training, the first passes draw stretches of each document
-at random and the later ones take its most toxic one. Misspellings share
-n-grams with the words they stand for.
+document is as toxic as its most toxic stretch of two words, wherever that
+starts, so that length does not dilute a few bad words. Training first draws
+longer stretches of each document at random. Later passes take its most toxic
+stretch among words that are not hidden in that pass, so that no word leaves the
+others unlearned. Words are replaced by edited copies (a letter lost, doubled,
+swapped or exchanged) now and then: misspellings share n-grams with these and
+with the words they stand for.
 
 Defined cases: a null or wordless text scores as a stretch without words; without
 labels of both classes every text scores the share of toxic labels (0 without
-labels). Extra columns are carried along.
+labels). Of documents that share an id one is learned from. Extra columns are
+carried along.
 """
 
 from __future__ import annotations
@@ -24,23 +28,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evigrain.llm.batches import groups
-from evigrain.llm.samples import calibrated, families, labelled
+from evigrain.llm.samples import calibrated, families, fitted, labelled
 from evigrain.runtime import tuned
 
 STRETCH = 2
-BUCKETS = 1 << 17
+BUCKETS_LOG2 = 18
+BUCKETS = 1 << BUCKETS_LOG2
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 #: Labelled documents that training uses at most.
 TRAINING_ROWS = 6000
-PASSES, RANDOM_PASSES = 24, 8
+PASSES, RANDOM_PASSES, RANDOM_STRETCH = 60, 8, 16
+#: Fingerprints of one family of near copies are so many bits apart at most; unrelated texts are 32 on average.
+FAMILY = 16
+#: Share of words that a pass hides, and of those in a stretch that an edited copy takes the place of.
+HIDDEN, EDITED = 0.5, 0.8
 THRESHOLD = 0.3
 #: A toxic label is doubted (weighs DOUBTED) while its document scores below this share of the others: some labels are wrong.
 TRUSTED, DOUBTED = 0.95, 0.05
 #: Step, decay, and the floor of the squared gradients that divide the step: it keeps n-grams of few documents small.
 STEP, DECAY, FLOOR = 0.5, 1e-3, 1e-8
-#: Share of n-grams that a training step sees, so that those which a misspelling leaves must do.
-GRAMS_KEPT = 0.3
 
 _EDGES = b".,;:!?|#%&$*<>()[]{}\"'-_~"
 
@@ -73,7 +80,7 @@ def _subwords(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = (h ^ text[at + k]) * np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
-        grams.append((h * np.uint32(0x85EBCA6B) >> np.uint32(32 - 17)).astype(np.int32))
+        grams.append((h * np.uint32(0x85EBCA6B) >> np.uint32(32 - BUCKETS_LOG2)).astype(np.int32))
         owners.append(word[at])
     owner = np.concatenate(owners)
     return np.concatenate(grams)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(vocabulary))
@@ -91,56 +98,82 @@ def _means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _stretches(scores: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(scores, np.arange(0, len(scores), STRETCH)) / STRETCH
+    """Mean scores of the stretches that start at each word; nothing follows the last one."""
+    return (scores + np.append(scores[1:], 0)) / STRETCH
+
+
+#: Letters that misspellings exchange, by look; any other letter becomes some letter.
+_LIKE = {97: b"4@", 101: b"3", 105: b"1!", 111: b"0", 115: b"5$", 116: b"7"}
+
+
+def edited(word: bytes, rng: np.random.Generator) -> bytes:
+    """A word with one letter lost, doubled, swapped or exchanged; short words stay."""
+    if len(word) < 4:
+        return word
+    kind, at = int(rng.integers(5)), int(rng.integers(1, len(word) - 1))
+    if kind == 0:
+        return word[:at] + word[at + 1 :]
+    if kind == 1:
+        return word[: at + 1] + word[at:]
+    if kind == 2:
+        return word[: at - 1] + word[at : at + 1] + word[at - 1 : at] + word[at + 1 :]
+    if kind == 3:
+        return word[:at] + bytes([97 + int(rng.integers(26))]) + word[at + 1 :]
+    return b"".join(bytes([_LIKE[c][int(rng.integers(len(_LIKE[c])))]]) if c in _LIKE and rng.random() < 0.7 else bytes([c]) for c in word)
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
-    own = families(texts)
+    own = families(texts, FAMILY)
     texts, labels = [texts[i] for i in own], labels[own]
     share = float(labels.mean()) if len(labels) else 0.0
     index: dict[bytes, int] = {}
     tokens = [np.array([index.setdefault(w, len(index)) for w in words(t)] or [0], np.int64) for t in texts]
     if not index or not 0 < share < 1:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    grams, starts = subwords(list(index))
-    counts = np.diff(starts)
+    known = list(index)
+    grams, starts = subwords(known)
+    size = np.array([len(t) for t in tokens])
+    text, begin = np.concatenate(tokens), np.cumsum(size) - size
     embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     bias, seen_e, seen_s = np.zeros(2, np.float32), np.full(BUCKETS, FLOOR, np.float32), 1e-8
     weight, trust = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)), np.ones(len(labels))
     for turn in range(PASSES):
         if turn < RANDOM_PASSES:
-            chosen = [rng.integers(0, len(t), 3) // STRETCH for t in tokens]
+            most, draws = RANDOM_STRETCH, 3
+            start = rng.integers(0, size[:, None], (len(tokens), draws))
         else:
+            most, draws = STRETCH, 1
             score = _means((embedding @ (softmax[:, 1] - softmax[:, 0]))[grams], starts)
-            most = [_stretches(score[t]) for t in tokens]
-            chosen = [[int(np.argmax(x))] for x in most]
-            top = np.array([x.max() for x in most])
-            trust = np.where((labels == 1) & (top < np.quantile(top[labels == 0], TRUSTED)), DOUBTED, 1.0)
-        for part in np.array_split(rng.permutation(len(tokens)), 6):
-            bags = [(d, tokens[d][s * STRETCH : (s + 1) * STRETCH]) for d in part for s in chosen[d]]
-            if not bags:
-                continue
-            word = np.concatenate([b for _, b in bags])
-            bag = np.repeat(np.arange(len(bags)), [len(b) for _, b in bags])
-            size = counts[word]
-            at = np.repeat(starts[word] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            gram, of_bag = grams[at], np.repeat(bag, size)
-            part_of = np.repeat(1 / (size * STRETCH), size) * (rng.random(len(gram)) < GRAMS_KEPT)
-            hidden = np.stack([np.bincount(of_bag, embedding[gram, k] * part_of, len(bags)) for k in range(DIMENSIONS)], axis=1)
+            score[rng.random(len(known)) < HIDDEN] = -1e6
+            found = [_stretches(score[t]) for t in tokens]
+            start = np.array([[int(np.argmax(x))] for x in found])
+            top = np.array([x.max() for x in found])
+            trust = np.where((labels == 1) & (top < np.quantile(top[labels == 0], TRUSTED)) | (top < -1e5), DOUBTED, 1.0)
+        for part in np.array_split(rng.permutation(len(tokens)), min(6, len(tokens))):
+            of, at = np.repeat(part, draws), start[part].ravel()
+            length = np.minimum(most, size[of] - at)
+            bag = np.repeat(np.arange(len(of)), length)
+            word = text[np.repeat(begin[of] + at - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+            gram, ends = subwords([edited(known[w], rng) if copy else known[w] for w, copy in zip(word.tolist(), (rng.random(len(word)) < EDITED).tolist(), strict=True)])
+            n = np.diff(ends)
+            of_bag = np.repeat(bag, n)
+            part_of = np.repeat(1 / (n * np.maximum(length, STRETCH)[bag]), n)
+            hidden = np.stack([np.bincount(of_bag, embedding[gram, k] * part_of, len(of)) for k in range(DIMENSIONS)], axis=1)
             logits = hidden @ softmax + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            of = np.fromiter((d for d, _ in bags), np.int64, len(bags))
-            p[np.arange(len(bags)), labels[of]] -= 1
-            p *= (weight[of] * trust[of] / len(bags))[:, None]
+            p[np.arange(len(of)), labels[of]] -= 1
+            p *= (weight[of] * trust[of] / len(of))[:, None]
             back = p @ softmax.T
             grad_s, grad_b = hidden.T @ p, p.sum(axis=0)
-            grad_e = np.stack([np.bincount(gram, back[of_bag, k] * part_of, BUCKETS) for k in range(DIMENSIONS)], axis=1)
-            seen_e += (grad_e**2).mean(axis=1)
+            met, at = np.unique(gram, return_inverse=True)
+            grad_e = np.stack([np.bincount(at, back[of_bag, k] * part_of, len(met)) for k in range(DIMENSIONS)], axis=1)
+            seen_e[met] += (grad_e**2).mean(axis=1)
             seen_s += float((grad_s**2).mean())
-            embedding -= (STEP * grad_e / np.sqrt(seen_e)[:, None] + DECAY * embedding).astype(np.float32)
+            embedding *= np.float32(1 - DECAY)
+            embedding[met] -= (STEP * grad_e / np.sqrt(seen_e[met])[:, None]).astype(np.float32)
             softmax -= (0.5 * grad_s / np.sqrt(seen_s)).astype(np.float32)
             bias -= (0.5 * grad_b).astype(np.float32)
     gram_score = (embedding @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
@@ -176,7 +209,7 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAINING_ROWS, label: str = "toxic", **columns) -> Model:
     """A model from the labelled documents for which usable (over the labels) is true."""
-    return train(*labelled(docs, labels, label, usable, rows, **columns))
+    return Model(*fitted(labelled(docs, labels, label, usable, rows, **columns), train))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "score") -> DataFrame:

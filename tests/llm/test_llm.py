@@ -111,10 +111,10 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.components(docs.filter("doc_id IS NOT NULL")).collect()} == {3: 1, 1: 1, 7: 7, 9: 8, 8: 8}
 
 
-@pytest.mark.parametrize("sf", [SMALL, MIDDLE])
-def test_near_copies_equal_brute_force(spark, sf):
+def brute_near_copies(of):
+    """Smallest id of each id's group, by comparing all pairs of five-word shingle sets."""
     sets = {}
-    for i, text in texts(spark, sf).items():
+    for i, text in of.items():
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
         sets[i] = {" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
     ids = sorted(sets)
@@ -125,6 +125,12 @@ def test_near_copies_equal_brute_force(spark, sf):
             if min(len(a), len(b)) * 5 >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b) and root[i] != root[j]:
                 low, high = sorted((root[i], root[j]))
                 root = {x: low if r == high else r for x, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("sf", [SMALL, MIDDLE])
+def test_near_copies_equal_brute_force(spark, sf):
+    root = brute_near_copies(texts(spark, sf))
     found = {r["doc_id"]: r["component_id"] for r in shingles.components(table(spark, sf, "documents")).collect()}
     assert found == root
     stayed = corpus_pipeline.near_dedup(spark, table(spark, sf, "documents"), sf)
@@ -346,6 +352,7 @@ def test_message_passing():
     assert np.allclose(pii.marginals(unary, tree, pair, 60), exact_marginals(unary, tree, pair), atol=1e-6)
     loop = np.concatenate([tree, [(0, 4, 1)]])
     assert np.allclose(pii.marginals(unary, loop, pair, 200), exact_marginals(unary, loop, pair), atol=0.08)
+    assert np.allclose(pii.marginals(unary, np.array([(0, 1, 0), (2, -1, 1)]), pair, 60), exact_marginals(unary, [(0, 1, 0), (2, 4, 1)], pair), atol=1e-6)
     skip = np.zeros((2, 2, 2))
     skip[1] = np.eye(2) * 3
     unsure = np.array([[0.0, 4.0], [0.4, 0.0]])
@@ -366,6 +373,19 @@ def test_pii_adds_and_redacts(spark):
     assert pii.redact(docs.limit(0), empty).count() == 0 and len(pii.find(["a 1"], empty)) == 1
 
 
+def test_skip_edges_carry_labels_to_distant_mentions(spark):
+    model = pii.fit(table(spark, LARGE, "documents"))
+    chain_only = model._replace(pair=np.concatenate([model.pair[:1], model.pair[1:] * 0]))
+    text = "Call +1 (269) 555-3296 now. " + ("some words here. " * 300 + "Again 555-3296 it is. ") * 20 + '{"pad":"' + "x" * 500 + '","tel":"555-3296"}'
+    found = [text[a:b] for (a, _, b), base in pii.find([text], model)[0] if not base]
+    assert found.count("555-3296") == 21
+    other = "Call +1 (269) 555-3296 now. Then 555-3296 it was, and once 481-00 was."
+    assert [other[a:b] for (a, _, b), base in pii.find([other], model)[0] if not base] == ["555-3296"]
+    assert "555-3296" not in [text[a:b] for (a, _, b), _ in pii.find([text], chain_only)[0]]
+    tokens = pii.nodes("電話555-3296です mail:a@b.example;" + "9" * 100_000)
+    assert len(tokens.spans) == 3 and tokens.keys[0][1] == "999-9999"
+
+
 def test_secrets_forest(spark):
     forest = secrets.fit(spark)
     held = secrets.labelled_findings(1000, seed=77)
@@ -406,18 +426,39 @@ def test_held_out_accuracy(spark, query, label, folds, held, least):
     assert len(right) > 500 and np.mean(right) >= least
 
 
-def test_toxicity_knows_some_misspellings(spark):
+def test_toxicity_knows_misspellings(spark):
     docs, labels = table(spark, LARGE, "documents"), table(spark, LARGE, "labels")
     score = toxicity.Scorer(toxicity.fit(docs, labels, samples.fold("doc_id", 4) != 2))
     rng = random.Random(1)
     common = "the of and in it is that to was for with".split()
     clean = score([" ".join(rng.choices(common, k=20)).encode() for _ in range(50)] + [b"", None])
-    bad = []
-    for _ in range(100):
-        word = rng.choice(["worthless", "disgusting", "pathetic", "trash", "idiot", "moron"])
-        i = rng.randrange(1, len(word) - 1)
-        bad.append(" ".join([*rng.choices(common, k=9), word[:i] + rng.choice(["", word[i] * 2]) + word[i + 1 :], *rng.choices(common, k=9)]).encode())
-    assert clean.max() < toxicity.THRESHOLD and (score(bad) >= toxicity.THRESHOLD).mean() > 0.25
+    edits = {"lost": lambda w, i: w[:i] + w[i + 1 :], "doubled": lambda w, i: w[: i + 1] + w[i:], "swapped": lambda w, i: w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :], "exchanged": lambda w, i: w[:i] + rng.choice("bcfghklmnxz") + w[i + 1 :], "digits": lambda w, i: w.translate(str.maketrans("aeios", "43105"))}
+    found = {}
+    for kind, edit in edits.items():
+        bad = []
+        for _ in range(200):
+            word = rng.choice(["worthless", "disgusting", "pathetic", "trash", "idiot", "moron"])
+            bad.append(" ".join([*rng.choices(common, k=rng.randrange(5, 15)), edit(word, rng.randrange(1, len(word) - 1)), *rng.choices(common, k=9)]).encode())
+        found[kind] = float((score(bad) >= toxicity.THRESHOLD).mean())
+    print(found)
+    assert clean.max() < toxicity.THRESHOLD and np.mean(list(found.values())) >= 0.9 and min(found.values()) >= 0.7
+    text = "a clean start and you pathetic moron is what it said".split()
+    shifted = score([" ".join(text[i:]).encode() for i in range(4)])
+    assert np.ptp(shifted) < 1e-9 and shifted.min() >= toxicity.THRESHOLD
+
+
+def test_samples_read_long_texts_to_their_end(spark):
+    most = samples.PIECES * samples.PIECE_CHARS
+    long = "".join(f"{i:07d}," for i in range(3 * most // 8))
+    data = [(1, "a" * most, 1), (2, "b" * (most + 1), 1), (3, long, 0), (4, None, 0), (5, "", 0), (5, "other", 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, _y int").withColumn("place", F.lit(1))
+    chosen = spark.createDataFrame([(i, i % 2) for i in range(1, 8)], "doc_id long, _y long")
+    found = {r["place"]["id"]: r for r in samples.bounded(docs.drop("_y"), chosen, "doc_id", "text").collect()}
+    assert set(found) == {"1", "2", "3", "4", "5"} and found["1"]["text"] == "a" * most and set(found["2"]["text"]) == {"b", " "}
+    read = found["3"]["text"].split(" ")
+    assert len(read) == samples.PIECES and long.startswith(read[0]) and long.endswith(read[-1]) and all(r in long for r in read)
+    model = samples.fitted(samples.bounded(docs, chosen, "doc_id", "text"), lambda texts, labels: (texts, labels))
+    assert len(model[0]) == 5 and sorted(model[1].tolist()) == [0, 0, 1, 1, 1] and samples.fitted(samples.bounded(docs.limit(0), chosen, "doc_id", "text"), lambda t, y: (len(t),)) == (0,)
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
