@@ -24,7 +24,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
-    records = warc.round_trip(pages).filter("kind = 'record'")
+    records = warc.whole(warc.round_trip(pages))
     return records.select(warc.own_id("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.own_id("refers_to").cast(kind).alias("refers_to"))
 
 

@@ -6,13 +6,17 @@ store that Spark writes to. The reader takes whole archive files, plain or with
 a gzip member per record. Where a record or member fails a check (header,
 length, closing lines, digests, gzip checksum), it searches for the next version
 line or member that passes, goes on from there, and reports the bytes between as
-a quarantined gap.
-
-Defined cases: a null payload is written as an empty one; a null id or url gives
-an empty one in the record, read back as null; rows that share the smallest id
-among equal payloads are all responses; an empty table gives an empty archive.
-Extra columns are ignored. A record must fit into memory, an archive file into
-2 GB; the writer keeps files near ARCHIVE_BYTES.
+a quarantined gap. Each place is searched once, so its time grows with the
+archive, however much of it is broken.
+
+Defined cases: a null payload is written as an empty one; ids are percent-encoded
+in record names, a null id is a name of its own and read back as null, a null url
+is read back as an empty one, and blanks and line breaks of a url are left out;
+rows that share the smallest id among equal payloads are all responses; an empty
+table gives an empty archive. Extra columns are ignored. A record must fit into
+memory, an archive file into 2 GB; the writer keeps files near ARCHIVE_BYTES. A
+member that unpacks to over MEMBER_BYTES and a header over HEADER_BYTES count as
+broken, and are reported as gaps.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from evigrain.runtime import scratch_path, stored, tuned
 #: Payloads below this many bytes are never written as revisits.
 LEAST_SHARED = 100
 ARCHIVE_BYTES = 32 << 20
+MEMBER_BYTES, HEADER_BYTES = 1 << 30, 1 << 16
 #: Shared payloads up to which their table is broadcast (about 100 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -40,11 +45,13 @@ END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_TYPE = "application/http;msgtype=response"
 WRITTEN = "2024-01-01T00:00:00Z"
+NAMELESS = "<urn:no-record-id>"
 # An extension field: how long the payload of a revisit is that the record leaves out.
 PAYLOAD_LENGTH = "X-Payload-Length"
 
 _VERSION_LINE = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
-_MEMBER = b"\x1f\x8b\x08"
+_MEMBER = re.compile(rb"\x1f\x8b\x08")
+_BLANK = re.compile(rb"\r\n\r\n")
 
 
 def _with_types(pages: DataFrame, id_col: str, payload_col: str, least_shared: int) -> DataFrame:
@@ -61,7 +68,8 @@ def _with_types(pages: DataFrame, id_col: str, payload_col: str, least_shared: i
 
 
 def _named(value: Column) -> Column:
-    return F.concat(F.lit("<urn:record:"), F.coalesce(value.cast("string"), F.lit("")), F.lit(">"))
+    """A record's name; any id, an empty one too, is percent-encoded in it."""
+    return F.coalesce(F.concat(F.lit("<urn:record:"), F.url_encode(value.cast("string")), F.lit(">")), F.lit(NAMELESS))
 
 
 def _record(id_col: str, url_col: str, payload_col: str) -> Column:
@@ -104,14 +112,29 @@ def encode(fields: dict[str, str], block: bytes, member: bool = False) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
+class _Places:
+    """Where something is found next at or after a place; each part of the data is searched once for places that only grow."""
+
+    def __init__(self, data: bytes, pattern: re.Pattern):
+        self.data, self.pattern, self.place, self.asked = data, pattern, -1, -1
+
+    def __call__(self, at: int) -> int:
+        if not self.asked <= at <= self.place:
+            found = self.pattern.search(self.data, at)
+            self.asked, self.place = at, found.start() if found else len(self.data)
+        return self.place
+
+
+def _parse(data: bytes, at: int, header_end: _Places) -> tuple[dict | None, int, str]:
     """The record at a place and the place after it; or None, the place and the failed check."""
     line = _VERSION_LINE.match(data, at)
     if not line:
         return None, at, "no version line"
-    stop = data.find(b"\r\n\r\n", line.end() - 2)
-    if stop < 0:
+    stop = header_end(line.end() - 2)
+    if stop == len(data):
         return None, at, "header without end"
+    if stop - at > HEADER_BYTES:
+        return None, at, "header too long"
     fields = {}
     for each in data[line.end() : stop].split(b"\r\n"):
         name, colon, value = each.partition(b":")
@@ -145,18 +168,27 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return record, end + 4, ""
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes | None, int]:
-    unpacker = zlib.decompressobj(wbits=31)
+def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes | None, int, str]:
+    """A member's contents and the place after it, read piece by piece; or None, the place and the failed check."""
+    unpacker, out, size, view = zlib.decompressobj(wbits=31), [], 0, memoryview(data)
+    place = at
     try:
-        out = unpacker.decompress(memoryview(data)[at:])
+        while not unpacker.eof and place < len(data):
+            piece = view[place : place + step]
+            while True:
+                out.append(unpacker.decompress(piece, MEMBER_BYTES + 1 - size))
+                size += len(out[-1])
+                piece = unpacker.unconsumed_tail
+                if size > MEMBER_BYTES:
+                    return None, at, "member too large"
+                if not piece:
+                    break
+            place += step
     except zlib.error:
-        return None, at
-    return (out, len(data) - len(unpacker.unused_data)) if unpacker.eof else (None, at)
-
-
-def _next(data: bytes, at: int) -> int:
-    member, line = data.find(_MEMBER, at), _VERSION_LINE.search(data, at)
-    return min([x for x in (member, line.start() if line else -1) if x >= 0], default=len(data))
+        return None, at, "broken gzip member"
+    if not unpacker.eof:
+        return None, at, "broken gzip member"
+    return b"".join(out), min(place, len(data)) - len(unpacker.unused_data), ""
 
 
 def salvage(data: bytes) -> Iterator[dict]:
@@ -165,22 +197,21 @@ def salvage(data: bytes) -> Iterator[dict]:
     A gzip member counts as a whole: if something in it fails, its good records come out and the member's bytes are a gap as well.
     """
     at, gap, why = 0, None, ""
+    member, line, header_end = _Places(data, _MEMBER), _Places(data, _VERSION_LINE), _Places(data, _BLANK)
 
     def closed(upto: int) -> list[dict]:
         return [] if gap is None else [{"kind": "gap", "offset": gap, "length": upto - gap, "reason": why}]
 
     while at < len(data):
         records, bad = [], ""
-        if data.startswith(_MEMBER, at):
-            inner, end = _inflate(data, at)
-            if inner is None:
-                bad = "broken gzip member"
-            else:
+        if _MEMBER.match(data, at):
+            inner, end, bad = _inflate(data, at)
+            if inner is not None:
                 found = list(salvage(inner))
                 records = [x | {"offset": at, "length": end - at} for x in found if x["kind"] == "record"]
                 bad = next((x["reason"] for x in found if x["kind"] == "gap"), "")
         else:
-            record, end, bad = _parse(data, at)
+            record, end, bad = _parse(data, at, header_end)
             if record:
                 records = [record | {"kind": "record", "offset": at, "length": end - at, "reason": None}]
         if bad and gap is None:
@@ -195,7 +226,7 @@ def salvage(data: bytes) -> Iterator[dict]:
                 yield from closed(at)
                 gap = None
         else:
-            at = _next(data, at + 1)
+            at = min(member(at + 1), line(at + 1))
     yield from closed(len(data))
 
 
@@ -232,7 +263,13 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 def own_id(record_id: str) -> Column:
     """The id in a record's name; null if it had none."""
     found = F.regexp_extract(F.col(record_id), r"^<urn:record:(.*)>$", 1)
-    return F.when(found != "", found)
+    return F.when(F.col(record_id).rlike(r"^<urn:record:.*>$"), F.coalesce(F.try_url_decode(found), found))
+
+
+def whole(found: DataFrame) -> DataFrame:
+    """The records of an archive that must have no gaps: a gap stops the query with its place and reason."""
+    broken = F.raise_error(F.concat_ws(" ", F.lit("gap in"), "archive", F.lit("at"), "offset", F.lit(":"), "reason"))
+    return found.filter(F.when(F.col("kind") == "gap", broken.cast("boolean")).otherwise(F.lit(True)))
 
 
 def round_trip(pages: DataFrame, payloads: bool = False, **options) -> DataFrame:

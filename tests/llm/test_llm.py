@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -242,13 +243,44 @@ def test_warc_round_trip_with_revisits(spark):
     records = found.filter("kind = 'record'").collect()
     assert len(records) == len(data) and found.filter("kind = 'gap'").count() == 0
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
-    expected = Counter(("" if i is None else str(i), digest(t), len((t or "").encode()), "revisit" if t == long and i != 2 else "response") for i, _, t in data)
-    assert Counter((re.search("record:(.*)>", r["record_id"])[1], r["payload_digest"], r["payload_bytes"], r["record_type"]) for r in records) == expected
+    expected = Counter((None if i is None else str(i), digest(t), len((t or "").encode()), "revisit" if t == long and i != 2 else "response") for i, _, t in data)
+    named = lambda name: m[1] if (m := re.search("record:(.*)>", name)) else None
+    assert Counter((named(r["record_id"]), r["payload_digest"], r["payload_bytes"], r["record_type"]) for r in records) == expected
     assert {r["refers_to"] for r in records if r["record_type"] == "revisit"} == {"<urn:record:2>"}
     assert {bytes(r["payload"]).decode() for r in records if r["payload"] is not None} == {t or "" for i, _, t in data if t != long} | {long}
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ids_of_any_text_come_back(spark):
+    ids = ["a\r\nb", " ", "", None, "x y\n", "100%", "<é>", "+", "a\r\nb", "WARC/1.1\r\n"]
+    long = "same " * 50
+    pages = spark.createDataFrame([(i, "u", long if n % 2 else f"page {n}") for n, i in enumerate(ids)], "page_id string, url string, html string")
+    found = warc.whole(warc.round_trip(pages)).select(warc.own_id("record_id").alias("id"), "record_type", warc.own_id("refers_to").alias("to")).collect()
+    least = min(i for n, i in enumerate(ids) if n % 2 and i is not None)
+    assert Counter(r["id"] for r in found) == Counter(ids) and {r["to"] for r in found if r["record_type"] == "revisit"} == {least}
+    with pytest.raises(Exception, match="gap in"):
+        warc.whole(warc.round_trip(pages).withColumn("kind", F.lit("gap"))).collect()
+
+
+@pytest.mark.parametrize("make", ["digest", "lines", "members", "whole"])
+def test_salvage_takes_time_in_proportion(make):
+    rng = random.Random(3)
+    body = rng.randbytes(900)
+    parts = {"digest": warc.encode({"WARC-Type": "resource"}, body).replace(b"sha256:", b"sha256:0"), "lines": b"WARC/1.1\r\nx: y\r\n", "members": b"\x1f\x8b\x08junk", "whole": warc.encode({"WARC-Type": "resource"}, body, True)}
+    data = parts[make] * ((8 << 20) // len(parts[make]))
+    began = time.process_time()
+    found = list(warc.salvage(data))
+    assert time.process_time() - began < 20
+    assert len(found) == (len(data) // len(parts[make]) if make == "whole" else 1)
+
+
+def test_salvage_bounds_what_members_unpack_to(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
+    fine = warc.encode({"WARC-Type": "resource", "WARC-Record-ID": "<urn:record:1>"}, b"x" * 1000, True)
+    found = list(warc.salvage(warc.encode({"WARC-Type": "resource"}, b"0" * (1 << 21), True) + fine))
+    assert [(x["kind"], x["reason"]) for x in found] == [("gap", "member too large"), ("record", None)]
+
+
 @pytest.mark.parametrize("member", [False, True])
 def test_salvage_loses_only_what_is_broken(member):
     rng = random.Random(member)
