@@ -4,23 +4,28 @@ A pattern is a window of benchmark words. For the patterns of one length, the
 shift table tells from the block of words under the end of the search window
 how far the window can move without missing a pattern; where it can't move, the
 patterns that end in this block (suffix hash) and start with the words at hand
-(prefix) are compared word by word. Almost all positions are skipped.
+(prefix hash) are compared word by word. Almost all positions are skipped.
 
+Tables are sorted numpy arrays of hashes, about 50 bytes a benchmark word.
 Patterns reach the workers in chunks of bounded size; a benchmark of many
 chunks is searched in as many passes, each written before the next.
 
-Defined cases: a null text has no words; items with a null id or without words
-are ignored; repeated items count once; repeated document rows stay; empty
-tables give empty results. Extra columns are carried along.
+Defined cases: a null text has no words; items without words are ignored; items
+with a null id make hits but are not named; repeated items count once; repeated
+document rows stay; empty tables give empty results. Extra columns are carried
+along.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +34,7 @@ from evigrain.runtime import stored, tuned
 
 WINDOW = 10
 #: Benchmark bytes that one broadcast holds; more are searched in further passes.
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES = 16 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _FOUND = T.StructType(
@@ -47,45 +52,99 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_LOWER).split()
 
 
+def _hashes(own: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+
+
+def _blocks(own: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` words."""
+    n = max(len(own) - size + 1, 0)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def _ends(own: list[bytes]) -> np.ndarray:
+    """Where each word ends in their text, joined by spaces."""
+    return np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+
+
 class WuManber:
-    """Search tables for all patterns of one length (in words)."""
+    """Search tables for all patterns of one length (in words): windows of texts, given with the numbers of their items."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, length: int, texts: list[list[bytes]], items: list[int]):
         self.length, self.block = length, min(2, length)
         self.far = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.suffix: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list]] = defaultdict(lambda: defaultdict(list))
-        for pattern, items in patterns.items():
-            for end in range(self.block, length + 1):
-                block = pattern[end - self.block : end]
-                self.shift[block] = min(self.shift.get(block, self.far), length - end)
-            self.suffix[pattern[length - self.block :]][pattern[: self.block]].append((pattern, items))
-
-    def search(self, text: list[bytes]):
-        """(start, items) of every occurrence."""
-        length, block, far, shift = self.length, self.block, self.far, self.shift.get
-        end, n = length, len(text)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        own = _hashes(list(chain.from_iterable(texts)))
+        self.text = b" ".join(chain.from_iterable(texts))
+        ends = _ends(list(chain.from_iterable(texts)))
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(own))
+        first = np.flatnonzero(left >= length)
+        item = np.repeat(np.asarray(items, np.int64), size)[first]
+        blocks = _blocks(own, self.block)
+        suffix, prefix = blocks[first + length - self.block], blocks[first]
+        order = np.lexsort((item, prefix, suffix))
+        self.suffix, self.prefix, self.item = suffix[order], prefix[order], item[order]
+        self.at, self.to = starts[first][order], ends[first + length - 1][order]
+        known, shift = [], []
+        for end in range(self.block, length + 1):
+            known.append(np.unique(blocks[first + end - self.block]))
+            shift.append(np.full(len(known[-1]), length - end, np.int32))
+        every, moves = np.concatenate(known), np.concatenate(shift)
+        order = np.lexsort((moves, every))
+        self.known, least = np.unique(every[order], return_index=True)
+        self.shift = moves[order][least]
+
+    def search(self, own: list[bytes], hashed: np.ndarray, text: bytes, ends: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(start, item numbers) of every occurrence."""
+        length, block, n = self.length, self.block, len(own)
+        if n < length:
+            return
+        blocks = _blocks(hashed, block)
+        place = np.minimum(np.searchsorted(self.known, blocks), len(self.known) - 1)
+        moves = np.where(self.known[place] == blocks, self.shift[place], self.far)
+        if moves.all():
+            return
+        moves = moves.tolist()
+        end = length
         while end <= n:
-            tail = (text[end - 2], text[end - 1]) if block == 2 else (text[end - 1],)
-            move = shift(tail, far)
+            move = moves[end - block]
             if move:
                 end += move
                 continue
             start = end - length
-            for pattern, items in self.suffix[tail].get(tuple(text[start : start + block]), ()):
-                if tuple(text[start:end]) == pattern:
-                    yield start, items
+            low, high = (np.searchsorted(self.suffix, blocks[end - block], side) for side in ("left", "right"))
+            near = self.prefix[low:high]
+            low, high = low + np.searchsorted(near, blocks[start], "left"), low + np.searchsorted(near, blocks[start], "right")
+            if low < high:
+                here = text[int(ends[start - 1]) + 1 if start else 0 : int(ends[end - 1])]
+                found = [int(self.item[i]) for i in range(low, high) if self.text[self.at[i] : self.to[i]] == here]
+                if found:
+                    yield start, found
             end += 1
 
 
-def compiled(items: list[tuple[str, bytes]], window: int = WINDOW) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        own = words(text)
-        size = min(window, len(own))
-        for pattern in {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if size else ():
-            by_length[size][pattern].append(item)
-    return [WuManber(k, patterns) for k, patterns in sorted(by_length.items())]
+class Machines:
+    """Tables of all pattern lengths, and the items' names by number."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
+        self.names = [name for name, _ in items]
+        by_length: dict[int, tuple[list[list[bytes]], list[int]]] = {}
+        for i, (_, text) in enumerate(items):
+            own = words(text)
+            if own:
+                texts, numbers = by_length.setdefault(min(window, len(own)), ([], []))
+                texts.append(own)
+                numbers.append(i)
+        self.tables = [WuManber(k, *by_length.pop(k)) for k in sorted(by_length)]
+
+
+def compiled(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Machines:
+    return Machines(items, window)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -98,17 +157,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search(machines: list[WuManber], text: bytes | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+def search(machines: Machines, text: bytes | None) -> tuple[int, list[tuple[int, int]], list[str]]:
     own = words(text)
     spans, items = [], set()
-    for machine in machines:
-        for start, named in machine.search(own):
-            spans.append((start, start + machine.length))
-            items.update(named)
-    return len(own), merged(spans), sorted(items)
+    if own and machines.tables:
+        hashed, joined, ends = _hashes(own), b" ".join(own), _ends(own)
+        for table in machines.tables:
+            for start, found in table.search(own, hashed, joined, ends):
+                spans.append((start, start + table.length))
+                items.update(found)
+    named = {machines.names[i] for i in items}
+    return len(own), merged(spans), sorted(x for x in named if x is not None)
 
 
-_machines: dict[str, list[WuManber]] = {}
+_machines: dict[str, Machines] = {}
 
 
 def _searcher(items, window: int):
@@ -133,10 +195,10 @@ def _searcher(items, window: int):
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, to: str = "found") -> DataFrame:
-    """docs with a struct: n_words, spans (word offsets inside any occurrence of an item's window, merged) and items (their ids as sorted strings)."""
+    """docs with a struct: n_words, spans (word offsets inside any occurrence of an item's window, merged) and items (their ids as sorted strings; null ids are not among them)."""
     spark = tuned(docs.sparkSession)
-    items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct()
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct()
+    total = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))
     out = docs.withColumn(to, F.lit(None).cast(_FOUND))
     for i in range(chunks):
@@ -154,4 +216,4 @@ def hit_words(to: str = "found") -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents without any occurrence of a benchmark window."""
-    return overlaps(docs, benchmark, to="_found", **options).filter(F.size("_found.items") == 0).drop("_found")
+    return overlaps(docs, benchmark, to="_found", **options).filter(F.size("_found.spans") == 0).drop("_found")

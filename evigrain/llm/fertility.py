@@ -4,12 +4,13 @@ Two public vocabularies read the words of each text: a byte-pair vocabulary with
 byte fallback gives characters per token, the share of bytes it had to fall back
 to and the entropy of the tokens; a byte-level one gives characters per token
 again. Characters are those of words and one for the space before each. Texts are
-read in groups of bounded size, each different word of a group once. A text is rejected where a measure leaves the band of its language or,
-for other languages, of the script that most of its letters are in.
+read in groups of bounded size, each different word of a group once. A text is
+rejected where a measure leaves the band of its language or, for other languages,
+of the script that most of its letters are in. Bands widen with the error that a
+measure over so few tokens can have, so texts of every length are judged alike.
 
 Defined cases: a null text counts as empty and has no words; a null or unknown
-language goes by script; texts of few tokens are judged by the plain counts
-only. Repeated rows stay. Extra columns are carried along.
+language goes by script. Repeated rows stay. Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ TOKENIZERS = "/opt/tokenizers"
 WINDOW = 5
 FEWEST_WORDS = 10
 MOST_REPEATED = 20
-#: Below these tokens the characters per token and the entropy of a text say little.
-FEWEST_TOKENS, FEWEST_FOR_RATE = 50, 200
+#: How many standard errors a measure may be outside of its band, and what one token adds to the error: of the characters of a token and of its bits.
+ERRORS, SPREAD_CHARS, SPREAD_BITS = 3.0, 2.0, 1.5
+#: Bits of entropy that a text of any length can be asked parts of: prose has no more words for being longer.
+MOST_BITS = 10.0
 
 
 class Band(NamedTuple):
@@ -45,7 +48,7 @@ class Band(NamedTuple):
     entropy: float
 
 
-#: By language where known, else by script. Entropy is in parts of the most that so many tokens can have.
+#: By language where known, else by script. Entropy is in parts of the most that so many tokens can have, MOST_BITS at most.
 BANDS = {
     "en": Band((2.1, 8.0), (2.1, 8.0), 0.05, 0.46),
     "de": Band((2.0, 8.0), (2.0, 8.0), 0.05, 0.46),
@@ -160,16 +163,27 @@ class Meter:
             ids = flat[np.repeat(first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(n)]
             share = np.bincount(ids)
             share = share[share > 0] / n
-            read, most = n_chars + len(words), float(np.log2(n)) or 1.0
+            read, most = n_chars + len(words), min(float(np.log2(n)), MOST_BITS) or 1.0
             out.append({"n_tokens": n, "chars_per_piece": read / n, "chars_per_byte_token": read / max(int(level[at].sum()), 1), "fallback_share": float(self.fallback[ids].mean()), "entropy": max(0.0, float(-(share * np.log2(share)).sum())) / most})
         return out
 
 
 def within(rates: dict, band: Band) -> bool:
-    if rates["n_tokens"] < FEWEST_TOKENS:
+    """Whether all measures are in their bands, or no further outside than a sample of so many tokens may be."""
+    n = rates["n_tokens"]
+    if not n:
         return True
-    rated = rates["n_tokens"] < FEWEST_FOR_RATE or (band.pieces[0] <= rates["chars_per_piece"] <= band.pieces[1] and band.bytes[0] <= rates["chars_per_byte_token"] <= band.bytes[1])
-    return rated and rates["fallback_share"] <= band.fallback and rates["entropy"] >= band.entropy
+    error = ERRORS / np.sqrt(n)
+    chars, bits = error * SPREAD_CHARS, error * SPREAD_BITS / min(max(np.log2(n), 1.0), MOST_BITS)
+    share = rates["fallback_share"]
+    # Wilson's lower bound of a share, which keeps to 0 and 1.
+    surely = (share + error**2 / 2 - error * np.sqrt(share * (1 - share) + error**2 / 4)) / (1 + error**2)
+    return (
+        bool(band.pieces[0] - chars <= rates["chars_per_piece"] <= band.pieces[1] + chars)
+        and bool(band.bytes[0] - chars <= rates["chars_per_byte_token"] <= band.bytes[1] + chars)
+        and bool(surely <= band.fallback)
+        and bool(rates["entropy"] >= band.entropy - bits)
+    )
 
 
 def measure(meter: Meter, texts: list[bytes], langs: list[str | None], bands: dict[str, Band] = BANDS) -> list[dict]:

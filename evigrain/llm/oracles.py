@@ -36,7 +36,7 @@ FROM filed f JOIN running r ON r.sid = f.sid AND r.key = f.key AND r.doc_id IS N
 """
 
 DECONTAMINATION = f"""
-WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 patterns AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
   FROM item_words, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
@@ -46,7 +46,7 @@ places AS (
   FROM doc_words, (SELECT DISTINCT k FROM patterns), unnest(range(1, len(w) - k + 2)) AS t(i)),
 found AS (SELECT rid, i, k, item_id FROM places JOIN patterns USING (k, g)),
 hits AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT DISTINCT rid, i, k FROM found), unnest(range(i, i + k)) AS t(p) GROUP BY rid),
-items AS (SELECT rid, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid)
+items AS (SELECT rid, count(item_id) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)

@@ -327,10 +327,23 @@ def test_wu_manber_equals_brute_force():
         assert (n, sum(b - a for a, b in spans), named) == brute_overlap(items, text)
 
 
+def test_search_tables_are_small():
+    """8 MB of items of words that differ; tables take well under 16 times that."""
+    rng = random.Random(9)
+    items = [(str(i), " ".join(f"{rng.getrandbits(28):x}" for _ in range(200)).encode()) for i in range(5000)]
+    machines = decontam.compiled(items)
+    size = sum(v.nbytes if isinstance(v, np.ndarray) else len(v) if isinstance(v, bytes) else 0 for t in machines.tables for v in vars(t).values())
+    assert size < 16 * sum(len(t) for _, t in items)
+    assert decontam.search(machines, b"so " + items[77][1][:120] + b" and")[2] == ["77"]
+
+
 def test_decontamination_in_chunks_and_on_odd_tables(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "lone"), (3, None), (None, "x y"), (4, "--"), (2, "lone")], "item_id long, text string")
     data = [(1, "So: ONE two three four, five six seven eight nine TEN!", "en", "a", 1), (2, None, None, None, None), (3, "a lone word", "en", "a", 1), (3, "a lone word", "en", "a", 1), (None, "", None, None, 0)]
     docs = spark.createDataFrame(data, DOCS).withColumn("items", F.lit("mine"))
+    nameless = spark.createDataFrame([(None, "lone")], "item_id long, text string")
+    assert [(len(r["found"]["spans"]), r["found"]["items"]) for r in decontam.overlaps(docs.filter("doc_id = 3"), nameless).collect()] == [(1, [])] * 2
+    assert decontam.decontaminate(docs, nameless).filter("doc_id = 3").count() == 0
     for chunk in (1 << 20, 10):
         found = decontam.overlaps(docs, bench, chunk_bytes=chunk).collect()
         assert sorted((r["found"]["n_words"], tuple(map(tuple, r["found"]["spans"])), tuple(r["found"]["items"])) for r in found) == sorted([(11, ((1, 11),), ("1",)), (0, (), ()), (3, ((1, 2),), ("2",)), (3, ((1, 2),), ("2",)), (0, (), ())])
@@ -547,6 +560,42 @@ def test_fertility_bands(spark):
     assert not fertility.within({"n_tokens": 60, "chars_per_piece": 3.0, "chars_per_byte_token": 3.0, "fallback_share": 0.0, "entropy": 0.2}, odd)
 
 
+def test_fertility_verdicts_equal_brute_force(spark):
+    """Each word tokenised by itself, measures and bounds written out."""
+    import math
+
+    meter = fertility.Meter()
+    found = {r["doc_id"]: r for r in rows(spark, SMALL, "op8_fertility")}
+    for r in table(spark, SMALL, "documents").select("doc_id", "text", "lang").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        ids = [i for w in words for i in meter.pieces.encode(w)]
+        level = sum(len(meter.bytes.encode_ordinary(" " + w)) for w in words)
+        own, n = found[r["doc_id"]], len(ids)
+        assert own["n_tokens"] == n
+        if not n:
+            assert not own["kept"]
+            continue
+        read = sum(map(len, words)) + len(words)
+        share = sum(meter.pieces.is_byte(i) and meter.pieces.id_to_piece(i) not in ("<0x09>", "<0x0A>", "<0x0D>") for i in ids) / n
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values()) / (min(math.log2(n), 10) or 1)
+        assert (own["chars_per_piece"], own["chars_per_byte_token"], own["fallback_share"], own["entropy"]) == pytest.approx((read / n, read / level, share, max(entropy, 0)))
+        band = fertility.BANDS[r["lang"] if r["lang"] in fertility.BANDS else fertility.script(np.bincount(np.frombuffer((r["text"] or "").encode(), np.uint8), minlength=256))]
+        z = 3 / math.sqrt(n)
+        low = (share + z * z / 2 - z * math.sqrt(share * (1 - share) + z * z / 4)) / (1 + z * z)
+        fits = all(b[0] - 2 * z <= x <= b[1] + 2 * z for x, b in ((read / n, band.pieces), (read / level, band.bytes))) and low <= band.fallback and entropy >= band.entropy - 1.5 * z / min(max(math.log2(n), 1), 10)
+        assert own["kept"] == (fits and not own["base_failed"])
+
+
+def test_fertility_judges_texts_of_every_length(spark):
+    odd = [" ".join("".join(chr(0x2C80 + (7 * i + j) % 96) for j in range(4)) for i in range(n)) for n in (10, 12, 14, 60, 250)]
+    prose = "Each of these plain sentences says something else about rivers, hills, and small towns near the sea while nobody hurries".split()
+    plain = [" ".join(prose[:n]) for n in (10, 12, 15, 19)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(odd + plain)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["measures"]["kept"] for r in fertility.measures(docs).collect()}
+    assert [found[i] for i in range(len(odd + plain))] == [False] * len(odd) + [True] * len(plain)
+    assert fertility.measures(docs.limit(0)).count() == 0
+
+
 def greedy(word, starting, continuing):
     at, pieces = 0, 0
     while at < len(word):
