@@ -93,6 +93,27 @@ def png_chunks(data: bytes) -> list[tuple[bytes, bytes]] | None:
     return None
 
 
+def _unfiltered(rows: np.ndarray, modes: np.ndarray) -> np.ndarray:
+    """Pixels from filtered rows, a diagonal at a time: a pixel needs those to its left, above, and above the left one."""
+    height, width, step = rows.shape
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    if modes.max(initial=0) < 3:  # no pixel needs its neighbours in a row but by a sum
+        for y in range(height):
+            own = np.cumsum(rows[y], axis=0) if modes[y] == 1 else rows[y] + out[y, 1:] * (modes[y] == 2)
+            out[y + 1, 1:] = own % 256
+        return out[1:, 1:].astype(np.int64)
+    for diagonal in range(height + width - 1):
+        y = np.arange(max(0, diagonal - width + 1), min(height, diagonal + 1))
+        x = diagonal - y
+        left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = left + above - corner
+        to_left, to_above, to_corner = abs(p - left), abs(p - above), abs(p - corner)
+        nearest = np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
+        guess = np.choose(modes[y][:, None], [np.zeros_like(left), left, above, (left + above) // 2, nearest])
+        out[y + 1, x + 1] = (rows[y, x] + guess) % 256
+    return out[1:, 1:].astype(np.int64)
+
+
 def png_pixels(data: bytes) -> np.ndarray | None:
     """Rows of RGBA of an 8-bit PNG without interlace; None for others."""
     chunks = png_chunks(data)
@@ -106,27 +127,9 @@ def png_pixels(data: bytes) -> np.ndarray | None:
     if len(raw) != height * (width * step + 1):
         return None
     lines = raw.reshape(height, width * step + 1)
-    out = np.zeros((height, width, step), np.int64)
-    for y in range(height):
-        row, above = lines[y, 1:].reshape(width, step).astype(np.int64), out[y - 1] if y else np.zeros((width, step), np.int64)
-        mode = lines[y, 0]
-        if mode == 0:
-            out[y] = row
-        elif mode == 1:
-            out[y] = np.cumsum(row, axis=0) % 256
-        elif mode == 2:
-            out[y] = (row + above) % 256
-        else:
-            left = np.zeros(step, np.int64)
-            for x in range(width):
-                corner = above[x - 1] if x else np.zeros(step, np.int64)
-                if mode == 3:
-                    guess = (left + above[x]) // 2
-                else:
-                    p = left + above[x] - corner
-                    far = np.stack([abs(p - left), abs(p - above[x]), abs(p - corner)])
-                    guess = np.choose(far.argmin(axis=0), [left, above[x], corner])
-                left = out[y, x] = (row[x] + guess) % 256
+    if lines[:, 0].max(initial=0) > 4:
+        return None
+    out = _unfiltered(lines[:, 1:].reshape(height, width, step).astype(np.int16), lines[:, 0])
     if kind == 3:
         table = np.frombuffer(next((c for k, c in chunks if k == b"PLTE"), b""), np.uint8).reshape(-1, 3)
         alpha = np.full(len(table), 255, np.int64)
@@ -164,7 +167,36 @@ def size_of(content: Column) -> Column:
 
 
 _DATA_URL = re.compile(r"data:image/(png|jpeg|gif|webp|svg\+xml);base64,([A-Za-z0-9+/]+={0,2})", re.IGNORECASE)
-MOST_EMBEDDED = 32 << 20
+MOST_EMBEDDED, MOST_HEADER = 32 << 20, 64 << 10
+
+
+def _whole_png(data: bytes) -> bool:
+    """Checked chunks from one header of known methods to an empty end, and nothing after it."""
+    chunks = png_chunks(data)
+    if not chunks or not all(kind.isalpha() for kind, _ in chunks) or [kind for kind, _ in chunks].count(b"IHDR") != 1:
+        return False
+    head = chunks[0][1]
+    return len(head) == 13 and head[10:12] == b"\0\0" and chunks[-1][1] == b"" and len(data) == len(PNG) + sum(12 + len(c) for _, c in chunks)
+
+
+def _scanned_jpeg(data: bytes) -> tuple[int, int] | None:
+    """Size by the last frame header before the first scan; None without either or with a zero side."""
+    at, found = 2, None
+    while at + 4 <= len(data) and at < MOST_HEADER and data[at] == 0xFF:
+        while at + 2 < len(data) and data[at + 1] == 0xFF:
+            at += 1
+        marker, at = data[at + 1], at + 2
+        if marker == 0xDA:
+            return found
+        size = int.from_bytes(data[at : at + 2])
+        if marker == 0xD9 or size < 2 or at + size > len(data):
+            return None
+        if marker in FRAME_MARKERS and size >= 7:
+            found = int.from_bytes(data[at + 5 : at + 7]), int.from_bytes(data[at + 3 : at + 5])
+            if 0 in found:
+                return None
+        at += size
+    return None
 
 
 def embedded(url: str | None) -> dict:
@@ -176,14 +208,15 @@ def embedded(url: str | None) -> dict:
         data = b""
     if not match or not 0 < len(data) <= MOST_EMBEDDED or base64.b64encode(data).decode() != match[2]:
         return {"valid": False, "width": None, "height": None}
-    kind, found = match[1].lower(), size(data)
+    kind = match[1].lower()
+    found = _scanned_jpeg(data) if kind == "jpeg" else size(data)
     whole = {
-        "png": png_chunks(data) is not None,
-        "gif": data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 14 and data[-1:] == b"\x3b",
-        "jpeg": data[:2] == b"\xff\xd8" and data[-2:] == b"\xff\xd9" and found is not None,
-        "webp": data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 20 and int.from_bytes(data[4:8], "little") + 8 == len(data),
-        "svg+xml": re.match(rb"\s*(?:<\?xml[^>]*>\s*)?<svg[\s>]", data, re.IGNORECASE) is not None and re.search(rb"</svg>\s*$", data, re.IGNORECASE) is not None,
-    }[kind]
+        "png": lambda: _whole_png(data),
+        "gif": lambda: data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 14 and data[-1:] == b"\x3b",
+        "jpeg": lambda: data[:2] == b"\xff\xd8" and data[-2:] == b"\xff\xd9",
+        "webp": lambda: data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 20 and int.from_bytes(data[4:8], "little") + 8 == len(data),
+        "svg+xml": lambda: re.match(rb"\s*(?:<\?xml[^>]*>\s*)?<svg[\s>]", data, re.IGNORECASE) is not None and re.search(rb"</svg>\s*$", data, re.IGNORECASE) is not None,
+    }[kind]()
     ok = whole and (found is not None or kind in ("webp", "svg+xml"))
     return {"valid": ok, "width": found[0] if ok and found else None, "height": found[1] if ok and found else None}
 
