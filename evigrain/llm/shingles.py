@@ -1,19 +1,21 @@
-"""Near copies by SimHash lookups, and an index of rare shingles that completes them.
+"""Near copies by SimHash, with an index of rare shingles for what balls don't reach.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard
-similarity of 0.8 or more. Fingerprints of these shingles find close pairs by
-multi-index hashing, as in simhash. Pairs at 0.8 are up to 22 of 64 bits apart,
-which no affordable ball reaches, so an index completes them: similar sets share
-one of the first n - ceil(0.8 n) + 1 shingles of each, in any order that all texts
-agree on, and each text is filed under these. Shingles that a sample of texts
-shows to be common come last in the order, which keeps buckets small; the order
-changes no result. All candidate pairs are verified on whole sets of 64-bit
-shingle hashes, unless a bound on their difference rules a pair out.
-
-Copies with one set are one node from the start. In a small bucket all pairs are
-candidates. In a large one all members meet one of them, then, while some are
-still not connected, each meets one that it is not connected to, and at last all
-pairs that are not connected meet.
+similarity of 0.8 or more. Fingerprints of these sets find close pairs by
+multi-index hashing, as in simhash. Pairs at 0.8 are about ten of 64 bits apart
+and up to 22, which no affordable ball reaches, so an index brings more
+fingerprints together: similar sets share one of the first n - ceil(0.8 n) + 1
+shingles of each, in any order that all texts agree on, and each text is filed
+under these. Shingles that a sample of texts shows to be common come last in the
+order, which keeps buckets small; the order changes no result. Whoever meets is
+compared by complete distance: up to FAR bits, over four standard deviations
+beyond those of pairs at 0.8. What is left is verified on whole sets of 64-bit
+shingle hashes, after a bound on their difference.
+
+Copies with one set are one node from the start. In a bucket of up to SMALL all
+pairs are compared. Members of a larger one are compared with one of them; then,
+with their bounds at hand, a forest of possible links is verified, and at last
+all possible links between members that are still not connected.
 
 Defined cases: a text of fewer words is one shingle; null and wordless texts have
 the empty set and are copies of each other; rows with a null doc_id link others
@@ -37,12 +39,12 @@ from evigrain.llm.components import connected_components
 from evigrain.runtime import discard, stored, tuned
 
 SHINGLE_WORDS = 5
-#: Texts and shingles from which the order is made.
-SAMPLE_DOCS, COMMON_SHINGLES = 6_000, 50_000
-#: Members of a bucket up to which all its pairs are candidates at once.
-SMALL = 32
-#: Rounds of one comparison a member before the one of all pairs; more of them make that one smaller and change no result.
-TURNS = 2
+#: Texts and shingles from which the order is made; only shingles that are early by hash are counted.
+SAMPLE_DOCS, COMMON_SHINGLES, EARLY = 20_000, 100_000, -(1 << 62)
+#: Members of a bucket up to which all its pairs are compared at once.
+SMALL = 256
+#: Bits that fingerprints of similar sets differ by at most.
+FAR = 24
 ODD_BITS = 1024
 
 _MARK = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("first", T.ArrayType(T.LongType()))])
@@ -98,9 +100,8 @@ def _sets(texts: pa.Array) -> pa.Array:
 def _marks(common: np.ndarray, counts: np.ndarray):
     @F.arrow_udf(_MARK)
     def marks(texts: pa.Array) -> pa.Array:
-        every = [hashes(x) for x in texts.cast(pa.large_binary()).to_pylist()]
-        fps = pa.array(np.array([simhash.majority(x) for x in every], np.uint64).view(np.int64))
-        own = [np.unique(x).view(np.int64) for x in every]
+        own = _each(texts)
+        fps = pa.array(np.array([simhash.majority(x.view(np.uint64)) for x in own], np.uint64).view(np.int64))
         firsts = [first(x, common, counts) for x in own]
         return pa.StructArray.from_arrays([pa.array([key(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int32()), fps, _lists([odd(x) for x in own]), _lists(firsts)], names=["key", "n", "fp", "odd", "first"])
 
@@ -108,9 +109,9 @@ def _marks(common: np.ndarray, counts: np.ndarray):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of the texts of each batch, and in how many of these they are."""
+    """Early shingles of the texts of each batch, and in how many of these they are."""
     for batch in batches:
-        found, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *_each(batch.column(0))]), return_counts=True)
+        found, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[: np.searchsorted(x, EARLY)] for x in _each(batch.column(0)))]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["s", "texts"])
 
 
@@ -124,9 +125,13 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
     return own[order], texts[order]
 
 
-def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m shingles that first share their at-th and to-th can be similar."""
-    return 9 * np.minimum(n - at, m - to) >= 4 * (n + m)
+def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles can be similar."""
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+
+
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -151,77 +156,66 @@ def _bounds(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(s)))
 
 
-_MET = "kind int, s long, a long, b long, n int, at int"
+_MET = "kind int, s long, a long, b long, n int"
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs, the smaller key first."""
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (s, key, n, at) sorted by s: pairs (a, b) as kind 0, all of small buckets and those of one member of large ones; members of large buckets as kind 1."""
-    for s, keys, n, at in _buckets(batches):
+    """Of (s, key, n, fp) sorted by s: pairs (a, b) as kind 0, all of small buckets and those of one member of large ones; members of large buckets as kind 1."""
+    for s, keys, n, fp in _buckets(batches):
         size = _bounds(s)[1]
         shared = np.repeat(size, size) > 1
-        s, keys, n, at = (x[shared] for x in (s, keys, n, at))
+        s, keys, n, fp = (x[shared] for x in (s, keys, n, fp))
         if not len(s):
             continue
-        mixed = (keys ^ s).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), s))
-        s, keys, n, at = (x[order] for x in (s, keys, n, at))
         start, size = _bounds(s)
         large, last = np.repeat(size, size) > SMALL, np.repeat(start + size, size)
+        found = []
+
+        def compare(i: np.ndarray, j: np.ndarray) -> None:
+            near = (keys[i] != keys[j]) & _alike(n[i], n[j]) & (_bits(fp[i], fp[j]) <= FAR)
+            found.append(_pairs(keys[i[near]], keys[j[near]]))
+
         i = np.flatnonzero(large)
-        pairs = [np.stack([i, np.repeat(start, size)[i]])]
+        compare(i, np.repeat(start, size)[i])
         i, step = np.flatnonzero(~large), 1
         while len(i := i[i + step < last[i]]):
-            pairs.append(np.stack([i, i + step]))
+            compare(i, i + step)
             step += 1
-        i, j = np.concatenate(pairs, axis=1)
-        fits = (i != j) & _possible(n[i], at[i], n[j], at[j])
-        a, b = keys[i[fits]], keys[j[fits]]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        both = np.unique(np.concatenate(found), axis=0)
         zeros = np.zeros(len(both), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zeros, both[:, 0] * 0, both[:, 0].copy(), both[:, 1].copy(), zeros, zeros)], names=["kind", "s", "a", "b", "n", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zeros, both[:, 0] * 0, both[:, 0].copy(), both[:, 1].copy(), zeros)], names=["kind", "s", "a", "b", "n"])
         ones = np.ones(int(large.sum()), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ones, s[large], keys[large], keys[large], n[large], at[large])], names=["kind", "s", "a", "b", "n", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ones, s[large], keys[large], keys[large], n[large])], names=["kind", "s", "a", "b", "n"])
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (s, key, n, at, root) sorted by s and n: pairs (a, b) of a bucket that can be similar and have different roots."""
-    for s, keys, n, at, root in _buckets(batches):
-        out = []
-        start, size = _bounds(s)
-        for lo, hi in zip(start.tolist(), (start + size).tolist(), strict=True):
-            if (root[lo:hi] == root[lo]).all():
-                continue
-            ends = lo + np.searchsorted(4 * n[lo:hi], 5 * n[lo:hi], "right")
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, ends[i - lo])
-                j = j[(root[j] != root[i]) & _possible(n[i], at[i], n[j], at[j])]
-                if len(j):
-                    out.append(np.stack([np.minimum(keys[j], keys[i]), np.maximum(keys[j], keys[i])], axis=1))
-        if out:
-            both = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in (0, 1)], names=["a", "b"])
-
-
-def _one_each(turn: int):
-    """Of (s, key, n, at, root) sorted by s: a pair of each member with one of another root, so that they are no more than members."""
+def _apart(forest: bool):
+    """Of (s, key, n, root, odd) sorted by s: pairs (a, b) of a bucket that have different roots and can be similar; a forest of them, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(turn)
-        for s, keys, n, at, root in _buckets(batches):
-            order = np.lexsort((root, s))
-            s, keys, n, at, root = (x[order] for x in (s, keys, n, at, root))
+        for s, keys, n, root, odd in _buckets(batches):
+            out = [np.zeros((0, 2), np.int64)]
             start, size = _bounds(s)
-            lo, count = np.repeat(start, size), np.repeat(size, size)
-            run_start = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (root[1:] != root[:-1]))))
-            run_size = np.diff(np.append(run_start, len(s)))
-            own_lo, own_size = np.repeat(run_start, run_size), np.repeat(run_size, run_size)
-            some = np.flatnonzero(count > own_size)
-            # A place among the members of the bucket that are not of the own root.
-            place = (rng.random(len(some)) * (count - own_size)[some]).astype(np.int64) + lo[some]
-            other = np.where(place < own_lo[some], place, place + own_size[some])
-            fits = _possible(n[some], at[some], n[other], at[other])
-            a, b = keys[some[fits]], keys[other[fits]]
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            for lo, hi in zip(start.tolist(), (start + size).tolist(), strict=True):
+                label = root[lo:hi].copy()
+                if (label == label[0]).all():
+                    continue
+                own, many, marks = keys[lo:hi], n[lo:hi].astype(np.int64), np.stack(odd[lo:hi])
+                for i in range(hi - lo - 1):
+                    j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & _alike(many[i + 1 :], many[i]))
+                    j = j[9 * _bits(marks[j], marks[i]).sum(axis=1) <= many[j] + many[i]]
+                    if not len(j):
+                        continue
+                    if forest:
+                        _, one = np.unique(label[j], return_index=True)
+                        label[np.isin(label, label[j])] = label[i]
+                        j = j[one]
+                    out.append(_pairs(own[j], np.full(len(j), own[i])))
+            both = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in (0, 1)], names=["a", "b"])
 
     return run
@@ -242,7 +236,7 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     marks = _marks(*common_shingles(docs, text_col))
     marked = stored(docs.select(F.col(id_col).alias("doc_id"), marks(F.col(text_col)).alias("m")).select("doc_id", "m.*"), "shingle-marks")
     classes = stored(marked.df.groupBy("key").agg(F.min("doc_id").alias("least_id"), *(F.any_value(c).alias(c) for c in ("n", "fp", "odd", "first"))), "shingle-classes")
-    filed = classes.df.select("key", "n", F.posexplode("first").alias("at", "s")).select("s", "key", "n", "at")
+    filed = classes.df.select(F.explode("first").alias("s"), "key", "n", "fp")
     met = stored(filed.repartition("s").sortWithinPartitions("s").mapInArrow(_met, _MET), "shingle-buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -253,18 +247,16 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         ends = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.df, "key").select(F.col("least_id").alias(id_col)).distinct()
         rows = docs.select(id_col, text_col)
         texts = rows.join(ends, id_col, "left_semi").unionByName(rows.filter(F.col(id_col).isNull()))
-        sets = stored(texts.select(_sets(F.col(text_col)).alias("m")).select("m.*").groupBy("key").agg(F.any_value("own").alias("own")), "shingle-sets")
-        both = likely.join(sets.df.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.df.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
-        similar = stored(both.filter(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b"), "shingle-links").df
-        discard(spark, sets.path)
-        return similar
+        sets = texts.select(_sets(F.col(text_col)).alias("m")).select("m.*").groupBy("key").agg(F.any_value("own").alias("own"))
+        both = likely.join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
+        return stored(both.filter(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b"), "shingle-links").df
 
     near = verified(met.df.filter("kind = 0").select("a", "b").unionByName(_close_fingerprints(classes.df)).distinct())
     roots = connected_components(near, "a", "b")
-    members = met.df.filter("kind = 1").select("s", F.col("a").alias("key"), "n", "at")
-    for turn in range(0 if members.isEmpty() else TURNS + 1):
-        rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("s", "key", "n", "at", F.coalesce("root", "key").alias("root"))
-        apart = stored(rooted.repartition("s").sortWithinPartitions("s", "n").mapInArrow(_apart if turn == TURNS else _one_each(turn), "a long, b long").distinct(), "shingle-apart").df
+    members = met.df.filter("kind = 1").select("s", F.col("a").alias("key"), "n").join(classes.df.select("key", "odd"), "key")
+    for forest in () if met.df.filter("kind = 1").isEmpty() else (True, False):
+        rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"), "odd")
+        apart = stored(rooted.repartition("s").sortWithinPartitions("s", "n").mapInArrow(_apart(forest), "a long, b long").distinct(), "shingle-apart").df
         if not apart.isEmpty():
             near = near.unionByName(verified(apart))
             roots = connected_components(near, "a", "b")

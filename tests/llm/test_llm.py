@@ -144,7 +144,7 @@ def test_near_copies_in_one_large_group(spark):
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     base, line = [word() for _ in range(200)], [word() for _ in range(12)]
     data = [(0, " ".join(base), "en", "a", 1)]
-    for i in range(1, 150):
+    for i in range(1, 600):  # more than one bucket compares at once
         own = list(base)
         for at in rng.sample(range(200), rng.choice((1, 2, 4))):
             own[at] = word()
@@ -154,6 +154,16 @@ def test_near_copies_in_one_large_group(spark):
     assert found == {r[0]: 0 if r[0] < 1000 else r[0] for r in data}
 
 
+def test_large_buckets_equal_brute_force(spark):
+    """Texts of one stock of lines: many are similar, more are nearly so, and all meet in a few large buckets."""
+    rng = random.Random(6)
+    lines = [" ".join(f"{a}{k}{b}" for k in range(8)) for a, b in zip("abcdefghijklmnop", "qrstuvwxyzabcdef")]
+    texts_of = {i: " ".join(rng.sample(lines, 3) + lines[:9] if i % 3 else rng.sample(lines, 12)) for i in range(700)}
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts_of.items()], DOCS)
+    found = {r["doc_id"]: r["component_id"] for r in shingles.components(docs).collect()}
+    assert found == brute_near_copies(texts_of)
+
+
 def test_near_copies_on_odd_tables(spark):
     base = "one two three four five six seven eight nine ten eleven twelve"
     data = [(3, base, "en", "a", 1), (1, base.upper(), "en", "b", 1), (7, "few words", None, None, None), (None, base, "en", "a", 1), (7, "few words", None, None, None), (9, None, None, None, None), (8, "", None, None, None)]
