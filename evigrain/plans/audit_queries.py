@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from evigrain.functions import color, geometry
 from evigrain.functions.geometry import Rect
-from evigrain.operators import audit
+from evigrain.operators import audit, fixes
 from evigrain.plans.registered import registry
-from evigrain.plans.standins import frame, run, twin
+from evigrain.plans.standins import STANDINS, frame, run, twin
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -141,19 +141,50 @@ def outside_canvas(spark, sf):
     return audit.outside(frame(spark, sf, "elements"))
 
 
-_KNOWN = "('#112233', '#445566', '#FFFFFF')"
-_RULES = rf"""SELECT slide_id, ord, element_id, 'OUTSIDE_SLIDE' AS type, 'error' AS severity FROM elements WHERE x < 0 OR y < 0 OR x + w > 960 OR y + h > 540
-UNION ALL SELECT slide_id, ord, element_id, 'EMPTY_PLACEHOLDER', 'error' FROM elements WHERE type = 'text' AND (trim(text) = '' OR contains(lower(text), 'lorem ipsum'))
-UNION ALL SELECT slide_id, ord, element_id, 'SMALL_TEXT', 'warning' FROM elements WHERE type = 'text' AND font_size < 14
-UNION ALL SELECT slide_id, ord, element_id, 'UNSUPPORTED_FONT', 'warning' FROM elements WHERE type = 'text' AND lower(font) NOT IN ('georgia', 'arial', 'calibri', 'aptos')
-UNION ALL SELECT slide_id, ord, element_id, 'COLOR_OUTSIDE_DESIGN_SYSTEM', 'warning' FROM elements WHERE type = 'text' AND upper(color) NOT IN {_KNOWN}
-UNION ALL SELECT slide_id, ord, element_id, 'SMALL_MARGIN', 'warning' FROM elements WHERE type = 'text' AND NOT (y >= 540 * 0.9::DOUBLE AND h <= 540 * 0.1::DOUBLE) AND (x < 18.9::DOUBLE OR y < 18.9::DOUBLE OR x + w > 941.1::DOUBLE OR y + h > 521.1::DOUBLE)
-UNION ALL SELECT slide_id, ord, element_id, 'COLOR_OUTSIDE_DESIGN_SYSTEM', 'info' FROM elements WHERE type = 'shape' AND upper(fill) NOT IN {_KNOWN} AND upper(stroke) NOT IN {_KNOWN}"""
+#: The elements with tables for placeholders, and images of four kinds: a GIF, none, a PNG of 2 by 1, a link.
+_CANVAS = """SELECT e.slide_id, e.ord, e.element_id, CASE WHEN e.type = 'placeholder' THEN 'table' ELSE e.type END AS type, e.x, e.y, e.w, e.h, e.z, e.text, e.font, e.font_size, e.font_weight, e.color, e.shape, e.fill, e.stroke, 0.0 AS radius, CAST((e.ord % 3) * 10 AS DOUBLE) AS crop_left FROM elements e"""
+_DOT = "iVBORw0KGgoAAAANSUhEUgAAAAIAAAABCAAAAADRSSBWAAAAC0lEQVR4nGNgaAAAAIMAgYn3HK0AAAAASUVORK5CYII="
+
+
+def _canvas(spark, sf):
+    rows = run(spark, sf, _CANVAS)
+    gif = F.concat(F.unhex(F.lit("474946383961")), F.unhex(F.lpad(F.hex(F.col("ord") + 1), 2, "0")), F.unhex(F.lit("0002000000003B")))
+    url = F.element_at(F.array(F.concat(F.lit("data:image/gif;base64,"), F.base64(gif)), F.lit(None), F.lit(f"data:image/png;base64,{_DOT}"), F.lit("https://example.org/a.png")), (F.col("ord") % 4 + 1).cast("int"))
+    table = F.array(F.array(F.lit("Name"), F.lit("Value")), F.array(F.col("text"), F.col("ord").cast("string")))
+    return rows.withColumn("data_url", F.when(F.col("type") == "image", url)).withColumn("rows", F.when(F.col("type") == "table", table))
 
 
-@query("audit_issues", twin(_RULES))
+_KNOWN = "('#112233', '#445566', '#FFFFFF')"
+#: Lines of wrapped words for rows of (slide_id, ord, text, size, w).
+_LINES = """RECURSIVE words AS (SELECT slide_id, ord, size, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws, greatest(4, floor(w / greatest(5.0::DOUBLE, size * 0.62::DOUBLE))::INTEGER) AS most FROM {0}),
+steps AS (SELECT slide_id, ord, size, ws, most, 0 AS k, 0 AS done, 0 AS now FROM words UNION ALL
+SELECT slide_id, ord, size, ws, most, k + 1, done + CASE WHEN breaks THEN 1 ELSE 0 END + cut, CASE WHEN now > 0 AND NOT breaks THEN now + 1 ELSE 0 END + n - cut * most FROM (SELECT *, now > 0 AND now + 1 + n > most AS breaks, CASE WHEN n > most THEN (n - 1) // most ELSE 0 END AS cut FROM (SELECT *, length(ws[k + 1]) AS n FROM steps WHERE k < len(ws)))),
+lines AS (SELECT slide_id, ord, size, greatest(1, done + CASE WHEN now > 0 THEN 1 ELSE 0 END) AS n FROM steps WHERE k = len(ws))"""
+_SIZED = "SELECT slide_id, ord, text, font_size AS size, w FROM elements WHERE type = 'text'"
+_TOO_TALL = "SELECT e.slide_id, e.ord, e.element_id, 'TEXT_OVERFLOW' AS type, 'error' AS severity, 'Text exceeds element bounds' AS message FROM elements e JOIN lines l ON l.slide_id = e.slide_id AND l.ord = e.ord WHERE e.type = 'text' AND l.n * e.font_size * 1.28::DOUBLE > e.h"
+_PLAIN_RULES = rf"""SELECT slide_id, ord, element_id, 'OUTSIDE_SLIDE' AS type, 'error' AS severity, 'Element extends outside the slide' AS message FROM elements WHERE x < 0 OR y < 0 OR x + w > 960 OR y + h > 540
+UNION ALL SELECT slide_id, ord, element_id, 'EMPTY_PLACEHOLDER', 'error', CASE WHEN trim(text) = '' THEN 'Text placeholder is empty' ELSE 'Text contains placeholder content' END FROM elements WHERE type = 'text' AND (trim(text) = '' OR contains(lower(text), 'lorem ipsum'))
+UNION ALL SELECT slide_id, ord, element_id, 'SMALL_TEXT', 'warning', 'Text is smaller than 14 px' FROM elements WHERE type = 'text' AND font_size < 14
+UNION ALL SELECT slide_id, ord, element_id, 'UNSUPPORTED_FONT', 'warning', 'Font is not declared by the template design system' FROM elements WHERE type = 'text' AND lower(font) NOT IN ('georgia', 'arial', 'calibri', 'aptos')
+UNION ALL SELECT slide_id, ord, element_id, 'COLOR_OUTSIDE_DESIGN_SYSTEM', 'warning', 'Text color is outside the extracted design system' FROM elements WHERE type = 'text' AND upper(color) NOT IN {_KNOWN}
+UNION ALL SELECT slide_id, ord, element_id, 'SMALL_MARGIN', 'warning', 'Text is too close to the slide edge' FROM elements WHERE type = 'text' AND NOT (y >= 540 * 0.9::DOUBLE AND h <= 540 * 0.1::DOUBLE) AND (x < 18.9::DOUBLE OR y < 18.9::DOUBLE OR x + w > 941.1::DOUBLE OR y + h > 521.1::DOUBLE)
+UNION ALL SELECT slide_id, ord, element_id, 'COLOR_OUTSIDE_DESIGN_SYSTEM', 'info', 'Shape uses a color outside the extracted palette' FROM elements WHERE type = 'shape' AND upper(fill) NOT IN {_KNOWN} AND upper(stroke) NOT IN {_KNOWN}
+UNION ALL SELECT slide_id, ord, element_id, type, severity, message FROM tall"""
+_MEDIA_RULES = """UNION ALL SELECT slide_id, ord, element_id, 'EMPTY_PLACEHOLDER', 'error', 'Table cell at row 2, column 1 contains placeholder content' FROM elements WHERE type = 'placeholder' AND contains(lower(text), 'lorem ipsum')
+UNION ALL SELECT slide_id, ord, element_id, 'INVALID_IMAGE_DATA', 'error', 'Image has missing or malformed embedded data' FROM elements WHERE type = 'image' AND ord % 4 IN (1, 3)
+UNION ALL SELECT slide_id, ord, element_id, 'IMAGE_ASPECT_DISTORTION', 'warning', 'Image frame materially changes the intrinsic aspect ratio' FROM elements WHERE type = 'image' AND ord % 4 IN (0, 2) AND abs(ln((w / h) / ((CASE WHEN ord % 4 = 0 THEN (ord + 1) / 2.0::DOUBLE ELSE 2.0::DOUBLE END) * (100 - (ord % 3) * 10) / 100.0::DOUBLE))) > ln(1.1::DOUBLE)"""
+_LINE_PARTS = _LINES.format("sized").removeprefix("RECURSIVE ")
+_RULES = f"SELECT slide_id, ord, element_id, type, severity FROM ({_PLAIN_RULES})"
+
+
+def _with_lines(body: str, **own: str) -> str:
+    """A twin whose body reads the table `tall`."""
+    return twin(f"WITH RECURSIVE sized AS ({_SIZED}), {_LINE_PARTS}, tall AS ({_TOO_TALL}) {body}", **own)
+
+
+@query("audit_issues", _with_lines(f"{_PLAIN_RULES} {_MEDIA_RULES}"))
 def audit_issues(spark, sf):
-    return audit.element_rules(frame(spark, sf, "elements"), FONTS, COLORS).drop("message")
+    return audit.element_rules(_canvas(spark, sf), FONTS, COLORS)
 
 
 @query("repeated_element_ids", twin("SELECT slide_id, ord, element_id FROM elements QUALIFY row_number() OVER (PARTITION BY slide_id, element_id ORDER BY ord) > 1"))
@@ -200,17 +231,44 @@ def low_contrast(spark, sf):
     return audit.low_contrast(square).select("slide_id", "ord", "severity")
 
 
-@query("text_overflow")
+@query("text_overflow", _with_lines("SELECT slide_id, ord, severity FROM tall"))
 def text_overflow(spark, sf):
     return audit.overflow(frame(spark, sf, "elements")).select("slide_id", "ord", "severity")
 
 
+_SLIDES = "SELECT concat('deck-', CAST(slide_no % 3 AS VARCHAR(20))) AS deck, slide_id, slide_no AS ord, concat('Title ', CAST(slide_no % 4 AS VARCHAR(20))) AS title FROM elements GROUP BY slide_id, slide_no"
+_REPORT = f"""{_PLAIN_RULES} {_MEDIA_RULES}
+UNION ALL SELECT slide_id, ord, element_id, 'ELEMENT_OVERLAP', 'error', 'Two canvas elements share the same id' FROM (SELECT slide_id, ord, element_id FROM elements QUALIFY row_number() OVER (PARTITION BY slide_id, element_id ORDER BY ord) > 1)
+UNION ALL SELECT slide_id, ord, element_id, 'ELEMENT_OVERLAP', severity, message FROM ({_OVERLAPS})
+UNION ALL SELECT e.slide_id, e.ord, e.element_id, 'LOW_TEXT_CONTRAST', 'warning', concat('Text contrast is ', format('{{:.2f}}', {_contrast('color', "coalesce(background, '#000000')")}), ':1; WCAG 2.2 AA requires at least ', CASE WHEN {_NEEDED} = 3 THEN '3' ELSE '4.5' END, ':1') FROM elements e JOIN behind b ON b.slide_id = e.slide_id AND b.ord = e.ord WHERE trim(e.text) <> '' AND background IS NOT NULL AND {_contrast('color', "coalesce(background, '#000000')")} < {_NEEDED}
+UNION ALL SELECT slide_id, NULL, NULL, 'DENSE_LAYOUT', 'warning', 'Slide has more than 70 editable objects' FROM elements GROUP BY slide_id HAVING count(*) > 70
+UNION ALL SELECT slide_id, NULL, NULL, 'DUPLICATE_SLIDE', 'warning', concat('Substantive content matches ', first_id) FROM repeated"""
+_SIGNED = """signed AS (SELECT s.deck, s.slide_id, s.ord, concat(s.title, '|', (SELECT string_agg(lower(trim(text)), '|' ORDER BY lower(trim(text))) FROM elements e WHERE e.slide_id = s.slide_id AND type = 'text' AND trim(text) <> '' AND NOT (y >= 540 * 0.9::DOUBLE AND h <= 540 * 0.1::DOUBLE)),
+'#', (SELECT string_agg(concat(lower(trim(text)), '/', ord), '|' ORDER BY concat(lower(trim(text)), '/', ord)) FROM elements e WHERE e.slide_id = s.slide_id AND type = 'placeholder')) AS signature FROM slides s),
+repeated AS (SELECT slide_id, first_value(slide_id) OVER w AS first_id, row_number() OVER w AS turn FROM signed WINDOW w AS (PARTITION BY deck, signature ORDER BY ord) QUALIFY turn > 1)"""
+#: Slides that come again under other numbers, so that some repeat the content of others.
+_TWICE = "SELECT * FROM elements_once UNION ALL SELECT concat(slide_id, '-again') AS slide_id, slide_no + 300000 AS slide_no, ord, element_id, type, x, y, w, h, z, text, font, font_size, font_weight, color, shape, fill, stroke, radius FROM elements_once WHERE slide_no % 2 = 0"
+
+
+@query("audit_report", _with_lines(f", {_BACKGROUNDS.strip().removeprefix('WITH ')}, behind AS ({_BACKGROUND}), {_SIGNED} {_REPORT}", elements=_TWICE, elements_once=STANDINS["elements"], slides=_SLIDES))
+def audit_report(spark, sf):
+    """All rules, over slides of which every other one comes twice."""
+    once = _canvas(spark, sf)
+    number = F.regexp_extract("slide_id", "([0-9]+)$", 1).cast("long")
+    again = once.filter(number % 2 == 0).withColumn("slide_id", F.concat("slide_id", F.lit("-again")))
+    elements = once.unionByName(again)
+    numbered = elements.select("slide_id").distinct().withColumn("slide_no", F.regexp_extract("slide_id", "^slide-([0-9]+)", 1).cast("long") + F.when(F.endswith("slide_id", F.lit("-again")), 300000).otherwise(0))
+    slides = numbered.select(F.concat(F.lit("deck-"), (F.col("slide_no") % 3).cast("string")).alias("deck"), "slide_id", F.col("slide_no").alias("ord"), F.concat(F.lit("Title "), (F.col("slide_no") % 4).cast("string")).alias("title"))
+    return audit.issues(elements, FONTS, COLORS, slides)
+
+
 @query("safe_fixes")
 def safe_fixes(spark, sf):
-    return audit.safe_fixes(frame(spark, sf, "elements"), FONTS, _PALETTE)
+    design = fixes.Design(("Georgia",), ("Aptos",), tuple(_PALETTE))
+    return fixes.safe_fixes(frame(spark, sf, "elements"), design)
 
 
-@query("audit_summary", twin("SELECT slide_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos, count(*) FILTER (WHERE severity = 'error') = 0 AS passed FROM issues GROUP BY slide_id", issues=_RULES))
+@query("audit_summary", _with_lines(f", issues AS ({_RULES}) SELECT slide_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos, count(*) FILTER (WHERE severity = 'error') = 0 AS passed FROM issues GROUP BY slide_id"))
 def audit_summary(spark, sf):
     return audit.report(audit.element_rules(frame(spark, sf, "elements"), FONTS, COLORS))
 

@@ -316,14 +316,95 @@ def test_skills(spark):
         skills.skill("none")
 
 
-def test_safe_fixes_are_idempotent(spark):
-    from evigrain.operators import audit
+ELEMENT = "slide_id string, ord int, element_id string, type string, x double, y double, w double, h double, z int, text string, font string, font_size double, font_weight int, color string, shape string, fill string, stroke string, radius double"
+
+
+def fixed(spark, *rows, design=None, **more):
+    """Rows are changes to a plain text element in the middle of the canvas; gives the elements by order after all safe fixes."""
+    from evigrain.operators import fixes
+
+    plain = {"slide_id": "s", "element_id": None, "type": "text", "x": 100.0, "y": 100.0, "w": 300.0, "h": 40.0, "z": 1, "text": "fine", "font": "Arial", "font_size": 20.0, "font_weight": 400, "color": "#000000", "shape": "rect", "fill": "#FFFFFF", "stroke": "#FFFFFF", "radius": 0.0}
+    made = [plain | {"ord": i, "element_id": f"e{i}"} | row for i, row in enumerate(rows)]
+    kind = ELEMENT + (", locked boolean" if any("locked" in r for r in made) else "")
+    names = [f.split()[0] for f in kind.split(", ")]
+    elements = spark.createDataFrame([tuple(r.get(n) for n in names) for r in made], kind)
+    found = fixes.safe_fixes(elements, design or fixes.Design(("Georgia",), ("Aptos",), ("#777777", "#112233", "#FFFFFF")))
+    return [r.asDict() for r in found.orderBy("ord").collect()]
+
+
+def test_safe_fixes_one_by_one(spark):
+    from evigrain.operators import fixes
+
+    box, font, heading = fixed(spark, {"x": -20.0, "y": 520.0, "w": 1200.0}, {"font": "Papyrus", "y": 200.0}, {"font": "Papyrus", "font_weight": 700, "y": 300.0})
+    assert (box["x"], box["y"], box["w"], box["h"], box["fixed"]) == (0.0, 500.0, 960.0, 40.0, "OUTSIDE_SLIDE")
+    assert (font["font"], font["fixed"]) == ("Aptos", "UNSUPPORTED_FONT") and (heading["font"], heading["fixed"]) == ("Georgia", "UNSUPPORTED_FONT")
+    assert fixed(spark, {"font": "Papyrus"}, design=fixes.Design((), (), ()))[0]["fixed"] == ""
+
+
+def test_safe_fixes_of_overflow(spark):
+    long = "several words that need more than one line in a box of this width"
+    assert [(r["h"], r["font_size"], r["fixed"]) for r in fixed(spark, {"text": long})] == [(pytest.approx(3 * 20 * 1.28), 20.0, "TEXT_OVERFLOW")]
+    below = {"y": 165.0, "text": "near"}  # growing would meet it, so the font shrinks
+    assert [(r["h"], r["font_size"], r["fixed"]) for r in fixed(spark, {"text": long, "h": 60.0}, below)] == [(60.0, 15.0, "TEXT_OVERFLOW"), (40.0, 20.0, "")]
+    lows = [fixed(spark, {"text": long, "y": 495.0, "h": h})[0] for h in (40.0, 30.0)]  # the canvas has no room to grow
+    assert [(r["h"], r["font_size"], r["fixed"]) for r in lows] == [(40.0, 14.0, "TEXT_OVERFLOW"), (30.0, 20.0, "")]
+    locked = fixed(spark, {"text": long, "locked": True})[0]
+    assert (locked["h"], locked["fixed"]) == (40.0, "")
+    twins = fixed(spark, {"text": long, "element_id": "same"}, {"element_id": "same", "y": 300.0})
+    assert [t["fixed"] for t in twins] == ["", ""] and twins[0]["h"] == 40.0
+
+
+def test_safe_fixes_of_contrast(spark):
+    # The first colour of the palette that is enough, not the best one.
+    assert [(r["color"], r["fixed"]) for r in fixed(spark, {"color": "#EEEEEE"})] == [("#112233", "LOW_TEXT_CONTRAST")]
+    assert [(r["color"], r["fixed"]) for r in fixed(spark, {"color": "#EEEEEE", "font_size": 24.0})] == [("#777777", "LOW_TEXT_CONTRAST")]
+    dark = {"type": "shape", "x": 90.0, "y": 90.0, "w": 400.0, "h": 100.0, "z": 0, "fill": "#000000"}
+    assert [(r["color"], r["fixed"]) for r in fixed(spark, dark, {})][1] == ("#777777", "LOW_TEXT_CONTRAST")
+    unclear = fixed(spark, dark, {"color": "#111111"}, {"type": "image", "x": 95.0, "y": 95.0, "w": 50.0, "h": 50.0, "z": 2})
+    assert (unclear[1]["color"], unclear[1]["fixed"]) == ("#111111", "")
+    twins = fixed(spark, {"color": "#EEEEEE", "element_id": "same"}, {"element_id": "same", "y": 300.0})
+    assert [t["color"] for t in twins] == ["#EEEEEE", "#000000"]
+
+
+def test_safe_fixes_leave_less(spark):
+    from evigrain.operators import audit, fixes
     from evigrain.plans.standins import frame
 
     elements = frame(spark, "/root/testdata/sf0.001", "elements")
-    once = audit.safe_fixes(elements, ["Georgia"], ["#000000", "#FFFFFF"])
-    assert sorted(map(str, once.collect())) == sorted(map(str, audit.safe_fixes(once, ["Georgia"], ["#000000", "#FFFFFF"]).collect()))
-    assert audit.outside(once).count() == 0 and audit.low_contrast(once).count() <= audit.low_contrast(elements).count()
+    once = fixes.safe_fixes(elements, fixes.Design(("Georgia",), ("Aptos",), ("#000000", "#FFFFFF"))).drop("fixed").cache()
+    assert once.columns == elements.columns and audit.outside(once).count() == 0
+    assert audit.overflow(once).count() < audit.overflow(elements).count() and audit.low_contrast(once).count() <= audit.low_contrast(elements).count()
+    assert fixes.safe_fixes(elements.limit(0), fixes.Design((), (), ())).count() == 0
+
+
+def test_audit_finds_every_kind(spark):
+    from evigrain.plans import registry
+
+    kinds = {r["type"] for r in registry.QUERIES["audit_report"](spark, "/root/testdata/sf0.001").select("type").distinct().collect()}
+    assert kinds == {"OUTSIDE_SLIDE", "EMPTY_PLACEHOLDER", "SMALL_TEXT", "UNSUPPORTED_FONT", "COLOR_OUTSIDE_DESIGN_SYSTEM", "TEXT_OVERFLOW", "SMALL_MARGIN", "INVALID_IMAGE_DATA", "IMAGE_ASPECT_DISTORTION", "ELEMENT_OVERLAP", "LOW_TEXT_CONTRAST", "DUPLICATE_SLIDE"}
+
+
+def test_embedded_images_must_be_whole():
+    import base64
+
+    data = png(2, 1, [bytes([0, 0, 0, 255, 10, 20, 30, 255])])
+    url = lambda d, kind="png": f"data:image/{kind};base64," + base64.b64encode(d).decode()
+    chunk = lambda kind, body: len(body).to_bytes(4) + kind + body + zlib.crc32(kind + body).to_bytes(4)
+    head, end = data.index(b"IHDR") - 4, data.index(b"IEND") - 4
+    assert images.embedded(url(data)) == {"valid": True, "width": 2, "height": 1}
+    broken = {
+        "bytes after its end": data + b"x",
+        "second header": data[:end] + data[head : head + 25] + data[end:],
+        "long end": data[:end] + chunk(b"IEND", b"x"),
+        "method": data[:head] + chunk(b"IHDR", data[head + 8 : head + 18] + b"\1" + data[head + 19 : head + 21]) + data[head + 25 :],
+        "name of a chunk": data[:end] + chunk(b"a1bc", b"") + data[end:],
+        "cut": data[:-1],
+    }
+    assert {k: images.embedded(url(d))["valid"] for k, d in broken.items()} == dict.fromkeys(broken, False)
+    frame = b"\xff\xc0" + (11).to_bytes(2) + b"\x08\x00\x03\x00\x05" + b"\x01\x11\x00\x00"
+    scan = b"\xff\xda\x00\x02" + b"data"
+    assert images.embedded(url(b"\xff\xd8" + frame + scan + b"\xff\xd9", "jpeg")) == {"valid": True, "width": 5, "height": 3}
+    assert not images.embedded(url(b"\xff\xd8" + frame + b"\xff\xd9", "jpeg"))["valid"] and not images.embedded(url(b"\xff\xd8" + scan + b"\xff\xd9", "jpeg"))["valid"]
 
 
 def test_containment_equals_brute_force(spark):
