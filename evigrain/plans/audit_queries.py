@@ -149,7 +149,7 @@ _DOT = "iVBORw0KGgoAAAANSUhEUgAAAAIAAAABCAAAAADRSSBWAAAAC0lEQVR4nGNgaAAAAIMAgYn3
 def _canvas(spark, sf):
     rows = run(spark, sf, _CANVAS)
     gif = F.concat(F.unhex(F.lit("474946383961")), F.unhex(F.lpad(F.hex(F.col("ord") + 1), 2, "0")), F.unhex(F.lit("0002000000003B")))
-    url = F.element_at(F.array(F.concat(F.lit("data:image/gif;base64,"), F.base64(gif)), F.lit(None), F.lit(f"data:image/png;base64,{_DOT}"), F.lit("https://example.org/a.png")), (F.col("ord") % 4 + 1).cast("int"))
+    url = F.element_at(F.array(F.concat(F.lit("data:image/gif;base64,"), F.base64(gif)), F.lit(None), F.lit(f"data:image/png;base64,{_DOT}"), F.lit("https://example.org/a.png")), (F.floor(F.col("ord") / 2) % 4 + 1).cast("int"))
     table = F.array(F.array(F.lit("Name"), F.lit("Value")), F.array(F.col("text"), F.col("ord").cast("string")))
     return rows.withColumn("data_url", F.when(F.col("type") == "image", url)).withColumn("rows", F.when(F.col("type") == "table", table))
 
@@ -171,8 +171,8 @@ UNION ALL SELECT slide_id, ord, element_id, 'SMALL_MARGIN', 'warning', 'Text is
 UNION ALL SELECT slide_id, ord, element_id, 'COLOR_OUTSIDE_DESIGN_SYSTEM', 'info', 'Shape uses a color outside the extracted palette' FROM elements WHERE type = 'shape' AND upper(fill) NOT IN {_KNOWN} AND upper(stroke) NOT IN {_KNOWN}
 UNION ALL SELECT slide_id, ord, element_id, type, severity, message FROM tall"""
 _MEDIA_RULES = """UNION ALL SELECT slide_id, ord, element_id, 'EMPTY_PLACEHOLDER', 'error', 'Table cell at row 2, column 1 contains placeholder content' FROM elements WHERE type = 'placeholder' AND contains(lower(text), 'lorem ipsum')
-UNION ALL SELECT slide_id, ord, element_id, 'INVALID_IMAGE_DATA', 'error', 'Image has missing or malformed embedded data' FROM elements WHERE type = 'image' AND ord % 4 IN (1, 3)
-UNION ALL SELECT slide_id, ord, element_id, 'IMAGE_ASPECT_DISTORTION', 'warning', 'Image frame materially changes the intrinsic aspect ratio' FROM elements WHERE type = 'image' AND ord % 4 IN (0, 2) AND abs(ln((w / h) / ((CASE WHEN ord % 4 = 0 THEN (ord + 1) / 2.0::DOUBLE ELSE 2.0::DOUBLE END) * (100 - (ord % 3) * 10) / 100.0::DOUBLE))) > ln(1.1::DOUBLE)"""
+UNION ALL SELECT slide_id, ord, element_id, 'INVALID_IMAGE_DATA', 'error', 'Image has missing or malformed embedded data' FROM elements WHERE type = 'image' AND (ord // 2) % 4 IN (1, 3)
+UNION ALL SELECT slide_id, ord, element_id, 'IMAGE_ASPECT_DISTORTION', 'warning', 'Image frame materially changes the intrinsic aspect ratio' FROM elements WHERE type = 'image' AND (ord // 2) % 4 IN (0, 2) AND abs(ln((w / h) / ((CASE WHEN (ord // 2) % 4 = 0 THEN (ord + 1) / 2.0::DOUBLE ELSE 2.0::DOUBLE END) * (100 - (ord % 3) * 10) / 100.0::DOUBLE))) > ln(1.1::DOUBLE)"""
 _LINE_PARTS = _LINES.format("sized").removeprefix("RECURSIVE ")
 _RULES = f"SELECT slide_id, ord, element_id, type, severity FROM ({_PLAIN_RULES})"
 
