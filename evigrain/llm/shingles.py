@@ -8,14 +8,14 @@ fingerprints together: similar sets share one of the first n - ceil(0.8 n) + 1
 shingles of each, in any order that all texts agree on, and each text is filed
 under these. Shingles that a sample of texts shows to be common come last in the
 order, which keeps buckets small; the order changes no result. Whoever meets is
-compared by complete distance: up to FAR bits, over four standard deviations
-beyond those of pairs at 0.8. What is left is verified on whole sets of 64-bit
-shingle hashes, after a bound on their difference.
+compared by complete distance, over 128 bits so that pairs at 0.8 are six standard
+deviations inside of FAR and unrelated ones outside. What is left is verified on
+whole sets of 64-bit shingle hashes, after a bound on their difference.
 
-Copies with one set are one node from the start. In a bucket of up to SMALL all
-pairs are compared. Members of a larger one are compared with one of them; then,
-with their bounds at hand, a forest of possible links is verified, and at last
-all possible links between members that are still not connected.
+Copies with one set are one node from the start. A bucket gives a forest of its
+close pairs, so that it has no more pairs than members. Where members of a bucket
+are not connected once these are verified, a forest of the pairs that the bound
+allows follows, and at last all such pairs that are still not connected.
 
 Defined cases: a text of fewer words is one shingle; null and wordless texts have
 the empty set and are copies of each other; rows with a null doc_id link others
@@ -41,13 +41,11 @@ from evigrain.runtime import discard, stored, tuned
 SHINGLE_WORDS = 5
 #: Texts and shingles from which the order is made; only shingles that are early by hash are counted.
 SAMPLE_DOCS, COMMON_SHINGLES, EARLY = 20_000, 100_000, -(1 << 62)
-#: Members of a bucket up to which all its pairs are compared at once.
-SMALL = 256
-#: Bits that fingerprints of similar sets differ by at most.
-FAR = 24
+#: Bits of 128 that fingerprints of similar sets differ by at most.
+FAR = 44
 ODD_BITS = 1024
 
-_MARK = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("first", T.ArrayType(T.LongType()))])
+_MARK = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("more", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("first", T.ArrayType(T.LongType()))])
 _SET = T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.ArrayType(T.LongType()))])
 _CHUNK = 1 << 17
 
@@ -77,6 +75,13 @@ def first(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray
     return own[np.lexsort((own, np.where(common[at] == own, counts[at], 0)))[:size]]
 
 
+def mixed(own: np.ndarray) -> np.ndarray:
+    """Other hashes of the shingles, for 64 more bits of a fingerprint."""
+    own = (own ^ (own >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    own = (own ^ (own >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return own ^ (own >> np.uint64(31))
+
+
 def odd(own: np.ndarray) -> np.ndarray:
     """ODD_BITS bits: which places an odd number of the shingles falls on. Two sets differ by no fewer shingles than these differ by bits."""
     return np.packbits(np.bincount(own & (ODD_BITS - 1), minlength=ODD_BITS) & 1).view(np.int64)
@@ -101,9 +106,9 @@ def _marks(common: np.ndarray, counts: np.ndarray):
     @F.arrow_udf(_MARK)
     def marks(texts: pa.Array) -> pa.Array:
         own = _each(texts)
-        fps = pa.array(np.array([simhash.majority(x.view(np.uint64)) for x in own], np.uint64).view(np.int64))
+        fps = [pa.array(np.array([simhash.majority(mix(x.view(np.uint64))) for x in own], np.uint64).view(np.int64)) for mix in (np.asarray, mixed)]
         firsts = [first(x, common, counts) for x in own]
-        return pa.StructArray.from_arrays([pa.array([key(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int32()), fps, _lists([odd(x) for x in own]), _lists(firsts)], names=["key", "n", "fp", "odd", "first"])
+        return pa.StructArray.from_arrays([pa.array([key(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int32()), *fps, _lists([odd(x) for x in own]), _lists(firsts)], names=["key", "n", "fp", "more", "odd", "first"])
 
     return marks
 
@@ -165,32 +170,36 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (s, key, n, fp) sorted by s: pairs (a, b) as kind 0, all of small buckets and those of one member of large ones; members of large buckets as kind 1."""
-    for s, keys, n, fp in _buckets(batches):
+    """Of (s, key, n, fp, more) sorted by s: a forest of each bucket's close pairs (a, b) as kind 0, members of three and more that have one as kind 1."""
+    for s, keys, n, fp, more in _buckets(batches):
         size = _bounds(s)[1]
         shared = np.repeat(size, size) > 1
-        s, keys, n, fp = (x[shared] for x in (s, keys, n, fp))
-        if not len(s):
-            continue
+        s, keys, n, fp, more = (x[shared] for x in (s, keys, n, fp, more))
         start, size = _bounds(s)
-        large, last = np.repeat(size, size) > SMALL, np.repeat(start + size, size)
-        found = []
-
-        def compare(i: np.ndarray, j: np.ndarray) -> None:
-            near = (keys[i] != keys[j]) & _alike(n[i], n[j]) & (_bits(fp[i], fp[j]) <= FAR)
-            found.append(_pairs(keys[i[near]], keys[j[near]]))
-
-        i = np.flatnonzero(large)
-        compare(i, np.repeat(start, size)[i])
-        i, step = np.flatnonzero(~large), 1
-        while len(i := i[i + step < last[i]]):
-            compare(i, i + step)
-            step += 1
-        both = np.unique(np.concatenate(found), axis=0)
+
+        def near(i, j) -> np.ndarray:
+            return (_bits(fp[i], fp[j]) + _bits(more[i], more[j]) <= FAR) & _alike(n[i], n[j])
+
+        two = start[size == 2]
+        two = two[near(two, two + 1)]
+        found, left = [_pairs(keys[two], keys[two + 1])], np.zeros(len(s), bool)
+        for lo, many in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            label = np.arange(lo, lo + many)
+            for i in range(lo, lo + many - 1):
+                j = i + 1 + np.flatnonzero(label[i + 1 - lo :] != label[i - lo])
+                j = j[near(j, i)]
+                if len(j):
+                    of, one = np.unique(label[j - lo], return_index=True)
+                    found.append(np.stack([keys[j[one]], np.full(len(one), keys[i])], axis=1))
+                    label[np.isin(label, of)] = label[i - lo]
+            group, members = np.unique(label, return_counts=True)
+            left[lo : lo + many] = np.isin(label, group[members > 2])
+        both = np.concatenate(found)
+        both = _pairs(both[:, 0], both[:, 1])
         zeros = np.zeros(len(both), np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zeros, both[:, 0] * 0, both[:, 0].copy(), both[:, 1].copy(), zeros)], names=["kind", "s", "a", "b", "n"])
-        ones = np.ones(int(large.sum()), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ones, s[large], keys[large], keys[large], n[large])], names=["kind", "s", "a", "b", "n"])
+        ones = np.ones(int(left.sum()), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ones, s[left], keys[left], keys[left], n[left])], names=["kind", "s", "a", "b", "n"])
 
 
 def _apart(forest: bool):
@@ -235,8 +244,8 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     spark = tuned(docs.sparkSession)
     marks = _marks(*common_shingles(docs, text_col))
     marked = stored(docs.select(F.col(id_col).alias("doc_id"), marks(F.col(text_col)).alias("m")).select("doc_id", "m.*"), "shingle-marks")
-    classes = stored(marked.df.groupBy("key").agg(F.min("doc_id").alias("least_id"), *(F.any_value(c).alias(c) for c in ("n", "fp", "odd", "first"))), "shingle-classes")
-    filed = classes.df.select(F.explode("first").alias("s"), "key", "n", "fp")
+    classes = stored(marked.df.groupBy("key").agg(F.min("doc_id").alias("least_id"), *(F.any_value(c).alias(c) for c in ("n", "fp", "more", "odd", "first"))), "shingle-classes")
+    filed = classes.df.select(F.explode("first").alias("s"), "key", "n", "fp", "more")
     met = stored(filed.repartition("s").sortWithinPartitions("s").mapInArrow(_met, _MET), "shingle-buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -253,10 +262,14 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     near = verified(met.df.filter("kind = 0").select("a", "b").unionByName(_close_fingerprints(classes.df)).distinct())
     roots = connected_components(near, "a", "b")
-    members = met.df.filter("kind = 1").select("s", F.col("a").alias("key"), "n").join(classes.df.select("key", "odd"), "key")
-    for forest in () if met.df.filter("kind = 1").isEmpty() else (True, False):
-        rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"), "odd")
-        apart = stored(rooted.repartition("s").sortWithinPartitions("s", "n").mapInArrow(_apart(forest), "a long, b long").distinct(), "shingle-apart").df
+    members = met.df.filter("kind = 1").select("s", F.col("a").alias("key"), "n")
+    for forest in (True, False):
+        rooted = stored(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("s", "key", "n", F.coalesce("root", "key").alias("root")), "shingle-rooted").df
+        split = stored(rooted.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("s"), "shingle-split").df
+        if split.isEmpty():
+            break
+        mixed_up = rooted.join(split, "s").join(classes.df.select("key", "odd"), "key").select("s", "key", "n", "root", "odd")
+        apart = stored(mixed_up.repartition("s").sortWithinPartitions("s", "n").mapInArrow(_apart(forest), "a long, b long").distinct(), "shingle-apart").df
         if not apart.isEmpty():
             near = near.unionByName(verified(apart))
             roots = connected_components(near, "a", "b")
