@@ -143,7 +143,7 @@ def outside_canvas(spark, sf):
 
 #: The elements with tables for placeholders, and images of four kinds: a GIF, none, a PNG of 2 by 1, a link.
 _CANVAS = """SELECT e.slide_id, e.ord, e.element_id, CASE WHEN e.type = 'placeholder' THEN 'table' ELSE e.type END AS type, e.x, e.y, e.w, e.h, e.z, e.text, e.font, e.font_size, e.font_weight, e.color, e.shape, e.fill, e.stroke, 0.0 AS radius, CAST((e.ord % 3) * 10 AS DOUBLE) AS crop_left FROM elements e"""
-_DOT = "iVBORw0KGgoAAAANSUhEUgAAAAIAAAABCAAAAADRSSBWAAAAC0lEQVR4nGNgaAAAAIMAgYn3HK0AAAAASUVORK5CYII="
+_DOT = "iVBORw0KGgoAAAANSUhEUgAAAAIAAAABCAAAAADRSSBWAAAAC0lEQVR4nGPgEgEAACsAH5dshyUAAAAASUVORK5CYII="
 
 
 def _canvas(spark, sf):
