@@ -185,7 +185,7 @@ def template_elements(spark, sf):
     return template.elements_of(parts).select("name", "ord", "element_id", "type", "text", "x", "w")
 
 
-@query("skill_registry")
+@query("skill_registry", "SELECT * FROM (VALUES ('align-claims', 'v1', 'claims,chunks,facts'), ('canvas-audit', 'v1', 'elements,fonts,colors'), ('data-visual-spec', 'v1', 'data,facts,chunks,citations'), ('deck-plan', 'v1', 'briefs'), ('final-jury', 'v1', 'variants'), ('grounded-deck-planner', 'v1', 'chunks,claims'), ('published-ranking', 'v1', 'variants'), ('search-evidence', 'v1', 'requests,chunks,facts'), ('semantic-audit', 'v1', 'findings,slides,evidence')) AS t(id, version, inputs)")
 def skill_registry(spark, sf):
     return skills.listed(spark)
 

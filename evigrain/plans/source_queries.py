@@ -157,7 +157,14 @@ def nfkc_text(spark, sf):
     return frame(spark, sf, "documents").select("doc_id", normalized(jsontext.nfkc(F.col("text"))).alias("normalized"))
 
 
-@query("fitting_font")
+_FIT_LINES = """RECURSIVE tries AS (SELECT slide_id, ord, text, s::DOUBLE AS size, w, h FROM elements, unnest(range(14, greatest(14, font_size::INTEGER) + 1)) AS t(s) WHERE type = 'text'),
+words AS (SELECT slide_id, ord, size, h, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws, greatest(4, floor(w / greatest(5.0::DOUBLE, size * 0.62::DOUBLE))::INTEGER) AS most FROM tries),
+steps AS (SELECT slide_id, ord, size, h, ws, most, 0 AS k, 0 AS done, 0 AS now FROM words UNION ALL
+SELECT slide_id, ord, size, h, ws, most, k + 1, done + CASE WHEN breaks THEN 1 ELSE 0 END + cut, CASE WHEN now > 0 AND NOT breaks THEN now + 1 ELSE 0 END + n - cut * most FROM (SELECT *, now > 0 AND now + 1 + n > most AS breaks, CASE WHEN n > most THEN (n - 1) // most ELSE 0 END AS cut FROM (SELECT *, length(ws[k + 1]) AS n FROM steps WHERE k < len(ws))))
+SELECT slide_id, ord, coalesce(max(size) FILTER (WHERE greatest(1, done + CASE WHEN now > 0 THEN 1 ELSE 0 END) * size * 1.28::DOUBLE <= h), 14)::INTEGER AS size FROM steps WHERE k = len(ws) GROUP BY slide_id, ord"""
+
+
+@query("fitting_font", twin(f"WITH {_FIT_LINES}"))
 def fitting_font(spark, sf):
     """The largest size from the wanted one down to 14 at which a text fits its box."""
     sizes = F.sequence(F.lit(14), F.greatest(F.lit(14), F.col("font_size").cast("int")))
@@ -166,25 +173,60 @@ def fitting_font(spark, sf):
     return tried.groupBy("slide_id", "ord").agg(F.coalesce(F.max(F.when(fits, F.col("size"))), F.lit(14)).alias("size"))
 
 
-@query("panel_groups")
+_PANELS = """WITH RECURSIVE grouped AS (
+SELECT slide_id AS layout_id, -1::BIGINT AS ord, NULL::STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, n BIGINT)[] AS firsts FROM elements GROUP BY slide_id
+UNION ALL
+SELECT layout_id, next_ord, CASE WHEN met IS NULL THEN list_append(coalesce(firsts, []), {'x': x, 'y': y, 'w': w, 'h': h, 'n': 1::BIGINT})
+ ELSE list_transform(range(1, len(firsts) + 1), lambda i: {'x': firsts[i].x, 'y': firsts[i].y, 'w': firsts[i].w, 'h': firsts[i].h, 'n': firsts[i].n + CASE WHEN i = met THEN 1 ELSE 0 END}) END
+FROM (SELECT g.layout_id, g.firsts, e.ord AS next_ord, e.x, e.y, e.w, e.h, list_position(list_transform(coalesce(g.firsts, []), lambda q: abs(e.w - q.w) <= 0.08::DOUBLE * 960 AND abs(e.h - q.h) <= 0.08::DOUBLE * 540 AND (abs(e.y - q.y) <= 0.08::DOUBLE * 540 OR abs(e.x - q.x) <= 0.08::DOUBLE * 960)), true) AS met
+ FROM grouped g JOIN (SELECT *, lag(ord, 1, -1) OVER (PARTITION BY slide_id ORDER BY ord) AS before FROM elements) e ON e.slide_id = g.layout_id AND e.before = g.ord))
+SELECT layout_id, list_max(list_transform(arg_max(firsts, ord), lambda q: q.n)) AS largest FROM grouped GROUP BY layout_id"""
+
+
+@query("panel_groups", twin(_PANELS))
 def panel_groups(spark, sf):
     panels = frame(spark, sf, "elements").select(F.col("slide_id").alias("layout_id"), F.col("ord").cast("long").alias("ord"), "x", "y", "w", "h")
     return folds.like_panel_groups(panels, 960, 540)
 
 
-@query("placeholder_inheritance")
+_INHERIT = """WITH RECURSIVE slots AS (SELECT slide_id AS layout_id, ord::BIGINT AS ord, CASE WHEN ord % 3 <> 0 THEN (ord % 7)::VARCHAR END AS idx, CASE WHEN ord % 2 = 0 THEN 'body' END AS kind, lag(ord, 1, -1) OVER (PARTITION BY slide_id ORDER BY ord)::BIGINT AS before FROM elements),
+taken AS (SELECT layout_id, -1::BIGINT AS ord, NULL::BIGINT AS parent_ord, list({'ord': ord, 'idx': idx, 'kind': kind} ORDER BY ord) FILTER (WHERE ord % 2 = 0) AS free FROM slots GROUP BY layout_id
+UNION ALL SELECT layout_id, next_ord, found, list_filter(free, lambda q: found IS NULL OR q.ord <> found) FROM (SELECT t.layout_id, s.ord AS next_ord, t.free,
+ list_filter(t.free, lambda q: coalesce(q.idx, '0') = coalesce(s.idx, '0') AND NOT (q.kind IS NOT NULL AND s.kind IS NOT NULL AND q.kind <> s.kind) AND ((q.idx IS NOT NULL AND s.idx IS NOT NULL) OR coalesce(q.kind, 'obj') = coalesce(s.kind, 'obj')))[1].ord AS found
+ FROM taken t JOIN slots s ON s.layout_id = t.layout_id AND s.before = t.ord))
+SELECT layout_id, ord, parent_ord FROM taken WHERE ord >= 0"""
+
+
+@query("placeholder_inheritance", twin(_INHERIT))
 def placeholder_inheritance(spark, sf):
     slots = frame(spark, sf, "elements").select(F.col("slide_id").alias("layout_id"), F.col("ord").cast("long").alias("ord"), F.when(F.col("ord") % 3 != 0, (F.col("ord") % 7).cast("string")).alias("idx"), F.when(F.col("ord") % 2 == 0, "body").alias("kind"))
     return folds.inherit_placeholders(slots, slots.filter("ord % 2 = 0"))
 
 
-@query("layout_choice")
+_CHOICE = """WITH RECURSIVE s AS (SELECT l_suppkey AS deck, l_orderkey AS slide_no, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS k, list({'score': floor(l_quantity / 10), 'layout': l_linenumber}) AS options FROM lineitem GROUP BY 1, 2),
+r AS (SELECT DISTINCT deck, 0::BIGINT AS k, 0::BIGINT AS slide_no, 0::BIGINT AS layout_id, [0, 0, 0, 0, 0, 0, 0] AS uses FROM s
+UNION ALL SELECT deck, k, slide_no, best, list_transform(range(1, 8), lambda i: uses[i] + CASE WHEN i = best THEN 1 ELSE 0 END)
+FROM (SELECT s.deck, s.k, s.slide_no, r.uses, list_sort(list_transform(s.options, lambda o: {'a': -o.score, 'b': r.uses[o.layout], 'c': o.layout}))[1].c AS best FROM r JOIN s ON s.deck = r.deck AND s.k = r.k + 1))
+SELECT deck, slide_no, layout_id FROM r WHERE k > 0"""
+
+
+@query("layout_choice", _CHOICE)
 def layout_choice(spark, sf):
     scores = frame(spark, sf, "lineitem").select(F.col("l_suppkey").alias("deck"), F.col("l_orderkey").alias("slide_no"), F.col("l_linenumber").alias("layout_id"), F.floor(F.col("l_quantity") / 10).cast("double").alias("score"))
     return folds.choose_layouts(scores)
 
 
-@query("history_travel")
+_TRAVEL = """WITH RECURSIVE a AS (SELECT user_id AS variant, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'error' THEN 'undo' WHEN 'click' THEN 'redo' ELSE 'edit' END AS action, event_id::VARCHAR AS state FROM events),
+r AS (SELECT DISTINCT variant, 0::BIGINT AS k, []::VARCHAR[] AS past, NULL::VARCHAR AS present, []::VARCHAR[] AS future FROM a
+UNION ALL SELECT r.variant, a.k,
+ CASE WHEN action = 'undo' AND len(past) > 0 THEN past[:len(past) - 1] WHEN action = 'redo' AND len(future) > 0 THEN list_append(past, present) WHEN action = 'edit' AND state IS DISTINCT FROM present AND present IS NOT NULL THEN list_append(past, present)[greatest(1, len(past) - 28):] ELSE past END,
+ CASE WHEN action = 'undo' AND len(past) > 0 THEN past[len(past)] WHEN action = 'redo' AND len(future) > 0 THEN future[len(future)] WHEN action = 'edit' THEN state ELSE present END,
+ CASE WHEN action = 'undo' AND len(past) > 0 THEN list_append(future, present) WHEN action = 'redo' AND len(future) > 0 THEN future[:len(future) - 1] WHEN action = 'edit' AND state IS DISTINCT FROM present THEN []::VARCHAR[] ELSE future END
+ FROM r JOIN a ON a.variant = r.variant AND a.k = r.k + 1)
+SELECT variant, nullif(arg_max(coalesce(present, ''), k), '') AS present FROM r GROUP BY variant"""
+
+
+@query("history_travel", _TRAVEL)
 def history_travel(spark, sf):
     kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "click", "redo").otherwise("edit")
     return folds.travel_history(frame(spark, sf, "events").select(F.col("user_id").alias("variant"), F.col("event_id").alias("ord"), kind.alias("action"), F.col("event_id").cast("string").alias("state")))

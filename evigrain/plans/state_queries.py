@@ -61,7 +61,15 @@ def artifact_refs(spark, sf):
     return state.reference_errors(listed, pages.select(k.cast("string").alias("path"), F.col("html").cast("binary").alias("content")))
 
 
-@query("rate_guard")
+_GUARD = """WITH RECURSIVE a AS (SELECT user_id AS key, CASE WHEN event_type = 'click' THEN 'export' ELSE 'generation' END AS kind, epoch_ms(ts) AS now, event_id AS seq, value > 20 AS busy FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY key, kind ORDER BY now, seq) AS k, CASE kind WHEN 'export' THEN 30 ELSE 5 END AS cap FROM a),
+r AS (SELECT DISTINCT key, kind, 0::BIGINT AS k, 0::BIGINT AS seq, 0 AS status, 0 AS retry_after, []::BIGINT[] AS times FROM o
+UNION ALL SELECT key, kind, k, seq, CASE WHEN len(kept) >= cap THEN 429 WHEN busy THEN 503 ELSE 200 END, CASE WHEN len(kept) >= cap THEN greatest(1, ceil((kept[1] + 21600000 - now) / 1000.0))::INTEGER WHEN busy THEN {busy} ELSE 0 END, CASE WHEN len(kept) >= cap THEN kept ELSE list_append(kept, now) END
+FROM (SELECT o.key, o.kind, o.k, o.seq, o.now, o.busy, o.cap, list_filter(r.times, lambda t: t > o.now - 21600000) AS kept FROM r JOIN o ON o.key = r.key AND o.kind = r.kind AND o.k = r.k + 1))
+SELECT key, kind, seq, status, retry_after FROM r WHERE k > 0"""
+
+
+@query("rate_guard", _GUARD.replace("{busy}", str(state.BUSY_RETRY_S)))
 def rate_guard(spark, sf):
     events = frame(spark, sf, "events")
     requests = events.select("user_id", F.when(F.col("event_type") == "click", "export").otherwise("generation").alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("value") > 20).alias("busy"))
