@@ -141,3 +141,34 @@ def redacted(x: Column, secrets: list[str], fallback: str = "Generation failed")
 def safe_path(x: Column) -> Column:
     """Whether a path is relative and has no empty, '.' or '..' segment."""
     return x.isNotNull() & (x != "") & ~x.contains("\\") & ~F.exists(F.split(x, "/"), lambda s: s.isin("", ".", ".."))
+
+
+_ENTITY = "&(#[xX][0-9A-Fa-f]+|#[0-9]+|[aA][mM][pP]|[lL][tT]|[gG][tT]|[qQ][uU][oO][tT]|[aA][pP][oO][sS]);"
+NAMED_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def decoded(x: Column) -> Column:
+    """x with XML's five named entities and numeric ones decoded, each once; null where another entity or a number that is no character occurs."""
+    names = F.create_map(*[F.lit(v) for pair in NAMED_ENTITIES.items() for v in pair])
+
+    def character(entity: Column) -> Column:
+        digits = F.regexp_replace(entity, "^#[xX]?0*", "")
+        number = F.when(F.char_length(digits) > 8, F.lit(-1)).when(entity.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        point = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.when(F.startswith(entity, F.lit("#")), point).otherwise(F.try_element_at(names, F.lower(entity)))
+
+    parts = F.split(x, _ENTITY)
+    found = F.transform(F.regexp_extract_all(x, F.lit(_ENTITY), F.lit(1)), character)
+    whole = F.array_join(F.zip_with(parts, found, lambda p, e: F.concat_ws("", p, e)), "")
+    foreign = F.regexp_replace(x, _ENTITY, "").rlike(r"&[^\s;]+;")
+    return F.when(~foreign & ~F.exists(found, lambda e: e.isNull()), whole)
+
+
+FONT_FALLBACK = "Arial"
+
+
+def resolved_font(observed: Column, configured: Column) -> Column:
+    """The font that a slot shows, else the first non-blank one of its role's list, else the fallback."""
+    known = F.filter(F.transform(F.coalesce(configured, F.array().cast("array<string>")), trimmed), lambda f: f != "")
+    return F.coalesce(F.nullif(trimmed(observed), F.lit("")), F.get(known, 0), F.lit(FONT_FALLBACK))

@@ -85,6 +85,30 @@ def edge_routes(edges: DataFrame) -> DataFrame:
     return edges.select("edge_id", F.posexplode(F.when((fx == tx) | (fy == ty), straight).otherwise(bent)).alias("segment", "s")).select("edge_id", "segment", "s.*")
 
 
+def edge_labels(edges: DataFrame, w: float, h: float, body: tuple[float, float, float, float]) -> DataFrame:
+    """Boxes (x, y) of edge labels on a body: the first of centre, above, below, left and right of both boxes that meets neither; the centre if all do."""
+    r = lambda x: F.floor(x + 0.5).cast("double")
+    a, b = Rect("a_"), Rect("b_")
+    cx, cy = (a.x + a.w / 2 + b.x + b.w / 2) / 2, (a.y + a.h / 2 + b.y + b.h / 2) / 2
+    places = ((cx - w / 2, cy - h / 2), (cx - w / 2, F.least(a.y, b.y) - h - 4), (cx - w / 2, F.greatest(a.bottom, b.bottom) + 4), (F.least(a.x, b.x) - w - 4, cy - h / 2), (F.greatest(a.right, b.right) + 4, cy - h / 2))
+    inside = lambda v, low, size, own: r(F.least(F.greatest(v, F.lit(low)), F.lit(low + size - own)))
+    boxes = [F.struct(inside(x, body[0], body[2], w).alias("x"), inside(y, body[1], body[3], h).alias("y")) for x, y in places]
+    meets = lambda p, o: (p["x"] < o.right) & (p["x"] + w > o.x) & (p["y"] < o.bottom) & (p["y"] + h > o.y)
+    found = F.get(F.filter(F.array(*boxes), lambda p: ~meets(p, a) & ~meets(p, b)), 0)
+    return edges.select("edge_id", F.coalesce(found, boxes[0]).alias("p")).select("edge_id", "p.*")
+
+
+def grid_nodes(nodes: DataFrame, body: tuple[float, float, float, float], w: float, h: float) -> DataFrame:
+    """For (graph_id, ord, node_id): nodes in reading order on a grid of ceil(sqrt(n)) columns, each in the middle of its cell."""
+    within = Window.partitionBy("graph_id")
+    counted = nodes.withColumn("n", F.count("*").over(within)).withColumn("at", F.row_number().over(within.orderBy("ord")) - 1)
+    columns = F.ceil(F.sqrt(F.col("n")))
+    rows = F.ceil(F.col("n") / columns)
+    x = body[0] + (F.pmod(F.col("at"), columns) + 0.5) * body[2] / columns - w / 2
+    y = body[1] + (F.floor(F.col("at") / columns) + 0.5) * body[3] / rows - h / 2
+    return counted.select("graph_id", "node_id", x.alias("x"), y.alias("y"))
+
+
 def _short(x: Column) -> Column:
     """Four decimals at most, without trailing zeros."""
     bare = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", x), "0+$", ""), r"\.$", "")
@@ -108,42 +132,6 @@ def pdf_boxes(items: DataFrame, page_height: float, left: float = 0, bottom: flo
     return items.filter(text.trimmed(F.coalesce("text", F.lit(""))) != "").select("item_id", (F.col("x") - left).alias("x"), flipped.alias("y"), "width", "height", F.when(bad, "non-positive bounds").alias("error"))
 
 
-def anchored(wanted: DataFrame, boxes: DataFrame) -> DataFrame:
-    """For (page_id, text_id, text, y) and boxes (page_id, ord, text, y): the run of boxes' tokens that equals a text's tokens; of several the nearest by height.
-
-    start is the position of the run's first token on the page; null if there is none.
-    """
-    token = F.transform(text.tokens(F.col("text")), lambda t: F.struct(t.alias("t"), F.col("y").alias("y")))
-    pages = boxes.groupBy("page_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", token.alias("k")))), lambda b: b["k"])).alias("page"))
-    asked = wanted.withColumn("_want", text.tokens(F.col("text")))
-    joined = asked.join(pages, "page_id", "left")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("page") - F.size("_want") + 1, F.lit(1))), lambda i: F.transform(F.slice("page", i, F.size("_want")), lambda p: p["t"]) == F.col("_want"))
-    near = F.transform(starts, lambda i: F.struct(F.abs(F.get("page", i - 1)["y"] - F.col("y")).alias("far"), i.alias("start")))
-    return joined.select("page_id", "text_id", F.when(F.size("_want") > 0, F.array_min(near)["start"]).alias("start"))
-
-
-def cheapest_slots(slots: DataFrame, obstacles: DataFrame, widths: tuple[float, ...], width: float = 960, height: float = 540, step: int = 60) -> DataFrame:
-    """For slots (slide_id, x, y, w, h): of candidate widths and places on a grid the cheapest that keeps clear of obstacles as far as possible.
-
-    Cost: overlap with obstacles first, then change of width, then movement; of equals the first candidate.
-    """
-    factor = F.explode(F.array(*[F.lit(w) for w in widths])).alias("factor")
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n)), F.lit(step)))
-    boxes = obstacles.groupBy("slide_id").agg(F.collect_list(F.struct(*"xywh")).alias("taken"))
-    tried = slots.join(boxes, "slide_id", "left").select("*", factor).withColumn("c_w", F.col("w") * F.col("factor")).select("*", grid(height - step).alias("c_y")).select("*", grid(width - step).alias("c_x"))
-    fits = (F.col("c_x") + F.col("c_w") <= width) & (F.col("c_y") + F.col("h") <= height)
-
-    def shared(e: Column) -> Column:
-        wide = F.greatest(F.lit(0.0), F.least(F.col("c_x") + F.col("c_w"), e["x"] + e["w"]) - F.greatest(F.col("c_x").cast("double"), e["x"]))
-        high = F.greatest(F.lit(0.0), F.least(F.col("c_y") + F.col("h"), e["y"] + e["h"]) - F.greatest(F.col("c_y").cast("double"), e["y"]))
-        return wide * high
-
-    overlap = F.aggregate(F.coalesce("taken", F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")), F.lit(0.0), lambda s, e: s + shared(e))
-    cost = overlap * 1_000_000 + F.abs(F.col("factor") - 1) * 1000 + (F.abs(F.col("c_x") - F.col("x")) / width + F.abs(F.col("c_y") - F.col("y")) / height) * 50
-    best = F.min(F.struct(F.round(cost, 6).alias("cost"), "factor", "c_y", "c_x"))
-    return tried.filter(fits).groupBy("slide_id").agg(best.alias("b")).select("slide_id", "b.*")
-
-
 def overlap_areas(slots: DataFrame, obstacles: DataFrame) -> DataFrame:
     """Total area that each slot shares with obstacles of its slide."""
     a = slots.select("slide_id", F.col("ord").alias("a_ord"), *[F.col(c).alias(f"a_{c}") for c in "xywh"])
@@ -191,11 +179,65 @@ def image_graph_errors(assets: DataFrame, placements: DataFrame) -> DataFrame:
     return joined.select(*keys, "element_id", error.alias("error")).filter(F.col("error").isNotNull())
 
 
+VARIANTS = ("compact", "balanced", "visual")
+# The stages of a dry run in order, with the agents of each and the artifacts that it makes.
+STAGES = (
+    ("inputs", (), ("inputs",)),
+    ("specialists", ("template-analyst", "evidence-analyst"), ("analysis/template-analyst", "analysis/evidence-analyst")),
+    ("narrative-candidates", ("narrative-architect",), ("planning/narrative-candidate-1", "planning/narrative-candidate-2")),
+    ("narrative-selection", (), ("planning/narrative-selected",)),
+    ("visual-direction", ("visual-director",), ("planning/visual-director",)),
+    ("variant-design", tuple(f"variant-designer-{v}" for v in VARIANTS), tuple(f"variants/{v}" for v in VARIANTS)),
+    ("render-audit", (), tuple(f"render-evidence/{v}" for v in VARIANTS) + tuple(f"audits/{v}" for v in VARIANTS)),
+    ("critics", ("semantic-critic", "visual-critic"), tuple(f"critiques/{v}-{c}" for v in VARIANTS for c in ("semantic", "visual"))),
+    ("repair-plans", ("repair-planner",), tuple(f"repairs/{v}-round-1" for v in VARIANTS)),
+    ("final-jury", ("final-jury",), ("jury/ranking",)),
+)
+AUDIT_STAGE, FATAL = 7, "fatal_deterministic_audit"
+#: Stages whose outputs each stage reads.
+READS = {"specialists": ("inputs",), "narrative-candidates": ("specialists",), "narrative-selection": ("narrative-candidates",), "visual-direction": ("specialists", "narrative-selection"), "variant-design": ("specialists", "narrative-selection", "visual-direction"), "render-audit": ("variant-design",), "critics": ("specialists", "variant-design", "render-audit"), "repair-plans": ("variant-design", "render-audit", "critics"), "final-jury": ("specialists", "variant-design", "render-audit", "critics", "repair-plans")}
+
+
 def stage_trace(jobs: DataFrame) -> DataFrame:
-    """For (job, audit_errors): the stages that run in order; a fatal audit ends the run before the jury."""
-    stages = F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(s).alias("stage")) for i, s in enumerate(("narrative-selection", "variant-design", "render-audit", "final-jury"), 1)])
-    status = F.when((F.col("stage") == "render-audit") & (F.col("audit_errors") > 0), "failed").otherwise("completed")
-    return jobs.select("job", "audit_errors", F.inline(stages)).filter((F.col("stage_no") < 4) | (F.col("audit_errors") == 0)).select("job", "stage_no", "stage", status.alias("status"))
+    """For (job, audit_errors): the stages that run in order, with agents, artifacts, status and error; a fatal audit blocks its stage and ends the run."""
+    strings = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    stages = F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), strings(agents).alias("agents"), strings(made).alias("artifacts")) for i, (name, agents, made) in enumerate(STAGES, 1)])
+    fatal = F.col("audit_errors") > 0
+    blocked = fatal & (F.col("stage_no") == AUDIT_STAGE)
+    ran = jobs.select("job", "audit_errors", F.inline(stages)).filter(~fatal | (F.col("stage_no") <= AUDIT_STAGE))
+    return ran.select("job", "stage_no", "stage", "agents", "artifacts", F.when(blocked, "blocked").otherwise("completed").alias("status"), F.when(blocked, FATAL).alias("error"))
+
+
+def stage_lineage(trace: DataFrame) -> DataFrame:
+    """(job, parent, artifact): which artifacts of earlier stages each artifact of a trace is made from."""
+    reads = F.create_map(*[x for stage, parents in READS.items() for x in (F.lit(stage), F.array(*[F.lit(p) for p in parents]))])
+    made = trace.select("job", "stage", F.explode("artifacts").alias("artifact"))
+    needs = made.select("job", "artifact", F.explode(reads[F.col("stage")]).alias("stage"))
+    return needs.join(made.withColumnRenamed("artifact", "parent"), ["job", "stage"]).select("job", "parent", "artifact")
+
+
+def published(jobs: DataFrame, slides: DataFrame, audits: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(job, error): why a published set can't be read back, null where it can.
+
+    jobs (job, status); slides (job, kind, ord, slide_id) of kinds 'plan', each variant and 'audit-' with each variant;
+    audits (job, variant, passed); bindings (job, intact): whether ranking and trace name the saved artifacts.
+    """
+    kinds = ("plan", *VARIANTS, *(f"audit-{v}" for v in VARIANTS))
+    ordered = slides.groupBy("job", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "slide_id"))), lambda s: s["slide_id"]).alias("ids"))
+    sets = ordered.groupBy("job").pivot("kind", list(kinds)).agg(F.first("ids"))
+    passed = audits.groupBy("job").agg(F.count_distinct("variant").alias("audited"), F.bool_and("passed").alias("passed"))
+    bound = bindings.groupBy("job").agg(F.bool_and("intact").alias("intact"))
+    joined = jobs.join(sets, "job", "left").join(passed, "job", "left").join(bound, "job", "left")
+    whole = reduce(lambda x, y: x & y, [F.col(f"`{k}`").isNotNull() for k in kinds]) & (F.col("audited") == len(VARIANTS))
+    same = reduce(lambda x, y: x & y, [F.col(f"`{k}`") == F.col("plan") for k in kinds[1:]])
+    error = (
+        F.when(F.col("status") != "ready", "not_ready")
+        .when(~F.coalesce(whole, F.lit(False)) | F.col("intact").isNull(), "incomplete_set")
+        .when(~F.col("passed"), "failed_audit")
+        .when(~F.col("intact"), "jury_references_differ")
+        .when(~same, "slides_differ_from_plan")
+    )
+    return joined.select("job", error.alias("error"))
 
 
 def variant_reference_errors(assignments: DataFrame, claims: DataFrame, layouts: DataFrame) -> DataFrame:

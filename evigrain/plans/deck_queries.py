@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evigrain.functions import cells, ids
-from evigrain.operators import decks
+from evigrain.functions.text import resolved_font
+from evigrain.operators import decks, placing
 from evigrain.plans import skills
 from evigrain.plans.registered import registry
 from evigrain.plans.standins import frame, run, twin
@@ -66,6 +67,31 @@ def edge_routes(spark, sf):
     return decks.edge_routes(run(spark, sf, _LINKED))
 
 
+_BODY = (40.0, 60.0, 880.0, 440.0)
+_LABELS = """WITH c AS (SELECT *, (a_x + a_w / 2 + b_x + b_w / 2) / 2 AS cx, (a_y + a_h / 2 + b_y + b_h / 2) / 2 AS cy FROM linked),
+p AS (SELECT c.*, t.i, CASE t.i WHEN 4 THEN least(a_x, b_x) - 84 WHEN 5 THEN greatest(a_x + a_w, b_x + b_w) + 4 ELSE cx - 40 END AS px, CASE t.i WHEN 2 THEN least(a_y, b_y) - 22 WHEN 3 THEN greatest(a_y + a_h, b_y + b_h) + 4 ELSE cy - 9 END AS py FROM c, unnest([1, 2, 3, 4, 5]) AS t(i)),
+q AS (SELECT *, floor(greatest(40, least(px, 840)) + 0.5) AS x, floor(greatest(60, least(py, 482)) + 0.5) AS y FROM p)
+SELECT edge_id, x, y FROM (SELECT *, (x < a_x + a_w AND x + 80 > a_x AND y < a_y + a_h AND y + 18 > a_y) OR (x < b_x + b_w AND x + 80 > b_x AND y < b_y + b_h AND y + 18 > b_y) AS meets FROM q) QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY CASE WHEN meets THEN 10 ELSE i END, i) = 1"""
+
+
+@query("edge_labels", twin(_LABELS, linked=_LINKED))
+def edge_labels(spark, sf):
+    return decks.edge_labels(run(spark, sf, _LINKED), 80.0, 18.0, _BODY)
+
+
+@query("grid_nodes", twin("""SELECT graph_id, node_id, 40 + ((place % c) + 0.5) * 880 / c - 50 AS x, 60 + (place // c + 0.5) * 440 / ceil(n / c) - 20 AS y FROM (SELECT *, ceil(sqrt(n))::BIGINT AS c FROM (SELECT slide_id AS graph_id, ord AS node_id, count(*) OVER (PARTITION BY slide_id) AS n, row_number() OVER (PARTITION BY slide_id ORDER BY ord) - 1 AS place FROM elements WHERE type = 'shape'))"""))
+def grid_nodes(spark, sf):
+    nodes = frame(spark, sf, "elements").filter("type = 'shape'").select(F.col("slide_id").alias("graph_id"), "ord", F.col("ord").alias("node_id"))
+    return decks.grid_nodes(nodes, _BODY, 100.0, 40.0)
+
+
+@query("resolved_fonts", twin("SELECT slide_id, ord, CASE WHEN ord % 3 = 0 THEN font WHEN ord % 3 = 1 AND ord % 4 <> 0 THEN 'Georgia' ELSE 'Arial' END AS resolved FROM elements"))
+def resolved_fonts(spark, sf):
+    known = F.when(F.col("ord") % 4 == 0, F.array(F.lit(" "))).when(F.col("ord") % 3 == 1, F.array(F.lit(""), F.lit(" Georgia "), F.lit("Aptos")))
+    observed = F.when(F.col("ord") % 3 == 0, F.concat(F.lit(" "), "font")).when(F.col("ord") % 3 == 1, F.lit("  "))
+    return frame(spark, sf, "elements").select("slide_id", "ord", resolved_font(observed, known).alias("resolved"))
+
+
 def _point(a: str) -> str:
     bare = lambda x: f"regexp_replace(regexp_replace(regexp_replace(format('{{:.4f}}', {x}), '0+$', ''), '\\.$', ''), '^-0$', '0')"
     return f"concat({bare(f'50 + cos({a}) * 48')}, ' ', {bare(f'50 + sin({a}) * 48')})"
@@ -86,24 +112,33 @@ def pdf_boxes(spark, sf):
     return decks.pdf_boxes(items, 540, 10, 5)
 
 
-@query("anchored_text", r"""WITH b AS (SELECT conv_id AS page_id, turn AS ord, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS k FROM conversations), p AS (SELECT page_id, flatten(list(k ORDER BY ord)) AS page, flatten(list(list_transform(k, lambda t: ord) ORDER BY ord)) AS ys FROM b GROUP BY page_id),
-w AS (SELECT page_id, ord AS text_id, k[len(k) - 1:] AS want, ord AS y FROM b), s AS (SELECT w.page_id, w.text_id, unnest(list_filter(range(1, len(page) - len(want) + 2), lambda i: page[i:i + len(want) - 1] = want)) AS start, ys, y, want FROM w JOIN p ON p.page_id = w.page_id)
-SELECT w.page_id, w.text_id, (SELECT CAST(arg_min(start, abs(ys[start] - s.y) * 1000000 + start) AS INTEGER) FROM s WHERE s.page_id = w.page_id AND s.text_id = w.text_id) AS start FROM w""")
+#: Turns as boxes of a page, one below the other; the last two words of each are looked for, in order.
+_ANCHORED = r"""WITH RECURSIVE b AS (SELECT conv_id AS page_id, turn AS ord, turn * 40.0::DOUBLE AS y, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS k FROM conversations),
+p AS (SELECT page_id, flatten(list(k ORDER BY ord)) AS page, flatten(list(list_transform(k, lambda t: y) ORDER BY ord)) AS ys FROM b GROUP BY page_id),
+w AS (SELECT page_id, ord AS text_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n, y, k[greatest(1, len(k) - 1):] AS want FROM b),
+r AS (SELECT page_id, 0::BIGINT AS n, 0::BIGINT AS text_id, NULL::BIGINT AS start, 0::BIGINT AS words, []::BIGINT[] AS claimed FROM p
+UNION ALL SELECT page_id, n, text_id, start, len(want), CASE WHEN start IS NULL THEN claimed ELSE list_concat(claimed, range(start, start + len(want))) END
+FROM (SELECT r.page_id, w.n, w.text_id::BIGINT AS text_id, w.want, r.claimed, list_sort(list_transform(list_filter(range(1, greatest(1, len(page) - len(want) + 2)), lambda i: len(want) > 0 AND page[i:i + len(want) - 1] = want AND NOT list_has_any(r.claimed, range(i, i + len(want)))),
+ lambda i: {'far': abs(ys[i] - w.y) + abs(ys[i + len(want) - 1] - ys[i]), 'start': i}))[1].start AS start FROM r JOIN w ON w.page_id = r.page_id AND w.n = r.n + 1 JOIN p ON p.page_id = r.page_id))
+SELECT page_id, text_id, start, CASE WHEN start IS NOT NULL THEN words END AS words FROM r WHERE n > 0"""
+
+
+@query("anchored_text", _ANCHORED)
 def anchored_text(spark, sf):
     from evigrain.functions.text import tokens
 
-    boxes = frame(spark, sf, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("ord"), "text", F.col("turn").cast("double").alias("y"))
+    place = {"x": F.lit(0.0), "y": F.col("turn") * 40.0, "w": F.lit(100.0), "h": F.lit(10.0)}
+    boxes = frame(spark, sf, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("ord"), "text", *(v.alias(k) for k, v in place.items()))
     own = tokens(F.col("text"))
-    wanted = boxes.select("page_id", F.col("ord").alias("text_id"), F.array_join(F.slice(own, F.greatest(F.size(own) - 1, F.lit(1)), 2), " ").alias("text"), "y")
-    return decks.anchored(wanted, boxes)
+    last = F.slice(own, F.greatest(F.size(own) - 1, F.lit(1)), 2)
+    return placing.anchored(boxes.select("page_id", F.col("ord").alias("text_id"), F.array_join(last, " ").alias("text"), *"xywh"), boxes)
 
 
-@query("cheapest_slots", twin("""WITH t AS (SELECT s.slide_id, s.x, s.y, s.w, s.h, f AS factor, s.w * f AS c_w, cx::INTEGER AS c_x, cy::INTEGER AS c_y FROM (SELECT * FROM elements WHERE ord = 1) s, unnest([1.0::DOUBLE, 0.6::DOUBLE, 1.3::DOUBLE]) AS a(f), unnest(range(0, 901, 60)) AS b(cx), unnest(range(0, 481, 60)) AS c(cy)),
-c AS (SELECT t.slide_id, factor, c_x, c_y, round(coalesce((SELECT sum(greatest(0, least(c_x + c_w, e.x + e.w) - greatest(c_x, e.x)) * greatest(0, least(c_y + t.h, e.y + e.h) - greatest(c_y, e.y))) FROM elements e WHERE e.slide_id = t.slide_id AND e.type = 'image'), 0) * 1000000 + abs(factor - 1) * 1000 + (abs(c_x - x) / 960 + abs(c_y - y) / 540) * 50, 6) AS cost FROM t WHERE c_x + c_w <= 960 AND c_y + t.h <= 540)
-SELECT slide_id, cost, factor, c_y, c_x FROM c QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY cost, factor, c_y, c_x) = 1"""))
-def cheapest_slots(spark, sf):
-    elements = frame(spark, sf, "elements")
-    return decks.cheapest_slots(elements.filter("ord = 1").select("slide_id", *"xywh"), elements.filter("type = 'image'"), (1.0, 0.6, 1.3))
+@query("clear_slots")
+def clear_slots(spark, sf):
+    role = F.when(F.col("type") == "text", "text").when((F.col("type") == "image") & (F.col("ord") % 3 == 0), "hard").when(F.col("type") == "image", "art")
+    elements = frame(spark, sf, "elements").withColumn("role", role).filter("role IS NOT NULL").withColumn("font_size", F.when(F.col("ord") % 2 == 0, F.col("font_size")))
+    return placing.clear_slots(elements)
 
 
 @query("slot_overlap_areas", twin("""SELECT t.slide_id, t.ord, sum(greatest(0, least(t.x + t.w, e.x + e.w) - greatest(t.x, e.x)) * greatest(0, least(t.y + t.h, e.y + e.h) - greatest(t.y, e.y))) AS area FROM elements t JOIN elements e ON e.slide_id = t.slide_id AND t.type = 'text' AND e.type = 'image' GROUP BY t.slide_id, t.ord"""))
@@ -137,9 +172,38 @@ def image_graph(spark, sf):
     return decks.image_graph_errors(run(spark, sf, _ASSETS), run(spark, sf, _PLACED))
 
 
-@query("stage_trace", """SELECT c_custkey AS job, n AS stage_no, ['narrative-selection', 'variant-design', 'render-audit', 'final-jury'][n] AS stage, CASE WHEN n = 3 AND c_custkey % 4 > 0 THEN 'failed' ELSE 'completed' END AS status FROM customer, unnest([1, 2, 3, 4]) AS t(n) WHERE n < 4 OR c_custkey % 4 = 0""")
+_STAGE_NAMES = "['inputs', 'specialists', 'narrative-candidates', 'narrative-selection', 'visual-direction', 'variant-design', 'render-audit', 'critics', 'repair-plans', 'final-jury']"
+
+
+@query("stage_trace", f"""SELECT c_custkey AS job, n AS stage_no, {_STAGE_NAMES}[n] AS stage, [0, 2, 1, 0, 1, 3, 0, 2, 1, 1][n] AS agents, [1, 2, 2, 1, 1, 3, 6, 6, 3, 1][n] AS artifacts, CASE WHEN n = 7 AND c_custkey % 4 > 0 THEN 'blocked' ELSE 'completed' END AS status, CASE WHEN n = 7 AND c_custkey % 4 > 0 THEN 'fatal_deterministic_audit' END AS error FROM customer, unnest(range(1, 11)) AS t(n) WHERE n <= 7 OR c_custkey % 4 = 0""")
 def stage_trace(spark, sf):
-    return decks.stage_trace(frame(spark, sf, "customer").select(F.col("c_custkey").alias("job"), (F.col("c_custkey") % 4).alias("audit_errors")))
+    trace = decks.stage_trace(frame(spark, sf, "customer").select(F.col("c_custkey").alias("job"), (F.col("c_custkey") % 4).alias("audit_errors")))
+    return trace.withColumns({c: F.size(c) for c in ("agents", "artifacts")})
+
+
+_VARIANTS = "['compact', 'balanced', 'visual']"
+_MADE = f"""made AS (SELECT * FROM (VALUES ('inputs', ['inputs']), ('specialists', ['analysis/template-analyst', 'analysis/evidence-analyst']), ('narrative-candidates', ['planning/narrative-candidate-1', 'planning/narrative-candidate-2']), ('narrative-selection', ['planning/narrative-selected']), ('visual-direction', ['planning/visual-director'])) AS t(stage, artifacts)
+UNION ALL SELECT 'variant-design', list_transform({_VARIANTS}, lambda v: 'variants/' || v) UNION ALL SELECT 'render-audit', list_concat(list_transform({_VARIANTS}, lambda v: 'render-evidence/' || v), list_transform({_VARIANTS}, lambda v: 'audits/' || v))
+UNION ALL SELECT 'critics', flatten(list_transform({_VARIANTS}, lambda v: ['critiques/' || v || '-semantic', 'critiques/' || v || '-visual'])) UNION ALL SELECT 'repair-plans', list_transform({_VARIANTS}, lambda v: 'repairs/' || v || '-round-1') UNION ALL SELECT 'final-jury', ['jury/ranking'])"""
+
+
+@query("stage_lineage", f"""WITH {_MADE}, reads AS (SELECT unnest(['specialists', 'narrative-candidates', 'narrative-selection', 'visual-direction', 'visual-direction', 'variant-design', 'variant-design', 'variant-design', 'render-audit', 'critics', 'critics', 'critics', 'repair-plans', 'repair-plans', 'repair-plans', 'final-jury', 'final-jury', 'final-jury', 'final-jury', 'final-jury']) AS stage,
+unnest(['inputs', 'specialists', 'narrative-candidates', 'specialists', 'narrative-selection', 'specialists', 'narrative-selection', 'visual-direction', 'variant-design', 'specialists', 'variant-design', 'render-audit', 'variant-design', 'render-audit', 'critics', 'specialists', 'variant-design', 'render-audit', 'critics', 'repair-plans']) AS needs)
+SELECT c_custkey AS job, unnest(p.artifacts) AS parent, a.artifact FROM customer, reads r JOIN made p ON p.stage = r.needs JOIN (SELECT stage, unnest(artifacts) AS artifact FROM made) a ON a.stage = r.stage WHERE c_custkey % 4 = 0 OR r.stage NOT IN ('critics', 'repair-plans', 'final-jury')""")
+def stage_lineage(spark, sf):
+    return decks.stage_lineage(decks.stage_trace(frame(spark, sf, "customer").select(F.col("c_custkey").alias("job"), (F.col("c_custkey") % 4).alias("audit_errors"))))
+
+
+@query("published_sets", """SELECT c_custkey AS job, CASE WHEN c_custkey % 9 = 0 THEN 'not_ready' WHEN c_custkey % 7 = 1 OR c_custkey % 11 = 1 THEN 'incomplete_set' WHEN c_custkey % 5 = 2 THEN 'failed_audit' WHEN c_custkey % 8 = 3 THEN 'jury_references_differ' WHEN c_custkey % 6 = 4 THEN 'slides_differ_from_plan' END AS error FROM customer""")
+def published_sets(spark, sf):
+    k = F.col("c_custkey")
+    jobs = frame(spark, sf, "customer").select(k.alias("job"), "c_custkey", F.when(k % 9 == 0, "generating").otherwise("ready").alias("status"))
+    kinds = F.explode(F.array(*[F.lit(x) for x in ("plan", *decks.VARIANTS, *(f"audit-{v}" for v in decks.VARIANTS))])).alias("kind")
+    slides = jobs.select("job", "c_custkey", kinds).filter(~((k % 7 == 1) & (F.col("kind") == "audit-visual"))).select("job", "c_custkey", "kind", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("ord"))
+    swapped = F.when((k % 6 == 4) & (F.col("kind") == "balanced"), 5 - F.col("ord")).otherwise(F.col("ord"))
+    variants = jobs.select("job", "c_custkey", F.explode(F.array(*[F.lit(v) for v in decks.VARIANTS])).alias("variant")).filter(~((k % 11 == 1) & (F.col("variant") == "visual")))
+    audits = variants.select("job", "variant", (~((k % 5 == 2) & (F.col("variant") == "compact"))).alias("passed"))
+    return decks.published(jobs, slides.select("job", "kind", "ord", F.concat(F.lit("s"), swapped.cast("string")).alias("slide_id")), audits, jobs.select("job", (k % 8 != 3).alias("intact")))
 
 
 _BYTES = "list_transform(embedding, lambda v: CAST(floor(abs(v::DOUBLE) * 200) % 256 AS INTEGER))"
@@ -218,12 +282,16 @@ def first_fit_timeline(spark, sf):
     return decks.first_fit(elements, elements.filter("type = 'image'"), (600, 300, 120), (115, 0, 700), (300, 120, 450), 40)
 
 
-@query("marker_runs")
-def marker_runs(spark, sf):
-    from evigrain.operators import folds
+#: Ten text slots with two small images each, on slides of fifty parts; on every fifth slide one slot is wider.
+_ICONS = """SELECT slide_no AS layout_id, ord, CASE WHEN ord < 10 THEN 'text' WHEN ord < 30 THEN 'image' ELSE 'shape' END AS type,
+5.0 + (ord % 5) * 190 + CASE WHEN ord BETWEEN 10 AND 19 THEN 10 WHEN ord BETWEEN 20 AND 29 THEN 12 ELSE 0 END AS x, 100.0 + floor((ord % 10) / 5) * 150 + CASE WHEN ord BETWEEN 10 AND 19 THEN 10 WHEN ord BETWEEN 20 AND 29 THEN 12 ELSE 0 END AS y,
+CASE WHEN ord < 10 THEN CASE WHEN ord = 3 AND slide_no % 5 = 0 THEN 180.0 ELSE 150.0 END WHEN ord < 20 THEN 30.0 ELSE 28.0 END AS w, CASE WHEN ord < 10 THEN 60.0 WHEN ord < 20 THEN 30.0 ELSE 28.0 END AS h, slide_no % 12 AS items FROM elements"""
+
 
-    icons = frame(spark, sf, "elements").select(F.col("slide_id").alias("layout_id"), "ord", "x", "y", (F.col("w") / 4).alias("w"), (F.col("h") / 4).alias("h"))
-    return folds.marker_runs(icons)
+@query("marker_rows", twin("""SELECT i.layout_id, i.ord, i.ord - 10 AS slot_ord, 2::BIGINT AS images FROM icons i JOIN (SELECT layout_id FROM icons WHERE ord < 30 GROUP BY layout_id HAVING count(*) = 30) f ON f.layout_id = i.layout_id WHERE i.ord BETWEEN 10 AND 19 AND i.items BETWEEN 1 AND 8 AND i.layout_id % 5 <> 0""", icons=_ICONS))
+def marker_rows(spark, sf):
+    icons = run(spark, sf, _ICONS)
+    return placing.marker_rows(icons.withColumns({c: F.col(c).cast("double") for c in "xywh"}))
 
 
 @query("contract_violations", twin("""SELECT slide_id || '/' || ord AS place, unnest(list_filter([CASE WHEN type = 'frame' THEN 'type_unknown' END, CASE WHEN w <= 0 THEN 'size_not_positive' END, CASE WHEN NOT regexp_full_match(color, '#[0-9A-Fa-f]{6}') THEN 'color_malformed' END], lambda r: r IS NOT NULL)) AS rule FROM loose""",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evigrain.functions import cells, geometry, jsontext
+from evigrain.functions.text import decoded
 from evigrain.operators import folds
 from evigrain.plans.registered import registry
 from evigrain.plans.standins import frame, run, twin
@@ -129,12 +130,13 @@ def docx_paragraphs(spark, sf):
     return office.chunks(files, kind="docx").filter("error IS NULL").select("name", "text", "locator", "precision")
 
 
-@query("page_titles", r"""SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title FROM pages""")
+@query("page_titles", r"""SELECT page_id, CASE WHEN page_id % 7 <> 3 THEN concat(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), chr(1078), chr(65 + (page_id % 20)::INTEGER), chr(128512), CASE WHEN page_id % 7 = 5 THEN '&amp' ELSE '&lt;' END) END AS title FROM pages""")
 def page_titles(spark, sf):
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    for entity, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        title = F.replace(title, F.lit(entity), F.lit(value))
-    return frame(spark, sf, "pages").select("page_id", title.alias("title"))
+    """Titles with numeric entities put behind them; in every seventh page one that is no XML entity."""
+    number = F.concat(F.lit("&#"), (F.col("page_id") % 20 + 65).cast("string"), F.lit(";"))
+    last = F.when(F.col("page_id") % 7 == 3, "&nbsp;").when(F.col("page_id") % 7 == 5, "&amp").otherwise("&amp;lt;")
+    title = F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("&#x436;"), number, F.lit("&#x1F600;"), last)
+    return frame(spark, sf, "pages").select("page_id", decoded(title).alias("title"))
 
 
 @query("canonical_json", """SELECT event_id, concat('{"a":{"y":', event_id, ',"z":1},"k":', json_extract(props, '$.k'), '}') AS canonical FROM events""")
