@@ -2,7 +2,8 @@
 
 Inputs are tables of chunks, facts and claims as in the schemas of this package.
 Matching by containment joins on a word inside the claim first, or on its first
-characters, so that only pairs which share it are compared.
+characters, so that only pairs which share it are compared; texts are read where
+they lie if claims are few, and cross a shuffle once if they are many.
 """
 
 from __future__ import annotations
@@ -27,33 +28,71 @@ REASONS = {
 }
 
 
+#: Claims and their characters up to which they are broadcast, so that chunks are read once and not shuffled.
+BROADCAST_CLAIMS, BROADCAST_CHARS = 20_000, 8 << 20
+#: Inner words of a claim of which the rarest finds its chunks.
+ANCHORS = 3
+
+
 def _grams(x: Column, size: int) -> Column:
     """All runs of `size` characters, in one pass over the text."""
     return F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def _with_anchor(chunks: DataFrame, claims: DataFrame, anchors: Column) -> DataFrame:
-    """Chunks and claims that share an anchor, checked for containment; anchors are the chunk's, claims have theirs."""
+def _words(x: Column) -> Column:
+    return F.split(x, " ")
+
+
+def _longest(inner: Column) -> Column:
+    """The longest different words, ANCHORS at most."""
+    ranked = F.sort_array(F.transform(F.array_distinct(inner), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))), asc=False)
+    return F.transform(F.slice(ranked, 1, ANCHORS), lambda r: r["w"])
+
+
+def _met(chunks: DataFrame, claims: DataFrame, anchors: Column, few: bool) -> DataFrame:
+    """(claim_id, chunk_id, ord) where a chunk contains a claim; anchors are the chunk's, claims have one anchor each.
+
+    Few claims are broadcast. With many, ids meet first and the texts of the pairs that met follow.
+    """
+    if few:
+        met = chunks.select("chunk_id", "ord", "chunk_text", F.explode(F.array_distinct(anchors)).alias("anchor")).join(F.broadcast(claims), "anchor")
+        return met.filter(F.contains("chunk_text", "claim_text")).select("claim_id", "chunk_id", "ord")
     wanted = claims.select("anchor").distinct()
-    met = chunks.select("chunk_id", "ord", "chunk_text", F.explode(F.array_distinct(anchors)).alias("anchor")).join(wanted, "anchor", "left_semi")
-    return met.join(claims, "anchor").filter(F.contains("chunk_text", "claim_text")).select("claim_id", "chunk_id", "ord")
+    filed = chunks.select("chunk_id", F.explode(F.array_distinct(anchors)).alias("anchor")).join(wanted, "anchor", "left_semi")
+    pairs = filed.join(claims, "anchor").select("chunk_id", "claim_id", "claim_text")
+    return pairs.join(chunks, "chunk_id").filter(F.contains("chunk_text", "claim_text")).select("claim_id", "chunk_id", "ord")
+
+
+def _rarest(chunks: DataFrame, claims: DataFrame) -> DataFrame:
+    """claims with the one of their anchors that the fewest chunks have; a claim with an anchor that no chunk has is left out."""
+    each = claims.select("claim_id", "claim_text", F.explode("anchors").alias("anchor"))
+    wanted = each.select("anchor").distinct()
+    counted = chunks.select(F.explode(F.array_distinct(_words(F.col("chunk_text")))).alias("anchor")).join(wanted, "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("chunks"))
+    met = each.join(counted, "anchor", "left").groupBy("claim_id", "claim_text")
+    return met.agg(F.min_by("anchor", F.struct("chunks", "anchor")).alias("anchor"), F.bool_and(F.col("chunks").isNotNull()).alias("everywhere")).filter("everywhere").drop("everywhere")
 
 
 def containing(chunks: DataFrame, claims: DataFrame) -> DataFrame:
     """(claim_id, chunk_id, ord): all chunks whose normalised text has the claim's normalised text in it.
 
-    A claim of three words or more meets the chunks that have its longest inner word, a shorter one those that
-    have its first three characters (or fewer, if it is no longer).
+    A claim of three words or more meets the chunks that have one of its inner words whole; a shorter one those that have its first three characters (or fewer, if it is no longer).
     """
     normal = chunks.select("chunk_id", "ord", text.normalized(F.col("text")).alias("chunk_text"))
-    wanted = claims.select("claim_id", text.normalized(F.col("text")).alias("claim_text")).filter("claim_text <> ''").withColumn("words", F.split("claim_text", " "))
-    inner = F.slice("words", 2, F.size("words") - 2)
-    long = wanted.filter(F.size("words") >= 3).withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]).drop("words")
-    found = _with_anchor(normal, long, F.split("chunk_text", " "))
-    short = wanted.filter(F.size("words") < 3).withColumn("anchor", F.substring("claim_text", 1, 3)).drop("words")
-    if not short.isEmpty():
-        grams = F.concat(*[_grams(F.col("chunk_text"), n) for n in (1, 2, 3)])
-        found = found.unionByName(_with_anchor(normal, short, grams))
+    wanted = claims.select("claim_id", text.normalized(F.col("text")).alias("claim_text")).filter("claim_text <> ''").withColumn("words", _words(F.col("claim_text"))).distinct()
+    sizes = wanted.groupBy((F.size("words") >= 3).alias("long"), F.least(F.char_length("claim_text"), F.lit(3)).alias("size")).agg(F.count("*").alias("n"), F.sum(F.char_length("claim_text")).alias("chars")).collect()  # six rows at most
+    few = sum(r["n"] for r in sizes) <= BROADCAST_CLAIMS and sum(r["chars"] for r in sizes) <= BROADCAST_CHARS
+    parts = []
+    if any(r["long"] for r in sizes):
+        long = wanted.filter(F.size("words") >= 3).select("claim_id", "claim_text", _longest(F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))).alias("anchors"))
+        one = long.select("claim_id", "claim_text", F.get("anchors", 0).alias("anchor")) if few else _rarest(normal, long)
+        parts.append(_met(normal, one, _words(F.col("chunk_text")), few))
+    short = sorted({r["size"] for r in sizes if not r["long"]})
+    if short:
+        own = wanted.filter(F.size("words") < 3).select("claim_id", "claim_text", F.substring("claim_text", 1, 3).alias("anchor"))
+        parts.append(_met(normal, own, F.concat(*[_grams(F.col("chunk_text"), n) for n in short]), few))
+    if not parts:
+        return normal.join(wanted.select("claim_id"), F.lit(False)).select("claim_id", "chunk_id", "ord")
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return found.distinct()
 
 
@@ -190,10 +229,9 @@ def ordered_union(rows: DataFrame, group: str, order: str, ids: str, to: str) ->
 
 
 def source_links(chunks: DataFrame, facts: DataFrame) -> DataFrame:
-    """Sorted distinct chunk and fact ids of each source."""
-    by_chunk = chunks.groupBy("source_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
-    by_fact = facts.groupBy("source_id").agg(F.array_sort(F.collect_set("fact_id")).alias("fact_ids"))
-    return by_chunk.join(by_fact, "source_id", "full_outer")
+    """(source_id, kind, id): the distinct chunk and fact ids of each source, a row a link, so that no source is gathered; sort by all three for the listing."""
+    link = lambda rows, kind, name: rows.select("source_id", F.lit(kind).alias("kind"), F.col(name).alias("id"))
+    return link(chunks, "chunk", "chunk_id").unionByName(link(facts, "fact", "fact_id")).distinct()
 
 
 def reused_claims(bindings: DataFrame) -> DataFrame:

@@ -9,9 +9,14 @@ from evigrain.functions.geometry import rounded
 
 
 def consolidated(evidence: DataFrame, value: str = "value") -> DataFrame:
-    """For (value, confidence, ord, sources): one row a value with the highest confidence, sources united in order, and the first ord."""
-    gathered = F.array_sort(F.collect_list(F.struct("ord", "sources")))
-    return evidence.groupBy(value).agg(F.max("confidence").alias("confidence"), F.array_distinct(F.flatten(F.transform(gathered, lambda r: r["sources"]))).alias("sources"), F.min("ord").alias("first_ord"))
+    """For (value, confidence, ord, sources): one row a value with the highest confidence, sources united in order, and the first ord.
+
+    Each source of a value is one row before any are gathered, so that a frequent value is no large group.
+    """
+    each = evidence.select(value, "confidence", "ord", F.posexplode_outer("sources").alias("at", "source"))
+    of_source = each.groupBy(value, "source").agg(F.max("confidence").alias("confidence"), F.min("ord").alias("ord"), F.min(F.struct("ord", "at")).alias("first"))
+    named = F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("first", "source"))))
+    return of_source.groupBy(value).agg(F.max("confidence").alias("confidence"), F.transform(named, lambda r: r["source"]).alias("sources"), F.min("ord").alias("first_ord"))
 
 
 def sorted_evidence(evidence: DataFrame, value: str = "value", most: int | None = None) -> DataFrame:

@@ -39,8 +39,8 @@ def relation_edges(cells: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     present = cells.filter(~(blank("source") & blank("target") & blank("relationship")))
     bad = blank("source") | blank("target") | (F.col("source") == F.col("target")) | (F.char_length("source") > LONGEST_LABEL) | (F.char_length("target") > LONGEST_LABEL)
-    void = F.max(F.coalesce(bad, F.lit(True))).over(Window.partitionBy("source_id"))
-    return present.withColumn("_void", void).filter(~F.col("_void")).select("source_id", "row_no", "source", "target", F.when(~blank("relationship"), F.col("relationship")).alias("relationship"))
+    void = present.filter(F.coalesce(bad, F.lit(True))).select("source_id").distinct()
+    return present.join(void, "source_id", "left_anti").select("source_id", "row_no", "source", "target", F.when(~blank("relationship"), F.col("relationship")).alias("relationship"))
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:

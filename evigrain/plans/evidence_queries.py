@@ -118,11 +118,9 @@ def slide_ref_union(spark, sf):
     return evidence.ordered_union(rows, "slide_id", "ord", "ids", "refs").withColumn("refs", F.array_join("refs", ","))
 
 
-@query("source_links", twin("""SELECT coalesce(c.source_id, f.source_id) AS source_id, c.ids AS chunk_ids, f.ids AS fact_ids FROM (SELECT source_id, string_agg(DISTINCT chunk_id, ',' ORDER BY chunk_id) AS ids FROM chunks GROUP BY source_id) c
-FULL JOIN (SELECT source_id, string_agg(DISTINCT fact_id, ',' ORDER BY fact_id) AS ids FROM facts GROUP BY source_id) f ON c.source_id = f.source_id"""))
+@query("source_links", twin("SELECT source_id, 'chunk' AS kind, chunk_id AS id FROM chunks UNION SELECT source_id, 'fact', fact_id FROM facts"))
 def source_links(spark, sf):
-    found = evidence.source_links(frame(spark, sf, "chunks"), frame(spark, sf, "facts"))
-    return found.select("source_id", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.array_join("fact_ids", ",").alias("fact_ids"))
+    return evidence.source_links(frame(spark, sf, "chunks"), frame(spark, sf, "facts"))
 
 
 @query("evidence_catalogue", twin("SELECT source_id, chunk_id, text, locator, precision, merged_range FROM chunks"))

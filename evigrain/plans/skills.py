@@ -44,13 +44,13 @@ def listed(spark: SparkSession) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """Make canonical_json, json_object and csv_cells usable in SQL."""
+    """Make canonical_json, json_object_in and csv_cells usable in SQL; all move data in Arrow batches."""
     from pyspark.sql.functions import udtf
 
-    spark.udf.register("canonical_json", jsontext.canonical)
-    spark.udf.register("json_object_in", jsontext.object_in)
+    spark.udf.register("canonical_json", jsontext.mapped(jsontext.canonical))
+    spark.udf.register("json_object_in", jsontext.mapped(jsontext.object_in))
 
-    @udtf(returnType="row_no: bigint, col_no: bigint, text: string")
+    @udtf(returnType="row_no: bigint, col_no: bigint, text: string", useArrow=True)
     class CsvCells:
         def eval(self, body: str):
             for line, row in csvtext.rows((body or "")[: csvtext.TEXT_LIMIT]):

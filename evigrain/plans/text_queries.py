@@ -49,9 +49,9 @@ def excerpts(spark, sf):
 
 
 @query("keyword_top20", rf"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}-]{{4,}}')) AS word FROM documents)
-SELECT word, count(*) AS n FROM w WHERE word NOT IN ({", ".join(f"'{w}'" for w in text.STOP_WORDS)}) GROUP BY word ORDER BY n DESC, word LIMIT 20""")
+SELECT word, count(*) AS n FROM w WHERE word NOT IN ({", ".join(f"'{w}'" for w in text.STOP_WORDS)}) GROUP BY word ORDER BY n DESC, word COLLATE ru LIMIT 20""")
 def keyword_top20(spark, sf):
-    return rank.top_keywords(frame(spark, sf, "documents"), "text")
+    return rank.top_keywords(frame(spark, sf, "documents"), "text", collation="ru")
 
 
 @query("value_inference", twin(r"""SELECT source_id, row_no, col_no,

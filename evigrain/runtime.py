@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch: texts have no length limit, so few rows keep a Python worker's memory small.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch: texts have no length limit, so the bytes keep a Python worker's memory small.
+ARROW_ROWS, ARROW_BYTES = 8192, 2 << 20
 
 _written: dict[str, SparkSession] = {}
 
@@ -40,14 +41,18 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 def tuned(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark is local (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"Set spark.checkpoint.dir to a folder that all executors of {master} share")
     own = os.path.join(tempfile.gettempdir(), f"evigrain-{os.getpid()}")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -57,7 +62,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; it is deleted at exit unless discarded before."""
     path = f"{shared_dir(spark)}/evigrain/{label}-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(_discard_all)
+        atexit.register(discard_all)
     _written[path] = spark
     return path
 
@@ -78,7 +83,8 @@ def discard(spark: SparkSession, path: str) -> None:
     _written.pop(path, None)
 
 
-def _discard_all() -> None:
+def discard_all() -> None:
+    """Delete all written tables that are left; at exit, or when a long session has no plan that reads them."""
     for path, spark in list(_written.items()):
         try:
             discard(spark, path)

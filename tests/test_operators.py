@@ -407,7 +407,9 @@ def test_embedded_images_must_be_whole():
     assert not images.embedded(url(b"\xff\xd8" + frame + b"\xff\xd9", "jpeg"))["valid"] and not images.embedded(url(b"\xff\xd8" + scan + b"\xff\xd9", "jpeg"))["valid"]
 
 
-def test_containment_equals_brute_force(spark):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_containment_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(evidence, "BROADCAST_CLAIMS", few)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
     chunks = [(str(i), i, " ".join(word() for _ in range(rng.randint(0, 12)))) for i in range(60)]
@@ -415,3 +417,23 @@ def test_containment_equals_brute_force(spark):
     found = evidence.containing(spark.createDataFrame(chunks, "chunk_id string, ord int, text string"), spark.createDataFrame(claims, "claim_id string, text string"))
     assert sorted((r["claim_id"], r["chunk_id"]) for r in found.collect()) == sorted((c, k) for c, t in claims for k, _, body in chunks if t in body)
     assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    empty = spark.createDataFrame(claims, "claim_id string, text string").limit(0)
+    assert evidence.containing(spark.createDataFrame(chunks, "chunk_id string, ord int, text string"), empty).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from evigrain import runtime
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Fake:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Fake())
+    Fake.conf["spark.master"] = "local[4]"
+    assert runtime.shared_dir(Fake())
+    Fake.conf = Conf({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/y/"})
+    assert runtime.shared_dir(Fake()) == "hdfs://x/y"
