@@ -83,9 +83,11 @@ def dangling_refs(spark, sf):
     return evidence.dangling(frame(spark, sf, "facts"), frame(spark, sf, "chunks"), "chunk_id").select("fact_id", "chunk_id")
 
 
-@query("dangling_orders", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)")
+@query("dangling_orders", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey + CASE WHEN l_linenumber = 5 THEN 100000000 ELSE 0 END)")
 def dangling_orders(spark, sf):
-    return evidence.dangling(frame(spark, sf, "lineitem").withColumn("o_orderkey", F.col("l_orderkey")), frame(spark, sf, "orders"), "o_orderkey").select("l_orderkey", "l_linenumber")
+    """Every fifth line names an order that is not there."""
+    lines = frame(spark, sf, "lineitem").withColumn("o_orderkey", F.col("l_orderkey") + F.when(F.col("l_linenumber") == 5, 100000000).otherwise(0))
+    return evidence.dangling(lines, frame(spark, sf, "orders"), "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
 _SPECIALIST = "SELECT concat('s', CAST(doc_id AS VARCHAR(20))) AS ref_id, concat('f', CAST(doc_id + doc_id % 2 AS VARCHAR(20))) AS fact_id, concat('c', CAST(doc_id AS VARCHAR(20))) AS chunk_ref FROM documents"
@@ -133,7 +135,7 @@ def critic_reuse(spark, sf):
     return evidence.reused_claims(frame(spark, sf, "lineitem").select(F.col("l_suppkey").alias("deck"), F.col("l_orderkey").alias("slide_no"), F.col("l_partkey").alias("claim_id")))
 
 
-@query("critic_unbound", "SELECT c_custkey AS slide_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("critic_unbound", "SELECT c_custkey AS slide_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey + o_custkey % 2 = c_custkey)")
 def critic_unbound(spark, sf):
-    bound = frame(spark, sf, "orders").select(F.col("o_custkey").alias("slide_id"))
+    bound = frame(spark, sf, "orders").select((F.col("o_custkey") + F.col("o_custkey") % 2).alias("slide_id"))
     return evidence.dangling(frame(spark, sf, "customer").select(F.col("c_custkey").alias("slide_id")), bound, "slide_id")

@@ -121,9 +121,9 @@ def card_clauses(spark, sf):
     return frame(spark, sf, "conversations").select("conv_id", "turn", F.array_join(text.clauses(F.col("text")), "|").alias("clauses"))
 
 
-@query("packed_cards", "WITH w AS (SELECT conv_id, turn, string_split(text, ' ')[1:6] AS items FROM conversations) SELECT conv_id, turn, array_to_string(CASE WHEN len(items) <= 3 THEN items ELSE list_append(items[1:2], array_to_string(items[3:], ' · ')) END, '|') AS cards FROM w")
+@query("packed_cards", "WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS items FROM conversations) SELECT conv_id, turn, array_to_string(CASE WHEN len(items) <= 3 THEN items ELSE list_append(items[1:2], array_to_string(items[3:], ' · ')) END, '|') AS cards FROM w")
 def packed_cards(spark, sf):
-    return frame(spark, sf, "conversations").select("conv_id", "turn", F.array_join(text.packed(F.slice(F.split("text", " "), 1, 6), 3), "|").alias("cards"))
+    return frame(spark, sf, "conversations").select("conv_id", "turn", F.array_join(text.packed(F.split("text", " "), 3), "|").alias("cards"))
 
 
 @query("token_estimate", "SELECT doc_id, CAST(ceil(strlen(text) / 3.0) AS BIGINT) AS tokens FROM documents")
