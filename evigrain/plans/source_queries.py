@@ -15,7 +15,7 @@ from evigrain.functions.text import decoded
 from evigrain.operators import folds
 from evigrain.plans.registered import registry
 from evigrain.plans.standins import frame, run, twin
-from evigrain.sources import csvtext, images, office
+from evigrain.sources import csvtext, images, material, office
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -130,6 +130,88 @@ def docx_paragraphs(spark, sf):
     return office.chunks(files, kind="docx").filter("error IS NULL").select("name", "text", "locator", "precision")
 
 
+_BOOK = {
+    "xl/workbook.xml": '<workbook xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><workbookPr/><sheets><sheet name="Talk" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+    "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>',
+}
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as package:
+        for name, body in parts.items():
+            package.writestr(name, body)
+    return box.getvalue()
+
+
+@F.arrow_udf(T.BinaryType())
+def _as_xlsx(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+    """A sheet: the text as an inline and as a shared string, a number, a date, a flag, an empty cell, and a merged range over two cells."""
+    out = []
+    for text, n in zip(texts.to_pylist(), numbers.to_pylist(), strict=True):
+        own = escape(text or "")
+        rows = f'<row r="1"><c t="inlineStr"><is><t>{own}</t></is></c><c t="s"><v>0</v></c><c><v>{n}</v></c></row><row r="4"><c r="B4" s="1"><v>{40000 + n % 1000}</v></c><c r="C4" t="b"><v>{n % 2}</v></c><c r="D4"/></row><row r="5"><c r="B5" t="str"><f>A1</f><v>kept</v></c><c r="C5" t="str"><v>covered</v></c></row>'
+        sheet = f'<worksheet><sheetData>{rows}</sheetData><mergeCells><mergeCell ref="B5:C6"/><mergeCell ref="C9:B8"/></mergeCells></worksheet>'
+        out.append(_zipped(_BOOK | {"xl/worksheets/sheet1.xml": sheet, "xl/sharedStrings.xml": f"<sst><si><t>{own}</t></si></sst>"}))
+    return pa.array(out, pa.binary())
+
+
+@query("sheet_cells", """WITH c AS (SELECT concat(conv_id, '/', turn) AS name, text, conv_id * 10 + turn AS n FROM conversations), v AS (
+SELECT name, 1 AS row_no, 1 AS col_no, 'string' AS value_type, text, NULL AS formula, NULL AS merged_range FROM c UNION ALL SELECT name, 1, 2, 'string', text, NULL, NULL FROM c UNION ALL SELECT name, 1, 3, 'number', n::VARCHAR, NULL, NULL FROM c
+UNION ALL SELECT name, 4, 2, 'date', strftime(TIMESTAMP '1899-12-30' + to_days((40000 + n % 1000)::INTEGER), '%Y-%m-%dT%H:%M:%S.%gZ'), NULL, NULL FROM c UNION ALL SELECT name, 4, 3, 'boolean', CASE WHEN n % 2 = 1 THEN 'true' ELSE 'false' END, NULL, NULL FROM c UNION ALL SELECT name, 5, 2, 'string', 'kept', 'A1', 'B5:C6' FROM c)
+SELECT name, 'Talk' AS sheet, row_no::BIGINT AS row_no, col_no::BIGINT AS col_no, value_type, text, formula, merged_range, concat('sheet:Talk,row:', row_no, ',column:', col_no) AS locator FROM v WHERE text <> ''""")
+def sheet_cells(spark, sf):
+    talks = frame(spark, sf, "conversations")
+    files = talks.select(F.concat_ws("/", "conv_id", "turn").alias("name"), _as_xlsx(F.col("text"), F.col("conv_id") * 10 + F.col("turn")).alias("content"))
+    return material.sheet_facts(files).filter("error IS NULL").drop("error")
+
+
+@query("sheet_texts", """SELECT concat(conv_id, '/', turn) AS name, 'Talk' AS sheet, concat(CASE WHEN text <> '' THEN concat(text, chr(9), text, chr(9)) ELSE '' END, n, chr(10), strftime(TIMESTAMP '1899-12-30' + to_days((40000 + n % 1000)::INTEGER), '%Y-%m-%dT%H:%M:%S.%gZ'), chr(9), CASE WHEN n % 2 = 1 THEN 'true' ELSE 'false' END, chr(10), 'kept') AS text FROM (SELECT *, conv_id * 10 + turn AS n FROM conversations)""")
+def sheet_texts(spark, sf):
+    talks = frame(spark, sf, "conversations")
+    files = talks.select(F.concat_ws("/", "conv_id", "turn").alias("name"), _as_xlsx(F.col("text"), F.col("conv_id") * 10 + F.col("turn")).alias("content"))
+    return material.sheet_texts(material.sheet_facts(files))
+
+
+@F.arrow_udf(T.BinaryType())
+def _as_pptx(decks: pa.Array) -> pa.Array:
+    """A slide a text, the last one first, every fifth hidden; decks of four slides name one slide twice, so that their order is in doubt."""
+    out = []
+    for slides in decks.to_pylist():
+        order = list(range(len(slides), 0, -1))
+        named = order + order[:1] * (len(slides) == 4)
+        ids = "".join(f'<p:sldId id="{256 + i}" r:id="r{n}"/>' for i, n in enumerate(named))
+        parts = {"ppt/presentation.xml": f'<p:presentation xmlns:p="urn:p" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>'}
+        parts["ppt/_rels/presentation.xml.rels"] = "<Relationships>" + "".join(f'<Relationship Id="r{n}" Target="slides/slide{n}.xml"/>' for n in order) + "</Relationships>"
+        for n, text in enumerate(slides, 1):
+            hidden = ' show="0"' if n % 5 == 0 else ""
+            parts[f"ppt/slides/slide{n}.xml"] = f'<p:sld xmlns:p="urn:p" xmlns:a="urn:a"{hidden}><a:t>{escape(text or "")}</a:t><a:t>{n}</a:t></p:sld>'
+        out.append(_zipped(parts))
+    return pa.array(out, pa.binary())
+
+
+@query("deck_texts", """WITH s AS (SELECT conv_id::VARCHAR AS name, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS slides FROM conversations)
+SELECT name, concat(CASE WHEN text <> '' THEN concat(text, ' ') ELSE '' END, n) AS text, CASE WHEN slides = 4 THEN 'document' ELSE concat('slide:', row_number() OVER (PARTITION BY name ORDER BY n DESC)) END AS locator, CASE WHEN slides = 4 THEN 'document' ELSE 'exact' END AS precision FROM s WHERE slides = 4 OR n % 5 <> 0""")
+def deck_texts(spark, sf):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
+    decks = frame(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(ordered.alias("slides"))
+    return office.chunks(decks.select("path", _as_pptx(F.col("slides")).alias("content")), kind="pptx").filter("error IS NULL").select("name", "text", "locator", "precision")
+
+
+@query("material_chunks", """WITH f AS (SELECT conv_id AS upload, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM conversations), k AS (SELECT *, turn % 5 AS kind, concat('f', turn, ['.TXT', '.md', '.csv', '.gif', '.zip'][turn % 5 + 1]) AS name FROM f WHERE turn_no <= 12)
+SELECT upload, name, text, concat('lines:1-', len(string_split(text, chr(10)))) AS locator, 'exact' AS precision, NULL AS value_type, NULL AS error FROM k WHERE kind IN (0, 1)
+UNION ALL SELECT upload, name, 'true', 'row:1,column:1', 'exact', 'boolean', NULL FROM k WHERE kind = 2 UNION ALL SELECT upload, name, turn::VARCHAR, 'row:1,column:2', 'exact', 'number', NULL FROM k WHERE kind = 2
+UNION ALL SELECT upload, name, concat('image-mime:image/gif;bytes:', 13 + strlen(text), ';width:', 7, ';height:', 2), 'image:metadata', 'exact', NULL, NULL FROM k WHERE kind = 3 UNION ALL SELECT upload, name, NULL, NULL, NULL, NULL, 'Unsupported material type: .zip' FROM k WHERE kind = 4""")
+def material_chunks(spark, sf):
+    kind = (F.col("turn") % 5).cast("int")
+    ext = F.element_at(F.array(*[F.lit(e) for e in (".TXT", ".md", ".csv", ".gif", ".zip")]), kind + 1)
+    gif = F.concat(F.unhex(F.lit("47494638396107000200000000")), F.col("text").cast("binary"))
+    content = F.when(kind == 2, F.concat(F.lit("true,"), F.col("turn").cast("string")).cast("binary")).when(kind == 3, gif).otherwise(F.col("text").cast("binary"))
+    files = frame(spark, sf, "conversations").select(F.col("conv_id").alias("upload"), F.col("turn").alias("ord"), F.concat(F.lit("f"), F.col("turn").cast("string"), ext).alias("name"), content.alias("content"), F.lit("application/octet-stream").alias("mime"))
+    return material.chunks(files)
+
+
 @query("page_titles", r"""SELECT page_id, CASE WHEN page_id % 7 <> 3 THEN concat(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), chr(1078), chr(65 + (page_id % 20)::INTEGER), chr(128512), CASE WHEN page_id % 7 = 5 THEN '&amp' ELSE '&lt;' END) END AS title FROM pages""")
 def page_titles(spark, sf):
     """Titles with numeric entities put behind them; in every seventh page one that is no XML entity."""

@@ -66,25 +66,68 @@ def _targets(package: zipfile.ZipFile, part: str) -> dict[str, str]:
     return found
 
 
+_RANGE = re.compile(r"\$?([A-Z]+)\$?(\d+):\$?([A-Z]+)\$?(\d+)", re.IGNORECASE)
+_CELL = re.compile(r"\$?([A-Z]+)\$?(\d+)", re.IGNORECASE)
+
+
+def _column(letters: str) -> int:
+    number = 0
+    for c in letters.upper():
+        number = number * 26 + ord(c) - 64
+    return number
+
+
+def merged_ranges(references: list[str]) -> list[tuple[int, int, int, int]]:
+    """Ranges (row, column, last row, last column) in order; reversed and single cells are none, and ranges that share their first cell are both dropped."""
+    found = set()
+    for reference in references:
+        if match := _RANGE.fullmatch(reference or ""):
+            r1, c1, r2, c2 = int(match[2]), _column(match[1]), int(match[4]), _column(match[3])
+            if 0 < r1 <= r2 and c1 <= c2 and (r1, c1) != (r2, c2):
+                found.add((r1, c1, r2, c2))
+    anchors = [r[:2] for r in found]
+    return sorted(r for r in found if anchors.count(r[:2]) == 1)
+
+
+def _formats(package: zipfile.ZipFile, names: set[str]) -> list[tuple[int, str | None]]:
+    """Number format id and own code of each cell style."""
+    if "xl/styles.xml" not in names:
+        return []
+    root = _part(package, "xl/styles.xml")
+    codes = {f.get("numFmtId"): f.get("formatCode") for f in _all(root, "numFmt")}
+    return [(int(x.get("numFmtId") or 0), codes.get(x.get("numFmtId"))) for own in _all(root, "cellXfs") for x in own if _local(x) == "xf"]
+
+
 def sheet_cells(content: bytes) -> Iterator[dict]:
-    """Raw cells of all worksheets: sheet, reference, type, value, style, formula, inline and shared text, and the sheet's merged ranges."""
+    """Raw cells of all worksheets that no merged range covers: sheet, place, type, value, number format, formula, inline and shared text, and the merged range that starts there."""
     with zipfile.ZipFile(io.BytesIO(content)) as package:
         book = "xl/workbook.xml"
         root, targets = _part(package, book), _targets(package, book)
         names = set(package.namelist())
         shared = ["".join(texts(item)) for item in _all(_part(package, "xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in names else []
+        formats = _formats(package, names)
+        epoch = any(p.get("date1904") in ("1", "true") for p in _all(root, "workbookPr"))
         for sheet in _all(root, "sheet"):
             data = _part(package, targets.get(sheet.get(f"{RELATIONS}id", ""), ""))
-            merged = [m.get("ref") for m in _all(data, "mergeCell")]
+            merged = merged_ranges([m.get("ref") for m in _all(data, "mergeCell")])
             for row_no, row in enumerate(_all(data, "row"), 1):
-                at = int(row.get("r", row_no))
                 column = 1
                 for cell in _all(row, "c"):
+                    own = _CELL.fullmatch(cell.get("r") or "")
+                    place = (int(own[2]), _column(own[1])) if own else (int(row.get("r", row_no)), column)
+                    column = max(column, place[1] + 1)
+                    range_of = next((m for m in merged if m[0] <= place[0] <= m[2] and m[1] <= place[1] <= m[3]), None)
+                    if range_of and range_of[:2] != place:
+                        continue
                     parts = {_local(p): p for p in cell}
                     raw = parts["v"].text if "v" in parts else None
                     index = int(raw) if cell.get("t") == "s" and raw and raw.isdecimal() else -1
-                    yield {"sheet": sheet.get("name"), "ref": cell.get("r") or f"#{at}:{column}", "kind": cell.get("t"), "raw": raw, "style": cell.get("s"), "formula": parts["f"].text if "f" in parts else None, "inline": "".join(texts(parts["is"])) if "is" in parts else None, "shared": shared[index] if 0 <= index < len(shared) else None, "merged": merged}
-                    column += 1
+                    style = cell.get("s") or ""
+                    known = formats[int(style)] if style.isdecimal() and int(style) < len(formats) else (0, None)
+                    yield {
+                        "sheet": sheet.get("name"), "ref": cell.get("r") or f"#{place[0]}:{place[1]}", "row_no": place[0], "col_no": place[1], "kind": cell.get("t"), "raw": raw, "style": cell.get("s"), "format_id": known[0], "format_code": known[1], "epoch_1904": epoch,
+                        "formula": parts["f"].text if "f" in parts else None, "inline": "".join(texts(parts["is"])) if "is" in parts else None, "shared": shared[index] if 0 <= index < len(shared) else None, "merged": list(range_of) if range_of else None,
+                    }
 
 
 def _paragraph(node: ElementTree.Element) -> str | None:
