@@ -94,8 +94,9 @@ def test_xlsx_cells():
         z.writestr("xl/sharedStrings.xml", f"<sst {m}><si><t>shared</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {m}><sheetData><row r="2"><c r="B2" t="s"><v>0</v></c><c t="b"><v>1</v></c><c r="D2"><f>1+1</f></c></row></sheetData><mergeCells><mergeCell ref="A1:C1"/></mergeCells></worksheet>')
     found = list(office.sheet_cells(box.getvalue()))
-    assert [(c["ref"], c["kind"], c["raw"], c["shared"], c["formula"]) for c in found] == [("B2", "s", "0", "shared", None), ("#2:2", "b", "1", None, None), ("D2", None, None, None, "1+1")]
-    assert found[0]["merged"] == ["A1:C1"]
+    assert [(c["ref"], c["kind"], c["raw"], c["shared"], c["formula"]) for c in found] == [("B2", "s", "0", "shared", None), ("#2:3", "b", "1", None, None), ("D2", None, None, None, "1+1")]
+    assert [c["merged"] for c in found] == [None] * 3
+    assert office.merged_ranges(["A1:C1", "B2:A1", "D4:D4", "F6:G7", "F6:H9", "x"]) == [(1, 1, 1, 3)]
 
 
 def test_office_errors(spark):
