@@ -249,6 +249,54 @@ def template_elements(spark, sf):
     return template.elements_of(parts).select("name", "ord", "element_id", "type", "text", "x", "w")
 
 
+@F.arrow_udf(T.BinaryType())
+def _as_template(numbers: pa.Array) -> pa.Array:
+    """Packages with a theme, a layout and two slides (numbers 10 and 2); some have a broken or an unsafe part, or no presentation."""
+    import io
+    import zipfile
+
+    slide = '<p:sld xmlns:p="urn:p" xmlns:a="urn:a"><p:cSld><p:spTree>{}</p:spTree></p:cSld></p:sld>'
+    turned = '<p:grpSp><p:grpSpPr><a:xfrm rot="5"><a:off x="0" y="0"/></a:xfrm></p:grpSpPr></p:grpSp>'
+    shape = lambda i: f'<p:sp><p:nvSpPr><p:cNvPr id="{i}"/></p:nvSpPr><p:spPr><a:xfrm><a:off x="{i * 9525}" y="0"/><a:ext cx="9525" cy="9525"/></a:xfrm></p:spPr></p:sp>'
+    out = []
+    for n in numbers.to_pylist():
+        parts = {"ppt/slides/slide10.xml": slide.format("<p:pic/>" + shape(n)), "ppt/slides/slide2.xml": slide.format(turned + shape(n)) if n % 5 else "<broken", "ppt/slideLayouts/slideLayout1.xml": slide.format(shape(1)), "ppt/media/a.png": "x"}
+        parts["ppt/slides/_rels/slide10.xml.rels"] = f'<Relationships><Relationship Id="r1" Type="http://x/slideLayout" Target="../slideLayouts/slideLayout1.xml"/><Relationship Id="r2" Type="http://x/hyperlink" Target="https://x/{n}" TargetMode="External"/></Relationships>'
+        if n % 3:
+            parts["ppt/presentation.xml"] = "<p/>"
+        parts["ppt/theme/theme1.xml"] = "<!DOCTYPE x><t/>" if n % 7 == 0 else f'<t><a:srgbClr xmlns:a="urn:a" val="{n:06X}"/></t>'
+        box = io.BytesIO()
+        with zipfile.ZipFile(box, "w") as package:
+            for name, body in parts.items():
+                package.writestr(name, body)
+        out.append(box.getvalue())
+    return pa.array(out, pa.binary())
+
+
+def _template_parts(spark, sf):
+    return template.parts_of(frame(spark, sf, "customer").select(F.col("c_custkey").alias("name"), _as_template(F.col("c_custkey")).alias("content")))
+
+
+@query("template_parts", """SELECT c_custkey::VARCHAR AS name, CASE WHEN c_custkey % 7 <> 0 THEN p.role END AS role, CASE WHEN c_custkey % 7 <> 0 THEN p.number::BIGINT END AS number, CASE WHEN c_custkey % 7 <> 0 THEN p.part END AS part,
+CASE WHEN c_custkey % 7 <> 0 AND p.part = 'ppt/slides/slide2.xml' AND c_custkey % 5 = 0 THEN 'Could not parse XML part: ppt/slides/slide2.xml' WHEN c_custkey % 7 <> 0 AND p.role = 'presentation' AND c_custkey % 3 = 0 THEN 'Missing XML part: ppt/presentation.xml' END AS warning,
+CASE WHEN c_custkey % 7 = 0 THEN 'Unsafe XML declaration in PPTX package' END AS error, CASE WHEN c_custkey % 7 <> 0 THEN p.relations END AS relations
+FROM customer, (VALUES ('theme', 1, 'ppt/theme/theme1.xml', 0), ('layout', 1, 'ppt/slideLayouts/slideLayout1.xml', 0), ('slide', 1, 'ppt/slides/slide2.xml', 0), ('slide', 2, 'ppt/slides/slide10.xml', 2), ('presentation', 1, 'ppt/presentation.xml', 0), ('media', 1, 'ppt/media/a.png', 0)) AS p(role, number, part, relations) WHERE c_custkey % 7 <> 0 OR p.role = 'theme'""")
+def template_parts(spark, sf):
+    return _template_parts(spark, sf).select("name", "role", "number", "part", "warning", "error", F.when(F.col("relations").isNotNull(), F.size("relations")).alias("relations"))
+
+
+@query("template_warnings", "SELECT c_custkey::VARCHAR AS name, 'Skipped turned or flipped group' AS warning FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0")
+def template_warnings(spark, sf):
+    return template.warnings_of(_template_parts(spark, sf).filter("role = 'slide'"))
+
+
+@query("element_order", "SELECT c_custkey::VARCHAR AS name, o AS ord, CASE WHEN o = 1 THEN c_custkey::VARCHAR END AS element_id, 1 - o AS z FROM customer, unnest([0, 1]) AS t(o) WHERE c_custkey % 7 <> 0")
+def element_order(spark, sf):
+    """Slides on which an element without an id stands before one with it."""
+    slides = _template_parts(spark, sf).filter("part = 'ppt/slides/slide10.xml'")
+    return template.elements_of(slides).select("name", "ord", "element_id", "z")
+
+
 @query("skill_registry", "SELECT * FROM (VALUES ('align-claims', 'v1', 'claims,chunks,facts'), ('canvas-audit', 'v1', 'elements,fonts,colors'), ('data-visual-spec', 'v1', 'data,facts,chunks,citations'), ('deck-plan', 'v1', 'briefs'), ('final-jury', 'v1', 'variants'), ('grounded-deck-planner', 'v1', 'chunks,claims'), ('published-ranking', 'v1', 'variants'), ('search-evidence', 'v1', 'requests,chunks,facts'), ('semantic-audit', 'v1', 'findings,slides,evidence')) AS t(id, version, inputs)")
 def skill_registry(spark, sf):
     return skills.listed(spark)

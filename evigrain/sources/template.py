@@ -1,8 +1,10 @@
-"""Template parts (drawing XML) to rows: theme tokens and slide elements."""
+"""Template packages and their parts (drawing XML) to rows: parts, relationships, theme tokens, elements, warnings."""
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from evigrain.sources.office import UNSAFE
 
-MOST_BYTES = 3 << 20
+MOST_BYTES, MOST_PACKAGE = 3 << 20, 50 << 20
 EMU = 9525
 #: How sure a token is that stands in the theme.
 SURE = 0.99
@@ -71,11 +73,23 @@ def _box(node: ElementTree.Element, *names: str) -> list[float] | None:
     return out
 
 
-def slide_elements(data: bytes | None) -> Iterator[dict]:
-    """Shapes, pictures, connectors and frames of a slide in paint order, in pixels, through nested groups.
+def slide_elements(data: bytes | None, warnings: list[str] | None = None) -> Iterator[dict]:
+    """Shapes, pictures, connectors and frames of a slide in document order, in pixels, through nested groups; z puts those without an id last.
 
-    Groups that are turned, flipped or without extent are left out with all in them.
+    Groups that are turned, flipped or without extent are left out with all in them, and give a warning.
     """
+    found = list(_elements(data, [] if warnings is None else warnings))
+    known = sum(e["element_id"] is not None for e in found)
+    with_id = without = 0
+    for e in found:
+        if e["element_id"] is None:
+            e["z"], without = known + without, without + 1
+        else:
+            e["z"], with_id = with_id, with_id + 1
+        yield e
+
+
+def _elements(data: bytes | None, warnings: list[str]) -> Iterator[dict]:
     root = _root(data)
     tree = None if root is None else next((e for e in root.iter() if _local(e) == "spTree"), None)
     kinds = {"sp": "shape", "pic": "image", "cxnSp": "line", "graphicFrame": "frame"}
@@ -87,8 +101,11 @@ def slide_elements(data: bytes | None) -> Iterator[dict]:
             name = _local(child)
             form = next((e for e in child.iter() if _local(e) == "xfrm"), None)
             if name == "grpSp":
-                box = None if form is None or form.get("rot") or form.get("flipH") or form.get("flipV") else _box(form, "off", "ext", "chOff", "chExt")
-                if box and min(box[2], box[3], box[6], box[7]) > 0:
+                turned = form is not None and (form.get("rot") or form.get("flipH") or form.get("flipV"))
+                box = None if form is None or turned else _box(form, "off", "ext", "chOff", "chExt")
+                if not box or min(box[2], box[3], box[6], box[7]) <= 0:
+                    warnings.append("Skipped turned or flipped group" if turned else "Skipped group without extent")
+                else:
                     gx, gy = box[2] / box[6], box[3] / box[7]
                     yield from walk(child, sx * gx, sy * gy, sx * (box[0] - gx * box[4]) + tx, sy * (box[1] - gy * box[5]) + ty, depth + 1)
             elif name in kinds:
@@ -106,7 +123,7 @@ def slide_elements(data: bytes | None) -> Iterator[dict]:
 
 
 _TOKENS = pa.schema([("name", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("path", pa.string()), ("scheme", pa.string()), ("confidence", pa.float64())])
-_ELEMENTS = pa.schema([("name", pa.string()), ("ord", pa.int64()), ("element_id", pa.string()), ("type", pa.string()), ("depth", pa.int64()), ("text", pa.string()), *((c, pa.float64()) for c in "xywh")])
+_ELEMENTS = pa.schema([("name", pa.string()), ("ord", pa.int64()), ("element_id", pa.string()), ("type", pa.string()), ("depth", pa.int64()), ("text", pa.string()), *((c, pa.float64()) for c in "xywh"), ("z", pa.int64())])
 
 
 def _rows(parts: DataFrame, reader, schema: pa.Schema, ddl: str) -> DataFrame:
@@ -126,4 +143,66 @@ def tokens_of(parts: DataFrame) -> DataFrame:
 
 def elements_of(parts: DataFrame) -> DataFrame:
     """Slide elements of parts (name, content)."""
-    return _rows(parts, slide_elements, _ELEMENTS, "name string, ord long, element_id string, type string, depth long, text string, x double, y double, w double, h double")
+    return _rows(parts, slide_elements, _ELEMENTS, "name string, ord long, element_id string, type string, depth long, text string, x double, y double, w double, h double, z long")
+
+
+def _warnings(data: bytes | None) -> Iterator[dict]:
+    found: list[str] = []
+    list(slide_elements(data, found))
+    return ({"warning": w} for w in found)
+
+
+def warnings_of(parts: DataFrame) -> DataFrame:
+    """(name, warning): what elements_of left out of parts (name, content)."""
+    return _rows(parts, _warnings, pa.schema([("name", pa.string()), ("warning", pa.string())]), "name string, warning string")
+
+
+_ROLES = (("theme", r"ppt/theme/theme(\d+)\.xml"), ("master", r"ppt/slideMasters/slideMaster(\d+)\.xml"), ("layout", r"ppt/slideLayouts/slideLayout(\d+)\.xml"), ("slide", r"ppt/slides/slide(\d+)\.xml"), ("presentation", r"ppt/presentation\.xml"), ("media", r"ppt/media/[^/]+"))
+
+
+def package_parts(content: bytes | None) -> Iterator[dict]:
+    """Parts of a template by role, numbered within it, with their bytes and relationships; parts that can't be used have a warning instead of bytes, an unsafe package a single error."""
+    data = content or b""
+    if len(data) > MOST_PACKAGE:
+        yield {"error": "PPTX template exceeds the 50 MB safety limit"}
+        return
+    out = []
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as package:
+            names = package.namelist()
+            for role, pattern in _ROLES:
+                matches = [(int(m[1]) if m.re.groups else 0, m.string) for n in names if (m := re.fullmatch(pattern, n, re.IGNORECASE))]
+                for number, (_, name) in enumerate(sorted(matches), 1):
+                    body, warning = package.read(name), None
+                    if role != "media":
+                        if len(body) > MOST_BYTES:
+                            body, warning = None, f"Skipped oversized XML part: {name}"
+                        elif UNSAFE.search(body):
+                            yield {"error": "Unsafe XML declaration in PPTX package"}
+                            return
+                        else:
+                            try:
+                                ElementTree.fromstring(body)
+                            except ElementTree.ParseError:
+                                body, warning = None, f"Could not parse XML part: {name}"
+                    out.append({"role": role, "number": number, "part": name, "content": body, "warning": warning, "relations": _relations(package, names, name)})
+            if not any(p["role"] == "presentation" for p in out):
+                out.append({"role": "presentation", "number": 1, "part": "ppt/presentation.xml", "warning": "Missing XML part: ppt/presentation.xml", "relations": []})
+    except zipfile.BadZipFile as wrong:
+        out = [{"error": str(wrong)}]
+    yield from out
+
+
+def _relations(package: zipfile.ZipFile, names: list[str], part: str) -> list[dict]:
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    root = _root(package.read(rels)) if rels in names else None
+    return [] if root is None else [{"id": r.get("Id"), "type": (r.get("Type") or "").rpartition("/")[2], "target": r.get("Target"), "mode": r.get("TargetMode") or "Internal"} for r in root.iter() if _local(r) == "Relationship"]
+
+
+_PARTS = pa.schema([("name", pa.string()), ("role", pa.string()), ("number", pa.int64()), ("part", pa.string()), ("content", pa.binary()), ("warning", pa.string()), ("error", pa.string()), ("relations", pa.list_(pa.struct([(k, pa.string()) for k in ("id", "type", "target", "mode")])))])
+
+
+def parts_of(packages: DataFrame) -> DataFrame:
+    """(name, role, number, part, content, warning, error, relations) of template packages (name, content); tokens_of and elements_of read the contents."""
+    return _rows(packages, package_parts, _PARTS, "name string, role string, number long, part string, content binary, warning string, error string, relations array<struct<id:string,type:string,target:string,mode:string>>")
