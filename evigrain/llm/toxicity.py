@@ -43,6 +43,8 @@ PASSES, RANDOM_PASSES, RANDOM_STRETCH = 60, 8, 16
 FAMILY = 16
 #: Share of words that a pass hides, and of those in a stretch that an edited copy takes the place of.
 HIDDEN, EDITED = 0.5, 0.8
+#: Share of misspelled words that clean documents are expected to have.
+MISSPELLED = 0.05
 THRESHOLD = 0.3
 #: A toxic label is doubted (weighs DOUBTED) while its document scores below this share of the others: some labels are wrong.
 TRUSTED, DOUBTED = 0.95, 0.05
@@ -177,9 +179,17 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
             softmax -= (0.5 * grad_s / np.sqrt(seen_s)).astype(np.float32)
             bias -= (0.5 * grad_b).astype(np.float32)
     gram_score = (embedding @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
-    score = _means(gram_score[grams], starts)
-    raw = np.array([_stretches(score[t]).max() for t in tokens])
-    return Model(gram_score, *calibrated(raw, labels))
+    scored = lambda own: _means(gram_score[(found := subwords(own))[0]], found[1])
+    stretches = [_stretches(x) for x in np.split(scored(known)[text], begin[1:])]
+    # The curve is laid between misspelled stretches of toxic documents and clean documents with some misspellings, besides the documents themselves.
+    copies = np.where(rng.random(len(text)) < MISSPELLED, scored([edited(w, rng) for w in known])[text], scored(known)[text])
+    most = np.array([x.max() for x in stretches])
+    wrong = np.array([_stretches(x).max() for x in np.split(copies, begin[1:])])
+    toxic = np.flatnonzero(labels == 1)
+    worst = [text[begin[d] + (at := int(np.argmax(stretches[d]))) : begin[d] + min(at + STRETCH, size[d])] for d in toxic]
+    lone = scored([edited(known[w], rng) for pair in worst for w in pair])
+    wrong[toxic] = [x.sum() / STRETCH for x in np.split(lone, np.cumsum([len(p) for p in worst])[:-1])]
+    return Model(gram_score, *calibrated(np.concatenate([most, wrong]), np.concatenate([labels, labels])))
 
 
 class Scorer:
