@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evigrain.functions import text
 from evigrain.functions.geometry import Rect, contains, intersection_area
+from evigrain.sources import images
 
 # The slides of a plan in order, with their purpose, title, visual and content; {n} is the n-th signal and its fallback.
 RECIPES = (
@@ -171,6 +172,27 @@ def publishable(jobs: DataFrame, artifacts: DataFrame, required: tuple[str, ...]
     return jobs.join(by_job, "job", "left").select("job", state.alias("status"))
 
 
+def partial_outputs(jobs: DataFrame, after: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(job, path) of artifacts (job, path) to delete: those of jobs that were generating and have failed."""
+    failed = jobs.filter("status = 'generating'").select("job").join(after.filter("status = 'failed'").select("job"), "job")
+    return artifacts.join(failed, "job", "left_semi").select("job", "path")
+
+
+MOST_PAGE_BYTES = 32_000_000
+
+
+def render_errors(rendered: DataFrame) -> DataFrame:
+    """For (run, variant, page, content, bytes, sha): why a stored page is not the declared one, or no whole PNG; null if it is."""
+    whole = images.embedded_images(F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64("content"), "[\r\n]", "")))["valid"]
+    error = (
+        F.when(F.octet_length("content") > MOST_PAGE_BYTES, "too_large")
+        .when(F.octet_length("content") != F.col("bytes"), "size_mismatch")
+        .when(F.sha2("content", 256) != F.col("sha"), "digest_mismatch")
+        .when(~whole, "not_a_png")
+    )
+    return rendered.select("run", "variant", "page", error.alias("error"))
+
+
 def image_graph_errors(assets: DataFrame, placements: DataFrame) -> DataFrame:
     """Assets (source_file, relation, sha) that are never placed, placements without an asset, and ones with other bytes."""
     keys = ["source_file", "relation"]

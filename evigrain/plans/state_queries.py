@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evigrain.operators import state
+from evigrain import contracts
+from evigrain.operators import decks, state
 from evigrain.plans.registered import registry
 from evigrain.plans.standins import frame, run, twin
 from evigrain.streaming import windows
@@ -95,3 +96,44 @@ def extension_top_customers(spark, sf):
     joined = frame(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(totals, "c_custkey")
     place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("total"), "c_custkey"))
     return joined.withColumn("place", place).filter("place <= 5").select("c_mktsegment", "c_custkey", "total", F.col("place").cast("long").alias("place"))
+
+
+_ROLES = "['evidence-analyst', 'final-jury', 'narrative-architect', 'repair-planner', 'semantic-critic', 'template-analyst', 'variant-designer-balanced', 'variant-designer-compact', 'variant-designer-visual', 'visual-critic', 'visual-director']"
+
+
+@query("role_registry", f"SELECT r AS id, 'v1' AS version, 'executable' AS status, concat('agents/', r, '/v1/contract.json') AS contract, concat('prompts/agents/', r, '/v1/system.md') AS prompt FROM (SELECT unnest({_ROLES}) AS r)")
+def role_registry(spark, sf):
+    return contracts.listed(spark)
+
+
+@query("role_violations", """SELECT c_custkey AS run, CASE c_custkey % 6 WHEN 0 THEN '$.operations[0].rationale' WHEN 1 THEN '$.operations' WHEN 2 THEN '$.round' WHEN 3 THEN '$.more' WHEN 4 THEN '$' END AS error FROM customer""")
+def role_violations(spark, sf):
+    """Repair plans of which one of six kinds holds."""
+    k = F.col("c_custkey") % 6
+    step = lambda why: f'{{"id":"a","slideId":"s1","operation":"rewrite","rationale":"{why}"}}'
+    plan = lambda **own: "{" + ",".join(f'"{n}":{v}' for n, v in ({"version": '"v1"', "variant": '"visual"', "round": "1", "status": '"repair"', "operations": f"[{step('shorter')}]"} | own).items()) + "}"
+    kinds = (plan(operations=f"[{step('')}]"), plan(status='"no_repair"'), plan(round="3"), plan(more="1"), "no plan", plan())
+    value = F.element_at(F.array(*[F.lit(x) for x in kinds]), (k + 1).cast("int"))
+    return frame(spark, sf, "customer").select(F.col("c_custkey").alias("run"), contracts.violation(F.lit("repair-planner"), F.lit("output"), value).alias("error"))
+
+
+@query("partial_outputs", """SELECT o_custkey AS job, concat('j', o_custkey, '/', o_orderkey) AS path FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 9 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 3) FILTER (WHERE o_orderkey % 40 <> 0) = 3 AND count(*) FILTER (WHERE o_orderkey % 40 = 0) = 0)""")
+def partial_outputs(spark, sf):
+    k = F.col("o_orderkey")
+    jobs = frame(spark, sf, "customer").select(F.col("c_custkey").alias("job"), F.when(F.col("c_custkey") % 9 == 0, "analyzing").otherwise("generating").alias("status"))
+    made = frame(spark, sf, "orders").select(F.col("o_custkey").alias("job"), F.when(k % 3 == 0, "plan").when(k % 3 == 1, "variant").otherwise("audit").alias("kind"), (k % 40 != 0).alias("intact"), F.concat(F.lit("j"), F.col("o_custkey").cast("string"), F.lit("/"), k.cast("string")).alias("path"))
+    after = decks.publishable(jobs, made, ("plan", "variant", "audit"))
+    return decks.partial_outputs(jobs, after, made)
+
+
+@query("render_sets", """SELECT page_id % 40 AS run, CASE page_id % 3 WHEN 0 THEN 'compact' WHEN 1 THEN 'balanced' ELSE 'visual' END AS variant, page_id AS page, CASE WHEN page_id % 7 = 0 THEN 'size_mismatch' WHEN page_id % 7 = 1 THEN 'digest_mismatch' WHEN page_id % 7 = 2 THEN 'not_a_png' END AS error FROM pages""")
+def render_sets(spark, sf):
+    import base64
+
+    png = base64.b64decode("iVBORw0KGgoAAAANSUhEUgAAAAIAAAABCAAAAADRSSBWAAAAC0lEQVR4nGPgEgEAACsAH5dshyUAAAAASUVORK5CYII=")
+    n = F.col("page_id") % 7
+    whole, cut = F.unhex(F.lit(png.hex())), F.unhex(F.lit(png[:-3].hex()))
+    content = F.when(n == 2, cut).otherwise(whole)
+    variant = F.element_at(F.array(*[F.lit(v) for v in decks.VARIANTS]), (F.col("page_id") % 3 + 1).cast("int"))
+    rendered = frame(spark, sf, "pages").select((F.col("page_id") % 40).alias("run"), variant.alias("variant"), F.col("page_id").alias("page"), content.alias("content"), (F.octet_length(content) + (n == 0).cast("int")).alias("bytes"), F.when(n == 1, F.lit("0" * 64)).otherwise(F.sha2(content, 256)).alias("sha"))
+    return decks.render_errors(rendered)
