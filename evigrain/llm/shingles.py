@@ -184,14 +184,17 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = two[near(two, two + 1)]
         found, left = [_pairs(keys[two], keys[two + 1])], np.zeros(len(s), bool)
         for lo, many in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            label = np.arange(lo, lo + many)
+            label, groups = np.arange(lo, lo + many), many
             for i in range(lo, lo + many - 1):
+                if groups == 1:
+                    break
                 j = i + 1 + np.flatnonzero(label[i + 1 - lo :] != label[i - lo])
                 j = j[near(j, i)]
                 if len(j):
                     of, one = np.unique(label[j - lo], return_index=True)
                     found.append(np.stack([keys[j[one]], np.full(len(one), keys[i])], axis=1))
                     label[np.isin(label, of)] = label[i - lo]
+                    groups -= len(of)
             group, members = np.unique(label, return_counts=True)
             left[lo : lo + many] = np.isin(label, group[members > 2])
         both = np.concatenate(found)
@@ -256,9 +259,12 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         ends = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.df, "key").select(F.col("least_id").alias(id_col)).distinct()
         rows = docs.select(id_col, text_col)
         texts = rows.join(ends, id_col, "left_semi").unionByName(rows.filter(F.col(id_col).isNull()))
-        sets = texts.select(_sets(F.col(text_col)).alias("m")).select("m.*").groupBy("key").agg(F.any_value("own").alias("own"))
-        both = likely.join(sets.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
-        return stored(both.filter(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b"), "shingle-links").df
+        # Written, as a join above would have the sets of all texts made for its filter on keys.
+        sets = stored(texts.select(_sets(F.col(text_col)).alias("m")).select("m.*").groupBy("key").agg(F.any_value("own").alias("own")), "shingle-sets")
+        both = likely.join(sets.df.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.df.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
+        similar = stored(both.filter(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b"), "shingle-links").df
+        discard(spark, sets.path)
+        return similar
 
     near = verified(met.df.filter("kind = 0").select("a", "b").unionByName(_close_fingerprints(classes.df)).distinct())
     roots = connected_components(near, "a", "b")
