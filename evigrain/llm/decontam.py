@@ -2,9 +2,10 @@
 
 A pattern is a window of benchmark words. For the patterns of one length, the
 shift table tells from the block of words under the end of the search window
-how far the window can move without missing a pattern; where it can't move, the
-patterns that end in this block (suffix hash) and start with the words at hand
-(prefix hash) are compared word by word. Almost all positions are skipped.
+how far the window can move without missing a pattern, so that all places where
+it can move are skipped; where it can't, the patterns that end in this block
+(suffix hash) and start with the words at hand (prefix hash) are compared word by
+word. Shifts of a text are looked up at once.
 
 Tables are sorted numpy arrays of hashes, about 50 bytes a benchmark word.
 Patterns reach the workers in chunks of bounded size; a benchmark of many
@@ -25,7 +26,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +53,8 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def _hashes(own: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+    """Python's own hashes: texts and tables meet in one process."""
+    return np.fromiter(map(hash, own), np.int64, len(own)).view(np.uint64)
 
 
 def _blocks(own: np.ndarray, size: int) -> np.ndarray:
@@ -66,11 +67,6 @@ def _blocks(own: np.ndarray, size: int) -> np.ndarray:
     return mixed
 
 
-def _ends(own: list[bytes]) -> np.ndarray:
-    """Where each word ends in their text, joined by spaces."""
-    return np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
-
-
 class WuManber:
     """Search tables for all patterns of one length (in words): windows of texts, given with the numbers of their items."""
 
@@ -80,15 +76,15 @@ class WuManber:
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         own = _hashes(list(chain.from_iterable(texts)))
         self.text = b" ".join(chain.from_iterable(texts))
-        ends = _ends(list(chain.from_iterable(texts)))
+        ends = np.cumsum(np.fromiter(map(len, chain.from_iterable(texts)), np.int64, len(own)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         left = np.repeat(np.cumsum(size), size) - np.arange(len(own))
         first = np.flatnonzero(left >= length)
         item = np.repeat(np.asarray(items, np.int64), size)[first]
         blocks = _blocks(own, self.block)
-        suffix, prefix = blocks[first + length - self.block], blocks[first]
-        order = np.lexsort((item, prefix, suffix))
-        self.suffix, self.prefix, self.item = suffix[order], prefix[order], item[order]
+        bucket = self._bucket(blocks, first + length)
+        order = np.lexsort((item, bucket))
+        self.bucket, self.item = bucket[order], item[order]
         self.at, self.to = starts[first][order], ends[first + length - 1][order]
         known, shift = [], []
         for end in range(self.block, length + 1):
@@ -99,7 +95,7 @@ class WuManber:
         self.known, least = np.unique(every[order], return_index=True)
         self.shift = moves[order][least]
 
-    def search(self, own: list[bytes], hashed: np.ndarray, text: bytes, ends: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    def search(self, own: list[bytes], hashed: np.ndarray) -> Iterator[tuple[int, list[int]]]:
         """(start, item numbers) of every occurrence."""
         length, block, n = self.length, self.block, len(own)
         if n < length:
@@ -107,25 +103,20 @@ class WuManber:
         blocks = _blocks(hashed, block)
         place = np.minimum(np.searchsorted(self.known, blocks), len(self.known) - 1)
         moves = np.where(self.known[place] == blocks, self.shift[place], self.far)
-        if moves.all():
-            return
-        moves = moves.tolist()
-        end = length
-        while end <= n:
-            move = moves[end - block]
-            if move:
-                end += move
-                continue
-            start = end - length
-            low, high = (np.searchsorted(self.suffix, blocks[end - block], side) for side in ("left", "right"))
-            near = self.prefix[low:high]
-            low, high = low + np.searchsorted(near, blocks[start], "left"), low + np.searchsorted(near, blocks[start], "right")
-            if low < high:
-                here = text[int(ends[start - 1]) + 1 if start else 0 : int(ends[end - 1])]
-                found = [int(self.item[i]) for i in range(low, high) if self.text[self.at[i] : self.to[i]] == here]
-                if found:
-                    yield start, found
-            end += 1
+        # The window can stay only where the shift is zero; what ends there is looked up by suffix and prefix.
+        ends = np.flatnonzero(moves[length - block :] == 0) + length
+        bucket = self._bucket(blocks, ends)
+        low, high = np.searchsorted(self.bucket, bucket, "left"), np.searchsorted(self.bucket, bucket, "right")
+        for k in np.flatnonzero(low < high).tolist():
+            start, end = int(ends[k]) - length, int(ends[k])
+            here = b" ".join(own[start:end])
+            found = [int(self.item[i]) for i in range(low[k], high[k]) if self.text[self.at[i] : self.to[i]] == here]
+            if found:
+                yield start, found
+
+    def _bucket(self, blocks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of the last and the first block of the windows that end there."""
+        return (blocks[ends - self.block] * np.uint64(0x9E3779B97F4A7C15)) ^ blocks[ends - self.length]
 
 
 class Machines:
@@ -161,9 +152,9 @@ def search(machines: Machines, text: bytes | None) -> tuple[int, list[tuple[int,
     own = words(text)
     spans, items = [], set()
     if own and machines.tables:
-        hashed, joined, ends = _hashes(own), b" ".join(own), _ends(own)
+        hashed = _hashes(own)
         for table in machines.tables:
-            for start, found in table.search(own, hashed, joined, ends):
+            for start, found in table.search(own, hashed):
                 spans.append((start, start + table.length))
                 items.update(found)
     named = {machines.names[i] for i in items}
