@@ -109,7 +109,7 @@ _LIKE = {97: b"4@", 101: b"3", 105: b"1!", 111: b"0", 115: b"5$", 116: b"7"}
 
 
 def edited(word: bytes, rng: np.random.Generator) -> bytes:
-    """A word with one letter lost, doubled, swapped or exchanged; short words stay."""
+    """A word with one letter lost, doubled, swapped or exchanged, or letters by digits; short words stay."""
     if len(word) < 4:
         return word
     kind, at = int(rng.integers(5)), int(rng.integers(1, len(word) - 1))
@@ -136,7 +136,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     known = list(index)
     grams, starts = subwords(known)
     size = np.array([len(t) for t in tokens])
-    text, begin = np.concatenate(tokens), np.cumsum(size) - size
+    text, begin, owner = np.concatenate(tokens), np.cumsum(size) - size, np.repeat(np.arange(len(tokens)), size)
     embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     bias, seen_e, seen_s = np.zeros(2, np.float32), np.full(BUCKETS, FLOOR, np.float32), 1e-8
@@ -149,9 +149,13 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
             most, draws = STRETCH, 1
             score = _means((embedding @ (softmax[:, 1] - softmax[:, 0]))[grams], starts)
             score[rng.random(len(known)) < HIDDEN] = -1e6
-            found = [_stretches(score[t]) for t in tokens]
-            start = np.array([[int(np.argmax(x))] for x in found])
-            top = np.array([x.max() for x in found])
+            own = score[text]
+            after = np.append(own[1:], 0)
+            after[begin[1:] - 1] = 0  # nothing follows a text's last word
+            found = (own + after) / STRETCH
+            top = np.maximum.reduceat(found, begin)
+            best = np.flatnonzero(found == top[owner])
+            start = (best[np.searchsorted(owner[best], np.arange(len(tokens)))] - begin)[:, None]
             trust = np.where((labels == 1) & (top < np.quantile(top[labels == 0], TRUSTED)) | (top < -1e5), DOUBTED, 1.0)
         for part in np.array_split(rng.permutation(len(tokens)), min(6, len(tokens))):
             of, at = np.repeat(part, draws), start[part].ravel()
