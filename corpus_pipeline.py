@@ -5,7 +5,8 @@ returns what it keeps of docs. A runner writes each result as Parquet and reads
 it again for the next stage; run() does the same in the shared folder.
 
 1. toxicity: rejects documents that the toxicity model scores at its threshold or above.
-2. near_dedup: of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest id stays.
+2. near_dedup: SimHash over five-word shingles finds close documents, an index completes them, and all are verified;
+   of documents linked by a similarity of 0.8 or more the one with the smallest id stays.
 3. decontaminate: rejects documents with a passage of the benchmark.
 4. pii: replaces personal data by its kind, and sets n_chars anew.
 5. mix: how many words the mix takes of each document. No document is dropped; taken may be 0.
