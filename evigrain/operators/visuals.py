@@ -71,7 +71,9 @@ def grid_places(nodes: DataFrame, cell_w: float, cell_h: float) -> DataFrame:
 def closure(edges: DataFrame, parent: str, child: str, most_rounds: int = 32) -> DataFrame:
     """(ancestor, descendant) of an acyclic parent table, doubling the reach of paths in each round.
 
-    Each round is written to the shared folder. Cycles end after most_rounds rounds.
+    The result has a row for each ancestor of each node, so a graph should be small: those of one run have 256 artifacts
+    at most. Any number of graphs is closed at once. Each round is written to the shared folder. Cycles end after
+    most_rounds rounds.
     """
     from evigrain.runtime import discard, stored
 
