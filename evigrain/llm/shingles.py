@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from evigrain.llm import simhash
 from evigrain.llm.components import connected_components
-from evigrain.runtime import discard, stored, tuned
+from evigrain.runtime import Stored, discard, stored, tuned
 
 SHINGLE_WORDS = 5
 #: Texts and shingles from which the order is made; only shingles that are early by hash are counted.
@@ -233,10 +233,12 @@ def _apart(forest: bool):
     return run
 
 
-def _close_fingerprints(classes: DataFrame) -> DataFrame:
+def _close_fingerprints(classes: DataFrame, written: list[Stored]) -> DataFrame:
     """Pairs (a, b) of sets whose fingerprints are within SimHash's distance, in so far as a chain of such pairs connects them."""
-    named = stored(classes.groupBy("fp").agg(F.min("key").alias("key")), "shingle-fps").df
-    near = simhash.links(named.select("fp")).df
+    written.append(stored(classes.groupBy("fp").agg(F.min("key").alias("key")), "shingle-fps"))
+    named = written[-1].df
+    written.append(simhash.links(named.select("fp")))
+    near = written[-1].df
     same = classes.select("fp", F.col("key").alias("a")).join(named.withColumnRenamed("key", "b"), "fp").filter("a != b").select("a", "b")
     far = near.withColumnsRenamed({"a": "fp", "b": "other"}).join(named.withColumnRenamed("key", "a"), "fp").select("a", F.col("other").alias("fp")).join(named.withColumnRenamed("key", "b"), "fp").select("a", "b")
     return same.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -245,47 +247,53 @@ def _close_fingerprints(classes: DataFrame) -> DataFrame:
 def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id and component_id: the smallest doc_id that links of similarity 0.8 or more reach, the document's own included."""
     spark = tuned(docs.sparkSession)
+    written: list[Stored] = []  # deleted when the components are there
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        written.append(stored(df, label))
+        return written[-1].df
+
     marks = _marks(*common_shingles(docs, text_col))
     marked = stored(docs.select(F.col(id_col).alias("doc_id"), marks(F.col(text_col)).alias("m")).select("doc_id", "m.*"), "shingle-marks")
-    classes = stored(marked.df.groupBy("key").agg(F.min("doc_id").alias("least_id"), *(F.any_value(c).alias(c) for c in ("n", "fp", "more", "odd", "first"))), "shingle-classes")
-    filed = classes.df.select(F.explode("first").alias("s"), "key", "n", "fp", "more")
-    met = stored(filed.repartition("s").sortWithinPartitions("s").mapInArrow(_met, _MET), "shingle-buckets")
+    classes = kept(marked.df.groupBy("key").agg(F.min("doc_id").alias("least_id"), *(F.any_value(c).alias(c) for c in ("n", "fp", "more", "odd", "first"))), "shingle-classes")
+    filed = classes.select(F.explode("first").alias("s"), "key", "n", "fp", "more")
+    met = kept(filed.repartition("s").sortWithinPartitions("s").mapInArrow(_met, _MET), "shingle-buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those with similar sets, which are made again from the texts."""
-        side = lambda x: classes.df.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
+        side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
         differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b"), "shingle-likely").df
-        ends = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.df, "key").select(F.col("least_id").alias(id_col)).distinct()
+        likely = kept(pairs.join(side("a"), "a").join(side("b"), "b").filter(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b"), "shingle-likely")
+        ends = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select(F.col("least_id").alias(id_col)).distinct()
         rows = docs.select(id_col, text_col)
         texts = rows.join(ends, id_col, "left_semi").unionByName(rows.filter(F.col(id_col).isNull()))
         # Written, as a join above would have the sets of all texts made for its filter on keys.
         sets = stored(texts.select(_sets(F.col(text_col)).alias("m")).select("m.*").groupBy("key").agg(F.any_value("own").alias("own")), "shingle-sets")
         both = likely.join(sets.df.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(sets.df.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
-        similar = stored(both.filter(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b"), "shingle-links").df
+        similar = kept(both.filter(9 * F.size(F.array_intersect("own_a", "own_b")) >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b"), "shingle-links")
         discard(spark, sets.path)
         return similar
 
-    near = verified(met.df.filter("kind = 0").select("a", "b").unionByName(_close_fingerprints(classes.df)).distinct())
+    near = verified(met.filter("kind = 0").select("a", "b").unionByName(_close_fingerprints(classes, written)).distinct())
     roots = connected_components(near, "a", "b")
-    members = met.df.filter("kind = 1").select("s", F.col("a").alias("key"), "n")
+    members = met.filter("kind = 1").select("s", F.col("a").alias("key"), "n")
     for forest in (True, False):
-        rooted = stored(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("s", "key", "n", F.coalesce("root", "key").alias("root")), "shingle-rooted").df
-        split = stored(rooted.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("s"), "shingle-split").df
+        rooted = kept(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("s", "key", "n", F.coalesce("root", "key").alias("root")), "shingle-rooted")
+        split = kept(rooted.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("s"), "shingle-split")
         if split.isEmpty():
             break
-        mixed_up = rooted.join(split, "s").join(classes.df.select("key", "odd"), "key").select("s", "key", "n", "root", "odd")
-        apart = stored(mixed_up.repartition("s").sortWithinPartitions("s", "n").mapInArrow(_apart(forest), "a long, b long").distinct(), "shingle-apart").df
+        mixed_up = rooted.join(split, "s").join(classes.select("key", "odd"), "key").select("s", "key", "n", "root", "odd")
+        apart = kept(mixed_up.repartition("s").sortWithinPartitions("s", "n").mapInArrow(_apart(forest), "a long, b long").distinct(), "shingle-apart")
         if not apart.isEmpty():
             near = near.unionByName(verified(apart))
             roots = connected_components(near, "a", "b")
 
-    linked = roots.join(classes.df.select(F.col("key").alias("node"), "least_id"), "node")
+    linked = roots.join(classes.select(F.col("key").alias("node"), "least_id"), "node")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     reached = roots.join(least, "root").select(F.col("node").alias("key"), "component_id")
-    component = classes.df.join(reached, "key", "left").select("key", F.coalesce("component_id", "least_id").alias("component_id"))
+    component = classes.join(reached, "key", "left").select("key", F.coalesce("component_id", "least_id").alias("component_id"))
     component = stored(component, "shingle-components").df  # so that the join below can split the documents of a hot set
-    for used in (met, classes):
+    for used in written:
         discard(spark, used.path)
     return marked.df.select("doc_id", "key").join(component, "key").select("doc_id", "component_id")
 
