@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import decontam, fertility, mixing, oracles, pii, quality, samples, secrets, simhash, tokencount, toxicity, warc
+from evigrain.llm import decontam, fertility, mixing, oracles, periodic, pii, quality, samples, secrets, simhash, tokencount, toxicity, urls, variants, warc
 from evigrain.runtime import stored, table
 
 
@@ -71,6 +71,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "counts.*")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: Rules of the query.
+URL_RULES = (
+    urls.Rule("org", "/", urls.ALLOW),
+    urls.Rule("example.org", "/es/", urls.BLOCK),
+    urls.Rule("example.org", "/en/1", urls.BLOCK),
+    urls.Rule("com", "/fr/", urls.ALLOW),
+    urls.Rule("com", "/de/", urls.BLOCK),
+)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("text")).alias("text"))
+    found = periodic.runs(docs).select("doc_id", F.size("found.runs").cast("long").alias("n_runs"), periodic.longest().alias("longest"), periodic.listed().alias("listed"), "found.collapsed")
+    per_mille = F.floor(1000 * F.col("longest.length") / F.col("longest.period"))
+    return found.select("doc_id", "n_runs", "longest.start", "longest.length", "longest.period", per_mille.alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -82,10 +107,15 @@ QUERIES = {
     "op8_fertility": op8_fertility,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_url_filter": op12_url_filter,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": oracles.MIXING,
     "op3_warc": oracles.WARC,
     "op4_decontamination": oracles.DECONTAMINATION,
+    "op11_spelling_variants": oracles.VARIANTS,
+    "op13_periodic_runs": oracles.RUNS,
 }

@@ -72,16 +72,20 @@ def families(texts: list[bytes], distance: int = 8) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def calibrated(raw: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """(slope, offset) of the logistic curve through raw scores, by Newton steps with a small ridge; slope is never negative."""
-    scale = max(float(np.std(raw)), 1e-9)
-    x = np.stack([(raw - raw.mean()) / scale, np.ones(len(raw))], axis=1) if len(raw) else np.zeros((0, 2))
+def calibrated(raw: np.ndarray, labels: np.ndarray, rounds: int = 50, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """(slope, offset) of the logistic curve through raw scores, by Newton steps with a small ridge; slope is never negative. Weights tell how many rows each score stands for."""
+    if not len(raw):
+        return 0.0, 0.0
+    each = np.ones(len(raw)) if weights is None else weights
+    mean = float(np.average(raw, weights=each))
+    scale = max(float(np.average((raw - mean) ** 2, weights=each) ** 0.5), 1e-9)
+    x = np.stack([(raw - mean) / scale, np.ones(len(raw))], axis=1)
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (labels - p) - 1e-2 * w * np.array([1, 0]))
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (each * (labels - p)) - 1e-2 * w * np.array([1, 0]))
         w += step
         if np.abs(step).max() < 1e-8:
             break
     slope = max(w[0], 0.0) / scale
-    return float(slope), float(w[1] - slope * raw.mean()) if len(raw) else 0.0
+    return float(slope), float(w[1] - slope * mean)
