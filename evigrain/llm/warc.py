@@ -6,17 +6,16 @@ store that Spark writes to. The reader takes whole archive files, plain or with
 a gzip member per record. Where a record or member fails a check (header,
 length, closing lines, digests, gzip checksum), it searches for the next version
 line or member that passes, goes on from there, and reports the bytes between as
-a quarantined gap. Each place is searched once, so its time grows with the
-archive, however much of it is broken.
+a quarantined gap. Places are searched once, headers are read up to their first
+broken line, and members are unpacked from outside only, never within each other.
+Headers and members may be of any size; members are read as streams.
 
 Defined cases: a null payload is written as an empty one; ids are percent-encoded
 in record names, a null id is a name of its own and read back as null, a null url
 is read back as an empty one, and blanks and line breaks of a url are left out;
 rows that share the smallest id among equal payloads are all responses; an empty
 table gives an empty archive. Extra columns are ignored. A record must fit into
-memory, an archive file into 2 GB; the writer keeps files near ARCHIVE_BYTES. A
-member that unpacks to over MEMBER_BYTES and a header over HEADER_BYTES count as
-broken, and are reported as gaps.
+memory, an archive file into 2 GB; the writer keeps files near ARCHIVE_BYTES.
 """
 
 from __future__ import annotations
@@ -35,7 +34,8 @@ from evigrain.runtime import scratch_path, stored, tuned
 #: Payloads below this many bytes are never written as revisits.
 LEAST_SHARED = 100
 ARCHIVE_BYTES = 32 << 20
-MEMBER_BYTES, HEADER_BYTES = 1 << 30, 1 << 16
+#: Bytes that an unpacked member may take while its checksum is not read yet; a larger one is unpacked twice.
+HELD_BYTES = 64 << 20
 #: Shared payloads up to which their table is broadcast (about 100 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -50,8 +50,8 @@ NAMELESS = "<urn:no-record-id>"
 PAYLOAD_LENGTH = "X-Payload-Length"
 
 _VERSION_LINE = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = re.compile(rb"\x1f\x8b\x08")
-_BLANK = re.compile(rb"\r\n\r\n")
 
 
 def _with_types(pages: DataFrame, id_col: str, payload_col: str, least_shared: int) -> DataFrame:
@@ -125,30 +125,37 @@ class _Places:
         return self.place
 
 
-def _parse(data: bytes, at: int, header_end: _Places) -> tuple[dict | None, int, str]:
-    """The record at a place and the place after it; or None, the place and the failed check."""
-    line = _VERSION_LINE.match(data, at)
+#: Failed checks that more data may mend.
+SHORT = ("header without end", "record without end")
+
+
+def _parse(data: bytes | bytearray, at: int) -> tuple[dict | None, int, str]:
+    """The record at a place and the place after it; or None, the place and the failed check.
+
+    Header lines are read one by one up to the first that is none, such as another version line, so broken headers are not read over and over.
+    """
+    line = _VERSION.match(data, at)
     if not line:
         return None, at, "no version line"
-    stop = header_end(line.end() - 2)
-    if stop == len(data):
-        return None, at, "header without end"
-    if stop - at > HEADER_BYTES:
-        return None, at, "header too long"
-    fields = {}
-    for each in data[line.end() : stop].split(b"\r\n"):
-        name, colon, value = each.partition(b":")
-        if each and not colon:
+    fields, place = {}, line.end()
+    while (eol := data.find(b"\r\n", place)) != place:
+        if eol < 0:
+            return None, at, SHORT[0]
+        name, colon, value = bytes(data[place:eol]).partition(b":")
+        if not colon or b"\n" in name or b"\n" in value:
             return None, at, "malformed header"
         fields[name.strip().lower()] = value.strip()
+        place = eol + 2
     size = fields.get(b"content-length", b"")
-    if not size.isdigit():
+    if not size.isdigit() or len(size) > 18:
         return None, at, "no content length"
-    start = stop + 4
+    start = place + 2
     end = start + int(size)
+    if end + 4 > len(data):
+        return None, at, SHORT[1]
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at, "wrong content length"
-    block = data[start:end]
+    block = bytes(data[start:end])
     kind, _, digest = fields.get(b"warc-block-digest", b"").partition(b":")
     if kind == b"sha256" and hashlib.sha256(block).hexdigest().encode() != digest:
         return None, at, "wrong block digest"
@@ -164,69 +171,116 @@ def _parse(data: bytes, at: int, header_end: _Places) -> tuple[dict | None, int,
         digest = named.decode("ascii", "replace") if kind == b"sha256" else None
     size = fields.get(PAYLOAD_LENGTH.lower().encode(), b"")
     record = {"record_type": text(b"warc-type"), "record_id": text(b"warc-record-id"), "url": text(b"warc-target-uri"), "refers_to": text(b"warc-refers-to"), "payload": None if revisit else payload, "payload_digest": digest}
-    record["payload_bytes"] = len(payload) if not revisit else int(size) if size.isdigit() else None
+    record["payload_bytes"] = len(payload) if not revisit else int(size) if size.isdigit() and len(size) <= 18 else None
     return record, end + 4, ""
 
 
-def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes | None, int, str]:
-    """A member's contents and the place after it, read piece by piece; or None, the place and the failed check."""
-    unpacker, out, size, view = zlib.decompressobj(wbits=31), [], 0, memoryview(data)
-    place = at
+def _pieces(data: bytes, at: int, step: int = 1 << 16) -> Iterator[tuple[bytes, int]]:
+    """What a gzip member unpacks to, piece by piece, each with the place after the member (0 before its end is known); zlib.error if it is broken."""
+    unpacker, view, place = zlib.decompressobj(wbits=31), memoryview(data), at
+    while not unpacker.eof:
+        if place >= len(data):
+            raise zlib.error("member without end")
+        piece = view[place : place + step]
+        place += step
+        while piece and not unpacker.eof:
+            out = unpacker.decompress(piece, 16 * step)
+            piece = unpacker.unconsumed_tail
+            yield out, min(place, len(data)) - len(unpacker.unused_data) if unpacker.eof else 0
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[tuple[dict | None, str]]:
+    """Records of an unpacked member, and the failed check of each gap as (None, check). Only the record at hand is held; members within it are no records."""
+    held, at, whole, wanted = bytearray(), 0, False, 1
+    broken = False
+
+    def more(least: int) -> bool:
+        """Hold so many bytes, if there are as many: each call at least doubles what is held, so that bytes are read again a few times at most."""
+        for piece in pieces:
+            held.extend(piece)
+            if len(held) >= least:
+                return False
+        return True
+
+    while True:
+        if not whole and len(held) < wanted:
+            whole = more(wanted)
+        if at >= len(held):
+            if whole:
+                return
+            wanted = len(held) + 1
+            continue
+        record, end, bad = _parse(held, at)
+        if not whole and (bad in SHORT or len(held) - at < len(VERSION) + 2):
+            wanted = at + 2 * (len(held) - at) + 1
+            continue
+        if record:
+            broken = False
+            yield record, ""
+            at = end
+        else:
+            if not broken:
+                yield None, bad
+            broken = True
+            after = _VERSION_LINE.search(held, at + 1)
+            at = after.start() if after else max(at + 1, len(held) - len(VERSION) - 1 if not whole else len(held))
+        if at > 1 << 20:
+            # The line break before a version line stays, as the line is found by it.
+            del held[: at - 1]
+            at = 1
+            wanted = min(wanted, len(held))
+
+
+def _member(data: bytes, at: int) -> tuple[list[tuple[dict | None, str]] | Iterator[tuple[dict | None, str]], int, str]:
+    """What is in the member at a place and the place after it; or nothing, the place and the failed check.
+
+    The member is read to its checksum first; if it is too large to be held meanwhile, it is unpacked a second time for its records.
+    """
+    kept, size, end = [], 0, at
     try:
-        while not unpacker.eof and place < len(data):
-            piece = view[place : place + step]
-            while True:
-                out.append(unpacker.decompress(piece, MEMBER_BYTES + 1 - size))
-                size += len(out[-1])
-                piece = unpacker.unconsumed_tail
-                if size > MEMBER_BYTES:
-                    return None, at, "member too large"
-                if not piece:
-                    break
-            place += step
+        for piece, end in _pieces(data, at):
+            size += len(piece)
+            if size <= HELD_BYTES:
+                kept.append(piece)
+            else:
+                kept.clear()
     except zlib.error:
-        return None, at, "broken gzip member"
-    if not unpacker.eof:
-        return None, at, "broken gzip member"
-    return b"".join(out), min(place, len(data)) - len(unpacker.unused_data), ""
+        return [], at, "broken gzip member"
+    return _records(iter(kept) if size <= HELD_BYTES else (piece for piece, _ in _pieces(data, at))), end, ""
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of an archive in order: what passes all checks, and the bytes between, with the first check that failed.
 
     A gzip member counts as a whole: if something in it fails, its good records come out and the member's bytes are a gap as well.
+    A member that unpacks is left behind as a whole, so what lies within members of its own is part of its gap.
     """
     at, gap, why = 0, None, ""
-    member, line, header_end = _Places(data, _MEMBER), _Places(data, _VERSION_LINE), _Places(data, _BLANK)
+    member, line = _Places(data, _MEMBER), _Places(data, _VERSION_LINE)
 
     def closed(upto: int) -> list[dict]:
         return [] if gap is None else [{"kind": "gap", "offset": gap, "length": upto - gap, "reason": why}]
 
     while at < len(data):
-        records, bad = [], ""
         if _MEMBER.match(data, at):
-            inner, end, bad = _inflate(data, at)
-            if inner is not None:
-                found = list(salvage(inner))
-                records = [x | {"offset": at, "length": end - at} for x in found if x["kind"] == "record"]
-                bad = next((x["reason"] for x in found if x["kind"] == "gap"), "")
-        else:
-            record, end, bad = _parse(data, at, header_end)
-            if record:
-                records = [record | {"kind": "record", "offset": at, "length": end - at, "reason": None}]
-        if bad and gap is None:
-            gap, why = at, bad
-        if records or not bad:
-            if not bad:
-                yield from closed(at)
-                gap = None
-            yield from records
-            at = end
-            if bad:
-                yield from closed(at)
-                gap = None
+            inner, end, bad = _member(data, at)
         else:
+            record, end, bad = _parse(data, at)
+            inner = [(record, "")] if record else []
+        if bad:
+            if gap is None:
+                gap, why = at, bad
             at = min(member(at + 1), line(at + 1))
+            continue
+        yield from closed(at)
+        gap = None
+        for record, bad in inner:
+            if record:
+                yield record | {"kind": "record", "offset": at, "length": end - at, "reason": None}
+            elif gap is None:
+                gap, why = at, bad
+        yield from closed(end)
+        gap, at = None, end
     yield from closed(len(data))
 
 

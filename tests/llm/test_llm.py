@@ -284,11 +284,38 @@ def test_salvage_takes_time_in_proportion(make):
     assert len(found) == (len(data) // len(parts[make]) if make == "whole" else 1)
 
 
-def test_salvage_bounds_what_members_unpack_to(monkeypatch):
-    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
-    fine = warc.encode({"WARC-Type": "resource", "WARC-Record-ID": "<urn:record:1>"}, b"x" * 1000, True)
-    found = list(warc.salvage(warc.encode({"WARC-Type": "resource"}, b"0" * (1 << 21), True) + fine))
-    assert [(x["kind"], x["reason"]) for x in found] == [("gap", "member too large"), ("record", None)]
+@pytest.mark.parametrize("held", [1000, 64 << 20])
+def test_salvage_streams_members(monkeypatch, held):
+    """Members of any size, with small, large and broken records, whether they are held or unpacked twice."""
+    monkeypatch.setattr(warc, "HELD_BYTES", held)
+    rng = random.Random(1)
+    parts = [warc.encode({"WARC-Type": "resource", "WARC-Record-ID": f"<urn:record:{i}>"}, rng.randbytes(rng.choice([0, 50, 70_000, 3 << 20]))) for i in range(40)]
+    for broken in ([], [0], [7, 8, 21], [39]):
+        inner = b"".join(p[: len(p) // 2] + b"\r\n" if i in broken else p for i, p in enumerate(parts))
+        packer = zlib.compressobj(1, wbits=31)
+        data = packer.compress(inner) + packer.flush() + parts[3]
+        found = list(warc.salvage(data))
+        kept = [x["record_id"] for x in found if x["kind"] == "record"]
+        assert kept == [f"<urn:record:{i}>" for i in range(40) if i not in broken] + ["<urn:record:3>"]
+        assert sum(x["kind"] == "gap" for x in found) == bool(broken)
+
+
+def test_salvage_of_members_in_members_and_long_headers():
+    nested = warc.encode({"WARC-Type": "resource", "WARC-Record-ID": "<urn:record:inside>"}, b"x")
+    for _ in range(1000):
+        packer = zlib.compressobj(wbits=31)
+        nested = packer.compress(nested) + packer.flush()
+    fine = warc.encode({"WARC-Type": "resource", "WARC-Record-ID": "<urn:record:1>", "WARC-Target-URI": "data:" + "u" * 70_000}, b"y")
+    began = time.process_time()
+    assert [(x["kind"], x.get("record_id")) for x in warc.salvage(nested + fine)] == [("gap", None), ("record", "<urn:record:1>")]
+    assert time.process_time() - began < 1
+    head = b"WARC/1.1\r\n" + b"x-note: y\r\n" * 400_000
+    assert [x["kind"] for x in warc.salvage(head * 2 + fine)] == ["gap", "record"]
+
+
+def test_long_urls_come_back(spark):
+    pages = spark.createDataFrame([(1, "data:text/html," + "x" * 200_000, "page"), (2, "http://a", "page " * 50)], "page_id long, url string, html string")
+    assert {r["url"][:9]: len(r["url"]) for r in warc.whole(warc.round_trip(pages)).collect()} == {"data:text": 200_015, "http://a": 8}
 
 
 @pytest.mark.parametrize("member", [False, True])
