@@ -1,15 +1,16 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 A pattern is a window of benchmark words. For the patterns of one length, the
-shift table tells from the block of words under the end of the search window
-how far the window can move without missing a pattern, so that all places where
-it can move are skipped; where it can't, the patterns that end in this block
+shift table tells from the block of words under the end of a search window how
+far the window can move without missing a pattern; places that it passes over
+are not looked at. Where it can't move, the patterns that end in this block
 (suffix hash) and start with the words at hand (prefix hash) are compared word by
-word. Shifts of a text are looked up at once.
+word. The windows of all texts of a batch move together.
 
 Tables are sorted numpy arrays of hashes, about 50 bytes a benchmark word.
 Patterns reach the workers in chunks of bounded size; a benchmark of many
-chunks is searched in as many passes, each written before the next.
+chunks is searched in as many passes. All but the last leave only what they
+found, by a hash of the text; the last one meets them and gives the rows.
 
 Defined cases: a null text has no words; items without words are ignored; items
 with a null id make hits but are not named; repeated items count once; repeated
@@ -22,6 +23,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -30,9 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evigrain.llm.batches import groups
 from evigrain.runtime import stored, tuned
 
 WINDOW = 10
+#: Words of a text that one search window passes over.
+STRETCH = 256
+#: Texts with hits of earlier passes up to which these are broadcast; beyond it both sides are shuffled.
+BROADCAST_HITS = 100_000
 #: Benchmark bytes that one broadcast holds; more are searched in further passes.
 CHUNK_BYTES = 16 << 20
 
@@ -57,12 +64,11 @@ def _hashes(own: list[bytes]) -> np.ndarray:
     return np.fromiter(map(hash, own), np.int64, len(own)).view(np.uint64)
 
 
-def _blocks(own: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of `size` words."""
-    n = max(len(own) - size + 1, 0)
-    mixed = np.zeros(n, np.uint64)
+def _blocks_at(own: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` words from each place on."""
+    mixed = np.zeros(len(at), np.uint64)
     for k in range(size):
-        mixed = (mixed ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ own[at + k]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     return mixed
 
@@ -73,6 +79,7 @@ class WuManber:
     def __init__(self, length: int, texts: list[list[bytes]], items: list[int]):
         self.length, self.block = length, min(2, length)
         self.far = length - self.block + 1
+        self.looked = 0  # places of texts whose blocks were looked up
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         own = _hashes(list(chain.from_iterable(texts)))
         self.text = b" ".join(chain.from_iterable(texts))
@@ -81,8 +88,8 @@ class WuManber:
         left = np.repeat(np.cumsum(size), size) - np.arange(len(own))
         first = np.flatnonzero(left >= length)
         item = np.repeat(np.asarray(items, np.int64), size)[first]
-        blocks = _blocks(own, self.block)
-        bucket = self._bucket(blocks, first + length)
+        blocks = _blocks_at(own, np.arange(max(len(own) - self.block + 1, 0)), self.block)
+        bucket = self._bucket(blocks[first + length - self.block], blocks[first])
         order = np.lexsort((item, bucket))
         self.bucket, self.item = bucket[order], item[order]
         self.at, self.to = starts[first][order], ends[first + length - 1][order]
@@ -95,28 +102,42 @@ class WuManber:
         self.known, least = np.unique(every[order], return_index=True)
         self.shift = moves[order][least]
 
-    def search(self, own: list[bytes], hashed: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """(start, item numbers) of every occurrence."""
-        length, block, n = self.length, self.block, len(own)
-        if n < length:
-            return
-        blocks = _blocks(hashed, block)
-        place = np.minimum(np.searchsorted(self.known, blocks), len(self.known) - 1)
-        moves = np.where(self.known[place] == blocks, self.shift[place], self.far)
-        # The window can stay only where the shift is zero; what ends there is looked up by suffix and prefix.
-        ends = np.flatnonzero(moves[length - block :] == 0) + length
-        bucket = self._bucket(blocks, ends)
+    def search(self, own: list[bytes], hashed: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(start, item numbers) of every occurrence in texts that lie one after the other, from word `first` to before `last` each.
+
+        All windows move at once, each by the shift of the block at its end; a long text has a window for each stretch of it.
+        """
+        length, block = self.length, self.block
+        stretches = np.maximum(last - first - length, -1) // STRETCH + 1
+        of = np.repeat(np.arange(len(first)), stretches)
+        turn = np.arange(len(of)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+        ends = first[of] + length + turn * STRETCH
+        upto = np.minimum(ends + STRETCH, last[of] + 1)
+        while len(ends):
+            self.looked += len(ends)
+            blocks = _blocks_at(hashed, ends - block, block)
+            place = np.minimum(np.searchsorted(self.known, blocks), len(self.known) - 1)
+            moves = np.where(self.known[place] == blocks, self.shift[place], self.far)
+            yield from self._compared(own, hashed, ends[moves == 0])
+            ends = ends + np.maximum(moves, 1)
+            going = ends < upto
+            ends, upto = ends[going], upto[going]
+
+    def _compared(self, own: list[bytes], hashed: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Windows that end there, by suffix and prefix, then word by word."""
+        bucket = self._bucket(_blocks_at(hashed, ends - self.block, self.block), _blocks_at(hashed, ends - self.length, self.block))
         low, high = np.searchsorted(self.bucket, bucket, "left"), np.searchsorted(self.bucket, bucket, "right")
         for k in np.flatnonzero(low < high).tolist():
-            start, end = int(ends[k]) - length, int(ends[k])
+            start, end = int(ends[k]) - self.length, int(ends[k])
             here = b" ".join(own[start:end])
             found = [int(self.item[i]) for i in range(low[k], high[k]) if self.text[self.at[i] : self.to[i]] == here]
             if found:
                 yield start, found
 
-    def _bucket(self, blocks: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of the last and the first block of the windows that end there."""
-        return (blocks[ends - self.block] * np.uint64(0x9E3779B97F4A7C15)) ^ blocks[ends - self.length]
+    @staticmethod
+    def _bucket(suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """A hash of the last and the first block of a window."""
+        return (suffix * np.uint64(0x9E3779B97F4A7C15)) ^ prefix
 
 
 class Machines:
@@ -148,17 +169,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search(machines: Machines, text: bytes | None) -> tuple[int, list[tuple[int, int]], list[str]]:
-    own = words(text)
-    spans, items = [], set()
+def search_all(machines: Machines, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+    """For each text: how many words it has, spans of words in windows of items, and the items' names."""
+    every = [words(t) for t in texts]
+    size = np.fromiter(map(len, every), np.int64, len(every))
+    last = np.cumsum(size)
+    first = last - size
+    own = list(chain.from_iterable(every))
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[int]] = [set() for _ in texts]
     if own and machines.tables:
         hashed = _hashes(own)
         for table in machines.tables:
-            for start, found in table.search(own, hashed):
-                spans.append((start, start + table.length))
-                items.update(found)
-    named = {machines.names[i] for i in items}
-    return len(own), merged(spans), sorted(x for x in named if x is not None)
+            for start, found in table.search(own, hashed, first, last):
+                text = int(np.searchsorted(last, start, "right"))
+                at = start - int(first[text])
+                spans[text].append((at, at + table.length))
+                items[text].update(found)
+    named = ({machines.names[i] for i in found} for found in items)
+    return [(len(w), merged(s), sorted(x for x in n if x is not None)) for w, s, n in zip(every, spans, named, strict=True)]
+
+
+def search(machines: Machines, text: bytes | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+    return search_all(machines, [text])[0]
 
 
 _machines: dict[str, Machines] = {}
@@ -173,9 +206,9 @@ def _searcher(items, window: int):
         if name not in _machines:
             _machines.clear()
             _machines[name] = compiled(items.value, window)
-        machines, out = _machines[name], []
-        for text, old in zip(texts.cast(pa.large_binary()).to_pylist(), before.to_pylist(), strict=True):
-            n, spans, named = search(machines, text)
+        each, olds, out = texts.cast(pa.large_binary()).to_pylist(), before.to_pylist(), []
+        results = chain.from_iterable(search_all(_machines[name], each[part]) for part in groups([x or b"" for x in each]))
+        for (n, spans, named), old in zip(results, olds, strict=True):
             if old:
                 spans = merged(spans + [(x["start"], x["stop"]) for x in old["spans"]])
                 named = sorted({*named, *old["items"]})
@@ -189,16 +222,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     """docs with a struct: n_words, spans (word offsets inside any occurrence of an item's window, merged) and items (their ids as sorted strings; null ids are not among them)."""
     spark = tuned(docs.sparkSession)
     items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct()
+    key = F.md5(F.encode(text_col, "UTF-8"))
     total = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))
-    out = docs.withColumn(to, F.lit(None).cast(_FOUND))
-    for i in range(chunks):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(chunks)) == i).collect()  # about chunk_bytes
-        shared = spark.sparkContext.broadcast([(r["item"], bytes(r["text"], "utf-8")) for r in part])
-        out = out.withColumn(to, _searcher(shared, window)(F.col(text_col), F.col(to)))
-        if i + 1 < chunks:
-            out = stored(out, "decontam").df
-    return out
+
+    def searcher(chunk: int):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(chunks)) == chunk).collect()  # about chunk_bytes
+        return _searcher(spark.sparkContext.broadcast([(r["item"], bytes(r["text"], "utf-8")) for r in part]), window)
+
+    if chunks == 1:
+        return docs.withColumn(to, searcher(0)(F.col(text_col), F.lit(None).cast(_FOUND)))
+    hits = []
+    for i in range(chunks - 1):
+        found = docs.select(key.alias("_text"), searcher(i)(F.col(text_col), F.lit(None).cast(_FOUND)).alias("_hit")).filter(F.size("_hit.spans") > 0)
+        hits.append(stored(found.groupBy("_text").agg(F.first("_hit").alias("_hit")), "decontam").df)
+    before = stored(reduce(DataFrame.unionByName, hits).groupBy("_text").agg(F.collect_list("_hit").alias("_hits")), "decontam").df
+    before = before.select("_text", F.struct(F.lit(0).cast("long").alias("n_words"), F.flatten("_hits.spans").alias("spans"), F.flatten("_hits.items").alias("items")).cast(_FOUND).alias("_before"))
+    if before.count() <= BROADCAST_HITS:
+        before = F.broadcast(before)
+    return docs.withColumn("_text", key).join(before, "_text", "left").withColumn(to, searcher(chunks - 1)(F.col(text_col), F.col("_before"))).drop("_text", "_before")
 
 
 def hit_words(to: str = "found") -> Column:

@@ -94,6 +94,22 @@ def test_links_connect_what_all_pairs_connect(spark, distance, segments, limit):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_components_with_one_hot_root(spark, monkeypatch, broadcast):
+    """All nodes hang on one root, some by way of others; with minima of any number."""
+    monkeypatch.setattr(components, "BROADCAST_NODES", broadcast)
+    arcs = spark.range(1, 30_000).selectExpr("id AS a", "CASE WHEN id % 10 = 0 THEN id - 1 ELSE 0 END AS b").unionByName(spark.createDataFrame([(70_000, 70_001), (70_001, 70_001), (None, 5)], "a long, b long"))
+    found = components.connected_components(arcs, "a", "b").groupBy("root").count().collect()
+    assert {r["root"]: r["count"] for r in found} == {0: 30_000, 70_000: 2}
+
+
+def test_handles_take_time_in_proportion():
+    text = " @a.b" * 400_000 + " me@a.b"
+    began = time.process_time()
+    assert pii.base_spans(text) == [(2_000_001, 0, 2_000_007)]
+    assert time.process_time() - began < 5
+
+
 def test_segments_cover_every_split_of_the_distance():
     for distance in range(7):
         for segments in range(1, 6):
@@ -374,6 +390,24 @@ def test_search_tables_are_small():
     assert decontam.search(machines, b"so " + items[77][1][:120] + b" and")[2] == ["77"]
 
 
+def test_windows_pass_over_most_words():
+    """Of texts with few words of the benchmark most places are never looked at; windows of long texts meet at their stretches' borders."""
+    rng = random.Random(8)
+    items = [(str(i), " ".join(f"item{rng.randrange(4000)}" for _ in range(60)).encode()) for i in range(50)]
+    own = [f"w{rng.randrange(3000)}" for _ in range(5000)]
+    passages = {at: items[at % 50][1].decode().split()[at % 40 : at % 40 + 10] for at in (0, 240, 250, 262, 777, 4990)}
+    for at, passage in passages.items():
+        own[at : at + 10] = passage
+    machines = decontam.compiled(items)
+    texts = [" ".join(own).encode(), None, b"", " ".join(own[250:260]).encode(), " ".join(own[:9]).encode()]
+    found = decontam.search_all(machines, texts)
+    assert found == [decontam.search(machines, t) for t in texts]
+    assert found[0][1] == decontam.merged([(at, at + 10) for at in passages]) and [n for n, _, _ in found] == [5000, 0, 0, 10, 9]
+    fresh = decontam.compiled(items)
+    decontam.search_all(fresh, texts)
+    assert sum(t.looked for t in fresh.tables) < 5000 / 5
+
+
 def test_decontamination_in_chunks_and_on_odd_tables(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "lone"), (3, None), (None, "x y"), (4, "--"), (2, "lone")], "item_id long, text string")
     data = [(1, "So: ONE two three four, five six seven eight nine TEN!", "en", "a", 1), (2, None, None, None, None), (3, "a lone word", "en", "a", 1), (3, "a lone word", "en", "a", 1), (None, "", None, None, 0)]
@@ -584,18 +618,29 @@ def test_toxicity_knows_misspellings(spark):
     assert np.ptp(shifted) < 1e-9 and shifted.min() >= toxicity.THRESHOLD
 
 
-def test_samples_read_long_texts_to_their_end(spark):
-    most = samples.PIECES * samples.PIECE_CHARS
-    long = "".join(f"{i:07d}," for i in range(3 * most // 8))
-    data = [(1, "a" * most, 1), (2, "b" * (most + 1), 1), (3, long, 0), (4, None, 0), (5, "", 0), (5, "other", 0)]
+def test_samples_read_whole_texts(spark):
+    long = "".join(f"{i:07d}," for i in range(40_000))
+    data = [(1, "a" * 100_000, 1), (3, long, 0), (4, None, 0), (5, "", 0), (5, "other", 0)]
     docs = spark.createDataFrame(data, "doc_id long, text string, _y int").withColumn("place", F.lit(1))
     chosen = spark.createDataFrame([(i, i % 2) for i in range(1, 8)], "doc_id long, _y long")
-    found = {r["place"]["id"]: r for r in samples.bounded(docs.drop("_y"), chosen, "doc_id", "text").collect()}
-    assert set(found) == {"1", "2", "3", "4", "5"} and found["1"]["text"] == "a" * most and set(found["2"]["text"]) == {"b", " "}
-    read = found["3"]["text"].split(" ")
-    assert len(read) == samples.PIECES and long.startswith(read[0]) and long.endswith(read[-1]) and all(r in long for r in read)
+    found = {r["place"]["id"]: r["text"] for r in samples.bounded(docs.drop("_y"), chosen, "doc_id", "text").collect()}
+    assert set(found) == {"1", "3", "4", "5"} and found["1"] == "a" * 100_000 and found["3"] == long
     model = samples.fitted(samples.bounded(docs, chosen, "doc_id", "text"), lambda texts, labels: (texts, labels))
-    assert len(model[0]) == 5 and sorted(model[1].tolist()) == [0, 0, 1, 1, 1] and samples.fitted(samples.bounded(docs.limit(0), chosen, "doc_id", "text"), lambda t, y: (len(t),)) == (0,)
+    assert len(model[0]) == 4 and sorted(model[1].tolist()) == [0, 0, 1, 1] and samples.fitted(samples.bounded(docs.limit(0), chosen, "doc_id", "text"), lambda t, y: (len(t),)) == (0,)
+
+
+def test_signals_anywhere_in_long_texts_are_learned(spark):
+    """The only word that tells both labels apart stands somewhere in texts of 200,000 characters."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        own = [rng.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(36_000)]
+        own[rng.randrange(36_000)] = "zzqxj" if i % 2 else "plain"
+        rows.append((i, " ".join(own), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    scored = quality.score(docs, quality.fit(docs, labels, F.lit(True))).select("doc_id", "score").collect()
+    assert min(r["score"] for r in scored if r["doc_id"] % 2) > max(r["score"] for r in scored if not r["doc_id"] % 2)
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
