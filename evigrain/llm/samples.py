@@ -1,7 +1,7 @@
 """Bounded, repeatable samples of labelled documents for fitting classifiers, and score calibration.
 
-A sample is bounded by rows. Models are made from it by one task, so that
-neither texts nor training take the driver's memory.
+A sample is bounded by rows, whose texts are read whole. Models are made from it
+by one task, so that neither texts nor training take the driver's memory.
 """
 
 from __future__ import annotations
@@ -17,27 +17,16 @@ from pyspark.sql import functions as F
 from evigrain.llm.simhash import fingerprint
 from evigrain.runtime import tuned
 
-#: Fitting reads a longer text in so many pieces of so many characters, spread evenly over the whole of it; scoring reads all texts whole.
-PIECES, PIECE_CHARS = 16, 2048
-
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null ids are in fold 0's hash of an empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % folds
 
 
-def pieces(text_col: str) -> Column:
-    """The text, or pieces from its start to its end if it is longer than these are together."""
-    text, size = F.col(text_col), F.char_length(F.col(text_col))
-    place = lambda i: F.floor(i * (size - PIECE_CHARS) / (PIECES - 1)).cast("int") + 1
-    spread = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, place(i), F.lit(PIECE_CHARS))))
-    return F.when(size > PIECES * PIECE_CHARS, spread).otherwise(F.coalesce(text, F.lit("")))
-
-
 def bounded(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(place, text, y) for the chosen ids, which are few: of rows that share an id, one text, that with the smallest hash."""
     found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    return found.groupBy(id_col, "_y").agg(F.min_by(pieces(text_col), F.xxhash64(text_col)).alias("text")).select(F.struct(F.xxhash64(id_col).alias("hash"), F.col(id_col).cast("string").alias("id")).alias("place"), "text", F.col("_y").alias("y"))
+    return found.groupBy(id_col, "_y").agg(F.min_by(F.coalesce(F.col(text_col), F.lit("")), F.xxhash64(text_col)).alias("text")).select(F.struct(F.xxhash64(id_col).alias("hash"), F.col(id_col).cast("string").alias("id")).alias("place"), "text", F.col("_y").alias("y"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
