@@ -84,7 +84,9 @@ def _emails(text: str) -> list[Span]:
         after = at + 1
         domain = _DOMAIN.match(text, after)
         if domain:
-            start = done + len(text[done:at].rstrip(_LOCAL))
+            start = at
+            while start > done and text[start - 1] in _LOCAL:
+                start -= 1
             if start < at:
                 out.append((start, 0, domain.end()))
                 done = after = domain.end()
