@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.functions import text
 from evigrain.functions.geometry import clamped, rounded
+from evigrain.runtime import stored
 
 # The roles that layout names tell, and the failures that messages tell, each in order of precedence.
 LAYOUT_ROLES = (
@@ -51,11 +55,34 @@ def top_keywords(docs: DataFrame, text_col: str, most: int = 20, collation: str
     return counted.orderBy(F.desc("n"), word).limit(most)
 
 
+def running(rows: DataFrame, group: list[str], order: list[Column], value: Column, to: str) -> DataFrame:
+    """rows with the sum of a value up to each row within its group, in order; rows that are level have the same sum.
+
+    Rows are dealt by group and order together, so a group of any size is spread over tasks: each task adds up its own
+    rows, and what the tasks before it hold of a group is added from one small table.
+    """
+    keys = [f"_key{i}" for i in range(len(order))]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.select("*", value.cast("long").alias("_value"), *(c.alias(k) for c, k in zip(order, keys, strict=True)))
+    dealt = stored(keyed.repartitionByRange(parts, *group, *keys).withColumn("_part", F.spark_partition_id()), "running").df
+    totals = dealt.groupBy(*group, "_part").agg(F.sum("_value").alias("_total"))
+    before = F.sum("_total").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_total")
+    earlier = totals.withColumn("_before", before).select(*(F.col(g).alias(f"_group{i}") for i, g in enumerate(group)), F.col("_part").alias("_earlier"), "_before")
+    same = reduce(and_, (F.col(g).eqNullSafe(F.col(f"_group{i}")) for i, g in enumerate(group)), F.col("_part") == F.col("_earlier"))
+    own = F.sum("_value").over(Window.partitionBy(*group, "_part").orderBy(*keys))
+    return dealt.withColumn("_own", own).join(earlier, same).withColumn(to, F.col("_own") + F.col("_before")).select(*rows.columns, to)
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], to: str) -> DataFrame:
+    """rows with their places from 1 within their group; order must tell all rows of a group apart."""
+    return running(rows, group, order, F.lit(1), to)
+
+
 def running_budget(docs: DataFrame, group: str, order: str, text_col: str, budget: int) -> DataFrame:
-    """How many characters of each text fit into its group's budget, in order."""
-    size = F.char_length(text_col)
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(order)) - size
-    return docs.select(group, order, clamped(F.lit(budget) - before, F.lit(0), size).cast("long").alias("kept_chars"))
+    """How many characters of each text fit into its group's budget, in order; texts themselves are not moved."""
+    sizes = docs.select(group, order, F.char_length(text_col).alias("_size"))
+    upto = running(sizes, [group], [F.col(order)], F.coalesce("_size", F.lit(0)), "_upto")
+    return upto.select(group, order, clamped(F.lit(budget) - (F.col("_upto") - F.col("_size")), F.lit(0), F.col("_size")).cast("long").alias("kept_chars"))
 
 
 def min_max(rows: DataFrame, group: str, value: str, to: str) -> DataFrame:
@@ -87,8 +114,8 @@ def jury(variants: DataFrame) -> DataFrame:
 
 
 def numeric_order(name: Column) -> list[Column]:
-    """Sort keys by which slide2 comes before slide10."""
-    return [F.regexp_extract(name, r"(\d+)(?!.*\d)", 1).try_cast("long").asc_nulls_first(), name.asc()]
+    """Sort keys by which slide2 comes before slide10; names without a number come first."""
+    return [F.coalesce(F.regexp_extract(name, r"(\d+)(?!.*\d)", 1).try_cast("long"), F.lit(-1)), name]
 
 
 def spaced_centers(rows: DataFrame, group: str, center: str, least: float = 0.12) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.functions.geometry import Rect, overlaps
+from evigrain.operators.rank import numbered
 
 MOST_NODES, MOST_EDGES, LONGEST_LABEL = 12, 24, 160
 
@@ -47,7 +48,7 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     """Distinct node labels of each table, numbered from 1 in order of first appearance."""
     ends = edges.select("source_id", (F.col("row_no") * 2).alias("place"), F.col("source").alias("label")).unionByName(edges.select("source_id", (F.col("row_no") * 2 + 1).alias("place"), F.col("target").alias("label")))
     first = ends.groupBy("source_id", "label").agg(F.min("place").alias("first"))
-    return first.select("source_id", "label", F.row_number().over(Window.partitionBy("source_id").orderBy("first")).alias("node_no"))
+    return numbered(first, ["source_id"], [F.col("first")], "node_no").select("source_id", "label", "node_no")
 
 
 def diagram_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,8 +64,8 @@ def diagram_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def grid_places(nodes: DataFrame, cell_w: float, cell_h: float) -> DataFrame:
     """Nodes on a square grid, by number: column and row, and the box's corner."""
-    side = F.ceil(F.sqrt(F.count("*").over(Window.partitionBy("source_id")))).cast("int")
-    placed = nodes.withColumn("_side", side).withColumn("grid_col", F.pmod(F.col("node_no") - 1, F.col("_side"))).withColumn("grid_row", F.floor((F.col("node_no") - 1) / F.col("_side")))
+    sides = nodes.groupBy("source_id").agg(F.ceil(F.sqrt(F.count("*"))).cast("int").alias("_side"))
+    placed = nodes.join(sides, "source_id").withColumn("grid_col", F.pmod(F.col("node_no") - 1, F.col("_side"))).withColumn("grid_row", F.floor((F.col("node_no") - 1) / F.col("_side")))
     return placed.withColumn("x", F.col("grid_col") * cell_w).withColumn("y", F.col("grid_row") * cell_h).drop("_side")
 
 

@@ -166,10 +166,8 @@ _FILES = "SELECT page_id, concat('ppt/slides/slide', CAST((page_id * 7) % 120 AS
 
 @query("numeric_order", twin("SELECT page_id, name, row_number() OVER (PARTITION BY page_id % 16 ORDER BY CAST(regexp_extract(name, '(\\d+)\\.xml', 1) AS BIGINT), name, page_id) AS place FROM files", files=_FILES))
 def numeric_order(spark, sf):
-    from pyspark.sql import Window
-
-    by_number = Window.partitionBy(F.col("page_id") % 16).orderBy(*rank.numeric_order(F.col("name")), "page_id")
-    return run(spark, sf, _FILES).select("page_id", "name", F.row_number().over(by_number).cast("long").alias("place"))
+    files = run(spark, sf, _FILES).withColumn("package", F.col("page_id") % 16)
+    return rank.numbered(files, ["package"], [*rank.numeric_order(F.col("name")), F.col("page_id")], "place").select("page_id", "name", "place")
 
 
 @query("timeline_gaps", twin("SELECT slide_id, count(*) FILTER (WHERE kept) AS distinct_centers FROM (SELECT slide_id, coalesce(c - lag(c) OVER (PARTITION BY slide_id ORDER BY c) >= 0.12::DOUBLE, true) AS kept FROM (SELECT slide_id, (x + w / 2) / 960 AS c FROM elements)) GROUP BY slide_id"))

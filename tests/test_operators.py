@@ -5,6 +5,7 @@ import random
 import struct
 import zipfile
 import zlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evigrain.functions import cells, color, jsontext, phrases, text
 from evigrain.functions.geometry import text_lines
-from evigrain.operators import evidence, folds, state, visuals
+from evigrain.operators import evidence, folds, rank, state, visuals
 from evigrain.sources import csvtext, images, office
 from evigrain.streaming import windows
 from evigrain.streaming.admission import admitted_stream
@@ -438,3 +439,28 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     assert runtime.shared_dir(Fake())
     Fake.conf = Conf({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/y/"})
     assert runtime.shared_dir(Fake()) == "hdfs://x/y"
+
+
+def test_running_sums_of_one_large_group_are_spread_over_tasks(spark):
+    """Almost all rows are in one group, some are level; each task adds up its own part."""
+    rng = random.Random(6)
+    rows = [("hot" if i % 50 else f"g{i % 7}", rng.randrange(3000), rng.randrange(100)) for i in range(20_000)] + [(None, 1, 5), (None, 2, None), ("hot", None, 3)]
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    expected = Counter()
+    for g, o, v in rows:
+        expected[g, o] += v or 0
+    upto, before = {}, Counter()
+    for g, o in sorted(expected, key=lambda k: (str(k[0]), -1 if k[1] is None else k[1])):
+        before[g] += expected[g, o]
+        upto[g, o] = before[g]
+    found = rank.running(df, ["g"], [F.col("o")], F.coalesce("v", F.lit(0)), "upto")
+    assert Counter((r["g"], r["o"], r["v"], r["upto"]) for r in found.collect()) == Counter((g, o, v, upto[g, o]) for g, o, v in rows)
+    assert rank.running(df.limit(0), ["g"], [F.col("o")], F.col("v"), "upto").count() == 0
+    places = rank.numbered(df.withColumn("id", F.monotonically_increasing_id()), ["g"], [F.col("id")], "place").filter("g = 'hot'").agg(F.count_distinct("place"), F.max("place"), F.count("*")).first()
+    assert len(set(places)) == 1
+
+
+def test_histories_are_streamed_by_variant(spark):
+    steps = [(v, k, "edit" if k % 5 else "undo", str(k)) for v in (1, 2, None) for k in range(2000)]
+    found = folds.travel_history(spark.createDataFrame(steps, "variant int, ord int, action string, state string")).collect()
+    assert sorted((str(r["variant"]), r["present"]) for r in found) == [("1", "1999"), ("2", "1999"), ("None", "1999")]
