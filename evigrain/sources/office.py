@@ -6,7 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -101,33 +101,41 @@ def _formats(package: zipfile.ZipFile, names: set[str]) -> list[tuple[int, str |
 def sheet_cells(content: bytes) -> Iterator[dict]:
     """Raw cells of all worksheets that no merged range covers: sheet, place, type, value, number format, formula, inline and shared text, and the merged range that starts there."""
     with zipfile.ZipFile(io.BytesIO(content)) as package:
-        book = "xl/workbook.xml"
-        root, targets = _part(package, book), _targets(package, book)
-        names = set(package.namelist())
-        shared = ["".join(texts(item)) for item in _all(_part(package, "xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in names else []
-        formats = _formats(package, names)
-        epoch = any(p.get("date1904") in ("1", "true") for p in _all(root, "workbookPr"))
-        for sheet in _all(root, "sheet"):
-            data = _part(package, targets.get(sheet.get(f"{RELATIONS}id", ""), ""))
-            merged = merged_ranges([m.get("ref") for m in _all(data, "mergeCell")])
-            for row_no, row in enumerate(_all(data, "row"), 1):
-                column = 1
-                for cell in _all(row, "c"):
-                    own = _CELL.fullmatch(cell.get("r") or "")
-                    place = (int(own[2]), _column(own[1])) if own else (int(row.get("r", row_no)), column)
-                    column = max(column, place[1] + 1)
-                    range_of = next((m for m in merged if m[0] <= place[0] <= m[2] and m[1] <= place[1] <= m[3]), None)
-                    if range_of and range_of[:2] != place:
-                        continue
-                    parts = {_local(p): p for p in cell}
-                    raw = parts["v"].text if "v" in parts else None
-                    index = int(raw) if cell.get("t") == "s" and raw and raw.isdecimal() else -1
-                    style = cell.get("s") or ""
-                    known = formats[int(style)] if style.isdecimal() and int(style) < len(formats) else (0, None)
-                    yield {
-                        "sheet": sheet.get("name"), "ref": cell.get("r") or f"#{place[0]}:{place[1]}", "row_no": place[0], "col_no": place[1], "kind": cell.get("t"), "raw": raw, "style": cell.get("s"), "format_id": known[0], "format_code": known[1], "epoch_1904": epoch,
-                        "formula": parts["f"].text if "f" in parts else None, "inline": "".join(texts(parts["is"])) if "is" in parts else None, "shared": shared[index] if 0 <= index < len(shared) else None, "merged": list(range_of) if range_of else None,
-                    }
+        yield from package_cells(package)
+
+
+def package_cells(package: zipfile.ZipFile, chosen: Callable[[int, str], bool] = lambda number, name: True) -> Iterator[dict]:
+    """sheet_cells() of an open workbook; of sheets that are not chosen, by number and name, nothing is unpacked."""
+    book = "xl/workbook.xml"
+    root, targets = _part(package, book), _targets(package, book)
+    sheets = [s for number, s in enumerate(_all(root, "sheet")) if chosen(number, s.get("name"))]
+    if not sheets:
+        return
+    names = set(package.namelist())
+    shared = ["".join(texts(item)) for item in _all(_part(package, "xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in names else []
+    formats = _formats(package, names)
+    epoch = any(p.get("date1904") in ("1", "true") for p in _all(root, "workbookPr"))
+    for sheet in sheets:
+        data = _part(package, targets.get(sheet.get(f"{RELATIONS}id", ""), ""))
+        merged = merged_ranges([m.get("ref") for m in _all(data, "mergeCell")])
+        for row_no, row in enumerate(_all(data, "row"), 1):
+            column = 1
+            for cell in _all(row, "c"):
+                own = _CELL.fullmatch(cell.get("r") or "")
+                place = (int(own[2]), _column(own[1])) if own else (int(row.get("r", row_no)), column)
+                column = max(column, place[1] + 1)
+                range_of = next((m for m in merged if m[0] <= place[0] <= m[2] and m[1] <= place[1] <= m[3]), None)
+                if range_of and range_of[:2] != place:
+                    continue
+                parts = {_local(p): p for p in cell}
+                raw = parts["v"].text if "v" in parts else None
+                index = int(raw) if cell.get("t") == "s" and raw and raw.isdecimal() else -1
+                style = cell.get("s") or ""
+                known = formats[int(style)] if style.isdecimal() and int(style) < len(formats) else (0, None)
+                yield {
+                    "sheet": sheet.get("name"), "ref": cell.get("r") or f"#{place[0]}:{place[1]}", "row_no": place[0], "col_no": place[1], "kind": cell.get("t"), "raw": raw, "style": cell.get("s"), "format_id": known[0], "format_code": known[1], "epoch_1904": epoch,
+                    "formula": parts["f"].text if "f" in parts else None, "inline": "".join(texts(parts["is"])) if "is" in parts else None, "shared": shared[index] if 0 <= index < len(shared) else None, "merged": list(range_of) if range_of else None,
+                }
 
 
 def _paragraph(node: ElementTree.Element) -> str | None:
