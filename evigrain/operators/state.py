@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigrain.functions.text import safe_path
+from evigrain.runtime import discard, stored
+
 #: Requests of a class that one window takes, and the window.
 LIMITS = {"generation": 5, "export": 30}
 WINDOW_MS = 60_000
@@ -61,6 +64,31 @@ def reference_errors(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(own, "path", "full_outer").select("path", error.alias("error"))
 
 
+def resolved_paths(paths: DataFrame, links: DataFrame) -> DataFrame:
+    """(path, resolved, error): where paths end if links (path, target) are followed; 'cycle' if they never end, 'escape' if they end outside of the folder or are no plain relative paths.
+
+    Each step doubles how many links have been followed, so chains of any length take as many steps as their length has
+    bits, and what still stands on a link after all links have been followed is on a cycle or leads into one. Of several
+    targets of a path the least counts; null paths and targets are ignored.
+    """
+    spark = links.sparkSession
+    own = links.filter("path IS NOT NULL AND target IS NOT NULL").groupBy("path").agg(F.min("target").alias("at"))
+    now = stored(own, "links")
+    known = now.df.select(F.col("path").alias("at"))
+    for _ in range(now.df.count().bit_length() + 1):
+        if now.df.join(known, "at", "left_semi").isEmpty():
+            break
+        ahead = now.df.select(F.col("path").alias("at"), F.col("at").alias("ahead"))
+        after = stored(now.df.join(ahead, "at", "left").select("path", F.coalesce("ahead", "at").alias("at")), "links")
+        known = after.df.select(F.col("path").alias("at"))
+        discard(spark, now.path)
+        now = after
+    ends = now.df.join(known.withColumn("_on_link", F.lit(True)), "at", "left")
+    found = paths.filter("path IS NOT NULL").select("path").join(ends, "path", "left").withColumn("resolved", F.coalesce("at", "path"))
+    error = F.when(F.col("_on_link"), "cycle").when(~safe_path(F.col("resolved")) | ~safe_path(F.col("path")), "escape")
+    return found.select("path", F.when(~F.coalesce("_on_link", F.lit(False)), F.col("resolved")).alias("resolved"), error.alias("error"))
+
+
 class Admission:
     """Admission of one key's requests in order: at most `cap` recorded times in a rolling window.
 

@@ -297,9 +297,15 @@ def element_order(spark, sf):
     return template.elements_of(slides).select("name", "ord", "element_id", "z")
 
 
-@query("skill_registry", "SELECT * FROM (VALUES ('align-claims', 'v1', 'claims,chunks,facts'), ('canvas-audit', 'v1', 'elements,fonts,colors'), ('data-visual-spec', 'v1', 'data,facts,chunks,citations'), ('deck-plan', 'v1', 'briefs'), ('final-jury', 'v1', 'variants'), ('grounded-deck-planner', 'v1', 'chunks,claims'), ('published-ranking', 'v1', 'variants'), ('search-evidence', 'v1', 'requests,chunks,facts'), ('semantic-audit', 'v1', 'findings,slides,evidence')) AS t(id, version, inputs)")
+#: Events ask for skills by the length of what they carry; some names are none.
+_ASKED = "SELECT CASE CAST(floor(value * 100) AS BIGINT) % 12 WHEN 0 THEN 'align-claims' WHEN 1 THEN 'canvas-audit' WHEN 2 THEN 'data-visual-spec' WHEN 3 THEN 'deck-plan' WHEN 4 THEN 'final-jury' WHEN 5 THEN 'grounded-deck-planner' WHEN 6 THEN 'published-ranking' WHEN 7 THEN 'search-evidence' WHEN 8 THEN concat('none-', event_type) END AS id FROM events"
+_LISTED = "(VALUES ('align-claims', 'v1', 'claims,chunks,facts'), ('canvas-audit', 'v1', 'elements,fonts,colors'), ('data-visual-spec', 'v1', 'data,facts,chunks,citations'), ('deck-plan', 'v1', 'briefs'), ('final-jury', 'v1', 'variants'), ('grounded-deck-planner', 'v1', 'chunks,claims'), ('published-ranking', 'v1', 'variants'), ('search-evidence', 'v1', 'requests,chunks,facts'), ('semantic-audit', 'v1', 'findings,slides,evidence')) AS t(id, version, inputs)"
+
+
+@query("skill_registry", f"WITH asked AS (SELECT id, count(*) AS requests FROM ({_ASKED}) WHERE id IS NOT NULL GROUP BY id) SELECT id, version, inputs, coalesce(requests, 0) AS requests FROM {_LISTED} FULL JOIN asked USING (id)")
 def skill_registry(spark, sf):
-    return skills.listed(spark)
+    """All skills, and how often the events ask for them."""
+    return skills.requested(run(spark, sf, _ASKED))
 
 
 _ASSIGNED = "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'compact' WHEN 1 THEN 'balanced' ELSE 'visual' END AS variant, CASE WHEN o_orderkey % 19 = 0 THEN -o_custkey ELSE o_custkey END AS slide_id, CASE WHEN o_orderkey % 17 = 0 THEN 99 ELSE o_orderkey % 25 END AS layout_id, concat(CAST(CASE WHEN o_orderkey % 23 = 0 THEN 7 ELSE o_custkey END AS VARCHAR(20)), '-slot') AS slot_id, o_custkey * 10 + o_orderkey % 3 AS claim_id FROM orders"

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evigrain.functions import jsontext
 from evigrain.operators import audit, decks, evidence, rank
@@ -43,6 +44,12 @@ def listed(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(id, version, inputs)")
 
 
+def requested(requests: DataFrame) -> DataFrame:
+    """(id, version, inputs, requests): how often each skill is asked for, in requests (id); names that no skill has come without a version, unasked skills with 0."""
+    asked = requests.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("requests"))
+    return listed(requests.sparkSession).join(asked, "id", "full_outer").select("id", "version", "inputs", F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
 def register(spark: SparkSession) -> None:
     """Make canonical_json, json_object_in and csv_cells usable in SQL; all move data in Arrow batches."""
     from pyspark.sql.functions import udtf

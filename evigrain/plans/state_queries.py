@@ -52,6 +52,20 @@ def jury_binding(spark, sf):
     return state.unbound_refs(run(spark, sf, _REFS), run(spark, sf, _SAVED), ["artifact_id", "kind", "size"])
 
 
+#: Pages as files of a folder; some are links to others near them, some of these out of it.
+_FILES = "SELECT concat('p/', CAST(page_id AS VARCHAR(20))) AS path FROM pages UNION ALL SELECT '../p' UNION ALL SELECT 'not/there'"
+_LINKS = "SELECT concat('p/', CAST(page_id AS VARCHAR(20))) AS path, CASE WHEN length(url) % 11 = 0 THEN concat('../', host) ELSE concat('p/', CAST(page_id + length(html) % 9 - 4 AS VARCHAR(20))) END AS target FROM (SELECT page_id, url, html, split_part(url, '/', 3) AS host FROM pages) WHERE length(html) % 4 < 3"
+
+
+@query("resolved_paths", twin("""WITH RECURSIVE walk AS (
+  SELECT path, path AS node, []::VARCHAR[] AS seen FROM files
+  UNION ALL SELECT w.path, l.target, list_append(w.seen, w.node) FROM walk w JOIN links l ON l.path = w.node WHERE NOT list_contains(w.seen, w.node)),
+ends AS (SELECT path, arg_max(node, len(seen)) AS node, bool_or(list_contains(seen, node)) AS looped FROM walk GROUP BY path)
+SELECT path, CASE WHEN NOT looped THEN node END AS resolved, CASE WHEN looped THEN 'cycle' WHEN len(list_filter(string_split(node || '/' || path, '/'), lambda s: s IN ('', '.', '..'))) > 0 THEN 'escape' END AS error FROM ends""", files=_FILES, links=_LINKS))
+def resolved_paths(spark, sf):
+    return state.resolved_paths(run(spark, sf, _FILES), run(spark, sf, _LINKS))
+
+
 @query("artifact_refs", """WITH m AS (SELECT page_id::VARCHAR AS path, strlen(html) + CASE WHEN page_id % 8 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN page_id % 9 = 0 THEN 'x' ELSE sha256(html) END AS sha FROM pages UNION ALL SELECT 'gone', 1, 'y')
 SELECT m.path, CASE WHEN p.html IS NULL THEN 'missing' WHEN strlen(p.html) <> m.size THEN 'size_mismatch' WHEN sha256(p.html) <> m.sha THEN 'digest_mismatch' END AS error FROM m LEFT JOIN pages p ON p.page_id::VARCHAR = m.path""")
 def artifact_refs(spark, sf):
@@ -101,9 +115,16 @@ def extension_top_customers(spark, sf):
 _ROLES = "['evidence-analyst', 'final-jury', 'narrative-architect', 'repair-planner', 'semantic-critic', 'template-analyst', 'variant-designer-balanced', 'variant-designer-compact', 'variant-designer-visual', 'visual-critic', 'visual-director']"
 
 
-@query("role_registry", f"SELECT r AS id, 'v1' AS version, 'executable' AS status, concat('agents/', r, '/v1/contract.json') AS contract, concat('prompts/agents/', r, '/v1/system.md') AS prompt FROM (SELECT unnest({_ROLES}) AS r)")
+#: Customers ask for roles, by the first letters of their segment and name; some of the names are none.
+_CALLED = f"SELECT CASE WHEN c_nationkey % 12 < 11 THEN element_at(array({_ROLES[1:-1]}), CAST(c_nationkey % 12 + 1 AS INT)) ELSE 'nobody' END AS id FROM customer"
+_CALLED_TWIN = f"SELECT CASE WHEN c_nationkey % 12 < 11 THEN {_ROLES}[c_nationkey % 12 + 1] ELSE 'nobody' END AS id FROM customer"
+
+
+@query("role_registry", f"SELECT coalesce(r.id, c.id) AS id, CASE WHEN r.id IS NOT NULL THEN 'v1' END AS version, CASE WHEN r.id IS NOT NULL THEN 'executable' END AS status, 'agents/' || r.id || '/v1/contract.json' AS contract, 'prompts/agents/' || r.id || '/v1/system.md' AS prompt, coalesce(c.n, 0) AS calls FROM (SELECT unnest({_ROLES}) AS id) r FULL JOIN (SELECT id, count(*) AS n FROM ({_CALLED_TWIN}) GROUP BY id) c ON c.id = r.id")
 def role_registry(spark, sf):
-    return contracts.listed(spark)
+    """All roles, and how often they are called; calls of names that are no roles have no contract."""
+    calls = run(spark, sf, _CALLED).groupBy("id").agg(F.count("*").alias("calls"))
+    return contracts.listed(spark).join(calls, "id", "full_outer").select("id", "version", "status", "contract", "prompt", F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
 @query("role_violations", """SELECT c_custkey AS run, CASE c_custkey % 6 WHEN 0 THEN '$.operations[0].rationale' WHEN 1 THEN '$.operations' WHEN 2 THEN '$.round' WHEN 3 THEN '$.more' WHEN 4 THEN '$' END AS error FROM customer""")

@@ -464,3 +464,12 @@ def test_histories_are_streamed_by_variant(spark):
     steps = [(v, k, "edit" if k % 5 else "undo", str(k)) for v in (1, 2, None) for k in range(2000)]
     found = folds.travel_history(spark.createDataFrame(steps, "variant int, ord int, action string, state string")).collect()
     assert sorted((str(r["variant"]), r["present"]) for r in found) == [("1", "1999"), ("2", "1999"), ("None", "1999")]
+
+
+def test_links_of_any_length_and_cycles(spark):
+    chain = [(f"c/{i}", f"c/{i + 1}") for i in range(1000)] + [("a", "b"), ("b", "a"), ("in", "a"), ("self", "self"), ("out", "../x"), ("abs", "/x"), ("two", "z"), ("two", "y"), (None, "x"), ("x", None)]
+    links = spark.createDataFrame(chain, "path string, target string")
+    paths = spark.createDataFrame([(p,) for p in ("c/0", "c/999", "a", "b", "in", "self", "out", "abs", "two", "plain", "../up", None)], "path string")
+    found = {r["path"]: (r["resolved"], r["error"]) for r in state.resolved_paths(paths, links).collect()}
+    assert found == {"c/0": ("c/1000", None), "c/999": ("c/1000", None), "a": (None, "cycle"), "b": (None, "cycle"), "in": (None, "cycle"), "self": (None, "cycle"), "out": ("../x", "escape"), "abs": ("/x", "escape"), "two": ("y", None), "plain": ("plain", None), "../up": ("../up", "escape")}
+    assert state.resolved_paths(paths, links.limit(0)).filter("error IS NULL").count() == 10
