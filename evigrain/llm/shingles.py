@@ -15,7 +15,8 @@ whole sets of 64-bit shingle hashes, after a bound on their difference.
 Copies with one set are one node from the start. A bucket gives a forest of its
 close pairs, so that it has no more pairs than members. Where members of a bucket
 are not connected once these are verified, a forest of the pairs that the bound
-allows follows, and at last all such pairs that are still not connected.
+allows follows, and at last all such pairs that are still not connected. A bucket
+over BUCKET_LIMIT members is cut into blocks whose pairs are buckets of their own.
 
 Defined cases: a text of fewer words is one shingle; null and wordless texts have
 the empty set and are copies of each other; rows with a null doc_id link others
@@ -44,6 +45,10 @@ SAMPLE_DOCS, COMMON_SHINGLES, EARLY = 20_000, 100_000, -(1 << 62)
 #: Bits of 128 that fingerprints of similar sets differ by at most.
 FAR = 44
 ODD_BITS = 1024
+#: Members of one bucket that one task compares; larger buckets are cut into pairs of blocks.
+BUCKET_LIMIT = 32768
+#: Such buckets up to which they are broadcast (16 bytes each); beyond it both sides are shuffled.
+BROADCAST_BUCKETS = 500_000
 
 _MARK = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("more", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("first", T.ArrayType(T.LongType()))])
 _SET = T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.ArrayType(T.LongType()))])
@@ -170,11 +175,11 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (s, key, n, fp, more) sorted by s: a forest of each bucket's close pairs (a, b) as kind 0, members of three and more that have one as kind 1."""
-    for s, keys, n, fp, more in _buckets(batches):
+    """Of (s, key, n, fp, more, part) sorted by s: a forest of each bucket's close pairs (a, b) as kind 0, members of three and more that have one as kind 1; of parts of a bucket all members."""
+    for s, keys, n, fp, more, part in _buckets(batches):
         size = _bounds(s)[1]
         shared = np.repeat(size, size) > 1
-        s, keys, n, fp, more = (x[shared] for x in (s, keys, n, fp, more))
+        s, keys, n, fp, more, part = (x[shared] for x in (s, keys, n, fp, more, part))
         start, size = _bounds(s)
 
         def near(i, j) -> np.ndarray:
@@ -196,7 +201,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     label[np.isin(label, of)] = label[i - lo]
                     groups -= len(of)
             group, members = np.unique(label, return_counts=True)
-            left[lo : lo + many] = np.isin(label, group[members > 2])
+            left[lo : lo + many] = np.isin(label, group[members > 2]) | part[lo : lo + many]
         both = np.concatenate(found)
         both = _pairs(both[:, 0], both[:, 1])
         zeros = np.zeros(len(both), np.int32)
@@ -233,6 +238,19 @@ def _apart(forest: bool):
     return run
 
 
+def _in_blocks(filed: DataFrame, limit: int) -> DataFrame:
+    """filed, with buckets over the limit cut: a row meets each block of its bucket under a name of its own (part is true there), so that every two members still meet."""
+    sizes = stored(filed.groupBy("s").count().filter(F.col("count") > limit).select("s", F.ceil(2 * F.col("count") / F.lit(limit)).cast("long").alias("blocks")), "shingle-hot").df
+    many = sizes.count()
+    if not many:
+        return filed.withColumn("part", F.lit(False))
+    hot = F.broadcast(sizes) if many <= BROADCAST_BUCKETS else sizes
+    own = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    cut = filed.join(hot, "s").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cut = cut.select(F.xxhash64("s", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("s"), "key", "n", "fp", "more", F.lit(True).alias("part"))
+    return filed.join(hot, "s", "left_anti").withColumn("part", F.lit(False)).unionByName(cut)
+
+
 def _close_fingerprints(classes: DataFrame, written: list[Stored]) -> DataFrame:
     """Pairs (a, b) of sets whose fingerprints are within SimHash's distance, in so far as a chain of such pairs connects them."""
     written.append(stored(classes.groupBy("fp").agg(F.min("key").alias("key")), "shingle-fps"))
@@ -244,7 +262,7 @@ def _close_fingerprints(classes: DataFrame, written: list[Stored]) -> DataFrame:
     return same.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """doc_id and component_id: the smallest doc_id that links of similarity 0.8 or more reach, the document's own included."""
     spark = tuned(docs.sparkSession)
     written: list[Stored] = []  # deleted when the components are there
@@ -257,7 +275,7 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     marked = stored(docs.select(F.col(id_col).alias("doc_id"), marks(F.col(text_col)).alias("m")).select("doc_id", "m.*"), "shingle-marks")
     classes = kept(marked.df.groupBy("key").agg(F.min("doc_id").alias("least_id"), *(F.any_value(c).alias(c) for c in ("n", "fp", "more", "odd", "first"))), "shingle-classes")
     filed = classes.select(F.explode("first").alias("s"), "key", "n", "fp", "more")
-    met = kept(filed.repartition("s").sortWithinPartitions("s").mapInArrow(_met, _MET), "shingle-buckets")
+    met = kept(_in_blocks(filed, bucket_limit).repartition("s").sortWithinPartitions("s").mapInArrow(_met, _MET), "shingle-buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those with similar sets, which are made again from the texts."""
@@ -298,6 +316,6 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return marked.df.select("doc_id", "key").join(component, "key").select("doc_id", "component_id")
 
 
-def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each component stays, as in simhash.deduplicate."""
-    return simhash.keep_least(docs, components(docs, text_col, id_col), id_col)
+    return simhash.keep_least(docs, components(docs, text_col, id_col, **options), id_col)

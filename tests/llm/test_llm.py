@@ -110,6 +110,22 @@ def test_handles_take_time_in_proportion():
     assert time.process_time() - began < 5
 
 
+@pytest.mark.parametrize("limit", [6, 32768])
+def test_one_passage_in_all_texts(spark, limit):
+    """A passage that all texts share files all of them in the same buckets, which are cut into pairs of blocks; links within and across blocks are found."""
+    rng = random.Random(12)
+    passage = " ".join(f"licence{i}" for i in range(30))
+    texts_of = {}
+    for i in range(60):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(40)] if i % 3 == 0 else texts_of[i - 1].split()[30:]
+        if i % 3:
+            own[rng.randrange(len(own))] = f"edit{i}"
+        texts_of[i] = passage + " " + " ".join(own)
+    docs = spark.createDataFrame(list(texts_of.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in shingles.components(docs, bucket_limit=limit).collect()}
+    assert found == brute_near_copies(texts_of) and len(set(found.values())) < 40
+
+
 def test_segments_cover_every_split_of_the_distance():
     for distance in range(7):
         for segments in range(1, 6):
