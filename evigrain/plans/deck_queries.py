@@ -12,6 +12,7 @@ from evigrain.operators import decks, placing
 from evigrain.plans import skills
 from evigrain.plans.registered import registry
 from evigrain.plans.standins import frame, run, twin
+from evigrain.runtime import spread
 from evigrain.sources import images, template
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -236,7 +237,7 @@ _THEME = """concat('<a:theme xmlns:a="urn:a"><a:clrScheme><a:dk1><a:sysClr val="
 
 @query("theme_tokens", """SELECT p_partkey::VARCHAR AS name, k AS kind, CASE k WHEN 'color' THEN CASE WHEN i = 1 THEN concat('#00000', p_partkey % 10) ELSE concat('#', lpad(hex(p_partkey), 6, '0')) END WHEN 'heading_font' THEN p_brand WHEN 'font_size' THEN '24' ELSE '700' END AS value, CASE WHEN i = 2 THEN 'accent1' END AS scheme FROM part, unnest([1, 2, 3, 4, 5]) AS t(i), unnest([['color', 'color', 'heading_font', 'font_size', 'font_weight'][i]]) AS u(k)""")
 def theme_tokens(spark, sf):
-    parts = run(spark, sf, f"SELECT p_partkey AS name, {_THEME} AS xml FROM part").select("name", F.col("xml").cast("binary").alias("content"))
+    parts = spread(run(spark, sf, f"SELECT p_partkey AS name, {_THEME} AS xml FROM part"), "name").select("name", F.col("xml").cast("binary").alias("content"))
     return template.tokens_of(parts).select("name", "kind", "value", "scheme")
 
 
@@ -245,7 +246,7 @@ _SLIDE = """concat('<p:sld xmlns:p="urn:p" xmlns:a="urn:a"><p:cSld><p:spTree><p:
 
 @query("template_elements", """SELECT p_partkey::VARCHAR AS name, 0::BIGINT AS ord, p_partkey::VARCHAR AS element_id, 'text' AS type, p_name AS text, (100 + 2 * p_size)::DOUBLE AS x, 20::DOUBLE AS w FROM part UNION ALL SELECT p_partkey::VARCHAR, 1, NULL, 'image', '', NULL, NULL FROM part""")
 def template_elements(spark, sf):
-    parts = run(spark, sf, f"SELECT p_partkey AS name, {_SLIDE} AS xml FROM part").select("name", F.col("xml").cast("binary").alias("content"))
+    parts = spread(run(spark, sf, f"SELECT p_partkey AS name, {_SLIDE} AS xml FROM part"), "name").select("name", F.col("xml").cast("binary").alias("content"))
     return template.elements_of(parts).select("name", "ord", "element_id", "type", "text", "x", "w")
 
 
@@ -274,7 +275,8 @@ def _as_template(numbers: pa.Array) -> pa.Array:
 
 
 def _template_parts(spark, sf):
-    return template.parts_of(frame(spark, sf, "customer").select(F.col("c_custkey").alias("name"), _as_template(F.col("c_custkey")).alias("content")))
+    jobs = spread(frame(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    return template.parts_of(jobs.select(F.col("c_custkey").alias("name"), _as_template(F.col("c_custkey")).alias("content")))
 
 
 @query("template_parts", """SELECT c_custkey::VARCHAR AS name, CASE WHEN c_custkey % 7 <> 0 THEN p.role END AS role, CASE WHEN c_custkey % 7 <> 0 THEN p.number::BIGINT END AS number, CASE WHEN c_custkey % 7 <> 0 THEN p.part END AS part,

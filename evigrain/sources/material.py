@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.functions import cells, text
+from evigrain.runtime import record_batches
 from evigrain.sources import csvtext, images, office
 
 #: Bytes of one file, and files of one upload.
@@ -21,15 +22,14 @@ _SHEET = [("name", pa.string()), ("sheet", pa.string()), ("row_no", pa.int64()),
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(_SHEET)
-    for batch in batches:
-        for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            try:
-                out = [{k: c.get(k) for k, _ in _SHEET} | {"name": file} for c in office.sheet_cells(data.as_py() or b"")]
-            except (office.Unreadable, ElementTree.ParseError, zipfile.BadZipFile) as wrong:
-                out = [{"name": file, "error": str(wrong)}]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+    def found(file: str, data: bytes) -> list[dict]:
+        try:
+            return [{k: c.get(k) for k, _ in _SHEET} | {"name": file} for c in office.sheet_cells(data)]
+        except (office.Unreadable, ElementTree.ParseError, zipfile.BadZipFile) as wrong:
+            return [{"name": file, "error": str(wrong)}]
+
+    files = (file for batch in batches for file in zip(batch.column(0), batch.column(1), strict=True))
+    yield from record_batches((cell for file, data in files for cell in found(file.as_py(), data.as_py() or b"")), pa.schema(_SHEET))
 
 
 def _range(merged: Column) -> Column:
