@@ -231,11 +231,17 @@ def stage_trace(jobs: DataFrame) -> DataFrame:
 
 
 def stage_lineage(trace: DataFrame) -> DataFrame:
-    """(job, parent, artifact): which artifacts of earlier stages each artifact of a trace is made from."""
+    """(job, parent, artifact): which artifacts of earlier stages each artifact of a trace is made from.
+
+    A job has few stages, so they meet within their job: joined as rows, a side that is small by its columns' share of a file would be broadcast with all that was made of it.
+    """
     reads = F.create_map(*[x for stage, parents in READS.items() for x in (F.lit(stage), F.array(*[F.lit(p) for p in parents]))])
-    made = trace.select("job", "stage", F.explode("artifacts").alias("artifact"))
-    needs = made.select("job", "artifact", F.explode(reads[F.col("stage")]).alias("stage"))
-    return needs.join(made.withColumnRenamed("artifact", "parent"), ["job", "stage"]).select("job", "parent", "artifact")
+    own = F.struct("stage", "artifacts", reads[F.col("stage")].alias("needs"))
+    runs = trace.filter("job IS NOT NULL").groupBy("job").agg(F.collect_list(own).alias("ran"))
+    stages = runs.select("job", "ran", F.inline("ran")).filter("needs IS NOT NULL")
+    read = F.flatten(F.transform(F.filter("ran", lambda s: F.array_contains("needs", s["stage"])), lambda s: F.coalesce(s["artifacts"], F.array().cast("array<string>"))))
+    made = stages.select("job", read.alias("parents"), F.explode("artifacts").alias("artifact"))
+    return made.select("job", F.explode("parents").alias("parent"), "artifact")
 
 
 def published(jobs: DataFrame, slides: DataFrame, audits: DataFrame, bindings: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from evigrain.operators import decks
 from evigrain.plans import registry
 from evigrain.runtime import record_batches
 from evigrain.sources import csvtext, material, template
@@ -30,3 +31,13 @@ def test_parts_of_a_small_table_are_read_by_all_tasks(spark):
     several = spark.createDataFrame([("a", "1,2\n3"), ("b", '"'), ("c", "")], "name string, text string")
     assert {(r["name"], r["row_no"], r["text"], r["error"] is None) for r in csvtext.cells(several).collect()} == {("a", 1, "1", True), ("a", 1, "2", True), ("a", 2, "3", True), ("b", None, None, False), ("c", 1, "", True)}
     assert template.elements_of(spark.createDataFrame([("a", None)], "name string, content binary")).count() == 0
+
+
+def test_lineage_gives_the_driver_nothing_to_broadcast(spark):
+    jobs = spark.createDataFrame([(1, 0), (2, 1), (None, 0)], "job long, audit_errors int")
+    found = decks.stage_lineage(decks.stage_trace(jobs))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    by_job = {r["job"]: r["count"] for r in found.groupBy("job").count().collect()}
+    made = {name: len(artifacts) for name, _, artifacts in decks.STAGES}
+    pairs = {name: made[name] * sum(made[p] for p in parents) for name, parents in decks.READS.items()}
+    assert by_job == {1: sum(pairs.values()), 2: sum(n for name, n in pairs.items() if name not in ("critics", "repair-plans", "final-jury"))}
