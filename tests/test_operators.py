@@ -473,3 +473,11 @@ def test_links_of_any_length_and_cycles(spark):
     found = {r["path"]: (r["resolved"], r["error"]) for r in state.resolved_paths(paths, links).collect()}
     assert found == {"c/0": ("c/1000", None), "c/999": ("c/1000", None), "a": (None, "cycle"), "b": (None, "cycle"), "in": (None, "cycle"), "self": (None, "cycle"), "out": ("../x", "escape"), "abs": ("/x", "escape"), "two": ("y", None), "plain": ("plain", None), "../up": ("../up", "escape")}
     assert state.resolved_paths(paths, links.limit(0)).filter("error IS NULL").count() == 10
+
+
+def test_lone_ampersand_before_an_entity_is_text(spark):
+    from evigrain.functions.text import decoded
+
+    texts = ["the&&#x436;&amp;lt;", "une&amp&#72;;", "a&&amp;b; &nbsp", "a&lt;&nbsp;", "&b&lt;;", "&x&y;"]
+    found = [r["d"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(decoded(F.col("t")).alias("d")).collect()]
+    assert found == ["the&ж&lt;", "une&ampH;", "a&&b; &nbsp", None, "&b<;", None]
