@@ -84,10 +84,15 @@ FROM (SELECT o.key, o.kind, o.k, o.seq, o.now, o.busy, o.cap, list_filter(r.time
 SELECT key, kind, seq, status, retry_after FROM r WHERE k > 0"""
 
 
+def _millis(at):
+    """Milliseconds of a time as epoch_ms gives them: to the nearest, halves away from zero."""
+    return F.unix_millis(F.timestamp_micros(F.round(F.unix_micros(at), -3)))
+
+
 @query("rate_guard", _GUARD.replace("{busy}", str(state.BUSY_RETRY_S)))
 def rate_guard(spark, sf):
     events = frame(spark, sf, "events")
-    requests = events.select("user_id", F.when(F.col("event_type") == "click", "export").otherwise("generation").alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("value") > 20).alias("busy"))
+    requests = events.select("user_id", F.when(F.col("event_type") == "click", "export").otherwise("generation").alias("kind"), _millis(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("value") > 20).alias("busy"))
     return state.admitted(requests, "user_id", "kind", "at", "event_id", "busy", {"generation": 5, "export": 30}, 6 * 3_600_000)
 
 

@@ -41,3 +41,13 @@ def test_lineage_gives_the_driver_nothing_to_broadcast(spark):
     made = {name: len(artifacts) for name, _, artifacts in decks.STAGES}
     pairs = {name: made[name] * sum(made[p] for p in parents) for name, parents in decks.READS.items()}
     assert by_job == {1: sum(pairs.values()), 2: sum(n for name, n in pairs.items() if name not in ("critics", "repair-plans", "final-jury"))}
+
+
+def test_times_are_rounded_to_milliseconds_as_sql_does(spark):
+    import duckdb
+
+    from evigrain.plans.state_queries import _millis
+
+    times = ["2024-01-01 00:00:00.000499", "2024-01-01 00:00:00.0005", "2024-01-01 00:00:00.000999", "1969-12-31 23:59:59.9985", "1969-12-31 23:59:59.9996", "1969-12-31 23:59:59.9986", "1970-01-01 00:00:00.0005"]
+    found = [r["at"] for r in spark.createDataFrame([(t,) for t in times], "t string").select(_millis(F.col("t").cast("timestamp")).alias("at")).collect()]
+    assert found == [duckdb.execute("SELECT epoch_ms(CAST(? AS TIMESTAMP))", [t]).fetchone()[0] for t in times]
