@@ -1,6 +1,7 @@
 """Steps whose cost must grow no faster than their input."""
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from evigrain.operators import decks
@@ -51,3 +52,21 @@ def test_times_are_rounded_to_milliseconds_as_sql_does(spark):
     times = ["2024-01-01 00:00:00.000499", "2024-01-01 00:00:00.0005", "2024-01-01 00:00:00.000999", "1969-12-31 23:59:59.9985", "1969-12-31 23:59:59.9996", "1969-12-31 23:59:59.9986", "1970-01-01 00:00:00.0005"]
     found = [r["at"] for r in spark.createDataFrame([(t,) for t in times], "t string").select(_millis(F.col("t").cast("timestamp")).alias("at")).collect()]
     assert found == [duckdb.execute("SELECT epoch_ms(CAST(? AS TIMESTAMP))", [t]).fetchone()[0] for t in times]
+
+
+def test_only_templates_in_use_are_profiled(spark, monkeypatch):
+    from evigrain.operators import layouts
+    from evigrain.plans.layout_queries import _deck_inputs
+
+    class Seen(Exception):
+        pass
+
+    def stop(df, label):
+        raise Seen(sorted(r[0] for r in df.select("template_id").distinct().collect()))
+
+    slides, items, known, elements = _deck_inputs(spark, SF)
+    monkeypatch.setattr(layouts, "profiles", lambda own, parts: own.join(parts.select("template_id").distinct(), "template_id"))
+    monkeypatch.setattr(layouts, "stored", stop)
+    with pytest.raises(Seen) as seen:
+        layouts.scores(slides.filter("template_id = 3"), items, known, elements)
+    assert seen.value.args[0] == [3]
