@@ -15,6 +15,7 @@ from evigrain.functions.text import decoded
 from evigrain.operators import folds
 from evigrain.plans.registered import registry
 from evigrain.plans.standins import frame, run, twin
+from evigrain.runtime import spread
 from evigrain.sources import csvtext, images, material, office
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -157,21 +158,22 @@ def _as_xlsx(texts: pa.Array, numbers: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _workbooks(spark, sf):
+    talks = spread(frame(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    return talks.select(F.concat_ws("/", "conv_id", "turn").alias("name"), _as_xlsx(F.col("text"), F.col("conv_id") * 10 + F.col("turn")).alias("content"))
+
+
 @query("sheet_cells", """WITH c AS (SELECT concat(conv_id, '/', turn) AS name, text, conv_id * 10 + turn AS n FROM conversations), v AS (
 SELECT name, 1 AS row_no, 1 AS col_no, 'string' AS value_type, text, NULL AS formula, NULL AS merged_range FROM c UNION ALL SELECT name, 1, 2, 'string', text, NULL, NULL FROM c UNION ALL SELECT name, 1, 3, 'number', n::VARCHAR, NULL, NULL FROM c
 UNION ALL SELECT name, 4, 2, 'date', strftime(TIMESTAMP '1899-12-30' + to_days((40000 + n % 1000)::INTEGER), '%Y-%m-%dT%H:%M:%S.%gZ'), NULL, NULL FROM c UNION ALL SELECT name, 4, 3, 'boolean', CASE WHEN n % 2 = 1 THEN 'true' ELSE 'false' END, NULL, NULL FROM c UNION ALL SELECT name, 5, 2, 'string', 'kept', 'A1', 'B5:C6' FROM c)
 SELECT name, 'Talk' AS sheet, row_no::BIGINT AS row_no, col_no::BIGINT AS col_no, value_type, text, formula, merged_range, concat('sheet:Talk,row:', row_no, ',column:', col_no) AS locator FROM v WHERE text <> ''""")
 def sheet_cells(spark, sf):
-    talks = frame(spark, sf, "conversations")
-    files = talks.select(F.concat_ws("/", "conv_id", "turn").alias("name"), _as_xlsx(F.col("text"), F.col("conv_id") * 10 + F.col("turn")).alias("content"))
-    return material.sheet_facts(files).filter("error IS NULL").drop("error")
+    return material.sheet_facts(_workbooks(spark, sf)).filter("error IS NULL").drop("error")
 
 
 @query("sheet_texts", """SELECT concat(conv_id, '/', turn) AS name, 'Talk' AS sheet, concat(CASE WHEN text <> '' THEN concat(text, chr(9), text, chr(9)) ELSE '' END, n, chr(10), strftime(TIMESTAMP '1899-12-30' + to_days((40000 + n % 1000)::INTEGER), '%Y-%m-%dT%H:%M:%S.%gZ'), chr(9), CASE WHEN n % 2 = 1 THEN 'true' ELSE 'false' END, chr(10), 'kept') AS text FROM (SELECT *, conv_id * 10 + turn AS n FROM conversations)""")
 def sheet_texts(spark, sf):
-    talks = frame(spark, sf, "conversations")
-    files = talks.select(F.concat_ws("/", "conv_id", "turn").alias("name"), _as_xlsx(F.col("text"), F.col("conv_id") * 10 + F.col("turn")).alias("content"))
-    return material.sheet_texts(material.sheet_facts(files))
+    return material.sheet_texts(material.sheet_facts(_workbooks(spark, sf)))
 
 
 @F.arrow_udf(T.BinaryType())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.functions import cells, text
-from evigrain.runtime import record_batches
+from evigrain.runtime import record_batches, tuned
 from evigrain.sources import csvtext, images, office
 
 #: Bytes of one file, and files of one upload.
@@ -38,6 +38,7 @@ def _range(merged: Column) -> Column:
 
 def sheet_facts(files: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
     """(name, sheet, row_no, col_no, value_type, text, formula, merged_range, locator, error): typed cells of workbooks; covered and empty ones give none."""
+    tuned(files.sparkSession)
     kinds = "name string, sheet string, row_no long, col_no long, kind string, raw string, format_id long, format_code string, epoch_1904 boolean, formula string, inline string, shared string, merged array<long>, error string"
     raw = files.selectExpr(f"CAST({name} AS STRING) AS name", f"{content} AS content").mapInArrow(_cells, kinds)
     typed = cells.typed_cell(F.col("kind"), F.col("raw"), F.col("shared"), F.col("inline"), F.coalesce(cells.is_date_format(F.col("format_id"), F.col("format_code")), F.lit(False)), F.coalesce("epoch_1904", F.lit(False)))

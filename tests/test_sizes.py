@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigrain.operators import decks
 from evigrain.plans import registry
-from evigrain.runtime import record_batches
+from evigrain.runtime import ARROW_BYTES, record_batches
 from evigrain.sources import csvtext, material, template
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +34,30 @@ def test_parts_of_a_small_table_are_read_by_all_tasks(spark):
     assert template.elements_of(spark.createDataFrame([("a", None)], "name string, content binary")).count() == 0
 
 
+def test_workbooks_reach_all_tasks(spark):
+    assert registry.QUERIES["sheet_cells"](spark, SF).select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_workbooks_are_read_in_small_batches_in_any_session(spark, monkeypatch):
+    schema, name = pa.schema(material._SHEET), "spark.sql.execution.arrow.max{}PerBatch"
+    kept = {name.format(k): spark.conf.get(name.format(k)) for k in ("Records", "Bytes")}
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([{"name": str(batch.nbytes), "row_no": batch.num_rows, "error": "seen"}], schema)
+
+    try:
+        spark.conf.set(name.format("Records"), "10000")
+        spark.conf.set(name.format("Bytes"), "64m")
+        monkeypatch.setattr(material, "_cells", seen)
+        files = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 4000).cast("binary").alias("content"))
+        found = material.sheet_facts(files, "id").collect()
+        assert sum(r["row_no"] for r in found) == 3000 and max(int(r["name"]) for r in found) < 2 * ARROW_BYTES
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+
+
 def test_lineage_gives_the_driver_nothing_to_broadcast(spark):
     jobs = spark.createDataFrame([(1, 0), (2, 1), (None, 0)], "job long, audit_errors int")
     found = decks.stage_lineage(decks.stage_trace(jobs))
