@@ -94,3 +94,19 @@ def test_only_templates_in_use_are_profiled(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         layouts.scores(slides.filter("template_id = 3"), items, known, elements)
     assert seen.value.args[0] == [3]
+
+
+def test_lines_of_a_text_are_counted_once_for_all_widths(spark):
+    from evigrain.operators import layouts
+    from evigrain.operators.fixes import lines
+
+    texts = ["", "a", "some words and a loooooooooooooooooooong one", "two\n\nlines of it  \n", " ".join("x" * (k % 9 + 1) for k in range(90)), "\n"]
+    slides = spark.createDataFrame([("d", k, 9, 1, None, None, t) for k, t in enumerate(texts)], "deck string, slide_no int, slide_count int, template_id long, purpose string, intent string, title string")
+    items = spark.createDataFrame([("d", 2, 0, "one, two"), ("d", 4, 0, "first of"), ("d", 4, 1, "several")], "deck string, slide_no int, item_no int, item string")
+    found = {r["slide_no"]: r for r in layouts.measured(slides, items, 110).collect()}
+    at = lambda text, most: text["counts"][min(most - 4, len(text["counts"]) - 1)]
+    width = lambda most: (most + 0.5) * 14 * 0.62
+    for k, text in enumerate(texts):
+        assert [at(found[k]["title_text"], most) for most in range(4, 111)] == [lines(text, 14, width(most)) for most in range(4, 111)], text
+    assert [len(found[4][c]) for c in ("item_texts", "part_texts", "tail_texts")] == [2, 2, 2] and [len(found[2][c]) for c in ("item_texts", "part_texts", "tail_texts")] == [1, 2, 1]
+    assert at(found[4]["tail_texts"][0], 110) == 1 and at(found[4]["body_text"], 110) == 2 and found[0]["joined_text"]["empty"] and found[0]["item_texts"] == []
