@@ -110,3 +110,12 @@ def test_lines_of_a_text_are_counted_once_for_all_widths(spark):
         assert [at(found[k]["title_text"], most) for most in range(4, 111)] == [lines(text, 14, width(most)) for most in range(4, 111)], text
     assert [len(found[4][c]) for c in ("item_texts", "part_texts", "tail_texts")] == [2, 2, 2] and [len(found[2][c]) for c in ("item_texts", "part_texts", "tail_texts")] == [1, 2, 1]
     assert at(found[4]["tail_texts"][0], 110) == 1 and at(found[4]["body_text"], 110) == 2 and found[0]["joined_text"]["empty"] and found[0]["item_texts"] == []
+
+
+def test_scores_are_read_once_for_a_choice(spark):
+    from evigrain.operators import folds
+
+    scores = spark.createDataFrame([("d", 0, "b", 2.0), ("d", 0, "a", 2.0), ("d", 1, "a", 1.0), ("d", 1, "c", None), (None, 0, "a", 1.0)], "deck string, slide_no int, layout_id string, score double")
+    found = folds.choose_layouts(scores)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["deck"], r["slide_no"], r["layout_id"]) for r in found.collect()) == [("d", 0, "a"), ("d", 1, "a")]
