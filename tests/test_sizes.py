@@ -119,3 +119,20 @@ def test_scores_are_read_once_for_a_choice(spark):
     found = folds.choose_layouts(scores)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["deck"], r["slide_no"], r["layout_id"]) for r in found.collect()) == [("d", 0, "a"), ("d", 1, "a")]
+
+
+def test_only_chosen_layouts_are_profiled_for_slides(spark, monkeypatch):
+    from evigrain.operators import materialize
+    from evigrain.plans.layout_queries import _deck_inputs
+
+    class Seen(Exception):
+        pass
+
+    def stop(*sides):
+        raise Seen([sorted(r[0] for r in side.select("layout_id").distinct().collect()) for side in sides])
+
+    monkeypatch.setattr(materialize, "profiles", stop)
+    picks = spark.createDataFrame([(0, "compact", 0, 3), (0, "visual", 0, 5), (0, "visual", 1, 3)], "deck long, variant string, slide_no long, layout_id long")
+    with pytest.raises(Seen) as seen:
+        materialize.slides(picks, *_deck_inputs(spark, SF))
+    assert seen.value.args[0] == [[3, 5], [3, 5]]
